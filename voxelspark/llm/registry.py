@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 NAMES = {
+    "op4_substrings": "op4_substrings",
     "op5_simhash": "op5_simhash",
 }
 

@@ -7,6 +7,7 @@ from importlib import import_module
 NAMES = {
     "op4_substrings": "op4_substrings",
     "op5_simhash": "op5_simhash",
+    "op9_packing": "op9_packing",
 }
 
 

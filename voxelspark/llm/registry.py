@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 NAMES = {
+    "op2_toxicity": "op2_toxicity",
     "op4_substrings": "op4_substrings",
     "op5_simhash": "op5_simhash",
     "op9_packing": "op9_packing",

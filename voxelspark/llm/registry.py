@@ -8,7 +8,10 @@ NAMES = {
     "op2_toxicity": "op2_toxicity",
     "op4_substrings": "op4_substrings",
     "op5_simhash": "op5_simhash",
+    "op7_transport": "op7_transport",
+    "op8_warc": "op8_warc",
     "op9_packing": "op9_packing",
+    "op10_slots": "op10_slots",
 }
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelspark.llm.common import byte_chunks, partitions, planes, span_hashes, unplanes, word_spans
+from voxelspark.llm.common import byte_chunks, mixed, partitions, planes, span_hashes, unplanes, word_spans
 from voxelspark.plans.iterate import Scratch
 
 #: A second multiplier, for the check part of a window's hash.
@@ -93,19 +93,28 @@ def unpack_all(t: pa.Table, kinds: list):
     return np.concatenate(ids), np.concatenate(marks), np.concatenate(doc), np.concatenate(word), [np.concatenate(v) for v in zip(*values, strict=True)]
 
 
-def spots_table(ids, marks, doc, word) -> pa.Table:
-    """Rows (doc_id, mark, spots): the word positions that a part found in each document, as steps in byte places."""
-    new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
+def deal_out(ids, marks, doc, word, parts: int) -> pa.Table:
+    """Found word positions, packed again and dealt by document."""
+    part = (mixed(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)[doc]
+    got = list(zip(*pack(part, parts, doc, word, ids, marks, []), strict=True)) or [[], [], []]
+    return pa.table({"part": pa.array(got[0], pa.int32()), "n": pa.array(got[1], pa.int32()), "payload": pa.array(got[2], pa.binary())})
+
+
+def gather(t: pa.Table) -> pa.Table:
+    """One row (doc_id, mark, spots) per document: its word positions in order, as steps in byte places."""
+    ids, marks, doc, word, _ = unpack_all(t, [])
+    order = np.lexsort((word, marks[doc], ids[doc]))
+    own, mark, word = ids[doc[order]], marks[doc[order]], word[order]
+    new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (mark[1:] != mark[:-1])))
     step = np.diff(word, prepend=0)
     step[new] = word[new]
-    stop = np.append(new[1:], len(doc))
-    spots = [planes(step[a:b].astype(np.uint32)) for a, b in zip(new.tolist(), stop.tolist(), strict=True)]
-    return pa.table({"doc_id": pa.array(ids[doc[new]], pa.int64()), "mark": pa.array(marks[doc[new]].astype(np.int64), pa.int64()), "spots": pa.array(spots, pa.binary())})
+    stop = np.append(new[1:], len(own))
+    spots = [planes(step[i:j].astype(np.uint32)) for i, j in zip(new.tolist(), stop.tolist(), strict=True)]
+    return pa.table({"doc_id": pa.array(own[new], pa.int64()), "mark": pa.array(mark[new].astype(np.int64), pa.int64()), "spots": pa.array(spots, pa.binary())})
 
 
-def spots_read(blobs) -> np.ndarray:
-    found = [np.cumsum(unplanes(memoryview(b), np.uint32, len(b) // 4), dtype=np.int64) for b in blobs or ()]
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+def spots_read(blob: bytes | None) -> np.ndarray:
+    return np.cumsum(unplanes(memoryview(blob or b""), np.uint32, len(blob or b"") // 4), dtype=np.int64)
 
 
 def covered(length: int, spots: np.ndarray, before: int, size: int) -> np.ndarray:
@@ -134,7 +143,7 @@ def map_anchors(parts: int, block: int):
     return run
 
 
-def part_anchors(t: pa.Table) -> pa.Table:
+def part_anchors(t: pa.Table, parts: int) -> pa.Table:
     ids, marks, doc, word, (key,) = unpack_all(t, [np.uint32])
     probe = key >> np.uint32(1)
     order = np.argsort(probe)
@@ -144,7 +153,7 @@ def part_anchors(t: pa.Table) -> pa.Table:
     size = np.diff(np.append(cut, len(held)))
     anchor = np.zeros(len(key), bool)
     anchor[order] = np.repeat(indexed & (size > 1), size)
-    return spots_table(ids, marks, doc[anchor], word[anchor])
+    return deal_out(ids, marks, doc[anchor], word[anchor], parts)
 
 
 def map_windows(parts: int, window: int, block: int):
@@ -171,7 +180,7 @@ def map_windows(parts: int, window: int, block: int):
     return run
 
 
-def part_windows(t: pa.Table) -> pa.Table:
+def part_windows(t: pa.Table, parts: int) -> pa.Table:
     ids, marks, doc, word, (h, check) = unpack_all(t, [np.uint64, np.uint32])
     order = np.lexsort((check, h))
     a, c = h[order], check[order]
@@ -179,7 +188,7 @@ def part_windows(t: pa.Table) -> pa.Table:
     least = np.minimum.reduceat(ids[doc[order]], cut)
     hit = np.zeros(len(h), bool)
     hit[order] = ids[doc[order]] > np.repeat(least, np.diff(np.append(cut, len(a))))
-    return spots_table(ids, marks, doc[hit], word[hit])
+    return deal_out(ids, marks, doc[hit], word[hit], parts)
 
 
 def cut_out(window: int, body_at: str):
@@ -219,15 +228,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = rows.where(at.isNotNull() & F.col("row")[text_col].isNotNull())
     flat = keyed.select(at.alias("doc_id"), mark.alias("mark"), body.alias("body"))
 
-    anchors = scratch.settle(flat.mapInArrow(map_anchors(parts, block), PACKED).groupBy("part").applyInArrow(part_anchors, SPOTS))
-    gathered = anchors.groupBy("doc_id", "mark").agg(F.collect_list("spots").alias("spots"))
-    likely = flat.join(gathered, ["doc_id", "mark"])
-    hits = scratch.settle(likely.mapInArrow(map_windows(parts, window, block), PACKED).groupBy("part").applyInArrow(part_windows, SPOTS))
+    def found(packed: DataFrame, part) -> DataFrame:
+        dealt = packed.groupBy("part").applyInArrow(lambda t: part(t, parts), PACKED)
+        return scratch.settle(dealt.groupBy("part").applyInArrow(gather, SPOTS))
+
+    anchors = found(flat.mapInArrow(map_anchors(parts, block), PACKED), part_anchors)
+    likely = flat.join(anchors, ["doc_id", "mark"])
+    hits = found(likely.mapInArrow(map_windows(parts, window, block), PACKED), part_windows)
     scratch.drop(anchors)
-    gone = hits.groupBy("doc_id", "mark").agg(F.collect_list("spots").alias("spots"))
 
     schema = rows.schema["row"].dataType.simpleString()
-    both = rows.select("row", at.alias("doc_id"), mark.alias("mark")).join(gone, ["doc_id", "mark"], "left").select("row", "spots")
+    both = rows.select("row", at.alias("doc_id"), mark.alias("mark")).join(hits, ["doc_id", "mark"], "left").select("row", "spots")
     return both.mapInArrow(cut_out(window, text_col), f"row {schema}, n_words long, n_removed long, kept string, repeats array<struct<start:long,end:long>>")
 
 

@@ -79,11 +79,14 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
         return mixed((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) in bytes of every word of documents that lie one after the other, and each document's first word (n+1 entries)."""
+def word_spans(data: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) in bytes of every word of documents that lie one after the other, and each document's first word (n+1 entries).
+
+    between: for each byte value, whether it parts words.
+    """
     n = len(data)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[doc_start] = edge[doc_end] = True
     start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))

@@ -8,6 +8,7 @@ NAMES = {
     "op2_toxicity": "op2_toxicity",
     "op4_substrings": "op4_substrings",
     "op5_simhash": "op5_simhash",
+    "op6_semantic": "op6_semantic",
     "op7_transport": "op7_transport",
     "op8_warc": "op8_warc",
     "op9_packing": "op9_packing",

@@ -55,14 +55,15 @@ def row_sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount(row, values, minlength=rows)
 
 
-def fit_logistic(row: np.ndarray, feature: np.ndarray, scale: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, rounds: int = 60, history: int = 8) -> tuple[np.ndarray, float]:
+def fit_logistic(row: np.ndarray, feature: np.ndarray, scale: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, rounds: int = 60, history: int = 8, value: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """(weights, bias) of a logistic fit whose features are ``scale`` where present: L-BFGS on the mean loss plus l2/2 |w|^2.
 
-    target: 0 or 1 per row. The weights returned already hold the scale.
+    target: 0 or 1 per row; value: what an entry's feature is worth besides its scale, 1 if absent. The weights returned already
+    hold the scale.
     """
     rows, k = len(target), len(scale)
     weight = np.full(rows, 1.0 / max(rows, 1)) if weight is None else weight / weight.sum()
-    x = scale[feature]
+    x = scale[feature] if value is None else scale[feature] * value
 
     def loss(p: np.ndarray):
         z = row_sums(p[feature] * x, row, rows) + p[k]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 NAMES = {
+    "op1_tokens": "op1_tokens",
     "op2_toxicity": "op2_toxicity",
+    "op3_language": "op3_language",
     "op4_substrings": "op4_substrings",
     "op5_simhash": "op5_simhash",
     "op6_semantic": "op6_semantic",

@@ -14,7 +14,8 @@ document with a smaller doc_id; windows are judged on the input.
 
 Nothing is paired: a passage with a million copies costs a million entries, spread over as many parts as it has words. Entries
 travel as packed arrays, one row per map batch and part, about six bytes a word. The number of parts follows
-``spark.sql.shuffle.partitions``, so a part's size stays the same when that setting grows with the input.
+``spark.sql.shuffle.partitions``, so a part's size stays the same when that setting grows with the input. Positions are joined to
+texts by sort and merge at every size: their files compress so well that Spark would take them for small enough to broadcast.
 
 Edge cases: null or blank text has no words; rows with a null doc_id neither repeat others nor lose words; repeated rows with
 one doc_id never repeat each other (no smaller id) and get equal results; extra columns stay in ``row`` whatever their names.
@@ -233,12 +234,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return scratch.settle(dealt.groupBy("part").applyInArrow(gather, SPOTS))
 
     anchors = found(flat.mapInArrow(map_anchors(parts, block), PACKED), part_anchors)
-    likely = flat.join(anchors, ["doc_id", "mark"])
+    likely = flat.join(anchors.hint("merge"), ["doc_id", "mark"])
     hits = found(likely.mapInArrow(map_windows(parts, window, block), PACKED), part_windows)
     scratch.drop(anchors)
 
     schema = rows.schema["row"].dataType.simpleString()
-    both = rows.select("row", at.alias("doc_id"), mark.alias("mark")).join(hits, ["doc_id", "mark"], "left").select("row", "spots")
+    both = rows.select("row", at.alias("doc_id"), mark.alias("mark")).join(hits.hint("merge"), ["doc_id", "mark"], "left").select("row", "spots")
     return both.mapInArrow(cut_out(window, text_col), f"row {schema}, n_words long, n_removed long, kept string, repeats array<struct<start:long,end:long>>")
 
 

@@ -135,13 +135,11 @@ def merge_tree(history: DataFrame) -> DataFrame:
         base[k], start = start, start + per[k]
     shift = F.create_map(*(x for k, b in base.items() for x in (F.lit(k), F.lit(b)))) if base else F.create_map(F.lit(0), F.lit(0))
     merges = scratch.settle(numbered.withColumn("node", F.col("node") + shift[F.col("round")]))
-    children = merges.select("a", "round", "node").unionByName(merges.select(F.col("b").alias("a"), "round", "node"))
     # the last merge of a name before this round made the tree node that now stands under that name
     before = Window.partitionBy("name").orderBy("round")
     names = merges.select(F.col("a").alias("name"), "round", "node").unionByName(merges.select(F.col("b").alias("name"), "round", "node"))
     under = names.withColumn("child", F.coalesce(F.lag("node").over(before), "name"))
     links = scratch.settle(under.select("child", F.col("node").alias("parent")).join(merges.select(F.col("node").alias("parent"), "score", "round"), "parent"))
-    del children
     levels = links.select(F.col("child").alias("node")).join(merges.select("node"), "node", "left_anti").distinct().withColumn("level", F.lit(0))
     for k in sorted(per):
         up = links.where(F.col("round") == k).join(levels.select(F.col("node").alias("child"), "level"), "child").groupBy("parent").agg((F.max("level") + 1).alias("level"))

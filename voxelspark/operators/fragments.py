@@ -45,12 +45,8 @@ def distance_transform(voxels: DataFrame, mask: str = "masked", axes=AXES, into:
         source = source.withColumn("_cell", F.explode(F.array(*((F.floor(F.col(f"_{axis}") / step) + k) for k in (-1, 0, 1)))))
         probe = now.withColumn("_cell", F.floor(F.col(axis) / step))
         gap = F.col(axis) - F.col(f"_{axis}")
-        test = (F.col("_cell") == source["_cell"]) & (F.abs(gap) <= reach)
-        for a in other:
-            test = test & (F.col(a) == F.col(f"_{a}"))
-        joined = probe.alias("p").join(source.withColumnRenamed("_cell", "_scell"), (F.col("_cell") == F.col("_scell")) & (F.abs(gap) <= reach) & (F.col(other[0]) == F.col(f"_{other[0]}")) & (F.col(other[1]) == F.col(f"_{other[1]}")), "left")
+        joined = probe.join(source.withColumnRenamed("_cell", "_scell"), (F.col("_cell") == F.col("_scell")) & (F.abs(gap) <= reach) & (F.col(other[0]) == F.col(f"_{other[0]}")) & (F.col(other[1]) == F.col(f"_{other[1]}")), "left")
         now = scratch.settle(joined.groupBy(*POS, mask).agg(F.min(F.col("_d2") + gap * gap).alias("d2")))
-        del test
     return now.select(*POS, mask, F.sqrt("d2").alias(into))
 
 

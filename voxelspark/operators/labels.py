@@ -57,13 +57,13 @@ def renumbered(voxels: DataFrame, label: str = "label", by: Sequence[str] = ())
 
 
 def dense_rank_of(distinct: DataFrame, key: str, into: str) -> DataFrame:
-    """1..n over a table of distinct integer keys: sorted by ranges, numbered inside them, range counts summed."""
+    """1..n over a table of distinct keys: sorted by ranges, numbered inside them, range counts summed."""
     scratch = Scratch(distinct.sparkSession, "rank")
-    ordered = scratch.settle(distinct.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
-    inside = ordered.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    base = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    return inside.join(base, "_p").withColumn(into, (F.col("_n") + F.col("_b")).cast("long")).drop("_p", "_n", "_b", "_c")
+    ordered = scratch.settle(distinct.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    inside = ordered.withColumn("_inside", F.row_number().over(Window.partitionBy("_range").orderBy(key)))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    base = ordered.groupBy("_range").agg(F.count(F.lit(1)).alias("_count")).select("_range", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
+    return inside.join(base, "_range").withColumn(into, (F.col("_inside") + F.col("_base")).cast("long")).drop("_range", "_inside", "_base")
 
 
 def block_unique(label, block_id, voxels_per_block: int):

@@ -77,11 +77,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = scratch.settle(distinct_edges(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))))
+        large = distinct_edges(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         after = scratch.settle(distinct_edges(small))
-        scratch.drop(now, large)
+        scratch.drop(now)
         now, is_ = after, state(after)
         if is_ == was:
             roots = now.select(F.col("v").alias("node")).distinct()

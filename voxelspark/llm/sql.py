@@ -1 +1,20 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL of the queries that SQL can express. XXH64, CRC-32, tokenizers, classifiers and transport streams are beyond it."""
+
+from __future__ import annotations
+
+SQL: dict[str, str] = {
+    "op4_substrings": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ starts AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 49, 0) + 1)) AS p FROM d),
+ windows AS (SELECT starts.doc_id, p, array_to_string(w[p : p + 49], ' ') AS k FROM starts JOIN d USING (doc_id)),
+ least_id AS (SELECT k, min(doc_id) AS m FROM windows GROUP BY k),
+ gone AS (SELECT DISTINCT doc_id, p + unnest(range(0, 50)) AS p FROM windows JOIN least_id USING (k) WHERE doc_id > m),
+ words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+ kept AS (SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+ k AS (SELECT page_id, h, CASE WHEN octet_length(encode(h)) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS m FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN m <> page_id THEN m END AS refers_to FROM k""",
+}

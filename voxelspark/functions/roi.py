@@ -31,7 +31,8 @@ class Roi:
 
     @classmethod
     def between(cls, low, high) -> Roi:
-        return cls(tuple(low), tuple(max(0, h - l) for l, h in zip(low, high, strict=True)))
+        low = tuple(low)
+        return cls(low, tuple(max(0, b - a) for a, b in zip(low, high, strict=True)))
 
     def empty(self) -> bool:
         return any(s <= 0 for s in self.shape)

@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VOXELS = T.StructType.fromDDL("volume string, z int, y int, x int, label long")
-NODES = T.StructType.fromDDL("id long, center_z double, center_y double, center_x double")
-EDGES = T.StructType.fromDDL("u long, v long, merge_score double, agglomerated boolean")
-MERGES = T.StructType.fromDDL("a long, b long, c long, score double, round int")
-LUT = T.StructType.fromDDL("threshold decimal(6,4), fragment long, segment long")
-META = T.StructType.fromDDL("volume string, off array<long>, voxel_size array<long>, shape array<long>")
+_LONG, _INT, _DOUBLE = T.LongType(), T.IntegerType(), T.DoubleType()
+
+
+def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields])
+
+
+VOXELS = _struct(("volume", T.StringType()), ("z", _INT), ("y", _INT), ("x", _INT), ("label", _LONG))
+NODES = _struct(("id", _LONG), ("center_z", _DOUBLE), ("center_y", _DOUBLE), ("center_x", _DOUBLE))
+EDGES = _struct(("u", _LONG), ("v", _LONG), ("merge_score", _DOUBLE), ("agglomerated", T.BooleanType()))
+MERGES = _struct(("a", _LONG), ("b", _LONG), ("c", _LONG), ("score", _DOUBLE), ("round", _INT))
+LUT = _struct(("threshold", T.DecimalType(6, 4)), ("fragment", _LONG), ("segment", _LONG))
+META = _struct(("volume", T.StringType()), ("off", T.ArrayType(_LONG)), ("voxel_size", T.ArrayType(_LONG)), ("shape", T.ArrayType(_LONG)))
 AXES = ("z", "y", "x")
 POS = list(AXES)
 

@@ -5,78 +5,73 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import lru_cache
-from itertools import chain
 
-#: Marks that stand alone in the tokenizer's split pattern when they follow a letter.
+import numpy as np
+
+#: Marks that the tokenizer's split pattern parts from a letter before them.
 MARKS = b".,;:!?*#$%&|"
 
 
+class Table(dict):
+    """What ``make`` gives for a key, kept until ``keep`` keys are there; then the table starts anew."""
+
+    def __init__(self, make, keep: int):
+        super().__init__()
+        self.make, self.keep = make, keep
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) >= self.keep:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordTokenizer:
     """Encodes texts with a ``tokenizers`` file whose split drops white space, so ids of white-space words just follow each other.
 
-    ids of a word are kept as little-endian unsigned 32-bit bytes; at most ``keep`` words and as many stems are kept, then the
-    tables start anew. Special tokens count as in the plain call with ``add_special_tokens=False``.
+    ids of a word are kept as little-endian unsigned 32-bit bytes. A word of letters, maybe with marks behind, is one or two
+    pieces of the split and goes straight to the model; any other word goes through the whole tokenizer. Special tokens count as
+    in the plain call with ``add_special_tokens=False``.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Lowercase()
-        self.keep, self.words, self.stems = keep, {}, {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """No word holds white space. Composed text needs no more than the lower-casing step."""
-        import numpy as np
-
-        out: list[bytes] = [b""] * len(words)
-        simple = [k for k, w in enumerate(words) if "<|" not in w and unicodedata.is_normalized("NFC", w)]
-        rest = sorted(set(range(len(words))) - set(simple)) if len(simple) < len(words) else []
-        for tool, own in ((self.plain, simple), (self.full, rest)):
-            if own:
-                for k, e in zip(own, tool.encode_batch_fast([words[k] for k in own], add_special_tokens=False), strict=True):
-                    out[k] = np.array(e.ids, "<u4").tobytes()
-        return out
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) + len(new) > self.keep:
-            self.words.clear()
-        stem = {}
-        for w in new:  # letters with marks behind: the marks are a piece of their own
-            base = w.rstrip(MARKS)
-            if base.isalpha():  # ASCII
-                stem[w] = base.lower(), w[len(base) :]
-            elif not w.isascii() and base.decode().isalpha():
-                stem[w] = base, w[len(base) :]
-        ask = {x for x in chain.from_iterable(stem.values()) if x and x not in self.stems}
-        if len(self.stems) + len(ask) > self.keep:
-            self.stems.clear()
-            ask = {x for x in chain.from_iterable(stem.values()) if x}
-        asked = sorted(ask)
-        self.stems.update(zip(asked, self._encode([x.decode() for x in asked]), strict=True))
-        get = self.stems.__getitem__
-        for w, (base, tail) in stem.items():
-            self.words[w] = get(base) + get(tail) if tail else get(base)
-        other = sorted(new - stem.keys())
-        self.words.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
+        self.model = self.full.model
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = lambda text: alphabet.pre_tokenize_str(text)[0][0]
+        self.words, self.stems = Table(self._word, keep), Table(self._stem, keep * 2 // 3)
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.full.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _stem(self, text: str) -> bytes:
+        """Lower-case letters, composed."""
+        return np.array([t.id for t in self.model.tokenize(text if text.isascii() else self.spelled(text))], "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        base = word.rstrip(MARKS)
+        text = base.decode()
+        if text.isalpha():
+            low = text.lower()
+            if base.isascii() or (low.isalpha() and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)):
+                own = self.stems[low]
+                return own + self._tail(word[len(base) :]) if len(word) > len(base) else own
+        return self._plain(word.decode())
+
+    def _tail(self, marks: bytes) -> bytes:
+        key = marks.decode()
+        if key not in self.stems:
+            self.stems[key] = self._plain(key)
+        return self.stems[key]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """ids of each UTF-8 text, as bytes."""
-        split = [t.split() for t in texts]
-        known = self.words.keys()
-        new: set[bytes] = set()
-        for words in split:
-            new.update(words)
-        more = new - known
-        if more:
-            if len(self.words) + len(more) > self.keep:
-                self.words.clear()
-                more = new
-            self._learn(more)
         get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -101,12 +101,12 @@ def runs(bones: DataFrame, sites: DataFrame, segments: DataFrame, by: Sequence[s
 
 def expected_run_length(bones: DataFrame, sites: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(*by, erl, max_erl, normalized): sum of squared runs over the total length; max_erl has every component whole.
-
-    Only groups with at least one run are returned.
     """
     found = runs(bones, sites, segments, by).groupBy(*by).agg(F.sum(F.col("length") ** 2).alias("_r"))
+    if by:
+        found = segments.select(*by).distinct().join(found, list(by), "left")
     best = skeleton_lengths(bones).agg(F.sum("length").alias("_t"), F.sum(F.col("length") ** 2).alias("_b"))
-    both = found.crossJoin(F.broadcast(best))  # one row
+    both = found.crossJoin(F.broadcast(best)).withColumn("_r", F.coalesce("_r", F.lit(0.0)))  # one row
     return both.select(*by, (F.col("_r") / F.col("_t")).alias("erl"), (F.col("_b") / F.col("_t")).alias("max_erl"), (F.col("_r") / F.col("_b")).alias("normalized"))
 
 

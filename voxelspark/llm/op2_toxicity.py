@@ -8,7 +8,7 @@ same rows at every run), and keeps the ``features`` n-grams whose ratio is the m
 sample's partitions; the fit itself runs in one task over that bounded sample. Scoring is one pass over all rows, no shuffle.
 
 Edge cases: null and empty text score as a text without n-grams (the bias); labels that are null are left out; if a class has
-no labelled row, every score is the share of label 1 (0.0 with no labels at all); repeated rows are scored each.
+no labelled row, every score is that of the other (0 with no labels at all); repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -62,9 +62,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, trainable: Column | None =
     if trainable is not None:
         marked = marked.where(trainable)
     share = marked.agg(F.count(F.lit(1)), F.sum("y")).first()
+    constant = lambda label: ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 40.0 if label else -40.0, orders)
     if not share[0] or share[1] in (0, share[0]):
-        odds = (share[1] or 0) / max(share[0], 1)
-        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 40.0 * (odds or -1), orders)
+        return constant(share[1])
     rate = min(1.0, max_rows / share[0])
     picked = marked.where((F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 30)) < int(rate * (1 << 30))))
     sample = scratch.settle(docs.select(F.col(id_col), F.col(text_col).alias("body")).join(F.broadcast(picked), id_col).select("body", "y").repartition(8))
@@ -88,6 +88,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, trainable: Column | None =
         seen = np.frombuffer(r["seen"], np.int64)
         total[0, seen] += np.frombuffer(r["no"], np.int32)
         total[1, seen] += np.frombuffer(r["yes"], np.int32)
+    if not n.all():  # no row of one class among the documents that were picked
+        scratch.drop(sample)
+        return constant(n[1])
     yes, no = (total[1] + alpha) / (n[1] + 2 * alpha), (total[0] + alpha) / (n[0] + 2 * alpha)
     ratio = np.log(yes / no)
     sure = np.abs(ratio) / np.sqrt(1 / (total[1] + alpha) + 1 / (total[0] + alpha))

@@ -19,6 +19,14 @@ def boundary_mask(channels: Column, highest: float = 1.0, in_xy: bool = False) -
     return F.aggregate(picked, F.lit(0.0), lambda s, x: s + x) / F.size(picked) > 0.5 * highest
 
 
+def nearest_background(voxels: DataFrame, mask: str, axis: str, before: str = "before", after: str = "after") -> DataFrame:
+    """Position of the nearest voxel outside the mask on either side along ``axis``, itself included; null where there is none."""
+    line = Window.partitionBy(*(a for a in AXES if a != axis)).orderBy(axis)
+    hole = F.when(~F.col(mask).cast("boolean"), F.col(axis))
+    ahead = F.first(hole, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    return voxels.withColumns({before: F.last(hole, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)), after: ahead})
+
+
 def distance_transform(voxels: DataFrame, mask: str = "masked", axes=AXES, into: str = "distance") -> DataFrame:
     """Exact Euclidean distance, in voxels, to the nearest voxel outside the mask; null where a volume has none.
 
@@ -27,13 +35,9 @@ def distance_transform(voxels: DataFrame, mask: str = "masked", axes=AXES, into:
     """
     scratch = Scratch(voxels.sparkSession, "distance")
     first, *rest = reversed(axes)
-    line = [a for a in AXES if a != first]
-    forward = Window.partitionBy(*line).orderBy(first).rowsBetween(Window.unboundedPreceding, 0)
-    backward = Window.partitionBy(*line).orderBy(first).rowsBetween(0, Window.unboundedFollowing)
-    hole = F.when(~F.col(mask).cast("boolean"), F.col(first))
-    before, after = F.last(hole, ignorenulls=True).over(forward), F.first(hole, ignorenulls=True).over(backward)
-    near = F.least(F.col(first) - before, after - F.col(first))
-    now = scratch.settle(voxels.select(*POS, mask, (near * near).cast("long").alias("d2")))
+    sides = nearest_background(voxels, mask, first, "_before", "_after")
+    near = F.least(F.col(first) - F.col("_before"), F.col("_after") - F.col(first))
+    now = scratch.settle(sides.select(*POS, mask, (near * near).cast("long").alias("d2")))
     for axis in rest:
         other = [a for a in AXES if a != axis]
         span = voxels.agg((F.max(axis) - F.min(axis)).alias("s")).first()["s"] or 0

@@ -77,13 +77,12 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def segment_sweep(nodes: DataFrame, edges: DataFrame, thresholds: Sequence[float], forest: DataFrame | None = None) -> DataFrame:
     """lut(threshold, fragment, segment) for every threshold at once: components of the forest keyed by threshold and node."""
-    spark, count = nodes.sparkSession, len(thresholds)
+    count = len(thresholds)
     forest = spanning_forest(edges) if forest is None else forest
     at = F.posexplode(F.array(*(F.lit(float(t)) for t in thresholds)))
     keyed = forest.select("u", "v", "merge_score", at.alias("k", "t")).where("merge_score <= t")
     found = connected_components(keyed.select((F.col("u") * count + F.col("k")).alias("a"), (F.col("v") * count + F.col("k")).alias("b")))
-    named = spark.createDataFrame([(k, t) for k, t in enumerate(thresholds)], "k int, t double")
-    every = nodes.select(F.col("id").alias("fragment")).distinct().crossJoin(F.broadcast(named)).withColumn("node", F.col("fragment") * count + F.col("k"))  # fragments times the few thresholds are the result
+    every = nodes.select(F.col("id").alias("fragment")).distinct().select("fragment", at.alias("k", "t")).withColumn("node", F.col("fragment") * count + F.col("k"))
     return every.join(found, "node", "left").select(F.col("t").cast("decimal(6,4)").alias("threshold"), "fragment", F.coalesce(F.floor(F.col("component") / count).cast("long"), "fragment").alias("segment"))
 
 

@@ -138,6 +138,12 @@ def g1(spark, d):
     return W.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", FR.boundary_mask(chan).alias("masked"))
 
 
+@query("e1_line_window", f"WITH {W.V1} SELECT y, x, max(CASE WHEN gt = 0 THEN x END) OVER (PARTITION BY y ORDER BY x) AS before, min(CASE WHEN gt = 0 THEN x END) OVER (PARTITION BY y ORDER BY x DESC) AS after FROM v1")
+def e1(spark, d):
+    mask = W.plane(spark, d).select("z", "y", "x", (F.col("gt") > 0).alias("masked"))
+    return FR.nearest_background(mask, "masked", "x").select("y", "x", "before", "after")
+
+
 @query("g2_distance_transform", f"WITH {W.V1} SELECT a.y, a.x, round(sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 6) AS distance FROM v1 a, v1 b WHERE b.gt = 0 GROUP BY 1, 2")
 def g2(spark, d):
     mask = W.plane(spark, d).select("z", "y", "x", (F.col("gt") > 0).alias("masked"))
@@ -368,6 +374,18 @@ def i10(spark, d):
     return A.agglomerate_by_descriptors(v, W.plane_edges(spark, d), target_lsd(spark, d), SIGMA2, dims=2, max_rounds=50)[0].select("a", "b", "c", F.round("score", 4).alias("score"), "round")
 
 
+@query("i11_after_merge", f"WITH {W.V1}, {W.NODES1}, {W.THIRDS}, g AS (SELECT segment AS label, y, x FROM v1 JOIN lut ON frag = fragment), {descriptor_sql('g', 2)} SELECT label, y, x, {CH2_SQL} FROM lsd")
+def i11(spark, d):
+    """Labels after merges, and their descriptors."""
+    merged = G.relabel(frags(spark, d).select("z", "y", "x", "label"), W.thirds(W.plane_nodes(spark, d)), unmatched="keep")
+    return SH.shape_descriptors(merged, SIGMA2, dims=2).select("label", "y", "x", *r5(*CH2))
+
+
+@query("c8_ancestor_join")
+def c8(spark, d):
+    return A.ancestors(A.merge_tree(A.agglomerate(W.plane_samples(spark, d), 0.6)[0]))
+
+
 @query("d6_contingency", f"WITH {W.V1} SELECT gt AS a, frag AS b, count(*) AS n FROM v1 WHERE gt <> 0 GROUP BY 1, 2")
 def d6(spark, d):
     return EV.contingency(W.plane(spark, d), "gt", "frag", (0,))
@@ -424,7 +442,7 @@ def coarse_skeleton(spark, d):
 
 
 @query("d11_expected_run_length", f"""WITH {COARSE}, {MERGING}, {ENDS}, runs AS (SELECT component_id, s, sum(length) AS length FROM ends WHERE s = t AND s <> 0 AND s NOT IN (SELECT segment FROM merging) GROUP BY 1, 2), whole AS (SELECT sum(length) AS l FROM bones GROUP BY component_id)
- SELECT round(sum(length * length) / (SELECT sum(l) FROM whole), 4) AS erl, round((SELECT sum(l * l) / sum(l) FROM whole), 4) AS max_erl FROM runs""")
+ SELECT round(coalesce(sum(length * length), 0) / (SELECT sum(l) FROM whole), 4) AS erl, round((SELECT sum(l * l) / sum(l) FROM whole), 4) AS max_erl FROM runs""")
 def d11(spark, d):
     s, bones, _, seg = coarse_skeleton(spark, d)
     return EV.expected_run_length(bones, s, seg).select(F.round("erl", 4).alias("erl"), F.round("max_erl", 4).alias("max_erl"))

@@ -55,7 +55,8 @@ def distance_transform(voxels: DataFrame, mask: str = "masked", axes=AXES, into:
 
 
 def max_filter(voxels: DataFrame, value: str, size: int, axes=AXES, into: str = "highest") -> DataFrame:
-    """Maximum in a box of ``size`` voxels per axis; an even box reaches one further back than ahead."""
+    """Maximum in a box of ``size`` voxels per axis; an even box reaches one further back than ahead. Voxels must be dense: the
+    box is taken axis by axis, so one that is absent hides what lies behind it."""
     out = voxels.withColumn(into, F.col(value))
     for axis in axes:
         line = Window.partitionBy(*(a for a in AXES if a != axis)).orderBy(axis).rangeBetween(-(size // 2), (size - 1) // 2)
@@ -81,10 +82,13 @@ def watershed(distances: DataFrame, shape: tuple[int, int, int], value: str = "d
     """
     scratch = Scratch(distances.sparkSession, "watershed")
     take = distances.where(F.col(value) > 0) if masked_only else distances
-    seed = scratch.settle(seeds(take, shape, value, min_seed_distance, axes, masked_only))
+    seed = scratch.settle(seeds(distances, shape, value, min_seed_distance, axes, masked_only))
     keyed = take.select(*POS, value).withColumn("key", voxel_key(shape))
     packed = F.struct(F.col(value).alias("d"), (-F.col("key")).alias("k"))
-    highest = max_filter(keyed.withColumn("_p", packed), "_p", min_seed_distance, axes, "_top")
+    dense = distances.select(*POS, value).withColumn("key", voxel_key(shape))
+    highest = max_filter(dense.withColumn("_p", packed), "_p", min_seed_distance, axes, "_top")
+    if masked_only:
+        highest = highest.where(F.col(value) > 0)
     faces = tuple(f for f in FACES if any(f[AXES.index(a)] for a in axes))
     both = faces + tuple(tuple(-d for d in f) for f in faces)
     pairs = neighbours(keyed.select(*POS, packed.alias("_p")), both, "_p", "_o").where(F.col("_o.d") > F.col("_p.d"))

@@ -161,7 +161,7 @@ SEED = """top AS (SELECT a.y, a.x, a.y * 125 + a.x AS id FROM dist a WHERE a.d >
 
 @query("g3_seeds", f"WITH RECURSIVE {DIST}, {SEED}, {W.roots_sql('SELECT u, v FROM te', 'SELECT id FROM top')} SELECT y, x, root + 1 AS seed FROM top JOIN comp ON node = id")
 def g3(spark, d):
-    found = plane_distance(spark, d).select("z", "y", "x", F.round("distance", 6).alias("distance")).where("distance > 0")
+    found = plane_distance(spark, d).select("z", "y", "x", F.round("distance", 6).alias("distance"))
     return FR.seeds(found, (1, height(spark, d), W.WIDTH), min_seed_distance=6, axes=("y", "x"), masked_only=True).select("y", "x", "seed")
 
 

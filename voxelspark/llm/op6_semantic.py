@@ -5,11 +5,13 @@ that what is sent to the tasks stays bounded.
 
 1. Documents are cut into runs of ``stride`` words; a passage is two runs next to each other. Words are lower-case letters
    and digits; the vocabulary is the benchmark's, as no other word changes a cosine with an item. One pass over the texts
-   keeps each run's vocabulary words; run frequencies over all documents give the inverse frequencies.
+   keeps each run's vocabulary words; run frequencies over all documents give the inverse frequencies. Words of more than
+   ``common`` of all runs weigh nothing, but an item's ``least`` rarest words always count, however often it was copied.
 2. A randomised SVD of the TF-IDF matrix (all runs by vocabulary): two distributed products with the matrix and its transpose,
    orthonormalised between them on the driver, where only vocabulary-by-``rank`` matrices arrive.
-3. Passages and items are folded into the latent space; pairs of cosine ``cosine`` or more are candidates. There is no cap.
-4. Candidates are read word by word: the longest common subsequence with the item, over the passage and an item's length to
+3. Passages, their first runs and items are folded into the latent space; a passage is a candidate for an item if either's
+   cosine with it is ``cosine`` or more. There is no cap.
+4. Candidates that hold enough of the item's words in any order are read word by word: the longest common subsequence with the item, over the passage and an item's length to
    either side, must cover ``overlap`` of the item, and that with the item's answer (its last sentence) ``answer_overlap`` of it.
 
 Edge cases: null or empty texts and texts without vocabulary words leak nothing; items without words match nothing; repeated
@@ -166,8 +168,8 @@ def summed(kept: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def latent_basis(kept: DataFrame, terms: int, rank: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(inverse run frequency by term, basis: terms by rank with the frequencies folded in) from all encoded runs."""
+def latent_basis(kept: DataFrame, terms: int, items: list[np.ndarray], rank: int, common: float, least: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weight by term, basis: terms by rank) from all encoded runs; items: each one's terms."""
     spark = kept.sparkSession
 
     def count(batches):
@@ -180,6 +182,11 @@ def latent_basis(kept: DataFrame, terms: int, rank: int, seed: int) -> tuple[np.
 
     seen = summed(kept, count, (terms, 2))
     idf = np.log((1 + seen[0, 1]) / (1 + seen[:, 0])) + 1
+    counts = seen[:, 0] <= common * seen[0, 1]
+    for t in items:
+        own = np.unique(t)
+        counts[own[np.argsort(seen[own, 0], kind="stable")[:least]]] = True
+    idf[~counts] = 0
 
     def product(q: np.ndarray) -> np.ndarray:
         sent = spark.sparkContext.broadcast((idf[:, None] * q).astype(np.float32))
@@ -187,6 +194,8 @@ def latent_basis(kept: DataFrame, terms: int, rank: int, seed: int) -> tuple[np.
         def go(batches):
             weighted, total = sent.value, np.zeros(q_shape)
             for run, term, runs in decoded(batches):
+                own = counts[term]
+                run, term = run[own], term[own]
                 total += back(run, term, fold(run, term, runs, weighted), q_shape[0])
             return total
 
@@ -206,7 +215,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = 48, stride: int = 24, cosine: float = 0.3, overlap: float = 0.75, answer_overlap: float = 0.75, items_per_block: int = 5000, seed: int = 7) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = 256, stride: int = 24, cosine: float = 0.4, common: float = 0.003, least: int = 8, overlap: float = 0.75, answer_overlap: float = 0.75, items_per_block: int = 5000, seed: int = 7) -> DataFrame:
     """(row STRUCT of the document's columns, leaks ARRAY of the items it holds: item_id, first word of the passage, cosine,
     share of the item and of its answer that follow each other there)."""
     spark = docs.sparkSession
@@ -215,11 +224,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     blocks = max(1, -(-items.count() // items_per_block))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()  # about items_per_block
-        out = _search(spark, out, part, text_col, rank, stride, cosine, overlap, answer_overlap, seed)
+        out = _search(spark, out, part, text_col, rank, stride, cosine, common, least, overlap, answer_overlap, seed)
     return out
 
 
-def _search(spark, rows: DataFrame, items: list, text_col, rank, stride, cosine, overlap, answer_overlap, seed) -> DataFrame:
+def _search(spark, rows: DataFrame, items: list, text_col, rank, stride, cosine, common, least, overlap, answer_overlap, seed) -> DataFrame:
     words = hashes_of_texts([r["text"] for r in items])
     ids, answers = [r["item"] for r in items], [answer_words(r["text"], w) for r, w in zip(items, words, strict=True)]
     vocabulary = Vocabulary(np.concatenate(words) if words else np.zeros(0, np.uint64))
@@ -229,39 +238,48 @@ def _search(spark, rows: DataFrame, items: list, text_col, rank, stride, cosine,
     tool = spark.sparkContext.broadcast(vocabulary)
     scratch = Scratch(spark, "semantic")
     kept = scratch.settle(encoded(rows.select(F.col("row")[text_col].alias(text_col)), text_col, tool, stride))
-    idf, basis = latent_basis(kept, terms, rank, seed)
+    longest = max(map(len, words))
+    idf, basis = latent_basis(kept, terms, [vocabulary.find(w)[1] for w in words], rank, common, least, seed)
     scratch.drop(kept)
     folded = (idf[:, None] * basis).astype(np.float32)
     aim = unit(np.stack([folded[vocabulary.find(w)[1]].sum(axis=0) if len(w) else np.zeros(folded.shape[1]) for w in words])).astype(np.float32)
-    sent = spark.sparkContext.broadcast((folded, aim, words, answers, ids))
+    sent = spark.sparkContext.broadcast((folded, aim, words, answers, ids, idf > 0))
 
     def go(batches):
-        v, (folded, aim, words, answers, ids) = tool.value, sent.value
+        v, (folded, aim, words, answers, ids, counts) = tool.value, sent.value
+        listed = [w.tolist() for w in words]
         for b in batches:
             row, had = b.column("row"), b.column("leaks")
             found: dict[int, dict] = {}
             for at, _, data, start, end in byte_chunks(row.field(text_col)):
                 h, first, _, _ = hashes_of(data, start, end)
                 run, term, runs = run_terms(h, first, stride, v)
-                y = fold(run, term, int(runs[-1]), folded)
+                own = counts[term]
+                y = fold(run[own], term[own], int(runs[-1]), folded)
                 last = np.zeros(len(y), bool)
                 last[runs[1:] - 1] = True
-                y[:-1][~last[:-1]] += y[1:][~last[:-1]]  # a passage: a run and the next of its text
-                y = unit(y)
-                for a in range(0, len(y), 1 << 14):
-                    near, item = np.nonzero(y[a : a + (1 << 14)] @ aim.T >= cosine)
+                both = y.copy()
+                both[:-1][~last[:-1]] += y[1:][~last[:-1]]  # a passage: a run and the next of its text
+                y, both = unit(y), unit(both)
+                for a in range(0, len(y), 1 << 13):
+                    close = np.maximum(y[a : a + (1 << 13)] @ aim.T, both[a : a + (1 << 13)] @ aim.T)
+                    near, item = np.nonzero(close >= cosine)
+                    held, here = -1, set()
                     for p, i in zip((near + a).tolist(), item.tolist(), strict=True):
-                        doc = int(np.searchsorted(runs, p, "right")) - 1
-                        size, word = len(words[i]), (p - int(runs[doc])) * stride
-                        low = int(first[doc]) + max(0, word - size)
-                        text = h[low : min(int(first[doc + 1]), int(first[doc]) + word + 2 * stride + size)]
+                        doc, size = int(np.searchsorted(runs, p, "right")) - 1, len(words[i])
+                        low, high, word = int(first[doc]), int(first[doc + 1]), (p - int(runs[doc])) * stride
+                        if held != p:  # room for the longest item
+                            held, here = p, set(h[max(low, low + word - longest) : min(high, low + word + 2 * stride + longest)].tolist())
+                        if sum(x in here for x in listed[i]) < overlap * size:
+                            continue
+                        text = h[max(low, low + word - size) : min(high, low + word + 2 * stride + size)]
                         share = common_length(words[i], text) / size
                         if share < overlap:
                             continue
                         answer = common_length(answers[i], text) / len(answers[i])
                         best = found.setdefault(at + doc, {})
                         if answer >= answer_overlap and share > best.get(i, {"lcs": 0})["lcs"]:
-                            best[i] = {"item_id": ids[i], "word": word, "cosine": float(y[p] @ aim[i]), "lcs": share, "answer": answer}
+                            best[i] = {"item_id": ids[i], "word": word, "cosine": float(close[p - a, i]), "lcs": share, "answer": answer}
             leaks = had.to_pylist()
             for k, best in found.items():
                 if best:

@@ -83,7 +83,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, trainable: Column | None =
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (rows, seen, total[0, seen], total[1, seen])], ["rows", "seen", "no", "yes"])
 
     n, total = np.zeros(2), np.zeros((2, SIZE))
-    for r in sample.mapInArrow(count, "rows binary, seen binary, no binary, yes binary").toLocalIterator():  # at most 8 rows of at most 2 * SIZE counts
+    for r in sample.mapInArrow(count, "rows binary, seen binary, no binary, yes binary").collect():  # at most 8 rows of at most 2 * SIZE counts
         n += np.frombuffer(r["rows"], np.int64)
         seen = np.frombuffer(r["seen"], np.int64)
         total[0, seen] += np.frombuffer(r["no"], np.int32)

@@ -215,7 +215,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = 256, stride: int = 24, cosine: float = 0.4, common: float = 0.003, least: int = 8, overlap: float = 0.75, answer_overlap: float = 0.75, items_per_block: int = 5000, seed: int = 7) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = 96, stride: int = 24, cosine: float = 0.5, common: float = 0.003, least: int = 8, overlap: float = 0.75, answer_overlap: float = 0.75, items_per_block: int = 5000, seed: int = 7) -> DataFrame:
     """(row STRUCT of the document's columns, leaks ARRAY of the items it holds: item_id, first word of the passage, cosine,
     share of the item and of its answer that follow each other there)."""
     spark = docs.sparkSession
@@ -247,7 +247,7 @@ def _search(spark, rows: DataFrame, items: list, text_col, rank, stride, cosine,
 
     def go(batches):
         v, (folded, aim, words, answers, ids, counts) = tool.value, sent.value
-        listed = [w.tolist() for w in words]
+        listed, distinct = [w.tolist() for w in words], [set(w.tolist()) for w in words]
         for b in batches:
             row, had = b.column("row"), b.column("leaks")
             found: dict[int, dict] = {}
@@ -260,17 +260,25 @@ def _search(spark, rows: DataFrame, items: list, text_col, rank, stride, cosine,
                 last[runs[1:] - 1] = True
                 both = y.copy()
                 both[:-1][~last[:-1]] += y[1:][~last[:-1]]  # a passage: a run and the next of its text
-                y, both = unit(y), unit(both)
+                alone, pair = (1 / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (y, both))
                 for a in range(0, len(y), 1 << 13):
-                    close = np.maximum(y[a : a + (1 << 13)] @ aim.T, both[a : a + (1 << 13)] @ aim.T)
+                    z = min(len(y), a + (1 << 13))
+                    raw = y[a : z + 1] @ aim.T  # a passage's products are the sums of its runs'
+                    ahead = np.flatnonzero(~last[a:z])
+                    close = raw[: z - a] * alone[a:z]
+                    two = raw[: z - a].copy()
+                    two[ahead] += raw[ahead + 1]
+                    np.maximum(close, two * pair[a:z], out=close)
                     near, item = np.nonzero(close >= cosine)
+                    docs_of = np.searchsorted(runs, near + a, "right") - 1
                     held, here = -1, set()
-                    for p, i in zip((near + a).tolist(), item.tolist(), strict=True):
-                        doc, size = int(np.searchsorted(runs, p, "right")) - 1, len(words[i])
+                    for p, i, doc in zip((near + a).tolist(), item.tolist(), docs_of.tolist(), strict=True):
+                        size = len(words[i])
                         low, high, word = int(first[doc]), int(first[doc + 1]), (p - int(runs[doc])) * stride
                         if held != p:  # room for the longest item
                             held, here = p, set(h[max(low, low + word - longest) : min(high, low + word + 2 * stride + longest)].tolist())
-                        if sum(x in here for x in listed[i]) < overlap * size:
+                        # a missing word costs the item one place at least
+                        if len(distinct[i] & here) < len(distinct[i]) - (1 - overlap) * size or sum(x in here for x in listed[i]) < overlap * size:
                             continue
                         text = h[max(low, low + word - size) : min(high, low + word + 2 * stride + size)]
                         share = common_length(words[i], text) / size

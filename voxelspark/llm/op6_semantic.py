@@ -11,6 +11,8 @@ that what is sent to the tasks stays bounded.
    orthonormalised between them on the driver, where only vocabulary-by-``rank`` matrices arrive.
 3. Passages, their first runs and items are folded into the latent space; a passage is a candidate for an item if either's
    cosine with it is ``cosine`` or more. There is no cap.
+   What the latent space represents badly comes in by words: of an item's rarest words, some ``overlap`` leaves no room to miss
+   (``rare_words``), so every passage that step 4 can accept has at least that many of them around it, and is a candidate too.
 4. Candidates that hold enough of the item's words in any order are read word by word: the longest common subsequence with the item, over the passage and an item's length to
    either side, must cover ``overlap`` of the item, and that with the item's answer (its last sentence) ``answer_overlap`` of it.
 
@@ -168,8 +170,8 @@ def summed(kept: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def latent_basis(kept: DataFrame, terms: int, items: list[np.ndarray], rank: int, common: float, least: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weight by term, basis: terms by rank) from all encoded runs; items: each one's terms."""
+def latent_basis(kept: DataFrame, terms: int, items: list[np.ndarray], rank: int, common: float, least: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weight by term, basis: terms by rank, runs by term) from all encoded runs; items: each one's terms."""
     spark = kept.sparkSession
 
     def count(batches):
@@ -208,7 +210,60 @@ def latent_basis(kept: DataFrame, terms: int, items: list[np.ndarray], rank: int
     gram = q.T @ product(q)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     best = np.argsort(-value)[: min(rank, width)]
-    return idf, (q @ vector[:, best])
+    return idf, (q @ vector[:, best]), seen[:, 0]
+
+
+def rare_words(words: list[np.ndarray], seen: np.ndarray, counts: np.ndarray, overlap: float):
+    """Each item's rarest words by term: (first place of each term, item, times it stands in the item), and each item's least hits.
+
+    words: each item's terms; seen: runs that hold a term; counts: terms with weight. An item of ``size`` words may miss
+    ``size - overlap * size`` of them, so of any T of its words all but that many are there. T goes up to all words with weight,
+    and at least to 15 % of the item more than it may miss.
+    """
+    term, item, times, least = [], [], [], np.zeros(len(words), np.int64)
+    for i, t in enumerate(words):
+        if not len(t):
+            continue
+        own, n = np.unique(t, return_counts=True)
+        order = np.argsort(seen[own], kind="stable")
+        own, n = own[order], n[order]
+        total, miss = np.cumsum(n), len(t) - int(np.ceil(overlap * len(t) - 1e-9))
+        enough = int(np.searchsorted(total, min(len(t), miss + max(1, round(0.15 * len(t)))))) + 1
+        rare = int(np.flatnonzero(counts[own])[-1]) + 1 if counts[own].any() else 0
+        take = max(enough, rare)
+        term.append(own[:take])
+        item.append(np.full(take, i))
+        times.append(n[:take])
+        least[i] = total[take - 1] - miss
+    term, item, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (term, item, times))
+    order = np.argsort(term, kind="stable")
+    return np.searchsorted(term[order], np.arange(len(seen) + 1)), item[order], times[order], least
+
+
+def by_rare_words(run: np.ndarray, term: np.ndarray, runs: np.ndarray, rare, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, item) with the item's least hits of rare words in the passage's runs and ``reach`` runs to either side, in its text."""
+    (place, item, times, least), total = rare, int(runs[-1])
+    count = place[term + 1] - place[term]
+    at = np.repeat(place[term] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(int(count.sum()))
+    key = item[at] * total + np.repeat(run, count)
+    # a word that stands in a run twice counts twice: more candidates, never fewer
+    key, where = np.unique(key, return_inverse=True)
+    hits = np.append(0, np.cumsum(np.bincount(where, times[at], len(key)))) if len(key) else np.zeros(1)
+    i, r = np.divmod(key, total)
+    doc = np.searchsorted(runs, r, "right") - 1
+
+    def within(i, low, high):
+        return hits[np.searchsorted(key, i * total + high)] - hits[np.searchsorted(key, i * total + low)]
+
+    ok = within(i, r, np.minimum(runs[doc + 1], r + 2 * reach[i] + 2)) >= least[i]  # the first hit of a window opens it
+    i, r, doc = i[ok], r[ok], doc[ok]
+    low, high = np.maximum(runs[doc], r - 1 - reach[i]), np.minimum(runs[doc + 1], r + reach[i] + 1)
+    n = high - low
+    p = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum())) if len(n) else low
+    i, p = np.divmod(np.unique(np.repeat(i, n) * total + p), total)
+    doc = np.searchsorted(runs, p, "right") - 1
+    ok = within(i, np.maximum(runs[doc], p - reach[i]), np.minimum(runs[doc + 1], p + 2 + reach[i])) >= least[i]
+    return p[ok], i[ok]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -239,14 +294,16 @@ def _search(spark, rows: DataFrame, items: list, text_col, rank, stride, cosine,
     scratch = Scratch(spark, "semantic")
     kept = scratch.settle(encoded(rows.select(F.col("row")[text_col].alias(text_col)), text_col, tool, stride))
     longest = max(map(len, words))
-    idf, basis = latent_basis(kept, terms, [vocabulary.find(w)[1] for w in words], rank, common, least, seed)
+    idf, basis, seen = latent_basis(kept, terms, [vocabulary.find(w)[1] for w in words], rank, common, least, seed)
     scratch.drop(kept)
     folded = (idf[:, None] * basis).astype(np.float32)
     aim = unit(np.stack([folded[vocabulary.find(w)[1]].sum(axis=0) if len(w) else np.zeros(folded.shape[1]) for w in words])).astype(np.float32)
-    sent = spark.sparkContext.broadcast((folded, aim, words, answers, ids, idf > 0))
+    rare = rare_words([vocabulary.find(w)[1] for w in words], seen, idf > 0, overlap)
+    reach = np.array([-(-len(w) // stride) for w in words])
+    sent = spark.sparkContext.broadcast((folded, aim, words, answers, ids, idf > 0, rare, reach))
 
     def go(batches):
-        v, (folded, aim, words, answers, ids, counts) = tool.value, sent.value
+        v, (folded, aim, words, answers, ids, counts, rare, reach) = tool.value, sent.value
         listed, distinct = [w.tolist() for w in words], [set(w.tolist()) for w in words]
         for b in batches:
             row, had = b.column("row"), b.column("leaks")
@@ -261,6 +318,7 @@ def _search(spark, rows: DataFrame, items: list, text_col, rank, stride, cosine,
                 both = y.copy()
                 both[:-1][~last[:-1]] += y[1:][~last[:-1]]  # a passage: a run and the next of its text
                 alone, pair = (1 / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (y, both))
+                found_at, found_cos = [], []
                 for a in range(0, len(y), 1 << 13):
                     z = min(len(y), a + (1 << 13))
                     raw = y[a : z + 1] @ aim.T  # a passage's products are the sums of its runs'
@@ -270,24 +328,34 @@ def _search(spark, rows: DataFrame, items: list, text_col, rank, stride, cosine,
                     two[ahead] += raw[ahead + 1]
                     np.maximum(close, two * pair[a:z], out=close)
                     near, item = np.nonzero(close >= cosine)
-                    docs_of = np.searchsorted(runs, near + a, "right") - 1
-                    held, here = -1, set()
-                    for p, i, doc in zip((near + a).tolist(), item.tolist(), docs_of.tolist(), strict=True):
-                        size = len(words[i])
-                        low, high, word = int(first[doc]), int(first[doc + 1]), (p - int(runs[doc])) * stride
-                        if held != p:  # room for the longest item
-                            held, here = p, set(h[max(low, low + word - longest) : min(high, low + word + 2 * stride + longest)].tolist())
-                        # a missing word costs the item one place at least
-                        if len(distinct[i] & here) < len(distinct[i]) - (1 - overlap) * size or sum(x in here for x in listed[i]) < overlap * size:
-                            continue
-                        text = h[max(low, low + word - size) : min(high, low + word + 2 * stride + size)]
-                        share = common_length(words[i], text) / size
-                        if share < overlap:
-                            continue
-                        answer = common_length(answers[i], text) / len(answers[i])
-                        best = found.setdefault(at + doc, {})
-                        if answer >= answer_overlap and share > best.get(i, {"lcs": 0})["lcs"]:
-                            best[i] = {"item_id": ids[i], "word": word, "cosine": float(close[p - a, i]), "lcs": share, "answer": answer}
+                    found_at.append((near + a) * len(words) + item)
+                    found_cos.append(close[near, item])
+                near, item = by_rare_words(run, term, runs, rare, reach)
+                for k in range(0, len(near), 1 << 13):
+                    p, i = near[k : k + (1 << 13)], item[k : k + (1 << 13)]
+                    found_at.append(p * len(words) + i)
+                    found_cos.append(np.maximum((y[p] * aim[i]).sum(axis=1) * alone[p, 0], (both[p] * aim[i]).sum(axis=1) * pair[p, 0]))
+                keys, where = np.unique(np.concatenate(found_at) if found_at else np.zeros(0, np.int64), return_index=True)
+                cosines = np.concatenate(found_cos)[where] if found_cos else where
+                near, item = np.divmod(keys, len(words))
+                docs_of = np.searchsorted(runs, near, "right") - 1
+                held, here = -1, set()
+                for p, i, doc, cos in zip(near.tolist(), item.tolist(), docs_of.tolist(), cosines.tolist(), strict=True):
+                    size = len(words[i])
+                    low, high, word = int(first[doc]), int(first[doc + 1]), (p - int(runs[doc])) * stride
+                    if held != p:  # room for the longest item
+                        held, here = p, set(h[max(low, low + word - longest) : min(high, low + word + 2 * stride + longest)].tolist())
+                    # a missing word costs the item one place at least
+                    if len(distinct[i] & here) < len(distinct[i]) - (1 - overlap) * size or sum(x in here for x in listed[i]) < overlap * size:
+                        continue
+                    text = h[max(low, low + word - size) : min(high, low + word + 2 * stride + size)]
+                    share = common_length(words[i], text) / size
+                    if share < overlap:
+                        continue
+                    answer = common_length(answers[i], text) / len(answers[i])
+                    best = found.setdefault(at + doc, {})
+                    if answer >= answer_overlap and share > best.get(i, {"lcs": 0})["lcs"]:
+                        best[i] = {"item_id": ids[i], "word": word, "cosine": cos, "lcs": share, "answer": answer}
             leaks = had.to_pylist()
             for k, best in found.items():
                 if best:

@@ -12,6 +12,7 @@ from voxelspark.operators.evaluate import balance_weights
 from voxelspark.operators.labels import grow_boundary
 from voxelspark.operators.shape import shape_descriptors
 from voxelspark.operators.voxels import FACES, dense, neighbours
+from voxelspark.plans.iterate import Scratch
 from voxelspark.sources.schema import AXES, POS
 
 
@@ -28,15 +29,47 @@ def affinities_from_labels(voxels: DataFrame, offsets: Sequence[tuple[int, int,
 
 
 def random_crops(voxels: DataFrame, count: int, shape: tuple[int, int, int], mask: str, min_masked: float, seed: int = 0, candidates: int = 8) -> DataFrame:
-    """(crop, lo_z, lo_y, lo_x, share): ``count`` boxes whose mask share reaches ``min_masked``, out of candidates * count origins.
+    """(crop, lo_z, lo_y, lo_x, share): ``count`` boxes whose mask share reaches ``min_masked``.
 
-    Origins and voxels meet through cells of the box's size: a box lies in at most two cells per axis, so it is an equi-join.
+    Origins are drawn until enough pass: candidates * count at first, then eight times as many a round. ValueError if no origin
+    in the volume can pass, which is looked up exactly before a second round.
     """
-    spark = voxels.sparkSession
+    if count < 1:
+        return _crops(voxels, range(0), shape, mask, seed)
+    scratch, start, many, found = Scratch(voxels.sparkSession, "crops"), 0, count * candidates, None
+    while True:
+        drawn = _crops(voxels, range(start, start + many), shape, mask, seed).where(F.col("share") >= min_masked).orderBy("crop").limit(count)
+        found = scratch.settle(drawn if found is None else found.unionByName(drawn))
+        if found.count() >= count:
+            return found.orderBy("crop").limit(count)
+        if not start and _best_share(voxels, shape, mask) < min_masked:
+            raise ValueError(f"no box of {shape} has a mask share of {min_masked}")
+        start, many = start + many, many * 8
+
+
+def _extent(voxels: DataFrame):
     ends = voxels.agg(*(F.struct(F.min(a), F.max(a)).alias(a) for a in AXES)).first()
-    tries = spark.range(count * candidates).withColumnRenamed("id", "crop")
-    for k, (a, size) in enumerate(zip(AXES, shape, strict=True)):
-        low, high = ends[a] if ends[a][0] is not None else (0, -1)
+    return [ends[a] if ends[a][0] is not None else (0, -1) for a in AXES]
+
+
+def _best_share(voxels: DataFrame, shape: tuple[int, int, int], mask: str) -> float:
+    """Largest mask share of any box in the volume: masked voxels are summed along an axis after the other."""
+    now = voxels.where(F.col(mask).cast("boolean")).select(*POS, F.lit(1).cast("long").alias("n"))
+    for a, size, (low, high) in zip(AXES, shape, _extent(voxels), strict=True):
+        last = max(low, high + 1 - size)
+        lows = F.sequence(F.greatest(F.lit(low), F.col(a) - size + 1), F.least(F.lit(last), F.col(a)))
+        spread = now.where((F.col(a) - size + 1 <= last) & (F.greatest(F.lit(low), F.col(a) - size + 1) <= F.least(F.lit(last), F.col(a))))
+        now = spread.withColumn(a, F.explode(lows)).groupBy(*POS).agg(F.sum("n").alias("n"))
+    return (now.agg(F.max("n")).first()[0] or 0) / (shape[0] * shape[1] * shape[2])
+
+
+def _crops(voxels: DataFrame, ids: range, shape: tuple[int, int, int], mask: str, seed: int) -> DataFrame:
+    """(crop, lo_z, lo_y, lo_x, share) of the boxes of these ids that hold any masked voxel.
+
+    Origins and voxels meet through cells of the box's size: a box lies in at most two cells per axis, so it is an equi-join.
+    """
+    tries = voxels.sparkSession.range(ids.start, ids.stop).withColumnRenamed("id", "crop")
+    for k, (a, size, (low, high)) in enumerate(zip(AXES, shape, _extent(voxels), strict=True)):
         room = max(1, high + 1 - low - size + 1)
         tries = tries.withColumn(f"lo_{a}", (F.floor(uniform(seed + k, "crop") * room) + low).cast("int"))
     cells = tries
@@ -47,8 +80,7 @@ def random_crops(voxels: DataFrame, count: int, shape: tuple[int, int, int], mas
     for a, size in zip(AXES, shape, strict=True):
         inside = inside & (F.col(a) >= F.col(f"lo_{a}")) & (F.col(a) < F.col(f"lo_{a}") + size)
     total = shape[0] * shape[1] * shape[2]
-    share = cells.join(keyed, [f"_c{a}" for a in AXES]).where(inside).groupBy("crop", *(f"lo_{a}" for a in AXES)).agg((F.count(F.lit(1)) / total).alias("share"))
-    return share.where(F.col("share") >= min_masked).orderBy("crop").limit(count)
+    return cells.join(keyed, [f"_c{a}" for a in AXES]).where(inside).groupBy("crop", *(f"lo_{a}" for a in AXES)).agg((F.count(F.lit(1)) / total).alias("share"))
 
 
 def choose_source(samples: DataFrame, probabilities: dict[str, float], seed: int = 0, key: str = "sample") -> DataFrame:

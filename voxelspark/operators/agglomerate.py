@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -225,16 +226,17 @@ def edge_descriptor_scores(voxels: DataFrame, edges: DataFrame, target: DataFram
     return out.select("u", "v", (F.col("_b") - F.col("_u") - F.col("_v")).alias("score"))
 
 
-def agglomerate_by_descriptors(voxels: DataFrame, edges: DataFrame, target: DataFrame, sigma, voxel_size=(1, 1, 1), dims: int = 3, threshold: float = 0.0, max_merges: int | None = None, max_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+def agglomerate_by_descriptors(voxels: DataFrame, edges: DataFrame, target: DataFrame, sigma, voxel_size=(1, 1, 1), dims: int = 3, threshold: float = 0.0, max_merges: int | None = None, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(history, lut) of merges that bring objects nearer to the target, in rounds of mutual best edges below ``threshold``.
 
-    This score is not reducible: the outcome can differ from that of merging the lowest edge first.
+    This score is not reducible: the outcome can differ from that of merging the lowest edge first. Rounds go on until no merge is
+    left, as each takes a node away; RuntimeError if ``max_rounds`` are given and not enough.
     """
     from voxelspark.operators.rag import relabel
 
     scratch, history, lut, done = Scratch(voxels.sparkSession, "bydescriptor"), None, None, 0
     now, open_ = voxels, edges.select("u", "v").distinct()
-    for k in range(max_rounds):
+    for k in count():
         scored = scratch.settle(edge_descriptor_scores(now, open_, target, sigma, voxel_size, dims))
         key = F.struct("score", "u", "v")
         best = scored.select(F.col("u").alias("n"), key.alias("e")).unionByName(scored.select(F.col("v").alias("n"), key.alias("e"))).groupBy("n").agg(F.min("e").alias("e"))
@@ -245,6 +247,8 @@ def agglomerate_by_descriptors(voxels: DataFrame, edges: DataFrame, target: Data
         n = merges.count()
         if not n:
             break
+        if max_rounds is not None and k >= max_rounds:
+            raise RuntimeError(f"merging did not settle in {max_rounds} rounds")
         done += n
         step = merges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("u").alias("c"), "score", F.lit(k).alias("round"))
         history = step if history is None else history.unionByName(step)

@@ -371,7 +371,7 @@ def i9(spark, d):
 @query("i10_agglomerate_by_descriptor")
 def i10(spark, d):
     v = frags(spark, d).select("z", "y", "x", "label")
-    return A.agglomerate_by_descriptors(v, W.plane_edges(spark, d), target_lsd(spark, d), SIGMA2, dims=2, max_rounds=50)[0].select("a", "b", "c", F.round("score", 4).alias("score"), "round")
+    return A.agglomerate_by_descriptors(v, W.plane_edges(spark, d), target_lsd(spark, d), SIGMA2, dims=2)[0].select("a", "b", "c", F.round("score", 4).alias("score"), "round")
 
 
 @query("i11_after_merge", f"WITH {W.V1}, {W.NODES1}, {W.THIRDS}, g AS (SELECT segment AS label, y, x FROM v1 JOIN lut ON frag = fragment), {descriptor_sql('g', 2)} SELECT label, y, x, {CH2_SQL} FROM lsd")

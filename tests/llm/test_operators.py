@@ -266,7 +266,7 @@ def test_tokenizer_is_the_plain_call():
 def test_packing(spark, odd, none, docs):
     for frame in (odd.where("doc_id is not null").dropDuplicates(["doc_id"]), docs):
         texts = {r.doc_id: r.text or "" for r in frame.select("doc_id", "text").collect()}
-        rows = T9.pack_documents(frame, T9.default_tokenizer(), capacity=256, piece=64, ways=4).collect()
+        rows = T9.pack_documents(frame, T9.default_tokenizer(), capacity=256, piece=64, ways=4, fine=8, zone=32, slack=4).collect()
         tool = WordTokenizer(T9.default_tokenizer())
         by_doc, by_window = {}, {}
         for r in rows:
@@ -285,6 +285,25 @@ def test_packing(spark, odd, none, docs):
     assert T9.pack_documents(none, T9.default_tokenizer()).isEmpty()
 
 
+def test_window_count_rises_whenever_capacity_is_exceeded():
+    """Runs of 60 in windows of 100: none can hold two, so the count goes from 2 to 4 with further runs and on without."""
+    packer = T9.Packer(capacity=100, ways=2, piece=60, fine=60, zone=0, slack=1, first=0)
+    rows = [r for k in range(12) for r in packer.add(k, bytes(4 * 60))]
+    counts = packer.ways
+    rows += list(packer.close(last=True)) if packer.open else []
+    load = {}
+    for r in rows:
+        load[r[5]] = load.get(r[5], 0) + r[2]
+    assert counts > 2 or len(load) > 7
+    assert sum(load.values()) == 720 and max(load.values()) <= 100 and sorted(load) == list(range(len(load)))
+    even = T9.Packer(capacity=100, ways=4, piece=40, fine=4, zone=12, slack=3, first=0)
+    rows = [r for k in range(200) for r in even.add(k, bytes(4 * (7 + k % 90)))] + list(even.close(last=True))
+    load = {}
+    for r in rows:
+        load[r[5]] = load.get(r[5], 0) + r[2]
+    assert max(load.values()) <= 100 and sum(load.values()) / len(load) > 94
+
+
 def test_differencing():
     rng = np.random.default_rng(6)
     for ways in (1, 2, 5):

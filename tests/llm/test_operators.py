@@ -316,21 +316,48 @@ def test_differencing():
     assert len(full) == 3
 
 
-def test_slots(spark, odd, none, docs):
-    for frame in (odd, docs):
-        records, mapped = T10.shard_records(frame, shards=4, slots=64, salts=4)
-        got = records.collect()
+def test_slots(spark, odd, none, docs, tmp_path):
+    for n, frame in enumerate((odd, docs)):
+        at = f"{tmp_path}/{n}"
+        got = T10.shard_records(frame, at, shards=4, slots=64, part_rows=5).collect()
         texts = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
         assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=repr) == sorted(((k, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t in texts), key=repr)
         for s in range(4):
             own = sorted(r.slot for r in got if r.shard == s)
             assert own == list(range(len(own)))
-        last = {r.virtual_slot: r.shard for r in mapped.where("version = 2").collect()}
-        assert len(last) == 64 and all(last[r.virtual_slot] == r.shard for r in got)
+        version, last, hot = T10.read_map(spark, at)
+        assert version == 2 and len(last) == 64 and bool(hot) == (frame is odd) and all(last[r.virtual_slot] == r.shard for r in got)
+        assert T10.read_map(spark, at, 1)[1] == [k % 4 for k in range(64)]
     load = [sum(r["size"] for r in got if r.shard == s) for s in range(4)]
     assert max(load) - min(load) < 0.2 * sum(load) / 4
-    assert T10.shard_records(none)[0].isEmpty()
+    assert T10.shard_records(none, f"{tmp_path}/none").isEmpty()
+
+
+def test_a_stored_map_is_edited(spark, docs, tmp_path):
+    at = f"{tmp_path}/map"
+    first = {r.doc_id: (r.virtual_slot, r.shard) for r in T10.shard_records(docs, at, shards=4, slots=64).collect()}
+    long = docs.select((F.col("doc_id") + 10_000).alias("doc_id"), F.repeat(F.concat(F.lit("more "), F.coalesce("text", F.lit(""))), 3).alias("text")).where("doc_id % 3 = 0")
+    both = docs.select("doc_id", "text").unionByName(long)
+    records = T10.measured(both)
+    assert T10.rebalance(records, at, shards=4) == 3
+    (_, two, _), (_, three, _) = (T10.read_map(spark, at, v) for v in (2, 3))
+    got = T10.placed(records, at).collect()
+    moved = {k for k in range(64) if two[k] != three[k]}
+    assert moved and len(moved) < 48 and all(three[r.virtual_slot] == r.shard for r in got)
+    assert all((r.virtual_slot, r.shard) == first[r.doc_id] for r in got if r.doc_id < 10_000 and r.virtual_slot not in moved)
+    load = [sum(r["size"] for r in got if r.shard == s) for s in range(4)]
+    assert max(load) - min(load) < 0.2 * sum(load) / 4
+    assert {r.doc_id: (r.virtual_slot, r.shard) for r in T10.placed(T10.measured(docs), at, version=2).collect()} == first
+    assert T10.rebalance(records, at, shards=5) == 4 and set(T10.read_map(spark, at)[1]) == set(range(5))
+    with pytest.raises(ValueError):
+        T10.read_map(spark, at, 9)
+
+
+def test_a_hot_text_is_in_the_map(spark, tmp_path):
     copies = spark.createDataFrame([(k, LONG) for k in range(200)] + [(1000 + k, f"text {k}") for k in range(50)], "doc_id long, text string")
-    hot = [r for r in T10.shard_records(copies, shards=4, slots=64, salts=4)[0].collect() if r.doc_id < 1000]
+    at = f"{tmp_path}/map"
+    hot = [r for r in T10.shard_records(copies, at, shards=4, slots=64, part_rows=20).collect() if r.doc_id < 1000]
     load = [sum(r["size"] for r in hot if r.shard == s) for s in range(4)]
-    assert max(load) < 1.3 * sum(load) / 4
+    assert max(load) < 1.3 * sum(load) / 4 and len(T10.read_map(spark, at)[2]) == 1
+    again = {r.doc_id: r.shard for r in T10.placed(T10.measured(copies), at).collect()}
+    assert all(again[r.doc_id] == r.shard for r in hot)

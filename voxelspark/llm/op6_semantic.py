@@ -1,14 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The benchmark is the stated query set; documents are searched whole against it, in blocks of ``items_per_block`` items, so
-that what is sent to the tasks stays bounded.
+that what is sent to the tasks stays bounded. The latent space is one for all blocks.
 
 1. Documents are cut into runs of ``stride`` words; a passage is two runs next to each other. Words are lower-case letters
    and digits; the vocabulary is the benchmark's, as no other word changes a cosine with an item. One pass over the texts
    keeps each run's vocabulary words; run frequencies over all documents give the inverse frequencies. Words of more than
    ``common`` of all runs weigh nothing, but an item's ``least`` rarest words always count, however often it was copied.
 2. A randomised SVD of the TF-IDF matrix (all runs by vocabulary): two distributed products with the matrix and its transpose,
-   orthonormalised between them on the driver, where only vocabulary-by-``rank`` matrices arrive.
+   orthonormalised between them on the driver, where only vocabulary-by-``rank`` matrices arrive; tasks' parts of them are added
+   up a tree.
 3. Passages, their first runs and items are folded into the latent space; a passage is a candidate for an item if either's
    cosine with it is ``cosine`` or more. There is no cap.
    What the latent space represents badly comes in by words: of an item's rarest words, some ``overlap`` leaves no room to miss
@@ -26,6 +27,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,9 @@ BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 LEAKS = "array<struct<item_id:long,word:long,cosine:double,lcs:double,answer:double>>"
-#: Slices that a vocabulary-by-rank matrix is summed in, and vocabulary words that a product takes at once.
-SLICES, STEP = 16, 1 << 17
+#: Bytes of a slice that a vocabulary-by-rank matrix is summed in, partial sums that one group adds, and vocabulary words that a
+#: product takes at once.
+SLICE, FAN_IN, STEP = 1 << 20, 32, 1 << 17
 
 
 def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -150,28 +153,36 @@ def decoded(batches):
 
 
 def summed(kept: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
-    """The sum over tasks of vocabulary-sized matrices: partial sums per task, added slice by slice in parts."""
-    step = -(-shape[0] // SLICES)
+    """The sum over tasks of vocabulary-sized matrices, added slice by slice up a tree: a group holds FAN_IN parts of one slice,
+    whatever the number of tasks or the size of the vocabulary. Slices that a task did not touch are not sent."""
+    step = max(1, SLICE // (8 * shape[1]))
+    schema = "slice int, task int, part binary"
 
     def go(batches):
         total = partial(batches)
         if total is not None:
-            cut = [total[a : a + step].astype(np.float64).tobytes() for a in range(0, shape[0], step)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], ["slice", "part"])
+            cut = [(k, total[a : a + step]) for k, a in enumerate(range(0, shape[0], step))]
+            cut = [(k, x.astype(np.float64).tobytes()) for k, x in cut if x.any()]
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array([task] * len(cut), pa.int32()), pa.array([x for _, x in cut], pa.binary())], ["slice", "task", "part"])
 
-    def add(t: pa.Table) -> pa.Table:
+    def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in t.column("part"))
-        return pa.table({"slice": t.column("slice")[:1], "part": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
+    parts, tasks = kept.mapInArrow(go, schema), kept.rdd.getNumPartitions()
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.groupBy("slice", F.floor(F.col("task") / FAN_IN).cast("int")).applyInArrow(add, schema)
     out = np.zeros(shape)
-    for r in kept.mapInArrow(go, "slice int, part binary").groupBy("slice").applyInArrow(add, "slice int, part binary").collect():
+    for r in parts.collect():  # the vocabulary by the rank, once
         own = out[r["slice"] * step : (r["slice"] + 1) * step]
-        own[:] = np.frombuffer(r["part"], np.float64).reshape(own.shape)
+        own += np.frombuffer(r["part"], np.float64).reshape(own.shape)
     return out
 
 
-def latent_basis(kept: DataFrame, terms: int, items: list[np.ndarray], rank: int, common: float, least: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weight by term, basis: terms by rank, runs by term) from all encoded runs; items: each one's terms."""
+def latent_basis(kept: DataFrame, terms: int, items, rank: int, common: float, least: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weight by term, basis: terms by rank, runs by term) from all encoded runs; items: each one's terms, for one pass."""
     spark = kept.sparkSession
 
     def count(batches):
@@ -277,25 +288,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     out = docs.select(F.struct("*").alias("row"), F.lit(None).cast(LEAKS).alias("leaks"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     blocks = max(1, -(-items.count() // items_per_block))
+
+    def part(block: int) -> tuple[list, list, list]:
+        """(ids, words, answers) of about items_per_block items."""
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+        words = hashes_of_texts([r["text"] for r in rows])
+        return [r["item"] for r in rows], words, [answer_words(r["text"], w) for r, w in zip(rows, words, strict=True)]
+
+    only = part(0) if blocks == 1 else None
+    vocabulary = Vocabulary(np.unique(np.concatenate([np.unique(np.concatenate([np.zeros(0, np.uint64), *(only or part(k))[1]])) for k in range(blocks)])))
+    if not len(vocabulary.hashes):
+        return out
+    # one latent space, of all items' words, whatever the number of blocks
+    tool, scratch = spark.sparkContext.broadcast(vocabulary), Scratch(spark, "semantic")
+    kept = scratch.settle(encoded(docs.select(text_col), text_col, tool, stride))
+    terms = (vocabulary.find(w)[1] for k in range(blocks) for w in (only or part(k))[1])
+    space = latent_basis(kept, len(vocabulary.hashes), terms, rank, common, least, seed)
+    scratch.drop(kept)
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()  # about items_per_block
-        out = _search(spark, out, part, text_col, rank, stride, cosine, common, least, overlap, answer_overlap, seed)
+        out = _search(spark, out, only or part(block), vocabulary, tool, space, text_col, stride, cosine, overlap, answer_overlap)
     return out
 
 
-def _search(spark, rows: DataFrame, items: list, text_col, rank, stride, cosine, common, least, overlap, answer_overlap, seed) -> DataFrame:
-    words = hashes_of_texts([r["text"] for r in items])
-    ids, answers = [r["item"] for r in items], [answer_words(r["text"], w) for r, w in zip(items, words, strict=True)]
-    vocabulary = Vocabulary(np.concatenate(words) if words else np.zeros(0, np.uint64))
-    terms = len(vocabulary.hashes)
-    if not terms:
+def _search(spark, rows: DataFrame, items: tuple[list, list, list], vocabulary: Vocabulary, tool, space, text_col, stride, cosine, overlap, answer_overlap) -> DataFrame:
+    (ids, words, answers), (idf, basis, seen) = items, space
+    if not any(map(len, words)):
         return rows
-    tool = spark.sparkContext.broadcast(vocabulary)
-    scratch = Scratch(spark, "semantic")
-    kept = scratch.settle(encoded(rows.select(F.col("row")[text_col].alias(text_col)), text_col, tool, stride))
     longest = max(map(len, words))
-    idf, basis, seen = latent_basis(kept, terms, [vocabulary.find(w)[1] for w in words], rank, common, least, seed)
-    scratch.drop(kept)
     folded = (idf[:, None] * basis).astype(np.float32)
     aim = unit(np.stack([folded[vocabulary.find(w)[1]].sum(axis=0) if len(w) else np.zeros(folded.shape[1]) for w in words])).astype(np.float32)
     rare = rare_words([vocabulary.find(w)[1] for w in words], seen, idf > 0, overlap)

@@ -3,10 +3,12 @@
 An archive is one binary value: skippable frame 0x184D2A5D with the dictionary (itself plain or compressed), then a frame for
 each record. ``read_archives`` takes any frame with such a column, be it a table or ``spark.read.format("binaryFile")``, loads
 the dictionary, decodes frame by frame and checks each record: version line, mandatory headers, Content-Length against the
-block, payload digest against the payload. What is wrong is listed in ``problems``; other records are still read.
+block, payload digest against the payload. What is wrong is listed in ``problems``; other records are still read, those behind a
+bad frame too.
 
 Payloads of at least ``least`` bytes that occur again are stored once: the row with the largest id is the response, the others
-are revisits that refer to it. Digests are aggregated before they are joined, and html itself is shuffled once, by id.
+are revisits that refer to it. Digests are aggregated before they are joined, and html itself is shuffled once, by id. A task holds
+one archive in its packed form, one batch and the records that train the dictionary (3 MB).
 
 Edge cases: null html is an empty payload; null url is left out of the header; rows with a null id are responses; repeated rows
 give repeated records.
@@ -31,6 +33,8 @@ VERSION = b"WARC/1.1"
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes that the decoder is fed at once, and that a batch of read records holds at most (but for its last record).
+FEED, BATCH = 1 << 14, 4 << 20
 
 
 def record(page, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -46,27 +50,50 @@ def record(page, url, payload: bytes, digest: str, refers_to) -> bytes:
     return b"\r\n".join([VERSION, *(f"{k}: {v}".encode() for k, v in head), b"", block, b"", b""])
 
 
-def archive(records: list[bytes], level: int = 3, dictionary_bytes: int = 1 << 15) -> bytes:
-    samples, held = [], 0
-    for r in records:
-        if held > 100 * dictionary_bytes:
-            break
-        samples.append(r)
-        held += len(r)
-    try:
-        trained = zstandard.train_dictionary(dictionary_bytes, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples: the first record's head serves as it is
-        trained = samples[0][:dictionary_bytes]
-    pack = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained), write_checksum=True)
-    return b"".join([struct.pack("<II", DICT_FRAME, len(trained)), trained, *map(pack.compress, records)])
+class Archive:
+    """One archive as it grows: records are packed as they come, only those that train the dictionary wait for it."""
+
+    def __init__(self, level: int = 3, dictionary_bytes: int = 1 << 15):
+        self.level, self.dictionary_bytes = level, dictionary_bytes
+        self.waiting, self.out, self.size, self.pack = [], [], 0, None
+
+    def add(self, one: bytes) -> None:
+        self.size += len(one)
+        if self.pack:
+            self.out.append(self.pack.compress(one))
+            return
+        self.waiting.append(one)
+        if self.size > 100 * self.dictionary_bytes:
+            self._train()
+
+    def _train(self) -> None:
+        try:
+            trained = zstandard.train_dictionary(self.dictionary_bytes, self.waiting).as_bytes()
+        except zstandard.ZstdError:  # too few samples: the first record's head serves as it is
+            trained = self.waiting[0][: self.dictionary_bytes]
+        self.pack = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(trained), write_checksum=True)
+        self.out += [struct.pack("<II", DICT_FRAME, len(trained)), trained, *map(self.pack.compress, self.waiting)]
+        self.waiting = []
+
+    def close(self) -> bytes:
+        if self.waiting:
+            self._train()
+        return b"".join(self.out)
+
+
+def archive(records: list[bytes], **how) -> bytes:
+    whole = Archive(**how)
+    for one in records:
+        whole.add(one)
+    return whole.close()
 
 
 def parse(raw: bytes) -> dict:
     """One record's fields and what is wrong with it."""
     problems = []
-    head, mark, rest = raw.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not mark or not lines[0].startswith(b"WARC/"):
+    end = raw.find(b"\r\n\r\n")
+    lines = raw[: end if end >= 0 else 1 << 16].split(b"\r\n")
+    if end < 0 or not lines[0].startswith(b"WARC/"):
         problems.append("version line")
     headers = {}
     for line in lines[1:]:
@@ -77,31 +104,48 @@ def parse(raw: bytes) -> dict:
     problems += [f"no {k}" for k in MANDATORY if k not in headers]
     said = headers.get("Content-Length", "")
     size = int(said) if said.isdigit() else -1
-    if size < 0 or len(rest) != size + 4 or rest[-4:] != b"\r\n\r\n":
+    at = end + 4 if end >= 0 else len(raw)
+    if size < 0 or len(raw) != at + size + 4 or raw[-4:] != b"\r\n\r\n":
         problems.append("length")
-    block = rest[: max(size, 0)]
-    http, _, payload = block.partition(b"\r\n\r\n")
+    last = min(len(raw), at + max(size, 0))
+    split = raw.find(b"\r\n\r\n", at, last)
+    http, body = raw[at : split if split >= 0 else last], split + 4 if split >= 0 else last
     claim = next((x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
     digest = headers.get("WARC-Payload-Digest", "").removeprefix("sha1:")
     kind = headers.get("WARC-Type")
+    payload = raw[body:last] if kind != "revisit" else None
     if kind == "response" and digest and hashlib.sha1(payload).hexdigest() != digest:
         problems.append("digest")
     if kind == "response" and claim.isdigit() and int(claim) != len(payload):
         problems.append("http length")
     return {
         "record_type": kind, "record_id": headers.get("WARC-Record-ID"), "target_uri": headers.get("WARC-Target-URI"), "refers_to": headers.get("WARC-Refers-To"),
-        "payload_digest": digest or None, "payload_bytes": int(claim) if claim.isdigit() else None, "headers": list(headers.items()), "payload": payload if kind != "revisit" else None, "problems": problems,
+        "payload_digest": digest or None, "payload_bytes": int(claim) if claim.isdigit() else None, "headers": list(headers.items()), "payload": payload, "problems": problems,
     }
 
 
+def next_frame(data: bytes, at: int) -> int:
+    """Where the next frame's magic stands, at or after ``at``; the end of the data if nowhere."""
+    found = data.find(struct.pack("<I", ZSTD_FRAME), at)
+    return found if found >= 0 else len(data)
+
+
 def frames(data: bytes):
-    """(offset, record) of each frame; the leading skippable frame may hold a dictionary."""
+    """(offset, record, what is wrong) of each frame; the leading skippable frame may hold a dictionary.
+
+    A frame is fed to the decoder in slices until it ends, so an archive costs its length. After bytes that are no whole frame
+    reading goes on at the next frame magic.
+    """
     at, trained = 0, b""
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICT_FRAME:
         size = struct.unpack_from("<I", data, 4)[0]
         trained, at = data[8 : 8 + size], 8 + size
         if trained[:4] == struct.pack("<I", ZSTD_FRAME):
-            trained = zstandard.ZstdDecompressor().decompress(trained)
+            try:
+                trained = zstandard.ZstdDecompressor().decompressobj().decompress(trained)
+            except zstandard.ZstdError as e:
+                yield 0, None, f"dictionary: {e}"
+                trained = b""
     tool = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained)) if trained else zstandard.ZstdDecompressor()
     view = memoryview(data)
     while at < len(data):
@@ -109,17 +153,19 @@ def frames(data: bytes):
         if magic & 0xFFFFFFF0 == 0x184D2A50:
             at += 8 + struct.unpack_from("<I", data, at + 4)[0]
             continue
-        one = tool.decompressobj()
+        one, parts, fed, wrong = tool.decompressobj(), [], at, None
         try:
-            raw = one.decompress(view[at:])
+            while not one.eof and fed < len(data):
+                parts.append(one.decompress(view[fed : fed + FEED]))
+                fed = min(len(data), fed + FEED)
         except zstandard.ZstdError as e:
-            yield at, None, str(e)
-            return
-        if not one.eof:
-            yield at, None, "frame cut short"
-            return
-        yield at, raw, None
-        at = len(data) - len(one.unused_data)
+            wrong = str(e)
+        if wrong or not one.eof:
+            yield at, None, wrong or "frame cut short"
+            at = next_frame(data, at + 1)
+            continue
+        yield at, b"".join(parts), None
+        at = fed - len(one.unused_data)
 
 
 RECORD = pa.schema(
@@ -134,44 +180,50 @@ def read_archives(df: DataFrame, name_col: str = "archive", content_col: str = "
 
     def run(batches):
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = []
-                for offset, raw, wrong in frames(data.as_py() or b""):
+            for k in range(b.num_rows):
+                name, data, rows, held = b.column(0)[k].as_py(), b.column(1)[k].as_py() or b"", [], 0
+                for offset, raw, wrong in frames(data):
                     rows.append({"archive": name, "offset": offset} | ({"problems": [wrong]} if raw is None else parse(raw)))
-                    if len(rows) == 500:
+                    held += len(raw or b"")
+                    if len(rows) == 500 or held >= BATCH:
                         yield from pa.Table.from_pylist(rows, RECORD).to_batches()
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield from pa.Table.from_pylist(rows, RECORD).to_batches()
 
     return df.select(name_col, content_col).mapInArrow(run, RECORD_DDL)
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, archive_bytes: int = 16 << 20) -> DataFrame:
-    """(archive, content): archives of about ``archive_bytes`` of records, each from one task."""
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, archive_bytes: int = 8 << 20, salts: int = 16) -> DataFrame:
+    """(archive, content): archives of about ``archive_bytes`` of records, each from one task.
+
+    Rows of one payload meet their response over ``salts`` keys, so that a page with many copies is no single key.
+    """
     body = text_bytes(html_col)
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), body.alias("body"))
-    marks = rows.select("page", F.sha1("body").alias("digest"), F.octet_length("body").alias("size")).where(F.col("size") >= least)
-    kept = marks.groupBy("digest", "size").agg(F.max("page").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
-    again = marks.join(kept, ["digest", "size"]).where("page <> refers_to").select("page", "digest", "refers_to").distinct()
+    salt = F.pmod(F.xxhash64("page"), F.lit(salts)).cast("int").alias("salt")
+    marks = rows.select("page", F.sha1("body").alias("digest"), F.octet_length("body").alias("size"), salt).where((F.col("size") >= least) & F.col("page").isNotNull())
+    kept = marks.groupBy("digest", "size").agg(F.max("page").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = kept.select("digest", "size", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    again = marks.join(kept, ["digest", "size", "salt"]).where("page <> refers_to").select("page", "digest", "refers_to").distinct()
     told = rows.withColumn("digest", F.sha1("body")).join(again, ["page", "digest"], "left").select("page", "url", "body", "digest", "refers_to")
 
     def run(batches):
         from pyspark import TaskContext
 
-        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, number, whole = TaskContext.get().partitionId(), 0, None
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{task:06d}-{number:04d}.warc.zst"]), pa.array([archive(held)], pa.binary())], ["archive", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([f"part-{task:06d}-{number:04d}.warc.zst"]), pa.array([whole.close()], pa.binary())], ["archive", "content"])
 
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.append(record(*r))
-                size += len(held[-1])
-                if size >= archive_bytes:
+            for k in range(b.num_rows):
+                whole = whole or Archive()
+                whole.add(record(*(c[k].as_py() for c in b.columns)))
+                if whole.size >= archive_bytes:
                     yield out()
-                    number, held, size = number + 1, [], 0
-        if held:
+                    number, whole = number + 1, None
+        if whole:
             yield out()
 
     return told.mapInArrow(run, "archive string, content binary")

@@ -14,12 +14,14 @@ Sections that tile a text add up to its token count under every rule. Each secti
 count. One pass over the texts; nothing is shuffled, and no row per token is ever made.
 
 Edge cases: null or empty text has one empty section without tokens; spans beyond the text are clipped; a null list of sections
-gives no rows; repeated rows are counted each.
+gives no rows, a section with a null end counts nothing and has none; a text may be of any length and be one long word, line or
+run of white space; repeated rows are counted each; columns other than those named are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 from voxelspark.llm.common import table
 
+#: White space of the split pattern in runs so long that the pattern's look-ahead would overflow the matcher's stack.
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 OUT = "section int, start long, end long, tokens double, crossing long, doc_tokens long"
 
 
@@ -45,6 +49,21 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), length
 
 
+def token_ids(tool, text: str) -> list[int]:
+    """ids of a whole text of any length.
+
+    The split pattern takes a run of white space as one piece: all of it at the end of a text, all but its last character
+    elsewhere. Long runs are cut there and go to the merges as they are, so ids are those of the whole text.
+    """
+    out, at = [], 0
+    for run in BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += tool.encode_ordinary(text[at : run.start()])
+        out += tool._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + tool.encode_ordinary(text[at:]) if at else tool.encode_ordinary(text)
+
+
 def tally(start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """(tokens by rule, tokens that cross a boundary) of each byte span low..high over tokens start..end that tile the bytes."""
     if rule == "split":
@@ -87,7 +106,7 @@ def attribute_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
                 for k, text in enumerate(part.column("body").to_pylist()):
                     text = text or ""
                     raw = np.frombuffer(text.encode(), np.uint8)
-                    ids = np.array(tool.encode_ordinary(text), np.int64)
+                    ids = np.array(token_ids(tool, text), np.int64)
                     end = np.cumsum(length[ids])
                     begin = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # byte of each character
                     if spans is None:

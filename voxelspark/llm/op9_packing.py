@@ -121,7 +121,7 @@ class Packer:
         self.goal = self.ways * (self.capacity - self.slack)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, ways: int = 16, piece: int = 512, fine: int = 64, zone: int = 256, slack: int = 20) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, ways: int = 16, piece: int = 512, fine: int = 64, zone: int = 96, slack: int = 20) -> DataFrame:
     """(doc_id, start, length, ids BINARY little-endian unsigned 32-bit, doc_tokens, sequence_id, offset): one row per piece.
 
     ``slack``: ids that a group leaves free in each window on average, so that nearly equal windows hold the rest.

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import count
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,10 +70,11 @@ SCORES = {"mean": MeanScore()} | {f"hist_quant_{q}": QuantileScore(q / 100) for
 def edge_affinities(voxels: DataFrame, label: str = "label", channels: Sequence[str] = ("aff_z", "aff_y", "aff_x")) -> DataFrame:
     """(u, v, aff): the affinity of each voxel to its predecessor along an axis, where that one is of another fragment."""
     packed = voxels.select(*POS, F.struct(label, *channels).alias("_v"))
-    pairs = neighbours(packed, FACES, "_v", "_o")
+    apart = lambda v, o: pc.not_equal(pc.struct_field(v, label), pc.struct_field(o, label))
+    pairs = neighbours(packed, FACES, "_v", "_o", apart)
     aff = F.element_at(F.array(*(F.col(f"_v.{c}") for c in channels)), F.col("channel") + 1)
     a, b = F.col(f"_v.{label}"), F.col(f"_o.{label}")
-    return pairs.where((a != b) & (a > 0) & (b > 0)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), aff.alias("aff")).where("aff is not null")
+    return pairs.where((a > 0) & (b > 0)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), aff.alias("aff")).where("aff is not null")
 
 
 def edge_scores(samples: DataFrame, how=None) -> DataFrame:

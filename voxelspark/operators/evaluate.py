@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelspark.plans.iterate import Scratch
 from voxelspark.sources.schema import AXES
 
 
@@ -140,8 +141,9 @@ def report(sites: DataFrame, bones: DataFrame, segments: DataFrame, by: Sequence
 
 
 def balance_weights(df: DataFrame, flag: str, by: Sequence[str] = ()) -> DataFrame:
-    """``df`` with ``weight``: total / (classes * count) of a 0/1 class, so that both weigh the same."""
-    counts = df.groupBy(*by, flag).agg(F.count(F.lit(1)).alias("_n"))
+    """``df`` with ``weight``: total / (classes * count) of a 0/1 class, so that both weigh the same. The counts are written first, so
+    the join knows their size and broadcasts them where they are few."""
+    counts = Scratch(df.sparkSession, "balance").settle(df.groupBy(*by, flag).agg(F.count(F.lit(1)).alias("_n")))
     total = counts.groupBy(*by).agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_c"))
     both = counts.join(total, list(by)) if by else counts.crossJoin(F.broadcast(total))  # one row
     return df.join(both, [*by, flag]).withColumn("weight", F.col("_t") / (F.col("_c") * F.col("_n"))).drop("_n", "_t", "_c")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.operators.agglomerate import QuantileScore, agglomerate, edge_affinities
+from voxelspark.operators.blocks import nearest_along
 from voxelspark.operators.labels import block_unique, centers, filter_fragments, label_components, voxel_key
 from voxelspark.operators.rag import relabel
 from voxelspark.operators.voxels import FACES, filtered_line, gaussian, masked, neighbours, without_sections
@@ -30,27 +32,12 @@ def nearest_background(voxels: DataFrame, mask: str, axis: str, before: str = "b
 def distance_transform(voxels: DataFrame, mask: str = "masked", axes=AXES, into: str = "distance") -> DataFrame:
     """Exact Euclidean distance, in voxels, to the nearest voxel outside the mask; null where a volume has none.
 
-    The first axis is two window passes along its lines. Each further axis joins a line with itself, at most as far as the
-    largest distance found so far: farther voxels can't be nearer.
+    An axis at a time: squared distances so far, 0 outside the mask, are carried along its lines by their lower envelope, in steps
+    that grow with a line's length, whether or not it has a voxel outside the mask.
     """
-    scratch = Scratch(voxels.sparkSession, "distance")
-    first, *rest = reversed(axes)
-    sides = nearest_background(voxels, mask, first, "_before", "_after")
-    near = F.least(F.col(first) - F.col("_before"), F.col("_after") - F.col(first))
-    now = scratch.settle(sides.select(*POS, mask, (near * near).cast("long").alias("d2")))
-    for axis in rest:
-        other = [a for a in AXES if a != axis]
-        span = voxels.agg((F.max(axis) - F.min(axis)).alias("s")).first()["s"] or 0
-        far = now.agg(F.max("d2"), F.sum(F.col("d2").isNull().cast("int"))).first()
-        reach = span if far[1] or far[0] is None else min(span, int(far[0] ** 0.5) + 1)
-        step = max(1, reach)
-        # equal cells of the line, and the next ones: an equi-join, with the range test inside
-        source = now.where("d2 is not null").select(*(F.col(a).alias(f"_{a}") for a in POS), F.col("d2").alias("_d2"))
-        source = source.withColumn("_cell", F.explode(F.array(*((F.floor(F.col(f"_{axis}") / step) + k) for k in (-1, 0, 1)))))
-        probe = now.withColumn("_cell", F.floor(F.col(axis) / step))
-        gap = F.col(axis) - F.col(f"_{axis}")
-        joined = probe.join(source.withColumnRenamed("_cell", "_scell"), (F.col("_cell") == F.col("_scell")) & (F.abs(gap) <= reach) & (F.col(other[0]) == F.col(f"_{other[0]}")) & (F.col(other[1]) == F.col(f"_{other[1]}")), "left")
-        now = scratch.settle(joined.groupBy(*POS, mask).agg(F.min(F.col("_d2") + gap * gap).alias("d2")))
+    now = voxels.select(*POS, mask, F.when(~F.col(mask).cast("boolean"), F.lit(0)).cast("long").alias("d2"))
+    for axis in reversed(axes):
+        now = nearest_along(now, axis, "d2")
     return now.select(*POS, mask, F.sqrt("d2").alias(into))
 
 
@@ -91,7 +78,8 @@ def watershed(distances: DataFrame, shape: tuple[int, int, int], value: str = "d
         highest = highest.where(F.col(value) > 0)
     faces = tuple(f for f in FACES if any(f[AXES.index(a)] for a in axes))
     both = faces + tuple(tuple(-d for d in f) for f in faces)
-    pairs = neighbours(keyed.select(*POS, packed.alias("_p")), both, "_p", "_o").where(F.col("_o.d") > F.col("_p.d"))
+    higher = lambda p, o: pc.greater(pc.struct_field(o, "d"), pc.struct_field(p, "d"))
+    pairs = neighbours(keyed.select(*POS, packed.alias("_p")), both, "_p", "_o", higher)
     up = pairs.groupBy((-F.col("_p.k")).alias("key")).agg(F.max("_o").alias("_up"))
     start = highest.join(up, "key", "left").join(seed.select(*POS, "seed"), POS, "left")
     to = F.when(F.col("seed").isNotNull(), F.col("key")).otherwise(-F.coalesce(F.col("_up.k"), F.col("_top.k")))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.operators.voxels import FACES, HALF_2, neighbours
@@ -25,10 +26,23 @@ def means(voxels: DataFrame, value: str, label: str = "label") -> DataFrame:
     return voxels.where(F.col(label) != 0).groupBy(F.col(label).alias("id")).agg(F.avg(value).alias("mean"))
 
 
+def label_key(label: str, voxels: DataFrame) -> tuple[Column, Column]:
+    """(key, background) to join a label by: a background voxel, as most may be, gets a key of its own, which no table has."""
+    ground = F.coalesce(F.col(label) == 0, F.lit(True))
+    return F.when(ground, F.xxhash64(*POS) if set(POS) <= set(voxels.columns) else F.xxhash64(*voxels.columns)).otherwise(F.col(label)), ground
+
+
+def with_entry(voxels: DataFrame, label: str, table: DataFrame, entry: str, key: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """``voxels`` with ``entry`` of the table's row for their label (and ``by`` columns), null if it has none; background meets nothing."""
+    k, ground = label_key(label, voxels)
+    other = table.select(*by, F.col(key).alias("_k"), F.lit(False).alias("_ground"), entry)
+    return voxels.withColumns({"_k": k, "_ground": ground}).join(other, [*by, "_k", "_ground"], "left").drop("_k", "_ground")
+
+
 def filter_fragments(voxels: DataFrame, value: str, limit: float, label: str = "label") -> DataFrame:
     """Labels whose mean ``value`` is below ``limit`` become 0."""
-    low = means(voxels, value, label).where(F.col("mean") < limit).select(F.col("id").alias(label), F.lit(True).alias("_low"))
-    return voxels.join(low, label, "left").withColumn(label, F.when(F.col("_low"), F.lit(0).cast("long")).otherwise(F.col(label))).select(voxels.columns)
+    low = means(voxels, value, label).where(F.col("mean") < limit).select("id", F.lit(True).alias("_low"))
+    return with_entry(voxels, label, low, "_low").withColumn(label, F.when(F.col("_low"), F.lit(0).cast("long")).otherwise(F.col(label))).select(voxels.columns)
 
 
 def unique_labels(voxels: DataFrame, label: str = "label") -> DataFrame:
@@ -41,8 +55,8 @@ def label_sizes(voxels: DataFrame, label: str = "label") -> DataFrame:
 
 def without_small(voxels: DataFrame, least: int, label: str = "label") -> DataFrame:
     """Labels of fewer than ``least`` voxels become 0."""
-    small = label_sizes(voxels, label).where((F.col("size") < least) & (F.col("id") != 0)).select(F.col("id").alias(label), F.lit(True).alias("_small"))
-    return voxels.join(small, label, "left").withColumn(label, F.when(F.col("_small"), F.lit(0).cast("long")).otherwise(F.col(label))).select(voxels.columns)
+    small = label_sizes(voxels, label).where((F.col("size") < least) & (F.col("id") != 0)).select("id", F.lit(True).alias("_small"))
+    return with_entry(voxels, label, small, "_small").withColumn(label, F.when(F.col("_small"), F.lit(0).cast("long")).otherwise(F.col(label))).select(voxels.columns)
 
 
 def renumbered(voxels: DataFrame, label: str = "label", by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +66,7 @@ def renumbered(voxels: DataFrame, label: str = "label", by: Sequence[str] = ())
         ranked = ids.withColumn("number", F.row_number().over(Window.partitionBy(*by).orderBy("id")).cast("long"))
     else:
         ranked = dense_rank_of(ids, "id", "number")
-    joined = voxels.join(ranked.withColumnRenamed("id", label), [*by, label], "left")
+    joined = with_entry(voxels, label, ranked, "number", by=by)
     return joined.withColumn(label, F.coalesce("number", F.lit(0).cast("long"))).select(voxels.columns), ranked
 
 
@@ -84,9 +98,8 @@ def label_components(voxels: DataFrame, value: str, shape: tuple[int, int, int],
     kept = voxels.where(F.col(value) != 0)
     offsets = tuple(HALF_2) + ((-1, -1, -1), (-1, -1, 1), (-1, 1, -1), (-1, 1, 1)) if full else FACES
     keyed = kept.withColumn("_key", voxel_key(shape)).select(*POS, F.struct("_key", value).alias("_v"))
-    pairs = neighbours(keyed, offsets, "_v", "_o")
-    if not one_value:
-        pairs = pairs.where(F.col(f"_v.{value}") == F.col(f"_o.{value}"))
+    alike = lambda v, o: pc.equal(pc.struct_field(v, value), pc.struct_field(o, value))
+    pairs = neighbours(keyed, offsets, "_v", "_o", None if one_value else alike)
     found = connected_components(pairs.select(F.col("_v._key").alias("a"), F.col("_o._key").alias("b")))
     return kept.withColumn("_key", voxel_key(shape)).join(found.withColumnRenamed("node", "_key"), "_key", "left").withColumn(into, F.coalesce("component", "_key") + 1).select(*kept.columns, into)
 
@@ -97,7 +110,7 @@ def grow_boundary(voxels: DataFrame, label: str = "label", steps: int = 1, only_
     both = tuple(faces) + tuple(tuple(-d for d in f) for f in faces)
     scratch, now = Scratch(voxels.sparkSession, "erode"), voxels
     for k in range(steps):
-        edge = neighbours(now.select(*POS, label), both, label, "_o").where(F.col(label) != F.col("_o")).select(*POS).distinct().withColumn("_e", F.lit(True))
+        edge = neighbours(now.select(*POS, label), both, label, "_o", pc.not_equal).select(*POS).distinct().withColumn("_e", F.lit(True))
         now = now.join(edge, POS, "left").withColumn(label, F.when(F.col("_e"), F.lit(0).cast("long")).otherwise(F.col(label))).select(voxels.columns)
         if k + 1 < steps:
             now = scratch.settle(now)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.functions.roi import Roi
-from voxelspark.operators.labels import centers, dense_rank_of
+from voxelspark.operators.labels import centers, dense_rank_of, with_entry
 from voxelspark.operators.voxels import FACES, HALF_2, crop, neighbours
 from voxelspark.plans.iterate import Scratch, connected_components
 from voxelspark.sources.schema import AXES
@@ -22,7 +23,7 @@ def ordered(df: DataFrame, a: str, b: str) -> DataFrame:
 def build_rag(voxels: DataFrame, label: str = "label", connectivity: int = 2, include_background: bool = False) -> DataFrame:
     """(u, v, n): labels that touch, u < v, and in how many voxel pairs. connectivity 1: faces; 2: faces and edges."""
     kept = voxels if include_background else voxels.where(F.col(label) != 0)
-    pairs = neighbours(kept, FACES if connectivity == 1 else HALF_2, label).where(F.col(label) != F.col("other"))
+    pairs = neighbours(kept, FACES if connectivity == 1 else HALF_2, label, keep=pc.not_equal)
     return ordered(pairs, label, "other").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -79,11 +80,20 @@ def segment_sweep(nodes: DataFrame, edges: DataFrame, thresholds: Sequence[float
     """lut(threshold, fragment, segment) for every threshold at once: components of the forest keyed by threshold and node."""
     count = len(thresholds)
     forest = spanning_forest(edges) if forest is None else forest
+    # ids may be any 64-bit number: they are numbered in their order, and (number, threshold) is one key
+    scratch = Scratch(edges.sparkSession, "sweep")
+    every = nodes.select(F.col("id").alias("fragment")).distinct()
+    ends = forest.select(F.explode(F.array("u", "v")).alias("fragment"))
+    number = scratch.settle(dense_rank_of(every.unionByName(ends).distinct(), "fragment", "n"))
+    for end in ("u", "v"):
+        forest = forest.join(number.select(F.col("fragment").alias(end), F.col("n").alias(f"n{end}")), end)
     at = F.posexplode(F.array(*(F.lit(float(t)) for t in thresholds)))
-    keyed = forest.select("u", "v", "merge_score", at.alias("k", "t")).where("merge_score <= t")
-    found = connected_components(keyed.select((F.col("u") * count + F.col("k")).alias("a"), (F.col("v") * count + F.col("k")).alias("b")))
-    every = nodes.select(F.col("id").alias("fragment")).distinct().select("fragment", at.alias("k", "t")).withColumn("node", F.col("fragment") * count + F.col("k"))
-    return every.join(found, "node", "left").select(F.col("t").cast("decimal(6,4)").alias("threshold"), "fragment", F.coalesce(F.floor(F.col("component") / count).cast("long"), "fragment").alias("segment"))
+    keyed = forest.select("nu", "nv", "merge_score", at.alias("k", "t")).where("merge_score <= t")
+    found = connected_components(keyed.select((F.col("nu") * count + F.col("k")).alias("a"), (F.col("nv") * count + F.col("k")).alias("b")))
+    asked = every.join(number, "fragment").select("fragment", "n", at.alias("k", "t")).withColumn("node", F.col("n") * count + F.col("k"))
+    least = asked.join(found, "node", "left").withColumn("n", F.expr(f"coalesce(component div {count}, n)"))
+    named = least.select("t", "fragment", "n").join(number.select("n", F.col("fragment").alias("segment")), "n")
+    return named.select(F.col("t").cast("decimal(6,4)").alias("threshold"), "fragment", "segment")
 
 
 def contract(nodes: DataFrame, edges: DataFrame, lut: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,14 +107,14 @@ def contract(nodes: DataFrame, edges: DataFrame, lut: DataFrame) -> tuple[DataFr
 def relabel(voxels: DataFrame, lut: DataFrame, label: str = "label", unmatched: str = "zero", into: str | None = None) -> DataFrame:
     """Labels through (fragment, segment). A label that the table doesn't have becomes 0 (``zero``) or stays (``keep``).
 
-    Whether the table is broadcast is left to its measured size; a background label that holds most rows is no join key.
+    Whether the table is broadcast is left to its measured size. Background, null or 0, meets no row of the table, and its voxels
+    are spread over all tasks by their position.
     """
     if unmatched not in ("zero", "keep"):
         raise ValueError(unmatched)
-    key = F.when(F.col(label) != 0, F.col(label))
-    found = voxels.withColumn("_k", key).join(lut.select(F.col("fragment").alias("_k"), "segment"), "_k", "left")
+    found = with_entry(voxels, label, lut.select("fragment", F.col("segment").alias("_s")), "_s", "fragment")
     other = F.lit(0).cast("long") if unmatched == "zero" else F.col(label)
-    return found.withColumn("_s", F.coalesce("segment", other)).drop("_k", "segment").withColumn(into or label, F.col("_s")).drop("_s")
+    return found.withColumn("_s", F.coalesce("_s", other)).withColumn(into or label, F.col("_s")).drop("_s")
 
 
 def segmentation(voxels: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: float, label: str = "label") -> DataFrame:
@@ -154,5 +164,6 @@ def nodes_of(voxels: DataFrame, label: str = "label", offset=(0, 0, 0), voxel_si
 
 
 def latest(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """The row of the highest version per key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(version).desc()))).where("_n = 1").drop("_n")
+    """The row of the highest version per key; of equal versions the one whose other columns come last in their order."""
+    rest = [F.col(c).desc() for c, kind in df.dtypes if c not in (*keys, version) and not kind.startswith("map")]
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(version).desc(), *rest))).where("_n = 1").drop("_n")

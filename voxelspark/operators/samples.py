@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def uniform(seed: int, *columns) -> Column:
 
 def affinities_from_labels(voxels: DataFrame, offsets: Sequence[tuple[int, int, int]] = FACES, label: str = "label") -> DataFrame:
     """(z, y, x, aff_0..): 1 where the voxel at the offset has the same non-zero label."""
-    pairs = neighbours(voxels.select(*POS, label), offsets, label).where((F.col(label) == F.col("other")) & (F.col(label) > 0))
+    pairs = neighbours(voxels.select(*POS, label), offsets, label, keep=pc.equal).where(F.col(label) > 0)
     hits = pairs.groupBy(*POS).agg(*(F.max((F.col("channel") == k).cast("int")).alias(f"aff_{k}") for k in range(len(offsets))))
     return voxels.select(*POS).join(hits, POS, "left").select(*POS, *(F.coalesce(f"aff_{k}", F.lit(0)).alias(f"aff_{k}") for k in range(len(offsets))))
 

@@ -1,8 +1,8 @@
 """Shape descriptors: weighted count, mean offset, variance and correlation of the voxels of an object around each voxel.
 
 Channels in 3-D: offset z y x, variance zz yy xx, correlation zy zx yx, size; in 2-D: offset y x, variance yy xx, correlation
-yx, size. Labels never mix: the label is part of every join and grouping key. Sums are over offsets from the voxel itself, so
-large coordinates lose no digits.
+yx, size. Labels never mix: objects are summed one by one inside blocks that carry the kernel's reach as context, so the volume is
+shuffled once. Sums are over offsets from the voxel itself, so large coordinates lose no digits.
 """
 
 from __future__ import annotations
@@ -13,13 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.functions.roi import Roi
-from voxelspark.operators.voxels import ball, clip01, component_channels, crop, downsampled, gaussian, kernel_join, repeated
+from voxelspark.operators.blocks import Kernel, moments_in_blocks
+from voxelspark.operators.voxels import ball, clip01, component_channels, crop, downsampled, gaussian, repeated
 from voxelspark.sources.schema import AXES, POS
 
 #: Variance is never below this before it divides.
 LEAST_VARIANCE = 1e-3
-#: A kernel of more voxels than this is applied axis by axis.
-SEPARATE_ABOVE = 128
 
 
 def context(sigma: Sequence[float], mode: str = "gaussian") -> tuple[float, ...]:
@@ -35,32 +34,12 @@ def channel_names(dims: int) -> list[str]:
     return [*(f"offset_{a}" for a in axes), *(f"var_{a}{a}" for a in axes), *(f"pearson_{a}{b}" for a, b in pairs), "size"]
 
 
-def _moments(source: DataFrame, probe: DataFrame, sd: tuple[float, ...], axes: Sequence[str], mode: str, radius) -> DataFrame:
-    """probe's label and position with n, m_<a> and s_<a><b>: weighted sums of 1, d and d*d over the label's voxels (in voxels)."""
-    pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i:]]
-    if mode == "sphere":
-        kernel = ball(radius)
-    else:
-        lines = {a: gaussian(s) for a, s in zip(AXES, sd, strict=True)}
-        kernel = [(dz, dy, dx, wz * wy * wx) for dz, wz in lines["z"] for dy, wy in lines["y"] for dx, wx in lines["x"]] if len(lines["z"]) * len(lines["y"]) * len(lines["x"]) <= SEPARATE_ABOVE else None
-    if kernel is not None:
-        near = kernel_join(probe.select("label", *POS), source.select("label", *POS), kernel)
-        d = {a: F.col(f"d{a}") for a in axes}
-        return near.groupBy("label", *POS).agg(F.sum("w").alias("n"), *(F.sum(F.col("w") * d[a]).alias(f"m_{a}") for a in axes), *(F.sum(F.col("w") * d[a] * d[b]).alias(f"s_{a}{b}") for a, b in pairs))
-    # one pass per axis; positions outside the label are kept until the last one
-    now = source.select("label", *POS, F.lit(1.0).alias("n"))
-    have: list[str] = []
-    for axis in reversed(axes):
-        step = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in lines[axis]))).alias("_k")
-        moved = now.select("*", step).withColumn(axis, F.col(axis) - F.col("_k.d"))
-        w, d = F.col("_k.w"), F.col("_k.d")
-        total = {"n": w * F.col("n"), f"m_{axis}": w * d * F.col("n"), f"s_{axis}{axis}": w * d * d * F.col("n")}
-        for i, b in enumerate(have):
-            total |= {f"m_{b}": w * F.col(f"m_{b}"), f"s_{axis}{b}": w * d * F.col(f"m_{b}")}
-            total |= {f"s_{b}{c}": w * F.col(f"s_{b}{c}") for c in have[i:]}
-        now = moved.groupBy("label", *POS).agg(*(F.sum(e).alias(k) for k, e in total.items()))
-        have.insert(0, axis)
-    return now.join(probe.select("label", *POS), ["label", *POS], "left_semi")
+def _moments(source: DataFrame, probe: DataFrame | None, sd: tuple[float, ...], axes: Sequence[str], mode: str) -> DataFrame:
+    """label and position with n, m_<a> and s_<a><b>: weighted sums of 1, d and d*d over the label's voxels (in voxels)."""
+    at = {a: AXES.index(a) for a in axes}
+    terms = {"n": ()} | {f"m_{a}": (at[a],) for a in axes} | {f"s_{a}{b}": (at[a], at[b]) for i, a in enumerate(axes) for b in axes[i:]}
+    kernel = Kernel(ball=ball(sd)) if mode == "sphere" else Kernel([gaussian(s) for s in sd])
+    return moments_in_blocks(source, probe, kernel, terms)
 
 
 def shape_descriptors(voxels: DataFrame, sigma: Sequence[float], voxel_size: Sequence[float] = (1, 1, 1), mode: str = "gaussian", dims: int = 3, components: str | None = None, labels: Sequence[int] | None = None, roi: Roi | None = None, downsample: int = 1) -> DataFrame:
@@ -88,8 +67,7 @@ def shape_descriptors(voxels: DataFrame, sigma: Sequence[float], voxel_size: Seq
     if mode == "sphere" and len({reach[a] for a in axes}) > 1:
         raise ValueError("a sphere needs one sigma")
     sd = tuple(reach[a] / size[a] if a in axes else 0.0 for a in AXES)
-    probe = source if roi is None else crop(source, roi)
-    m = _moments(source, probe, sd, axes, mode, sd)
+    m = _moments(source, None if roi is None else crop(source, roi), sd, axes, mode)
     far = {a: reach[a] * (0.5 if mode == "sphere" else 1.0) for a in axes}
     mean = {a: F.col(f"m_{a}") / F.col("n") * size[a] for a in axes}
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.functions.roi import Roi
+from voxelspark.operators.blocks import pairs_in_blocks
+from voxelspark.plans.iterate import Scratch
 from voxelspark.sources.schema import AXES, POS
 
 #: Face neighbours at smaller z, y or x; half of the neighbours that share a face or an edge; offsets of the affinity channels.
@@ -58,8 +60,9 @@ def clip01(value: Column) -> Column:
 
 
 def minmax(df: DataFrame, value: str, by: Sequence[str] = ("volume",), into: str = "normalized") -> DataFrame:
-    """(value - min) / (max - min) per group, 0 where they are equal. A partial aggregate joined back, no window over a volume."""
-    ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    """(value - min) / (max - min) per group, 0 where they are equal. A partial aggregate joined back, no window over a volume; the
+    aggregate is written first, so the join knows its size and broadcasts it where it is small."""
+    ends = Scratch(df.sparkSession, "minmax").settle(df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
     span = F.col("_hi") - F.col("_lo")
     return df.join(ends, list(by)).withColumn(into, F.when(span == 0, 0.0).otherwise((F.col(value) - F.col("_lo")) / span)).drop("_lo", "_hi")
 
@@ -134,16 +137,10 @@ def at(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(a).alias(names.get(a, a)) for a in df.columns))
 
 
-def neighbours(df: DataFrame, offsets: Sequence[tuple[int, int, int]], value: str, other: str = "other") -> DataFrame:
-    """Rows (z, y, x, channel, value, other): each voxel with the one at every offset, where both are there.
-
-    One equi-join for all offsets: the probe side is repeated per offset, the other side goes in once.
-    """
-    steps = F.array(*(F.struct(F.lit(k).alias("channel"), *(F.lit(d).alias(f"d{a}") for a, d in zip(AXES, o, strict=True))) for k, o in enumerate(offsets)))
-    key = [f"_n{a}" for a in AXES]
-    probe = df.select(*POS, value, F.explode(steps).alias("_s")).select(*POS, value, "_s.channel", *((F.col(a) + F.col(f"_s.d{a}")).alias(k) for a, k in zip(AXES, key, strict=True)))
-    found = df.select(*(F.col(a).alias(k) for a, k in zip(AXES, key, strict=True)), F.col(value).alias(other))
-    return probe.join(found, key).drop(*key)
+def neighbours(df: DataFrame, offsets: Sequence[tuple[int, int, int]], value: str, other: str = "other", keep: Callable | None = None) -> DataFrame:
+    """Rows (z, y, x, channel, value, other): each voxel with the one at every offset, where both are there; block by block, the
+    volume is shuffled once. keep: of both values, as Arrow arrays, which pairs are returned."""
+    return pairs_in_blocks(df, offsets, value, other, keep)
 
 
 def line_before(df: DataFrame, axis: str, value: str, into: str, step: int = 1) -> DataFrame:

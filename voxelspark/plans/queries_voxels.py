@@ -238,9 +238,9 @@ def b18(spark, d):
     return per.join(cuts, F.col("l_discount") * 10 >= F.col("threshold")).groupBy("quantity", "threshold").agg(F.sum("n").alias("n"))
 
 
-@query("b19_clip01", "SELECT o_orderkey, round(greatest(0.0, least(1.0, o_totalprice / 200000 - 0.5)), 6) AS v FROM orders")
+@query("b19_clip01", "SELECT o_orderkey, greatest(0.0, least(1.0, o_totalprice / 200000 - 0.5)) AS v FROM orders")
 def b19(spark, d):
-    return W.table(spark, d, "orders").select("o_orderkey", F.round(V.clip01(F.col("o_totalprice") / 200_000 - 0.5), 6).alias("v"))
+    return W.table(spark, d, "orders").select("o_orderkey", V.clip01(F.col("o_totalprice") / 200_000 - 0.5).alias("v"))
 
 
 @query("b20_reorder_axes", f"WITH {W.V2} SELECT z, y, x, label FROM v2")

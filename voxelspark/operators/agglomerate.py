@@ -11,12 +11,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.operators.voxels import FACES, neighbours
-from voxelspark.plans.iterate import Scratch
+from voxelspark.operators.labels import dense_rank_of
+from voxelspark.plans.iterate import Scratch, connected_components
 from voxelspark.sources.schema import POS
 
 BINS = 256
@@ -35,6 +38,19 @@ class MeanScore:
     def score(self) -> Column:
         return 1 - F.col("state.total") / F.col("state.n")
 
+    # the same for a bounded list of edges, as arrays
+    def load(self, state: pa.Array) -> np.ndarray:
+        return np.stack([pc.struct_field(state, "total").to_numpy(), pc.struct_field(state, "n").to_numpy().astype(float)], axis=1)
+
+    def pooled(self, state: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+        """States of ``n`` edges, the k-th old edge going into to[k], or nowhere if that is negative."""
+        out = np.zeros((n, 2))
+        np.add.at(out, to[to >= 0], state[to >= 0])
+        return out
+
+    def scores(self, state: np.ndarray) -> np.ndarray:
+        return 1 - state[:, 0] / state[:, 1]
+
 
 @dataclass(frozen=True)
 class QuantileScore:
@@ -62,6 +78,29 @@ class QuantileScore:
         found = F.aggregate(entries, start, lambda s, e: F.struct((s["seen"] + e["value"]).alias("seen"), F.when((s["bin"] < 0) & (s["seen"] + e["value"] >= need), e["key"]).otherwise(s["bin"]).alias("bin")))
         return 1 - found["bin"] / F.lit(float(BINS - 1))
 
+    # the same for a bounded list of edges: rows (edge, bin, n), sorted
+    def load(self, state: pa.Array) -> np.ndarray:
+        size = np.diff(state.offsets.to_numpy())
+        rows = np.stack([np.repeat(np.arange(len(state)), size), state.keys.to_numpy().astype(np.int64), state.items.to_numpy().astype(np.int64)], axis=1)
+        return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+    def pooled(self, state: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+        edge = to[state[:, 0]]
+        key = edge[edge >= 0] * BINS + state[edge >= 0, 1]
+        own, where = np.unique(key, return_inverse=True)
+        total = np.zeros(len(own), np.int64)
+        np.add.at(total, where, state[edge >= 0, 2])
+        return np.stack([own // BINS, own % BINS, total], axis=1)
+
+    def scores(self, state: np.ndarray) -> np.ndarray:
+        first = np.flatnonzero(np.append(True, state[1:, 0] != state[:-1, 0])) if len(state) else np.zeros(0, np.int64)
+        seen = np.cumsum(state[:, 2])
+        before = np.append(0, seen)[first]
+        total = np.append(seen[first[1:] - 1], seen[-1:]) - before
+        enough = seen - np.repeat(before, np.diff(np.append(first, len(state)))) >= np.repeat(total * self.q, np.diff(np.append(first, len(state))))
+        at = np.flatnonzero(enough)
+        return 1 - state[at[np.searchsorted(at, first)], 1] / float(BINS - 1)
+
 
 #: Names of the published score table.
 SCORES = {"mean": MeanScore()} | {f"hist_quant_{q}": QuantileScore(q / 100) for q in (10, 25, 50, 75, 90)} | {f"hist_quant_{q}_initmax": QuantileScore(q / 100, True) for q in (10, 25, 50, 75, 90)}
@@ -83,14 +122,81 @@ def edge_scores(samples: DataFrame, how=None) -> DataFrame:
     return how.pool(samples).select("u", "v", how.score().alias("merge_score"))
 
 
-def agglomerate(samples: DataFrame, threshold: float, how=None, max_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+def local_rounds(u: np.ndarray, v: np.ndarray, state, how, threshold: float):
+    """(merges as rows of u, v, score and round; (nodes, their segments)) of a bounded list of pooled edges, in the rounds of ``agglomerate``."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, segment, merges = at[: len(u)], at[len(u) :], np.arange(len(nodes)), []
+    while len(u):
+        score = how.scores(state)
+        place = np.empty(len(u), np.int64)
+        place[np.lexsort((v, u, score))] = np.arange(len(u))
+        best = np.full(len(nodes), len(u))
+        np.minimum.at(best, u, place)
+        np.minimum.at(best, v, place)
+        k = np.flatnonzero((best[u] == place) & (best[v] == place) & (score < threshold))
+        if not len(k):
+            break
+        merges.append((nodes[u[k]], nodes[v[k]], score[k]))
+        to = np.arange(len(nodes))
+        to[v[k]] = u[k]
+        segment = to[segment]
+        a, b = np.minimum(to[u], to[v]), np.maximum(to[u], to[v])
+        key = a * len(nodes) + b
+        own, where = np.unique(key[a != b], return_inverse=True)
+        goes = np.full(len(u), -1)
+        goes[a != b] = where
+        state, u, v = how.pooled(state, goes, len(own)), own // len(nodes), own % len(nodes)
+    return merges, (nodes, nodes[segment])
+
+
+def agglomerate(samples: DataFrame, threshold: float, how=None, max_rounds: int = 500, max_merges: int | None = None, whole: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(history (a, b, c, score, round), lut (fragment, segment)): merges below ``threshold``; c is the smaller of a and b.
 
-    The lut has the fragments that merged.
+    The lut has the fragments that merged. No merge leaves a connected component of edges below the threshold, as pooling never
+    gives less than the smaller score. So components of up to ``whole`` edges are merged to the end in one pass, many of them in a
+    group of about ``whole`` edges; larger ones go by rounds of joins. Both give the same merges in the same rounds. Scores without
+    array methods (``load``, ``pooled``, ``scores``) go by joins alone.
+
+    max_merges: the first so many merges in the order of score, which is that of merging the lowest edge first.
     """
-    how = how or MeanScore()
-    scratch = Scratch(samples.sparkSession, "agglomerate")
+    how, spark = how or MeanScore(), samples.sparkSession
+    scratch = Scratch(spark, "agglomerate")
     edges = scratch.settle(how.pool(samples).withColumn("score", how.score()))
+    inside = connected_components(edges.where(F.col("score") < threshold), "u", "v", whole=whole)
+    for end in ("u", "v"):
+        edges = edges.join(inside.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end)
+    edges = scratch.settle(edges.where("cu = cv").select("u", "v", "state", "score", F.col("cu").alias("component")))
+    sizes = scratch.settle(edges.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    few = F.col("n") <= (whole if hasattr(how, "pooled") else 0)
+    total = sizes.where(few).agg(F.sum("n")).first()[0]
+    history, lut = spark.createDataFrame([], "a long, b long, c long, score double, round int"), spark.createDataFrame([], "fragment long, segment long")
+    if total:
+        groups = -(-total // whole)
+
+        def run(t: pa.Table) -> pa.Table:
+            t = t.combine_chunks()
+            merges, (node, segment) = local_rounds(t.column("u").to_numpy(), t.column("v").to_numpy(), how.load(t.column("state").combine_chunks()), how, threshold)
+            n = [len(m[0]) for m in merges]
+            columns = [np.concatenate([*(m[k] for m in merges), own]) for k, own in enumerate((node, segment, np.zeros(len(node))))]
+            rounds = np.concatenate([np.repeat(np.arange(len(n)), n).astype(np.int64), np.full(len(node), -1)])
+            return pa.table({"a": columns[0], "b": columns[1], "score": columns[2].astype(float), "round": rounds.astype(np.int32)})
+
+        small = edges.join(sizes.where(few).select("component"), "component", "left_semi").select("u", "v", "state", "component")
+        done = scratch.settle(small.groupBy(F.pmod(F.xxhash64("component"), F.lit(groups))).applyInArrow(run, "a long, b long, score double, round int"))
+        history = done.where("round >= 0").select("a", "b", F.col("a").alias("c"), "score", "round")
+        lut = done.where("round < 0").select(F.col("a").alias("fragment"), F.col("b").alias("segment"))
+    if not sizes.where(~few).isEmpty():
+        large = edges.join(sizes.where(~few).select("component"), "component", "left_semi").select("u", "v", "state", "score")
+        more, other = _by_rounds(scratch, scratch.settle(large), threshold, how, max_rounds)
+        history, lut = history.unionByName(more), lut.unionByName(other)
+    if max_merges is not None:
+        history = scratch.settle(history.orderBy("score", "round", "a", "b").limit(max_merges))
+        lut = connected_components(history, whole=whole).toDF("fragment", "segment")
+    return history, lut
+
+
+def _by_rounds(scratch: Scratch, edges: DataFrame, threshold: float, how, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(history, lut) of pooled edges with their score, a few jobs a round."""
     history, lut = None, None
     for k in range(max_rounds):
         key = F.struct("score", "u", "v")
@@ -100,7 +206,7 @@ def agglomerate(samples: DataFrame, threshold: float, how=None, max_rounds: int
         if merges.isEmpty():
             break
         step = merges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("u").alias("c"), "score", F.lit(k).alias("round"))
-        history = step if history is None else history.unionByName(step)
+        history = step if history is None else scratch.settle(history.unionByName(step))
         to = merges.select(F.col("v").alias("_n"), F.col("u").alias("_to"))
         moved = edges.select("u", "v", "state")
         for end in ("u", "v"):
@@ -117,11 +223,7 @@ def agglomerate(samples: DataFrame, threshold: float, how=None, max_rounds: int
         edges = after
     else:
         raise RuntimeError(f"merging did not settle in {max_rounds} rounds")
-    spark = samples.sparkSession
-    if history is None:
-        return spark.createDataFrame([], "a long, b long, c long, score double, round int"), spark.createDataFrame([], "fragment long, segment long")
-    roots = lut.select(F.col("segment").alias("fragment"), "segment").distinct()
-    return history, lut.unionByName(roots)
+    return history, lut.unionByName(lut.select(F.col("segment").alias("fragment"), "segment").distinct())
 
 
 def merge_tree(history: DataFrame) -> DataFrame:
@@ -131,20 +233,16 @@ def merge_tree(history: DataFrame) -> DataFrame:
     """
     scratch = Scratch(history.sparkSession, "tree")
     top = history.agg(F.max(F.greatest("a", "b"))).first()[0]
-    numbered = history.withColumn("node", F.row_number().over(Window.partitionBy("round").orderBy("score", "a", "b")))
-    per = {r["round"]: r["n"] for r in history.groupBy("round").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per round
-    base, start = {}, top or 0
-    for k in sorted(per):
-        base[k], start = start, start + per[k]
-    shift = F.create_map(*(x for k, b in base.items() for x in (F.lit(k), F.lit(b)))) if base else F.create_map(F.lit(0), F.lit(0))
-    merges = scratch.settle(numbered.withColumn("node", F.col("node") + shift[F.col("round")]))
+    rounds = sorted(r["round"] for r in history.select("round").distinct().collect())  # a row per round
+    ranked = dense_rank_of(history.select(F.struct("round", "score", "a", "b").alias("k")), "k", "_n")
+    merges = scratch.settle(ranked.select("k.*", (F.col("_n") + F.lit(top or 0)).alias("node")))
     # the last merge of a name before this round made the tree node that now stands under that name
     before = Window.partitionBy("name").orderBy("round")
     names = merges.select(F.col("a").alias("name"), "round", "node").unionByName(merges.select(F.col("b").alias("name"), "round", "node"))
     under = names.withColumn("child", F.coalesce(F.lag("node").over(before), "name"))
     links = scratch.settle(under.select("child", F.col("node").alias("parent")).join(merges.select(F.col("node").alias("parent"), "score", "round"), "parent"))
     levels = links.select(F.col("child").alias("node")).join(merges.select("node"), "node", "left_anti").distinct().withColumn("level", F.lit(0))
-    for k in sorted(per):
+    for k in rounds:
         up = links.where(F.col("round") == k).join(levels.select(F.col("node").alias("child"), "level"), "child").groupBy("parent").agg((F.max("level") + 1).alias("level"))
         levels = scratch.settle(levels.unionByName(up.select(F.col("parent").alias("node"), "level")))
     parents = links.select(F.col("child").alias("node"), "parent")
@@ -191,7 +289,6 @@ def agglomerate_blockwise(voxels: DataFrame, block, context, threshold: float, l
     halo = halo_blocks(voxels, block, context)
     names = halo.select(*blocks, F.col(label).alias("id")).where("id <> 0").distinct()
     scratch = Scratch(voxels.sparkSession, "blockwise")
-    from voxelspark.operators.labels import dense_rank_of
 
     keyed = scratch.settle(dense_rank_of(names.select(F.struct(*blocks, "id").alias("k")), "k", "number").select("k.*", "number"))
     inside = halo.join(keyed.withColumnRenamed("id", label), [*blocks, label]).withColumn("_cell", F.struct(*blocks))
@@ -213,7 +310,6 @@ def node_descriptor_scores(own: DataFrame, target: DataFrame, channels: Sequence
 
 def edge_descriptor_scores(voxels: DataFrame, edges: DataFrame, target: DataFrame, sigma, voxel_size=(1, 1, 1), dims: int = 3) -> DataFrame:
     """(u, v, score): s(u + v) - s(u) - s(v), negative where the merged object is nearer to the target descriptors."""
-    from voxelspark.operators.labels import dense_rank_of
     from voxelspark.operators.shape import channel_names, shape_descriptors
 
     scratch, channels = Scratch(voxels.sparkSession, "descriptor"), channel_names(dims)

@@ -100,7 +100,7 @@ def label_components(voxels: DataFrame, value: str, shape: tuple[int, int, int],
     keyed = kept.withColumn("_key", voxel_key(shape)).select(*POS, F.struct("_key", value).alias("_v"))
     alike = lambda v, o: pc.equal(pc.struct_field(v, value), pc.struct_field(o, value))
     pairs = neighbours(keyed, offsets, "_v", "_o", None if one_value else alike)
-    found = connected_components(pairs.select(F.col("_v._key").alias("a"), F.col("_o._key").alias("b")))
+    found = connected_components(pairs.select(F.col("_v._key").alias("a"), F.col("_o._key").alias("b")), whole=500_000)
     return kept.withColumn("_key", voxel_key(shape)).join(found.withColumnRenamed("node", "_key"), "_key", "left").withColumn(into, F.coalesce("component", "_key") + 1).select(*kept.columns, into)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from voxelspark.operators.voxels import FACES, HALF_2, crop, neighbours
 from voxelspark.plans.iterate import Scratch, connected_components
 from voxelspark.sources.schema import AXES
 
+#: Edges that one group may hold: a graph of no more is done in one pass.
+WHOLE = 500_000
+
 
 def ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     """Endpoints as u <= v."""
@@ -47,18 +52,49 @@ def cut(edges: DataFrame, threshold: float) -> DataFrame:
 
 def components_at(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """(fragment, segment): the smallest fragment of each component; a node without such edges is its own."""
-    found = connected_components(cut(edges, threshold), "u", "v")
+    found = connected_components(cut(edges, threshold), "u", "v", whole=WHOLE)
     return nodes.select(F.col("id").alias("fragment")).distinct().join(found, F.col("fragment") == F.col("node"), "left").select("fragment", F.coalesce("component", "fragment").alias("segment"))
 
 
-def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """The minimum spanning forest by (merge_score, u, v), in rounds: every component takes its least edge out, then those join.
+def local_forest(t: pa.Table) -> pa.Table:
+    """The edges of a bounded table that are in its minimum spanning forest by (merge_score, u, v)."""
+    score, u, v = (t.column(c).to_numpy() for c in ("merge_score", "u", "v"))
+    order = np.lexsort((v, u, score))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    one, two, root, kept = at[: len(u)][order].tolist(), at[len(u) :][order].tolist(), list(range(len(nodes))), []
+    for k, (a, b) in enumerate(zip(one, two, strict=True)):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append(k)
+    return t.take(pa.array(order[np.array(kept, np.int64)]))
+
+
+def spanning_forest(edges: DataFrame, max_rounds: int = 60, whole: int = WHOLE) -> DataFrame:
+    """The minimum spanning forest by (merge_score, u, v).
 
     Unscored edges don't count. The forest has the components of the whole graph at every threshold, and fewer edges than nodes.
+    Edges are dealt to groups of about ``whole``; an edge that its group's forest leaves out is in no forest. Once that no longer
+    thins them, rounds: every component takes its least edge out, then those join. A graph of at most ``whole`` edges is one group.
     """
     scratch = Scratch(edges.sparkSession, "forest")
     scored = edges.where("merge_score is not null and u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("merge_score").alias("merge_score"))
-    open_ = scratch.settle(scored.withColumns({"cu": F.col("u"), "cv": F.col("v")}))
+    left = scratch.settle(scored.select(F.col("u").cast("long"), F.col("v").cast("long"), F.col("merge_score").cast("double")))
+    n = left.count()
+    for turn in range(max_rounds):
+        parts = -(-n // max(1, whole))
+        thin = left.groupBy(F.pmod(F.xxhash64("u", "v", F.lit(turn)), F.lit(max(1, parts)))).applyInArrow(local_forest, "u long, v long, merge_score double")
+        left, older = scratch.settle(thin), left
+        scratch.drop(older)
+        n, had = left.count(), n
+        if parts <= 1:
+            return left
+        if n > 0.8 * had:
+            break
+    open_ = scratch.settle(left.withColumns({"cu": F.col("u"), "cv": F.col("v")}))
     forest = None
     for _ in range(max_rounds):
         if open_.isEmpty():
@@ -69,7 +105,7 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         forest = best if forest is None else forest.unionByName(best)
         # which components the new edges join
         joined = open_.join(best.select("u", "v"), ["u", "v"], "left_semi").select("cu", "cv")
-        found = scratch.settle(connected_components(joined, "cu", "cv"))
+        found = connected_components(joined, "cu", "cv", whole=whole)
         for end in ("cu", "cv"):
             open_ = open_.join(found.select(F.col("node").alias(end), F.col("component").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
         open_ = scratch.settle(open_.where("cu <> cv").select("u", "v", "merge_score", "cu", "cv"))
@@ -89,7 +125,7 @@ def segment_sweep(nodes: DataFrame, edges: DataFrame, thresholds: Sequence[float
         forest = forest.join(number.select(F.col("fragment").alias(end), F.col("n").alias(f"n{end}")), end)
     at = F.posexplode(F.array(*(F.lit(float(t)) for t in thresholds)))
     keyed = forest.select("nu", "nv", "merge_score", at.alias("k", "t")).where("merge_score <= t")
-    found = connected_components(keyed.select((F.col("nu") * count + F.col("k")).alias("a"), (F.col("nv") * count + F.col("k")).alias("b")))
+    found = connected_components(keyed.select((F.col("nu") * count + F.col("k")).alias("a"), (F.col("nv") * count + F.col("k")).alias("b")), whole=WHOLE)
     asked = every.join(number, "fragment").select("fragment", "n", at.alias("k", "t")).withColumn("node", F.col("n") * count + F.col("k"))
     least = asked.join(found, "node", "left").withColumn("n", F.expr(f"coalesce(component div {count}, n)"))
     named = least.select("t", "fragment", "n").join(number.select("n", F.col("fragment").alias("segment")), "n")

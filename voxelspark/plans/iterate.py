@@ -1,7 +1,8 @@
 """Round loops over DataFrames: where tables are kept between rounds, and connected components.
 
 Every table that outlives a round is written to the folder that the cluster names in ``spark.checkpoint.dir``, so a lost
-executor never takes the only copy with it. Only where that setting is absent (tests, a laptop) is a folder made here.
+executor never takes the only copy with it. Only where that setting is absent and the master is local (tests, a laptop) is a
+folder made here.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="voxelspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -56,12 +61,28 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def local_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node reachable) of a bounded list of edges."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        open_ = low < high
+        a, b = a[open_], b[open_]
+        np.minimum.at(label, high[open_], low[open_])
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, whole: int = 0) -> DataFrame:
     """(node, component): the smallest node id reachable over ``edges``; nodes without an edge to another are absent.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014). The edge count never grows past the first round's, a
     round is two aggregates and two joins, and rounds grow with the logarithm of the longest path. Null endpoints and self
-    edges are ignored. Raises RuntimeError if ``max_rounds`` are not enough.
+    edges are ignored. Raises RuntimeError if ``max_rounds`` are not enough. A graph of at most ``whole`` edges, a bounded group, is
+    done in one pass instead; the result is the same.
     """
     scratch = Scratch(edges.sparkSession, "components")
 
@@ -74,6 +95,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     now = scratch.settle(distinct_edges(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())))
     was = state(now)
+    if was[0] <= whole:
+
+        def pass_(t: pa.Table) -> pa.Table:
+            node, component = local_components(t.column("u").to_numpy(), t.column("v").to_numpy())
+            return pa.table({"node": node, "component": component})
+
+        return scratch.settle(now.select(F.col("u").cast("long"), F.col("v").cast("long")).groupBy().applyInArrow(pass_, "node long, component long"))
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -19,7 +19,12 @@ from voxelspark.sources.schema import AXES, POS
 
 def uniform(seed: int, *columns) -> Column:
     """Uniform in [0, 1), the same at every run."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
+    return drawn(seed, *columns) / float(1 << 32)
+
+
+def drawn(seed: int, *columns) -> Column:
+    """32 bits of the MD5 of the columns and the seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
 
 
 def affinities_from_labels(voxels: DataFrame, offsets: Sequence[tuple[int, int, int]] = FACES, label: str = "label") -> DataFrame:
@@ -96,7 +101,7 @@ def choose_source(samples: DataFrame, probabilities: dict[str, float], seed: int
 
 def mirror_transpose(voxels: DataFrame, shape: tuple[int, int, int], seed: int = 0, key: str = "sample", transpose_xy: bool = True) -> DataFrame:
     """Axes mirrored and x and y swapped by hash bits of each sample; swapping needs equal sides."""
-    bits = F.xxhash64(key, F.lit(seed))
+    bits = drawn(seed, key)
     flip = [F.when(F.shiftright(bits, k).bitwiseAND(F.lit(1)) == 1, F.lit(s - 1) - F.col(a)).otherwise(F.col(a)) for k, (a, s) in enumerate(zip(AXES, shape, strict=True))]
     z, y, x = flip
     if transpose_xy and shape[1] == shape[2]:

@@ -34,9 +34,7 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def height(spark, d) -> int:
-    """Rows of the plane, from file statistics."""
-    return (W.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] or 0) // W.WIDTH + 1
+height = W.height
 
 
 def frags(spark, d):
@@ -74,7 +72,23 @@ def f1(spark, d):
     return SH.shape_descriptors(frags(spark, d), SIGMA2, dims=2).select("label", "y", "x", *r5(*CH2))
 
 
-@query("f1_shape_descriptors_3d")
+def descriptor_sql_3d(view: str, sigma: float) -> str:
+    """CTE ``lsd``: 3-D descriptors of ``view``(label, z, y, x) at voxel size 1."""
+    r, axes = int(3 * sigma + 0.5), "zyx"
+    d = {a: f"(b.{a} - a.{a})" for a in axes}
+    w = " * ".join(f"exp(-0.5 * ({d[a]} / {float(sigma)}) ** 2)" for a in axes) + f" / (SELECT sum(exp(-0.5 * (e / {float(sigma)}) ** 2)) FROM range({-r}, {r + 1}) t(e)) ** 3"
+    pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i:]]
+    first, second = ", ".join(f"sum(w * d{a}) AS m{a}" for a in axes), ", ".join(f"sum(w * d{a} * d{b}) AS s{a}{b}" for a, b in pairs)
+    cov = lambda a, b: f"(s{a}{b} / n - m{a} * m{b} / (n * n))"
+    cut = lambda e: f"round(least(1, greatest(0, {e})), 5)"
+    chan = [f"{cut(f'm{a} / n / {sigma} * 0.5 + 0.5')} AS offset_{a}" for a in axes] + [f"{cut(f'v{a} / {sigma * sigma}')} AS var_{a}{a}" for a in axes]
+    chan += [f"{cut(f'{cov(a, b)} / sqrt(v{a} * v{b}) * 0.5 + 0.5')} AS pearson_{a}{b}" for a, b in pairs if a != b] + [f"{cut('n')} AS size"]
+    return f"""k AS (SELECT a.label, a.z, a.y, a.x, {", ".join(f"{d[a]} AS d{a}" for a in axes)}, {w} AS w FROM {view} a JOIN {view} b ON a.label <> 0 AND a.label = b.label AND {" AND ".join(f"abs({d[a]}) <= {r}" for a in axes)}),
+ m AS (SELECT label, z, y, x, sum(w) AS n, {first}, {second} FROM k GROUP BY 1, 2, 3, 4), c AS (SELECT *, {", ".join(f"greatest({cov(a, a)}, 1e-3) AS v{a}" for a in axes)} FROM m),
+ lsd AS (SELECT z, y, x, label, {", ".join(chan)} FROM c)"""
+
+
+@query("f1_shape_descriptors_3d", f"WITH {W.V2}, {descriptor_sql_3d('v2', 1.5)} SELECT * FROM lsd")
 def f1_3d(spark, d):
     """All ten channels, axis by axis."""
     found = SH.shape_descriptors(W.block(spark, d), (1.5, 1.5, 1.5))
@@ -183,8 +197,8 @@ def g5(spark, d):
 
 @query("g6_fragments_from_descriptors")
 def g6(spark, d):
-    lsd = SH.shape_descriptors(W.plane(spark, d).select("z", "y", "x", F.col("gt").alias("label")), SIGMA2, dims=2, components="01")
-    centred = lsd.select("z", "y", "x", *((F.col(c) - 0.5).alias(c) for c in ("offset_y", "offset_x")))
+    found = SH.shape_descriptors(W.plane(spark, d).select("z", "y", "x", F.col("gt").alias("label")), SIGMA2, dims=2, components="01")
+    centred = found.select("z", "y", "x", *((F.col(c) - 0.5).alias(c) for c in ("offset_y", "offset_x")))
     return FR.fragments_from_descriptors(centred, (1, height(spark, d), W.WIDTH), ("offset_y", "offset_x"), 1.0, 6, ("y", "x")).select("y", "x", "fragment")
 
 
@@ -352,26 +366,34 @@ def i7(spark, d):
 NODE_SCORE = " + ".join(f"(a.{c} - b.{c}) ** 2" for c in CH2)
 
 
-def target_lsd(spark, d):
+def target_descriptors(spark, d):
     return SH.shape_descriptors(W.plane(spark, d).select("z", "y", "x", F.col("gt").alias("label")), SIGMA2, dims=2)
 
 
 @query("i8_node_descriptor_score", f"""WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2)}, own AS (SELECT * FROM lsd), g AS (SELECT gt AS label, y, x FROM v1),
- {descriptor_sql('g', 2).replace('m AS', 'm2 AS').replace('FROM m)', 'FROM m2)').replace(' c AS', ' c2 AS').replace('FROM c)', 'FROM c2)').replace('lsd AS', 'lsd2 AS')}
- SELECT a.label AS id, round(sum({NODE_SCORE}), 4) AS score FROM own a JOIN lsd2 b ON a.y = b.y AND a.x = b.x GROUP BY 1""")
+ {descriptor_sql('g', 2).replace('m AS', 'm2 AS').replace('FROM m)', 'FROM m2)').replace(' c AS', ' c2 AS').replace('FROM c)', 'FROM c2)').replace('lsd AS', 'target AS')}
+ SELECT a.label AS id, round(sum({NODE_SCORE}), 4) AS score FROM own a JOIN target b ON a.y = b.y AND a.x = b.x GROUP BY 1""")
 def i8(spark, d):
-    return A.node_descriptor_scores(SH.shape_descriptors(frags(spark, d), SIGMA2, dims=2), target_lsd(spark, d), CH2).select("id", F.round("score", 4).alias("score"))
+    return A.node_descriptor_scores(SH.shape_descriptors(frags(spark, d), SIGMA2, dims=2), target_descriptors(spark, d), CH2).select("id", F.round("score", 4).alias("score"))
+
 
+OWN_TARGET = f"""{FRAG_VIEW}, {descriptor_sql('f', 2)}, own AS (SELECT * FROM lsd), g AS (SELECT gt AS label, y, x FROM v1),
+ {descriptor_sql('g', 2).replace('m AS', 'm2 AS').replace('FROM m)', 'FROM m2)').replace(' c AS', ' c2 AS').replace('FROM c)', 'FROM c2)').replace('lsd AS', 'target AS')}"""
+ALONE = f"alone AS (SELECT a.label AS id, sum({NODE_SCORE}) AS score FROM own a JOIN target b ON a.y = b.y AND a.x = b.x GROUP BY 1)"
 
-@query("i9_edge_descriptor_score")
+
+@query("i9_edge_descriptor_score", f"""WITH {W.GRAPH1}, {OWN_TARGET}, {ALONE}, pairs AS (SELECT u, v, row_number() OVER (ORDER BY u, v) AS pair FROM e1), p AS (SELECT pair AS label, y, x FROM pairs JOIN f ON f.label = pairs.u OR f.label = pairs.v),
+ {descriptor_sql('p', 2).replace('m AS', 'm3 AS').replace('FROM m)', 'FROM m3)').replace(' c AS', ' c3 AS').replace('FROM c)', 'FROM c3)').replace('lsd AS', 'merged AS')},
+ joint AS (SELECT a.label AS pair, sum({NODE_SCORE}) AS score FROM merged a JOIN target b ON a.y = b.y AND a.x = b.x GROUP BY 1)
+ SELECT pairs.u, pairs.v, round(joint.score - one.score - two.score, 4) AS score FROM pairs JOIN joint USING (pair) JOIN alone one ON one.id = pairs.u JOIN alone two ON two.id = pairs.v""")
 def i9(spark, d):
-    return A.edge_descriptor_scores(frags(spark, d), W.plane_edges(spark, d), target_lsd(spark, d), SIGMA2, dims=2).select("u", "v", F.round("score", 4).alias("score"))
+    return A.edge_descriptor_scores(frags(spark, d), W.plane_edges(spark, d), target_descriptors(spark, d), SIGMA2, dims=2).select("u", "v", F.round("score", 4).alias("score"))
 
 
 @query("i10_agglomerate_by_descriptor")
 def i10(spark, d):
     v = frags(spark, d).select("z", "y", "x", "label")
-    return A.agglomerate_by_descriptors(v, W.plane_edges(spark, d), target_lsd(spark, d), SIGMA2, dims=2)[0].select("a", "b", "c", F.round("score", 4).alias("score"), "round")
+    return A.agglomerate_by_descriptors(v, W.plane_edges(spark, d), target_descriptors(spark, d), SIGMA2, dims=2)[0].select("a", "b", "c", F.round("score", 4).alias("score"), "round")
 
 
 @query("i11_after_merge", f"WITH {W.V1}, {W.NODES1}, {W.THIRDS}, g AS (SELECT segment AS label, y, x FROM v1 JOIN lut ON frag = fragment), {descriptor_sql('g', 2)} SELECT label, y, x, {CH2_SQL} FROM lsd")
@@ -381,8 +403,15 @@ def i11(spark, d):
     return SH.shape_descriptors(merged, SIGMA2, dims=2).select("label", "y", "x", *r5(*CH2))
 
 
-@query("c8_ancestor_join")
+@query("c8_ancestor_join", f"""WITH RECURSIVE {W.V1}, {W.NODES1}, tree AS (SELECT id AS node, CASE WHEN id >= 3 THEN id // 3 END AS parent FROM nodes),
+ up AS (SELECT node, node AS ancestor FROM tree UNION ALL SELECT up.node, tree.parent FROM up JOIN tree ON up.ancestor = tree.node WHERE tree.parent IS NOT NULL) SELECT node, ancestor FROM up""")
 def c8(spark, d):
+    """Every node of a tree of fragments with all above it; a fragment's parent is the one of a third of its number."""
+    return A.ancestors(W.plane_nodes(spark, d).select(F.col("id").alias("node"), F.expr("case when id >= 3 then id div 3 end").alias("parent")))
+
+
+@query("c8_merge_ancestors")
+def c8_merges(spark, d):
     return A.ancestors(A.merge_tree(A.agglomerate(W.plane_samples(spark, d), 0.6)[0]))
 
 
@@ -489,10 +518,10 @@ def d18(spark, d):
     return EV.weighted_mse(W.table(spark, d, "lineitem").withColumn("t", F.col("l_quantity") / 50), "l_discount", "t", "l_tax").select(*r6("loss"))
 
 
-@query("d21_synapse_voi", f"WITH {COARSE}, ends2 AS (SELECT source AS id FROM bones WHERE source % 5 = 0 UNION SELECT target FROM bones WHERE source % 5 = 0), j AS (SELECT component_id AS a, segment AS b, count(*) AS n FROM seg JOIN sites USING (id) WHERE id IN (SELECT id FROM ends2) GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS total FROM j) SELECT {VOI} FROM m")
+@query("d21_synapse_voi", f"WITH {COARSE}, ends2 AS (SELECT source AS id FROM bones UNION SELECT target FROM bones), j AS (SELECT component_id AS a, segment AS b, count(*) AS n FROM seg JOIN sites USING (id) WHERE id IN (SELECT id FROM ends2) GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS total FROM j) SELECT {VOI} FROM m")
 def d21(spark, d):
     s, bones, _, seg = coarse_skeleton(spark, d)
-    return EV.synapse_voi(s, seg, bones.where("source % 5 = 0")).select(*r6("voi_split", "voi_merge"))
+    return EV.synapse_voi(s, seg, bones).select(*r6("voi_split", "voi_merge"))
 
 
 @query("d_sweep_scores", f"""WITH {W.V1}, {W.NODES1}, j AS (SELECT k, gt AS a, CAST((frag - 1) // k * k + 1 AS BIGINT) AS b, count(*) AS n FROM v1, (VALUES (2), (3), (10)) t(k) WHERE gt <> 0 GROUP BY 1, 2, 3),
@@ -514,35 +543,39 @@ def j1(spark, d):
     return SM.affinities_from_labels(W.plane(spark, d), label="gt").select("y", "x", "aff_1", "aff_2")
 
 
-@query("j2_random_crops")
+@query("j2_random_crops", f"""WITH {W.V1}, e AS (SELECT min(y) ly, max(y) hy, min(x) lx, max(x) hx FROM v1),
+ o AS (SELECT crop, CAST(floor({W.uniform_sql(4, 'crop')} * greatest(1, hy + 1 - ly - 8 + 1)) + ly AS INT) AS lo_y, CAST(floor({W.uniform_sql(5, 'crop')} * greatest(1, hx + 1 - lx - 8 + 1)) + lx AS INT) AS lo_x FROM range(0, 720) t(crop), e)
+ SELECT crop, 0 AS lo_z, lo_y, lo_x, count(*) / 64 AS share FROM o JOIN v1 ON gt > 0 AND y >= lo_y AND y < lo_y + 8 AND x >= lo_x AND x < lo_x + 8 GROUP BY 1, 3, 4 HAVING count(*) / 64 >= 0.9 ORDER BY crop LIMIT 10""")
 def j2(spark, d):
     return SM.random_crops(W.plane(spark, d).withColumn("m", F.col("gt") > 0), 10, (1, 8, 8), "m", 0.9, 3)
 
 
-@query("j3_choose_source")
+@query("j3_choose_source", f"SELECT o_orderkey, CASE WHEN {W.uniform_sql(1, 'o_orderkey')} < 0.125 THEN 'a' WHEN {W.uniform_sql(1, 'o_orderkey')} < 0.375 THEN 'b' ELSE 'c' END AS source FROM orders")
 def j3(spark, d):
     return SM.choose_source(W.table(spark, d, "orders").select("o_orderkey"), {"a": 1, "b": 2, "c": 5}, 1, "o_orderkey")
 
 
-@query("j4_mirror_transpose")
+@query("j4_mirror_transpose", f"""WITH {W.V1}, s AS (SELECT y // 125 AS sample, z, y % 125 AS y, x, frag FROM v1), b AS (SELECT *, {W.drawn_sql(5, 'sample')} AS bits FROM s),
+ f AS (SELECT sample, frag, bits, z, CASE WHEN bits & 2 > 0 THEN 124 - y ELSE y END AS y, CASE WHEN bits & 4 > 0 THEN 124 - x ELSE x END AS x FROM b)
+ SELECT frag, CAST(sample AS BIGINT) AS sample, z, CAST(CASE WHEN bits & 8 > 0 THEN x ELSE y END AS INT) AS y, CAST(CASE WHEN bits & 8 > 0 THEN y ELSE x END AS INT) AS x FROM f""")
 def j4(spark, d):
     p = W.plane(spark, d).select("z", "y", "x", "frag", F.floor(F.col("y") / 125).alias("sample")).withColumn("y", (F.col("y") % 125).cast("int"))
     return SM.mirror_transpose(p, (1, 125, 125), 5)
 
 
-@query("j5_intensity_jitter")
+@query("j5_intensity_jitter", f"""WITH {W.V1}, s AS (SELECT z, y, x, raw / 500000 AS raw, y // 12 AS sample FROM v1)
+ SELECT y, x, round(greatest(0, least(1, raw * ({W.uniform_sql(6, 'sample')} * (1.1 - 0.9) + 0.9) + ({W.uniform_sql(7, 'sample')} * (0.1 - -0.1) + -0.1) + ({W.uniform_sql(8, 'sample', 'z', 'y', 'x')} - 0.5) * 2 * 0.01)), 6) AS raw FROM s""")
 def j5(spark, d):
     p = W.plane(spark, d).select("z", "y", "x", (F.col("raw") / 500_000).alias("raw"), F.floor(F.col("y") / 12).alias("sample"))
     return SM.intensity_jitter(p, "raw", 5, noise=0.01).select("y", "x", *r6("raw"))
 
 
-@query("j6_pad", f"WITH {W.V1}, g AS (SELECT 0 AS z, CAST(y AS INT) y, CAST(x AS INT) x FROM range(-3, 15) a(y), range(-3, 128) b(x)) SELECT g.y, g.x, CASE WHEN g.y BETWEEN 0 AND 11 AND g.x BETWEEN 0 AND 124 THEN coalesce(frag, 0) ELSE 0 END AS frag FROM g LEFT JOIN v1 USING (z, y, x)")
+@query("j6_pad", f"WITH {W.V1}, g AS (SELECT 0 AS z, CAST(y AS INT) y, CAST(x AS INT) x FROM (SELECT unnest(range(-3, (SELECT max(y) + 4 FROM v1))) AS y), range(-3, 128) b(x)) SELECT g.y, g.x, coalesce(frag, 0) AS frag FROM g LEFT JOIN v1 USING (z, y, x)")
 def j6(spark, d):
-    p = V.crop(W.plane(spark, d), R.Roi((0, 0, 0), (1, 12, 125)))
-    return SM.padded(p, R.Roi((0, 0, 0), (1, 12, 125)), (0, 3, 3), "frag").select("y", "x", "frag")
+    return SM.padded(W.plane(spark, d), R.Roi((0, 0, 0), (1, height(spark, d), W.WIDTH)), (0, 3, 3), "frag").select("y", "x", "frag")
 
 
-@query("j7_sparse_labels")
+@query("j7_sparse_labels", f"WITH {W.V1}, k AS (SELECT y, x, gt, gt > 0 AND {W.uniform_sql(2, 'gt')} < 0.3 AS keep FROM v1) SELECT y, x, CASE WHEN keep THEN gt ELSE 0 END AS label, CAST(keep AS INT) AS unlabelled FROM k")
 def j7(spark, d):
     return SM.sparse_labels(W.plane(spark, d).select("z", "y", "x", F.col("gt").alias("label")), 0.3, 2).select("y", "x", "label", "unlabelled")
 
@@ -573,12 +606,14 @@ def j12(spark, d):
     return SM.autocontext(p.select("z", "y", "x", F.round("raw", 4).alias("raw")), SH.shape_descriptors(p, SIGMA2, dims=2), CH2).select("y", "x", "raw", *r5(*CH2))
 
 
-@query("b14_map_blocks")
+@query("b14_map_blocks", f"""WITH {W.V1}, h AS (SELECT y, x, raw, block_y, unnest(range(CAST(floor((x - 4) / 60.0) AS BIGINT), (x + 4) // 60 + 1)) AS block_x FROM
+ (SELECT y, x, raw, unnest(range(CAST(floor((y - 4) / 60.0) AS BIGINT), (y + 4) // 60 + 1)) AS block_y FROM v1)), m AS (SELECT block_y, block_x, avg(raw) AS mean FROM h GROUP BY 1, 2)
+ SELECT y, x, round(raw - mean, 2) AS centred FROM v1 JOIN m ON y // 60 = block_y AND x // 60 = block_x""")
 def b14(spark, d):
     """A user function per block and its context: each voxel minus its block's mean."""
 
     def fn(pdf):
-        pdf["centred"] = (pdf["raw"] - pdf["raw"].mean()).round(4)
+        pdf["centred"] = (pdf["raw"] - pdf["raw"].mean()).round(2)
         return pdf[["z", "y", "x", "owned", "centred"]]
 
     return B.map_blocks(W.plane(spark, d).select("z", "y", "x", "raw"), fn, "centred double", (1, 60, 60), (0, 4, 4)).select("y", "x", "centred")
@@ -628,7 +663,12 @@ def a16(spark, d):
     return VOL.read_lut(spark, at, "test", "mean", "0.2")
 
 
-@query("q_affinity_to_score")
+@query("q_affinity_to_score", f"""WITH RECURSIVE {W.GRAPH1}, t(t) AS (VALUES {', '.join(f'({x})' for x in SWEEP)}), te AS (SELECT t, u AS a, v AS b FROM e1, t WHERE merge_score <= t UNION ALL SELECT t, v, u FROM e1, t WHERE merge_score <= t),
+ reach AS (SELECT CAST(t AS DOUBLE) AS t, id AS root, id AS node FROM nodes, t UNION SELECT reach.t, reach.root, te.b FROM reach JOIN te ON reach.node = te.a AND reach.t = te.t),
+ lut AS (SELECT t, node AS fragment, min(root) AS segment FROM reach GROUP BY 1, 2), j AS (SELECT t, gt AS a, segment AS b, count(*) AS n FROM v1 JOIN lut ON frag = fragment WHERE gt <> 0 GROUP BY 1, 2, 3),
+ m AS (SELECT *, sum(n) OVER (PARTITION BY t, a) AS na, sum(n) OVER (PARTITION BY t, b) AS nb, sum(n) OVER (PARTITION BY t) AS total FROM j),
+ sa AS (SELECT t, sum(s * s) AS q FROM (SELECT t, sum(n) s FROM j GROUP BY t, a) GROUP BY t), sb AS (SELECT t, sum(s * s) AS q FROM (SELECT t, sum(n) s FROM j GROUP BY t, b) GROUP BY t)
+ SELECT t AS threshold, {VOI}, round(sum(n * n) / min(sa.q), 6) AS rand_split, round(sum(n * n) / min(sb.q), 6) AS rand_merge FROM m JOIN sa USING (t) JOIN sb USING (t) GROUP BY t""")
 def flagship(spark, d):
     """Affinities to scores: edges, a sweep over thresholds, relabelled voxels and their Rand and VOI terms per threshold."""
     lut = G.segment_sweep(W.plane_nodes(spark, d), W.plane_edges(spark, d), SWEEP)

@@ -52,10 +52,10 @@ def a3(spark, d):
     return V.common_extent(W.plane(spark, d), W.block(spark, d))
 
 
-@query("a4_read_dense", f"""WITH {W.V2}, grid AS (SELECT CAST(z AS INT) z, CAST(y AS INT) y, CAST(x AS INT) x FROM range(1, 4) a(z), range(0, 12) b(y), range(0, 125) c(x))
+@query("a4_read_dense", f"""WITH {W.V2}, grid AS (SELECT CAST(z AS INT) z, CAST(y AS INT) y, CAST(x AS INT) x FROM range(1, 4) a(z), (SELECT unnest(range(0, (SELECT max(y) + 1 FROM v2))) AS y), range(0, 125) c(x))
  SELECT grid.z, grid.y, grid.x, coalesce(label, 0) AS label FROM grid LEFT JOIN v2 USING (z, y, x)""")
 def a4(spark, d):
-    return V.dense(W.block(spark, d), R.Roi((1, 0, 0), (3, 12, 125)), "label", 0)
+    return V.dense(W.block(spark, d), R.Roi((1, 0, 0), (3, W.height(spark, d, "lineitem", "l_orderkey"), W.WIDTH)), "label", 0)
 
 
 @query("a6_nodes_in_roi", f"WITH {W.V1}, {W.NODES1} SELECT id, center_z, round(center_y, 6) AS center_y, round(center_x, 6) AS center_x FROM nodes WHERE center_y >= 3 AND center_y < 40 AND center_x >= 20")
@@ -130,9 +130,9 @@ def a20(spark, d):
     return W.plane(spark, d).where("gt % 5 = 1").select(F.col("frag").alias("id")).distinct()
 
 
-@query("a20_sample")
+@query("a20_sample", f"WITH {W.V1}, {W.NODES1} SELECT id, center_z, round(center_y, 6) AS center_y, round(center_x, 6) AS center_x FROM nodes ORDER BY md5(concat_ws(':', id, '7')), id LIMIT 50")
 def a20_sample(spark, d):
-    return VOL.sample_rows(W.plane_nodes(spark, d), 50, "id", 7)
+    return VOL.sample_rows(W.plane_nodes(spark, d), 50, "id", 7).select("id", "center_z", *r6("center_y", "center_x"))
 
 
 @query("a21_open_blocks", f"""WITH {W.V1} SELECT DISTINCT y // 10 AS block_id FROM v1 WHERE y // 10 NOT IN (SELECT n_nationkey FROM nation)""")
@@ -181,9 +181,9 @@ def b7(spark, d):
     return V.downsampled(W.plane(spark, d), (1, 3, 3)).select("z", "y", "x", "frag")
 
 
-@query("b8_upsample_repeat", f"""WITH {W.V1} SELECT 0 AS z, CAST(y * 2 + i AS INT) AS y, CAST(x * 3 + j AS INT) AS x, frag FROM v1, range(0, 2) a(i), range(0, 3) b(j) WHERE y < 6 AND x < 10""")
+@query("b8_upsample_repeat", f"""WITH {W.V1} SELECT 0 AS z, CAST(y * 2 + i AS INT) AS y, CAST(x * 3 + j AS INT) AS x, frag FROM v1, range(0, 2) a(i), range(0, 3) b(j)""")
 def b8(spark, d):
-    return V.repeated(W.plane(spark, d), R.Roi((0, 0, 0), (1, 12, 30)), (1, 2, 3), "frag")
+    return V.repeated(W.plane(spark, d), R.Roi((0, 0, 0), (1, 2 * W.height(spark, d), 3 * W.WIDTH)), (1, 2, 3), "frag")
 
 
 @query("b9_mask_ids", f"WITH {W.V1} SELECT z, y, x, CASE WHEN frag IN (1, 5, 9, 27) THEN 0 ELSE frag END AS masked_out, CASE WHEN frag IN (1, 5, 9, 27) THEN frag ELSE 0 END AS kept FROM v1")

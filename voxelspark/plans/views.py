@@ -27,6 +27,11 @@ def plane(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def height(spark: SparkSession, d: str, name: str = "orders", key: str = "o_orderkey") -> int:
+    """Rows of the plane, or of the sparse volume, from file statistics."""
+    return (table(spark, d, name).agg(F.max(key)).first()[0] or 0) // WIDTH + 1
+
+
 def plane_affinities(spark: SparkSession, d: str) -> DataFrame:
     """The plane with the affinity of each voxel to its predecessor in y and x; none in z."""
     p = line_before(line_before(plane(spark, d), "y", "raw", "_y"), "x", "raw", "_x")
@@ -97,6 +102,15 @@ SITE_SEG = """site_lut AS (SELECT s.id, coalesce(v.frag, 0) AS fragment FROM sit
 SKELETON = f"{V1}, {NODES1}, {THIRDS}, {SITES}, {BONES}, {SITE_SEG}"
 
 
+def drawn_sql(seed: int, *columns: str) -> str:
+    """32 bits of the MD5 of columns and seed."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(columns)}, '{seed}')), 1, 8) AS BIGINT)"
+
+
+def uniform_sql(seed: int, *columns: str) -> str:
+    return f"({drawn_sql(seed, *columns)} / 4294967296.0::DOUBLE)"
+
+
 def roots_sql(edges: str, nodes: str = "SELECT id FROM nodes") -> str:
     """CTEs ``links``, ``reach`` and ``comp(node, root)``: components of (u, v) edges, named by their smallest node."""
     return f"""links AS (SELECT u AS a, v AS b FROM ({edges}) UNION ALL SELECT v, u FROM ({edges})),

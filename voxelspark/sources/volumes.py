@@ -51,7 +51,7 @@ def synaptic_sites(synapses: DataFrame) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows by the order of a hash: the same rows at every run."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def open_blocks(blocks: DataFrame, log: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.operators.voxels import FACES, neighbours
+from voxelspark.functions.roi import halo_blocks
 from voxelspark.operators.labels import dense_rank_of
 from voxelspark.plans.iterate import Scratch, connected_components
 from voxelspark.sources.schema import POS
@@ -278,27 +279,46 @@ def mark_edges(edges: DataFrame, tree: DataFrame) -> DataFrame:
     return edges.drop("merge_score", "agglomerated").join(find_merges(edges, tree).distinct(), ["u", "v"], "left").withColumn("agglomerated", F.lit(True))
 
 
-def agglomerate_blockwise(voxels: DataFrame, block, context, threshold: float, label: str = "label", how=None) -> DataFrame:
-    """History of merges inside each block's read box alone: fragments are told apart by block while they merge.
-
-    Columns: block_z, block_y, block_x, a, b, score, round. Seams differ from a run over the whole volume.
-    """
-    from voxelspark.functions.roi import halo_blocks
-
+def _merged_in_blocks(voxels: DataFrame, block, context, threshold: float, label: str, how) -> tuple[DataFrame, DataFrame]:
+    """(keyed: block and id of each number, history over numbers) of merges inside each block's read box alone."""
     blocks = ["block_z", "block_y", "block_x"]
     halo = halo_blocks(voxels, block, context)
     names = halo.select(*blocks, F.col(label).alias("id")).where("id <> 0").distinct()
     scratch = Scratch(voxels.sparkSession, "blockwise")
-
     keyed = scratch.settle(dense_rank_of(names.select(F.struct(*blocks, "id").alias("k")), "k", "number").select("k.*", "number"))
-    inside = halo.join(keyed.withColumnRenamed("id", label), [*blocks, label]).withColumn("_cell", F.struct(*blocks))
-    shifted = inside.select(*blocks, *POS, "number", "aff_z", "aff_y", "aff_x")
+    inside = halo.join(keyed.withColumnRenamed("id", label), [*blocks, label])
     # neighbours within a block: the block is part of the position
     size = [b + 2 * c for b, c in zip(block, context, strict=True)]
-    spread = shifted.select(*(((F.col(f"block_{a}") * (2 * s)) + F.col(a) - F.col(f"block_{a}") * b + c).alias(a) for a, s, b, c in zip(POS, size, block, context, strict=True)), "number", "aff_z", "aff_y", "aff_x")
-    history, _ = agglomerate(edge_affinities(spread, "number"), threshold, how)
-    back = lambda end: keyed.select(*blocks, F.col("id").alias(f"_{end}"), F.col("number").alias(end))
-    return history.join(back("a"), "a").join(keyed.select(F.col("id").alias("_b"), F.col("number").alias("b")), "b").select(*blocks, F.col("_a").alias("a"), F.col("_b").alias("b"), "score", "round")
+    spread = inside.select(*(((F.col(f"block_{a}") * (2 * s)) + F.col(a) - F.col(f"block_{a}") * b + c).alias(a) for a, s, b, c in zip(POS, size, block, context, strict=True)), "number", "aff_z", "aff_y", "aff_x")
+    return keyed, agglomerate(edge_affinities(spread, "number"), threshold, how)[0]
+
+
+def agglomerate_blockwise(voxels: DataFrame, block, context, threshold: float, label: str = "label", how=None) -> DataFrame:
+    """History of merges inside each block's read box alone: fragments are told apart by block while they merge.
+
+    Columns: block_z, block_y, block_x, a, b, score, round. Seams differ from a run over the whole volume, and a merge near one is
+    in the history of every block that sees it; ``blockwise_scores`` gives each edge once.
+    """
+    keyed, history = _merged_in_blocks(voxels, block, context, threshold, label, how)
+    blocks = ["block_z", "block_y", "block_x"]
+    back = keyed.select(*blocks, F.col("id").alias("_a"), F.col("number").alias("a"))
+    return history.join(back, "a").join(keyed.select(F.col("id").alias("_b"), F.col("number").alias("b")), "b").select(*blocks, F.col("_a").alias("a"), F.col("_b").alias("b"), "score", "round")
+
+
+def blockwise_scores(voxels: DataFrame, edges: DataFrame, nodes: DataFrame, block, context, threshold: float, label: str = "label", how=None) -> DataFrame:
+    """Edges with merge_score, the score at which their ends became one node in the block that owns them (null if never), and
+    agglomerated. An edge's owner is the block whose own box, without the context, holds the centre of its u (in voxels): each
+    edge is in the result once, those whose u has no centre are not."""
+    keyed, history = _merged_in_blocks(voxels, block, context, threshold, label, how)
+    blocks = ["block_z", "block_y", "block_x"]
+    owner = nodes.select(F.col("id").alias("u"), *(F.floor(F.col(f"center_{a}") / b).cast("int").alias(f"block_{a}") for a, b in zip(POS, block, strict=True)))
+    own = edges.drop("merge_score", "agglomerated").join(owner, "u")
+    for end in ("u", "v"):
+        own = own.join(keyed.select(*blocks, F.col("id").alias(end), F.col("number").alias(f"_{end}")), [*blocks, end], "left")
+    own = Scratch(voxels.sparkSession, "owned").settle(own)
+    asked = own.where("_u is not null and _v is not null").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    found = find_merges(asked, merge_tree(history)).distinct().toDF("_u", "_v", "merge_score")
+    return own.join(found, ["_u", "_v"], "left").drop("_u", "_v", *blocks).withColumn("agglomerated", F.lit(True))
 
 
 def node_descriptor_scores(own: DataFrame, target: DataFrame, channels: Sequence[str], label: str = "label") -> DataFrame:

@@ -88,16 +88,26 @@ def _ends(bones: DataFrame, segments: DataFrame, by: Sequence[str]) -> DataFrame
     return bones.join(one, "source").join(two, [*by, "target"])
 
 
+def merging_pairs(sites: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, segment, component_id): each component that a segment has sites of, once."""
+    return segments.where("segment <> 0").join(sites.select("id", "component_id"), "id").select(*by, "segment", "component_id").distinct()
+
+
+def merging_counts(sites: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, segment, n): segments with sites of more than one component, and of how many."""
+    return merging_pairs(sites, segments, by).groupBy(*by, "segment").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def merging_segments(sites: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(*by, segment, components): segments with sites of more than one component, sorted."""
-    pairs = segments.where("segment <> 0").join(sites.select("id", "component_id"), "id").select(*by, "segment", "component_id").distinct()
-    return pairs.groupBy(*by, "segment").agg(F.sort_array(F.collect_set("component_id")).alias("components")).where(F.size("components") > 1)
+    """(*by, segment, components): the same with the components as a sorted list, which a giant merge makes long; the counting
+    statistics use ``merging_counts``."""
+    return merging_pairs(sites, segments, by).groupBy(*by, "segment").agg(F.sort_array(F.collect_list("component_id")).alias("components")).where(F.size("components") > 1)
 
 
 def runs(bones: DataFrame, sites: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(*by, component_id, segment, length): error-free runs, bones with both ends in one segment that merges nothing."""
     inside = _ends(bones, segments, by).where("s = t and s <> 0").groupBy(*by, "component_id", F.col("s").alias("segment")).agg(F.sum("length").alias("length"))
-    return inside.join(merging_segments(sites, segments, by).select(*by, "segment"), [*by, "segment"], "left_anti")
+    return inside.join(merging_counts(sites, segments, by).select(*by, "segment"), [*by, "segment"], "left_anti")
 
 
 def expected_run_length(bones: DataFrame, sites: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -111,19 +121,29 @@ def expected_run_length(bones: DataFrame, sites: DataFrame, segments: DataFrame,
     return both.select(*by, (F.col("_r") / F.col("_t")).alias("erl"), (F.col("_b") / F.col("_t")).alias("max_erl"), (F.col("_r") / F.col("_b")).alias("normalized"))
 
 
+def split_pairs(bones: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, component_id, a, b): pairs of segments, a < b, that bones of a component run between, each once."""
+    return _ends(bones, segments, by).where("s <> t").select(*by, "component_id", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+
+
+def split_counts(bones: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, component_id, n): components with such pairs, and how many."""
+    return split_pairs(bones, segments, by).groupBy(*by, "component_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def split_stats(bones: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(*by, component_id, pairs): components with bones between two segments, and the sorted (a, b) pairs."""
-    cut = _ends(bones, segments, by).where("s <> t").select(*by, "component_id", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
-    return cut.groupBy(*by, "component_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("pairs"))
+    """(*by, component_id, pairs): the same with the sorted (a, b) pairs as a list."""
+    return split_pairs(bones, segments, by).groupBy(*by, "component_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("pairs"))
 
 
-def merges_needed(splits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return splits.groupBy(*by).agg(F.sum(F.size("pairs") - 1).alias("merges_needed"))
+def merges_needed(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, merges_needed) of ``split_counts``."""
+    return counts.groupBy(*by).agg(F.sum(F.col("n") - 1).alias("merges_needed"))
 
 
 def unsplittable_fragments(sites: DataFrame, site_lut: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(*by, segment, fragment, components): fragments of merging segments that hold sites of more than one component."""
-    merging = merging_segments(sites, segments, by).select(*by, "segment")
+    merging = merging_counts(sites, segments, by).select(*by, "segment")
     full = segments.join(site_lut, "id").join(sites.select("id", "component_id"), "id").join(merging, [*by, "segment"], "left_semi")
     return full.groupBy(*by, "segment", "fragment").agg(F.countDistinct("component_id").alias("components")).where("components > 1")
 
@@ -132,8 +152,8 @@ def report(sites: DataFrame, bones: DataFrame, segments: DataFrame, by: Sequence
     """(*by, segments, components, merging_segments, split_skeletons, segments_per_component)."""
     full = segments.where("segment <> 0").join(sites.select("id", "component_id"), "id")
     base = full.groupBy(*by).agg(F.countDistinct("segment").alias("segments"), F.countDistinct("component_id").alias("components"))
-    merging = merging_segments(sites, segments, by).groupBy(*by).agg(F.count(F.lit(1)).alias("merging_segments"))
-    splits = split_stats(bones, segments, by).groupBy(*by).agg(F.count(F.lit(1)).alias("split_skeletons"))
+    merging = merging_counts(sites, segments, by).groupBy(*by).agg(F.count(F.lit(1)).alias("merging_segments"))
+    splits = split_counts(bones, segments, by).groupBy(*by).agg(F.count(F.lit(1)).alias("split_skeletons"))
     join = (lambda a, b: a.join(b, list(by), "left")) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))  # one row
     out = join(join(base, merging), splits)
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("merging_segments", "split_skeletons")]

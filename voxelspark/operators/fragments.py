@@ -59,8 +59,8 @@ def seeds(distances: DataFrame, shape: tuple[int, int, int], value: str = "dista
     return label_components(top.select(*POS, value).withColumn("_one", F.lit(1)), "_one", shape, into="seed").drop("_one")
 
 
-def watershed(distances: DataFrame, shape: tuple[int, int, int], value: str = "distance", min_seed_distance: int = 10, axes=AXES, masked_only: bool = True, max_rounds: int = 40) -> DataFrame:
-    """(z, y, x, value, fragment): basins of the seeds.
+def watershed(distances: DataFrame, shape: tuple[int, int, int], value: str = "distance", min_seed_distance: int = 10, axes=AXES, masked_only: bool = True, max_rounds: int = 40, return_seeds: bool = False):
+    """(z, y, x, value, fragment): basins of the seeds; with return_seeds also the seeds (z, y, x, value, seed).
 
     A voxel that is its box's maximum is a seed and points to itself. Another points to its highest strictly higher face
     neighbour (the smallest key among equals), or, if none is higher, to the highest voxel of its box. Every step climbs, so
@@ -95,15 +95,19 @@ def watershed(distances: DataFrame, shape: tuple[int, int, int], value: str = "d
         raise RuntimeError(f"basins did not settle in {max_rounds} rounds")
     named = links.where("seed is not null").select(F.col("key").alias("to"), F.col("seed").alias("fragment"))
     basin = links.select("key", "to").join(named, "to").select("key", "fragment")
-    return now.select(*POS, value, "key").join(basin, "key").drop("key")
+    out = now.select(*POS, value, "key").join(basin, "key").drop("key")
+    return (out, seed) if return_seeds else out
 
 
-def fragments_from_affinities(voxels: DataFrame, shape: tuple[int, int, int], channels: str = "chan", highest: float = 1.0, in_xy: bool = False, min_seed_distance: int = 10) -> DataFrame:
-    """(z, y, x, fragment): boundary mask, distance, seeds and basins; in_xy treats every section on its own."""
+def fragments_from_affinities(voxels: DataFrame, shape: tuple[int, int, int], channels: str = "chan", highest: float = 1.0, in_xy: bool = False, min_seed_distance: int = 10, return_seeds: bool = False):
+    """(z, y, x, fragment): boundary mask, distance, seeds and basins; in_xy treats every section on its own. With return_seeds
+    also (z, y, x, seed)."""
     axes = ("y", "x") if in_xy else AXES
     mask = voxels.select(*POS, boundary_mask(F.col(channels), highest, in_xy).alias("masked"))
     found = distance_transform(mask, axes=axes).withColumn("distance", F.coalesce("distance", F.lit(float(sum(shape)))))
-    return watershed(found, shape, min_seed_distance=min_seed_distance, axes=axes).select(*POS, "fragment")
+    basins, seed = watershed(found, shape, min_seed_distance=min_seed_distance, axes=axes, return_seeds=True)
+    basins = basins.select(*POS, "fragment")
+    return (basins, seed.select(*POS, "seed")) if return_seeds else basins
 
 
 def fragments_from_descriptors(voxels: DataFrame, shape: tuple[int, int, int], offsets=("offset_z", "offset_y", "offset_x"), sd: float = 1.0, min_seed_distance: int = 10, axes=AXES) -> DataFrame:

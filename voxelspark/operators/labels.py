@@ -59,6 +59,22 @@ def without_small(voxels: DataFrame, least: int, label: str = "label") -> DataFr
     return with_entry(voxels, label, small, "_small").withColumn(label, F.when(F.col("_small"), F.lit(0).cast("long")).otherwise(F.col(label))).select(voxels.columns)
 
 
+def without_small_parts(voxels: DataFrame, least: int, shape: tuple[int, int, int], label: str = "label", full: bool = False) -> DataFrame:
+    """Connected parts of a label of fewer than ``least`` voxels become 0; another part of the label may stay."""
+    part = label_components(voxels.select(*POS, label), label, shape, full, "_part")
+    large = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("_part")
+    kept = part.join(large, "_part", "left_semi").select(*POS, F.lit(True).alias("_kept"))
+    return voxels.join(kept, POS, "left").withColumn(label, F.when(F.col("_kept"), F.col(label)).otherwise(F.lit(0).cast("long"))).select(voxels.columns)
+
+
+def without_small_holes(voxels: DataFrame, most: int, shape: tuple[int, int, int], mask: str = "masked", full: bool = False) -> DataFrame:
+    """A mask with its holes, connected parts outside it, of fewer than ``most`` voxels filled."""
+    outside = label_components(voxels.where(~F.col(mask).cast("boolean")).select(*POS, F.lit(1).alias("_one")), "_one", shape, full, "_hole")
+    small = outside.groupBy("_hole").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < most).select("_hole")
+    filled = outside.join(small, "_hole", "left_semi").select(*POS, F.lit(True).alias("_filled"))
+    return voxels.join(filled, POS, "left").withColumn(mask, F.col(mask).cast("boolean") | F.coalesce("_filled", F.lit(False))).select(voxels.columns)
+
+
 def renumbered(voxels: DataFrame, label: str = "label", by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(voxels with labels 1..n by ascending id, map of id to number). Ids are ranked by ranges: no window over all ids."""
     ids = voxels.where(F.col(label) != 0).select(*by, F.col(label).alias("id")).distinct()

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from voxelspark.functions.roi import Roi
 from voxelspark.operators.evaluate import balance_weights
 from voxelspark.operators.labels import grow_boundary
-from voxelspark.operators.shape import shape_descriptors
-from voxelspark.operators.voxels import FACES, dense, neighbours
+from voxelspark.operators.shape import descriptor_target
+from voxelspark.operators.voxels import FACES, dense, minmax, neighbours
 from voxelspark.plans.iterate import Scratch
 from voxelspark.sources.schema import AXES, POS
 
@@ -154,13 +154,43 @@ def snapshot(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     df.select(*columns).write.mode("overwrite").parquet(path)
 
 
-def training_samples(voxels: DataFrame, sigma, dims: int = 3, boundary_steps: int = 1, value: str = "raw") -> DataFrame:
-    """Voxels with boundary-grown labels, descriptors, affinities and class weights of the first affinity."""
-    grown = grow_boundary(voxels, steps=boundary_steps)
-    descriptors = shape_descriptors(grown, sigma, dims=dims).drop("label")
+def cut_out(voxels: DataFrame, crops: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """The voxels of each crop (crop, lo_z, lo_y, lo_x), with positions from its corner. Boxes and voxels meet through cells of the
+    crop's size, at most two per axis."""
+    cells = crops.select("crop", *(f"lo_{a}" for a in AXES))
+    inside = F.lit(True)
+    for a, size in zip(AXES, shape, strict=True):
+        cells = cells.withColumn(f"_c{a}", F.explode(F.sequence(F.floor(F.col(f"lo_{a}") / size), F.floor((F.col(f"lo_{a}") + size - 1) / size))))
+        inside = inside & (F.col(a) >= F.col(f"lo_{a}")) & (F.col(a) < F.col(f"lo_{a}") + size)
+    keyed = voxels.withColumns({f"_c{a}": F.floor(F.col(a) / size) for a, size in zip(AXES, shape, strict=True)})
+    found = keyed.join(cells, [f"_c{a}" for a in AXES]).where(inside)
+    return found.withColumns({a: (F.col(a) - F.col(f"lo_{a}")).cast("int") for a in AXES}).drop(*(f"_c{a}" for a in AXES), *(f"lo_{a}" for a in AXES))
+
+
+def training_samples(voxels: DataFrame, sigma, shape: tuple[int, int, int], count: int, batch: int = 1, dims: int = 3, boundary_steps: int = 1, min_masked: float = 0.5, seed: int = 0, augment: bool = True, noise: float = 0.01, unlabelled: str | None = None) -> DataFrame:
+    """Batches of samples: raw values normalised over the volume, ``count`` random crops whose share of labelled voxels reaches
+    ``min_masked``, mirrored, transposed and jittered, boundary-grown labels, descriptors with their weight, affinities with class
+    weights of the last one, ``batch`` samples stacked at a time.
+
+    voxels: z, y, x, label, raw and, if named, an ``unlabelled`` column (1 = labelled) that masks the descriptors' weight. Samples lie
+    behind one another along z while they are worked on, farther apart than any kernel reaches. augment=False leaves them as they are.
+    """
+    scratch = Scratch(voxels.sparkSession, "training")
+    whole = minmax(voxels.withColumn("_all", F.lit(0)), "raw", ("_all",), "raw").drop("_all")
+    crops = scratch.settle(random_crops(voxels.withColumn("_m", F.col("label") > 0), count, shape, "_m", min_masked, seed))
+    one = cut_out(whole, crops, shape).withColumnRenamed("crop", "sample")
+    if augment:
+        one = intensity_jitter(mirror_transpose(one, shape, seed, "sample"), "raw", seed, "sample", noise=noise)
+    number = scratch.settle(stacked(one.select("sample").distinct(), batch))
+    gap = shape[0] + 2 * int(3 * max(sigma) + 1) + boundary_steps + 1
+    apart = number.select("sample", "batch", "place", ((F.col("batch") * batch + F.col("place")) * gap).cast("int").alias("_z"))
+    now = scratch.settle(one.join(apart, "sample").withColumn("z", F.col("z") + F.col("_z")))
+    grown = scratch.settle(grow_boundary(now.select(*POS, "label"), steps=boundary_steps, only_xy=dims == 2))
+    known = None if unlabelled is None else now.select(*POS, F.col(unlabelled).cast("boolean").alias("masked"))
+    target = descriptor_target(grown, sigma, unlabelled=known, dims=dims)
     affinity = balance_weights(affinities_from_labels(grown), "aff_2").withColumnRenamed("weight", "aff_weight")
-    out = grown.join(affinity, POS).join(descriptors, POS, "left")
-    return out.select(*grown.columns, *(c for c in affinity.columns if c not in POS), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in descriptors.columns if c not in POS))
+    out = now.select("batch", "place", "sample", "_z", *POS, "raw").join(target, POS).join(affinity, POS)
+    return out.withColumn("z", (F.col("z") - F.col("_z")).cast("int")).drop("_z")
 
 
 def autocontext(raw: DataFrame, first_pass: DataFrame, channels: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables in the shared folder that one operator keeps between its jobs.
 
-    ``settle`` writes a frame and reads it back, which cuts its lineage; ``drop`` removes tables that no later job reads.
+    ``settle`` writes a frame and reads it back, which cuts its lineage; ``drop`` removes tables that no later job reads. Tables
+    that a lazy result still reads stay until the ``lifetime`` around them ends, or as long as the shared folder.
     """
 
+    #: Folders of every object made so far, in order; ``lifetime`` ends those made inside it.
+    live: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        Scratch.live.append(self.root)
 
     def settle(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -55,10 +61,25 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._settled_at)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            delete(self.spark, df._settled_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@contextmanager
+def lifetime(spark: SparkSession):
+    """Scratch tables made inside are deleted at the end: what is needed of lazy results has to be written by then."""
+    first = len(Scratch.live)
+    try:
+        yield
+    finally:
+        made, Scratch.live[first:] = Scratch.live[first:], []
+        for path in made:
+            delete(spark, path)
 
 
 def local_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

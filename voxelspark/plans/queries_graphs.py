@@ -363,6 +363,12 @@ def i7(spark, d):
     return A.agglomerate_blockwise(W.plane_affinities(spark, d).select("z", "y", "x", F.col("frag").alias("label"), "aff_z", "aff_y", "aff_x"), (1, 60, 60), (0, 5, 5), 0.6).select("block_y", "block_x", "a", "b", *r6("score"), "round")
 
 
+@query("i7_blockwise_scores")
+def i7_scores(spark, d):
+    v = W.plane_affinities(spark, d).select("z", "y", "x", F.col("frag").alias("label"), "aff_z", "aff_y", "aff_x")
+    return A.blockwise_scores(v, W.plane_edges(spark, d), W.plane_nodes(spark, d), (1, 60, 60), (0, 5, 5), 0.6).select("u", "v", "n", *r6("merge_score"), "agglomerated")
+
+
 NODE_SCORE = " + ".join(f"(a.{c} - b.{c}) ** 2" for c in CH2)
 
 
@@ -480,19 +486,38 @@ def d11(spark, d):
 @query("d12_split_stats", f"WITH {COARSE}, {ENDS} SELECT component_id, count(DISTINCT (least(s, t), greatest(s, t))) AS pairs FROM ends WHERE s <> t GROUP BY 1")
 def d12(spark, d):
     _, bones, _, seg = coarse_skeleton(spark, d)
-    return EV.split_stats(bones, seg).select("component_id", F.size("pairs").cast("long").alias("pairs"))
+    return EV.split_counts(bones, seg).withColumnRenamed("n", "pairs")
 
 
 @query("d13_merge_stats", f"WITH {COARSE}, {MERGING} SELECT segment, c AS components FROM merging")
 def d13(spark, d):
     s, _, _, seg = coarse_skeleton(spark, d)
-    return EV.merging_segments(s, seg).select("segment", F.size("components").cast("long").alias("components"))
+    return EV.merging_counts(s, seg).withColumnRenamed("n", "components")
 
 
 @query("d14_merges_needed", f"WITH {COARSE}, {ENDS} SELECT CAST(sum(n - 1) AS BIGINT) AS merges_needed FROM (SELECT count(DISTINCT (least(s, t), greatest(s, t))) AS n FROM ends WHERE s <> t GROUP BY component_id)")
 def d14(spark, d):
     _, bones, _, seg = coarse_skeleton(spark, d)
-    return EV.merges_needed(EV.split_stats(bones, seg))
+    return EV.merges_needed(EV.split_counts(bones, seg))
+
+
+@query("d12_split_pairs", f"WITH {COARSE}, {ENDS} SELECT component_id, string_agg(p, ',' ORDER BY a, b) AS pairs FROM (SELECT DISTINCT component_id, least(s, t) AS a, greatest(s, t) AS b, least(s, t) || '-' || greatest(s, t) AS p FROM ends WHERE s <> t) GROUP BY 1")
+def d12_pairs(spark, d):
+    _, bones, _, seg = coarse_skeleton(spark, d)
+    return EV.split_stats(bones, seg).select("component_id", F.concat_ws(",", F.transform("pairs", lambda p: F.concat_ws("-", p["a"].cast("string"), p["b"].cast("string")))).alias("pairs"))
+
+
+@query("d13_merging_components", f"WITH {COARSE}, {MERGING} SELECT segment, string_agg(c, ',' ORDER BY c) AS components FROM (SELECT DISTINCT segment, component_id AS c FROM seg JOIN sites USING (id) WHERE segment IN (SELECT segment FROM merging)) GROUP BY 1")
+def d13_lists(spark, d):
+    s, _, _, seg = coarse_skeleton(spark, d)
+    return EV.merging_segments(s, seg).select("segment", F.concat_ws(",", F.transform("components", lambda c: c.cast("string"))).alias("components"))
+
+
+@query("d11_runs", f"WITH {COARSE}, {MERGING}, {ENDS} SELECT component_id, s AS segment, round(sum(length), 4) AS length FROM ends WHERE s = t AND s <> 0 AND s NOT IN (SELECT segment FROM merging) GROUP BY 1, 2")
+def d11_runs(spark, d):
+    """The runs that the expected run length is made of."""
+    s, bones, _, seg = coarse_skeleton(spark, d)
+    return EV.runs(bones, s, seg).select("component_id", "segment", F.round("length", 4).alias("length"))
 
 
 @query("d15_unsplittable_fragments", f"WITH {COARSE}, {MERGING} SELECT segment, fragment, count(DISTINCT component_id) AS components FROM seg JOIN site_lut USING (id) JOIN sites USING (id) WHERE segment IN (SELECT segment FROM merging) GROUP BY 1, 2 HAVING count(DISTINCT component_id) > 1")
@@ -597,7 +622,9 @@ def j10(spark, d):
 
 @query("j11_sample_pipeline")
 def j11(spark, d):
-    return SM.training_samples(W.plane(spark, d).select("z", "y", "x", F.col("gt").alias("label"), "raw"), SIGMA2, dims=2).select("y", "x", "label", "aff_1", "aff_2", *r6("aff_weight"), *r5("offset_y", "size"))
+    p = W.plane(spark, d).select("z", "y", "x", F.col("gt").alias("label"), "raw", (F.col("y") % 3 > 0).cast("int").alias("known"))
+    found = SM.training_samples(p, SIGMA2, (1, 10, 10), W.height(spark, d) // 2, 4, dims=2, seed=3, unlabelled="known")
+    return found.select("batch", "place", "z", "y", "x", "label", *r6("raw"), "aff_1", "aff_2", *r6("aff_weight"), *r5("offset_y", "size"), "weight")
 
 
 @query("j12_autocontext", f"WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2)} SELECT f.y, f.x, round(raw, 4) AS raw, {CH2_SQL.replace('round(', 'round(lsd.')} FROM f JOIN lsd ON f.y = lsd.y AND f.x = lsd.x")

@@ -329,6 +329,24 @@ def d5(spark, d):
     return L.without_small(W.plane(spark, d), 95, "gt").select("z", "y", "x", "gt")
 
 
+PARTS = """p AS (SELECT y, x, gt, y * 125 + x AS id FROM v1 WHERE raw > 150000 AND gt <> 0), pe AS (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON a.gt = b.gt AND ((a.y = b.y + 1 AND a.x = b.x) OR (a.y = b.y AND a.x = b.x + 1)))"""
+
+
+@query("d5_remove_small_parts", f"WITH RECURSIVE {W.V1}, {PARTS}, {W.roots_sql('SELECT u, v FROM pe', 'SELECT id FROM p')}, big AS (SELECT root FROM comp GROUP BY 1 HAVING count(*) >= 5) SELECT v1.y, v1.x, CASE WHEN root IN (SELECT root FROM big) THEN v1.gt ELSE 0 END AS gt FROM v1 LEFT JOIN comp ON node = y * 125 + x")
+def d5p(spark, d):
+    p = W.plane(spark, d).select("z", "y", "x", F.when(F.col("raw") > 150_000, F.col("gt")).otherwise(F.lit(0)).cast("long").alias("gt"))
+    return L.without_small_parts(p, 5, (1, W.height(spark, d), W.WIDTH), "gt").select("y", "x", "gt")
+
+
+HOLES = """p AS (SELECT y * 125 + x AS id, y, x FROM v1 WHERE NOT raw > 150000), pe AS (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON (a.y = b.y + 1 AND a.x = b.x) OR (a.y = b.y AND a.x = b.x + 1))"""
+
+
+@query("d5_remove_small_holes", f"WITH RECURSIVE {W.V1}, {HOLES}, {W.roots_sql('SELECT u, v FROM pe', 'SELECT id FROM p')}, small AS (SELECT root FROM comp GROUP BY 1 HAVING count(*) < 4) SELECT v1.y, v1.x, raw > 150000 OR coalesce(root IN (SELECT root FROM small), false) AS masked FROM v1 LEFT JOIN comp ON node = y * 125 + x")
+def d5h(spark, d):
+    p = W.plane(spark, d).select("z", "y", "x", (F.col("raw") > 150_000).alias("masked"))
+    return L.without_small_holes(p, 4, (1, W.height(spark, d), W.WIDTH)).select("y", "x", "masked")
+
+
 @query("d5_label_sizes", f"WITH {W.V1} SELECT gt AS id, count(*) AS size FROM v1 GROUP BY 1")
 def d5s(spark, d):
     return L.label_sizes(W.plane(spark, d), "gt")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.functions.roi import Roi, thresholds
 from voxelspark.operators import agglomerate as A
+from voxelspark.operators import blocks as BL
 from voxelspark.operators import evaluate as EV
 from voxelspark.operators import fragments as FR
 from voxelspark.operators import labels as L
@@ -72,9 +73,9 @@ def brute(a, sigma):
     return out
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_descriptors_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(SH, "SEPARATE_ABOVE", limit)
+@pytest.mark.parametrize("block", [(32, 128, 128), (2, 3, 2)])
+def test_descriptors_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(BL.in_blocks, "__defaults__", (block,))
     a = np.random.default_rng(3).integers(0, 3, (4, 6, 5))
     want = brute(a, 1.2)
     got = {(r.z, r.y, r.x): [r[c] for c in SH.channel_names(3)] for r in SH.shape_descriptors(volume(spark, a), (1.2, 1.2, 1.2)).collect()}

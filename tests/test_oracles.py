@@ -48,6 +48,9 @@ def test_same_rows(spark, duck, name):
         assert all(x == y or (isinstance(x, float) and math.isclose(x, y, abs_tol=2e-4)) for x, y in zip(a, b, strict=True)), (a, b)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"i10_agglomerate_by_descriptor", "i6_mark_edges", "g5_fragments_from_affinities", "g6_fragments_from_descriptors"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, str(DATA)).columns
+    """Rows of the columns that the query names; their values are held against models in test_values and test_cases."""
+    df = QUERIES[name](spark, str(DATA))
+    found = df.collect()
+    assert found and all(r[c] is not None for r in found[:50] for c in df.columns if c not in ("merge_score", "parent", "score"))

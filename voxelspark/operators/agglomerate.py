@@ -147,7 +147,8 @@ def local_rounds(u: np.ndarray, v: np.ndarray, state, how, threshold: float):
         goes = np.full(len(u), -1)
         goes[a != b] = where
         state, u, v = how.pooled(state, goes, len(own)), own // len(nodes), own % len(nodes)
-    return merges, (nodes, nodes[segment])
+    merged = np.isin(nodes, np.concatenate([np.zeros(0, np.int64), *(x for m in merges for x in m[:2])]))
+    return merges, (nodes[merged], nodes[segment][merged])
 
 
 def agglomerate(samples: DataFrame, threshold: float, how=None, max_rounds: int = 500, max_merges: int | None = None, whole: int = 200_000) -> tuple[DataFrame, DataFrame]:
@@ -266,8 +267,12 @@ def ancestors(tree: DataFrame) -> DataFrame:
 
 
 def find_merges(pairs: DataFrame, tree: DataFrame) -> DataFrame:
-    """(u, v, merge_score): the score at which u and v first were one node, null if never: the lowest common ancestor's."""
-    up = ancestors(tree).join(tree.select(F.col("node").alias("ancestor"), "score", "level"), "ancestor")
+    """(u, v, merge_score): the score at which u and v first were one node, null if never: the lowest common ancestor's.
+
+    u and v are leaves; an id that never merged may be the number of a merge, which it is not.
+    """
+    leaves = tree.where("level = 0").select("node")
+    up = ancestors(tree).join(leaves, "node", "left_semi").join(tree.select(F.col("node").alias("ancestor"), "score", "level"), "ancestor")
     left = pairs.select("u", "v").distinct().join(up.select(F.col("node").alias("u"), "ancestor", "score", "level"), "u")
     both = left.join(up.select(F.col("node").alias("v"), "ancestor"), ["v", "ancestor"])
     least = both.groupBy("u", "v").agg(F.min_by("score", "level").alias("merge_score"))

@@ -52,11 +52,11 @@ def max_filter(voxels: DataFrame, value: str, size: int, axes=AXES, into: str =
 
 
 def seeds(distances: DataFrame, shape: tuple[int, int, int], value: str = "distance", min_seed_distance: int = 10, axes=AXES, masked_only: bool = False) -> DataFrame:
-    """(z, y, x, value, seed): maxima of the box; those that touch by a face share one seed, named by their smallest voxel key + 1."""
+    """(z, y, x, value, seed): maxima of the box; those that touch by a face (along ``axes``) share one seed, named by their smallest voxel key + 1."""
     top = max_filter(distances, value, min_seed_distance, axes).where(F.col(value) == F.col("highest"))
     if masked_only:
         top = top.where(F.col(value) > 0)
-    return label_components(top.select(*POS, value).withColumn("_one", F.lit(1)), "_one", shape, into="seed").drop("_one")
+    return label_components(top.select(*POS, value).withColumn("_one", F.lit(1)), "_one", shape, into="seed", axes=axes).drop("_one")
 
 
 def watershed(distances: DataFrame, shape: tuple[int, int, int], value: str = "distance", min_seed_distance: int = 10, axes=AXES, masked_only: bool = True, max_rounds: int = 40, return_seeds: bool = False):

@@ -106,13 +106,15 @@ def voxel_key(shape: tuple[int, int, int]):
     return (F.col("z").cast("long") * shape[1] + F.col("y")) * shape[2] + F.col("x")
 
 
-def label_components(voxels: DataFrame, value: str, shape: tuple[int, int, int], full: bool = False, into: str = "component", one_value: bool = False) -> DataFrame:
+def label_components(voxels: DataFrame, value: str, shape: tuple[int, int, int], full: bool = False, into: str = "component", one_value: bool = False, axes: Sequence[str] = AXES) -> DataFrame:
     """Connected voxels of equal non-zero ``value`` share ``into``: the smallest voxel key of them plus 1.
 
-    full: edges and corners connect too; otherwise faces only. one_value: any two non-zero voxels connect.
+    full: edges and corners connect too; otherwise faces only. one_value: any two non-zero voxels connect. axes: those along which
+    voxels connect; without z every section is on its own.
     """
     kept = voxels.where(F.col(value) != 0)
     offsets = tuple(HALF_2) + ((-1, -1, -1), (-1, -1, 1), (-1, 1, -1), (-1, 1, 1)) if full else FACES
+    offsets = tuple(o for o in offsets if all(a in axes for a, d in zip(AXES, o, strict=True) if d))
     keyed = kept.withColumn("_key", voxel_key(shape)).select(*POS, F.struct("_key", value).alias("_v"))
     alike = lambda v, o: pc.equal(pc.struct_field(v, value), pc.struct_field(o, value))
     pairs = neighbours(keyed, offsets, "_v", "_o", None if one_value else alike)

@@ -52,7 +52,7 @@ def descriptor_sql(view: str, sigma: float, where: str = "label <> 0", probe: st
  sum(ky.w * kx.w * kx.d * kx.d) AS sxx, sum(ky.w * kx.w * ky.d * kx.d) AS syx FROM {view} a, {kernel_sql(sigma)} ky, {kernel_sql(sigma)} kx JOIN {view} b
  ON b.label = a.label AND b.y = a.y + ky.d AND b.x = a.x + kx.d WHERE a.{where} AND {probe} GROUP BY 1, 2, 3),
  c AS (SELECT label, y, x, n, my / n AS oy, mx / n AS ox, greatest(syy / n - (my / n) ** 2, 1e-3) AS vy, greatest(sxx / n - (mx / n) ** 2, 1e-3) AS vx, syx / n - my * mx / (n * n) AS cyx FROM m),
- lsd AS (SELECT label, y, x, least(1, greatest(0, oy / {sigma} * 0.5 + 0.5)) AS offset_y, least(1, greatest(0, ox / {sigma} * 0.5 + 0.5)) AS offset_x,
+ described AS (SELECT label, y, x, least(1, greatest(0, oy / {sigma} * 0.5 + 0.5)) AS offset_y, least(1, greatest(0, ox / {sigma} * 0.5 + 0.5)) AS offset_x,
  least(1, greatest(0, vy / {sigma * sigma})) AS var_yy, least(1, greatest(0, vx / {sigma * sigma})) AS var_xx,
  least(1, greatest(0, cyx / sqrt(vy * vx) * 0.5 + 0.5)) AS pearson_yx, least(1, greatest(0, n)) AS size FROM c)"""
 
@@ -67,13 +67,13 @@ def r5(*columns):
     return [F.round(F.col(c), 5).alias(c) for c in columns]
 
 
-@query("f1_shape_descriptors", f"WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2)} SELECT label, y, x, {CH2_SQL} FROM lsd")
+@query("f1_shape_descriptors", f"WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2)} SELECT label, y, x, {CH2_SQL} FROM described")
 def f1(spark, d):
     return SH.shape_descriptors(frags(spark, d), SIGMA2, dims=2).select("label", "y", "x", *r5(*CH2))
 
 
 def descriptor_sql_3d(view: str, sigma: float) -> str:
-    """CTE ``lsd``: 3-D descriptors of ``view``(label, z, y, x) at voxel size 1."""
+    """CTE ``described``: 3-D descriptors of ``view``(label, z, y, x) at voxel size 1."""
     r, axes = int(3 * sigma + 0.5), "zyx"
     d = {a: f"(b.{a} - a.{a})" for a in axes}
     w = " * ".join(f"exp(-0.5 * ({d[a]} / {float(sigma)}) ** 2)" for a in axes) + f" / (SELECT sum(exp(-0.5 * (e / {float(sigma)}) ** 2)) FROM range({-r}, {r + 1}) t(e)) ** 3"
@@ -85,10 +85,10 @@ def descriptor_sql_3d(view: str, sigma: float) -> str:
     chan += [f"{cut(f'{cov(a, b)} / sqrt(v{a} * v{b}) * 0.5 + 0.5')} AS pearson_{a}{b}" for a, b in pairs if a != b] + [f"{cut('n')} AS size"]
     return f"""k AS (SELECT a.label, a.z, a.y, a.x, {", ".join(f"{d[a]} AS d{a}" for a in axes)}, {w} AS w FROM {view} a JOIN {view} b ON a.label <> 0 AND a.label = b.label AND {" AND ".join(f"abs({d[a]}) <= {r}" for a in axes)}),
  m AS (SELECT label, z, y, x, sum(w) AS n, {first}, {second} FROM k GROUP BY 1, 2, 3, 4), c AS (SELECT *, {", ".join(f"greatest({cov(a, a)}, 1e-3) AS v{a}" for a in axes)} FROM m),
- lsd AS (SELECT z, y, x, label, {", ".join(chan)} FROM c)"""
+ described AS (SELECT z, y, x, label, {", ".join(chan)} FROM c)"""
 
 
-@query("f1_shape_descriptors_3d", f"WITH {W.V2}, {descriptor_sql_3d('v2', 1.5)} SELECT * FROM lsd")
+@query("f1_shape_descriptors_3d", f"WITH {W.V2}, {descriptor_sql_3d('v2', 1.5)} SELECT * FROM described")
 def f1_3d(spark, d):
     """All ten channels, axis by axis."""
     found = SH.shape_descriptors(W.block(spark, d), (1.5, 1.5, 1.5))
@@ -103,24 +103,24 @@ def f2(spark, d):
     return SH.shape_descriptors(frags(spark, d), (3, 3, 3), mode="sphere", dims=2).select("label", "y", "x", *r5("offset_y", "offset_x", "var_yy"), "size")
 
 
-@query("f3_labels", f"WITH {W.V1}, {FRAG_VIEW}, g AS (SELECT * FROM f WHERE label IN (1, 2, 30, 31)), {descriptor_sql('g', 2)} SELECT label, y, x, {CH2_SQL} FROM lsd")
+@query("f3_labels", f"WITH {W.V1}, {FRAG_VIEW}, g AS (SELECT * FROM f WHERE label IN (1, 2, 30, 31)), {descriptor_sql('g', 2)} SELECT label, y, x, {CH2_SQL} FROM described")
 def f3(spark, d):
     return SH.shape_descriptors(frags(spark, d), SIGMA2, dims=2, labels=[1, 2, 30, 31]).select("label", "y", "x", *r5(*CH2))
 
 
-@query("f4_roi", f"WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2, probe='a.y >= 2 AND a.y < 9 AND a.x >= 13 AND a.x < 47')} SELECT label, y, x, {CH2_SQL} FROM lsd")
+@query("f4_roi", f"WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2, probe='a.y >= 2 AND a.y < 9 AND a.x >= 13 AND a.x < 47')} SELECT label, y, x, {CH2_SQL} FROM described")
 def f4(spark, d):
     return SH.shape_descriptors(frags(spark, d), SIGMA2, dims=2, roi=R.Roi((0, 2, 13), (1, 7, 34))).select("label", "y", "x", *r5(*CH2))
 
 
-@query("f5_components", f"WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2)} SELECT label, y, x, round(offset_y, 5) AS offset_y, round(offset_x, 5) AS offset_x, round(size, 5) AS size FROM lsd")
+@query("f5_components", f"WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2)} SELECT label, y, x, round(offset_y, 5) AS offset_y, round(offset_x, 5) AS offset_x, round(size, 5) AS size FROM described")
 def f5(spark, d):
     return SH.shape_descriptors(frags(spark, d), SIGMA2, dims=2, components="015").select("label", "y", "x", *r5("offset_y", "offset_x", "size"))
 
 
 @query("f6_downsample", f"""WITH {W.V1}, f AS (SELECT gt AS label, y, x FROM v1 WHERE gt <> 0), g AS (SELECT label, y // 2 AS y, x // 2 AS x FROM f WHERE y % 2 = 0 AND x % 2 = 0),
  {descriptor_sql('g', 2)} SELECT f.label, f.y, f.x, round(coalesce(offset_y, 0), 5) AS offset_y, round(coalesce(var_xx, 0), 5) AS var_xx, round(coalesce(pearson_yx, 0), 5) AS pearson_yx
- FROM f LEFT JOIN lsd ON lsd.label = f.label AND lsd.y = f.y // 2 AND lsd.x = f.x // 2""")
+ FROM f LEFT JOIN described ON described.label = f.label AND described.y = f.y // 2 AND described.x = f.x // 2""")
 def f6(spark, d):
     p = W.plane(spark, d).select("z", "y", "x", F.col("gt").alias("label"))
     return SH.shape_descriptors(p, (4, 4, 4), dims=2, downsample=2).select("label", "y", "x", *r5("offset_y", "var_xx", "pearson_yx"))
@@ -134,7 +134,7 @@ def f7(spark, d):
 
 
 @query("f8_descriptor_target", f"""WITH {W.V1}, f AS (SELECT gt AS label, y, x, raw FROM v1), {descriptor_sql('f', 2)}
- SELECT f.label, f.y, f.x, round(coalesce(offset_y, 0), 5) AS offset_y, round(coalesce(size, 0), 5) AS size, CAST(f.x < 100 AND f.y % 3 > 0 AS INT) AS weight FROM f LEFT JOIN lsd ON f.label = lsd.label AND f.y = lsd.y AND f.x = lsd.x""")
+ SELECT f.label, f.y, f.x, round(coalesce(offset_y, 0), 5) AS offset_y, round(coalesce(size, 0), 5) AS size, CAST(f.x < 100 AND f.y % 3 > 0 AS INT) AS weight FROM f LEFT JOIN described ON f.label = described.label AND f.y = described.y AND f.x = described.x""")
 def f8(spark, d):
     p = W.plane(spark, d).select("z", "y", "x", F.col("gt").alias("label"))
     mask, known = p.select("z", "y", "x", (F.col("x") < 100).alias("masked")), p.select("z", "y", "x", (F.col("y") % 3 > 0).alias("masked"))
@@ -376,20 +376,20 @@ def target_descriptors(spark, d):
     return SH.shape_descriptors(W.plane(spark, d).select("z", "y", "x", F.col("gt").alias("label")), SIGMA2, dims=2)
 
 
-@query("i8_node_descriptor_score", f"""WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2)}, own AS (SELECT * FROM lsd), g AS (SELECT gt AS label, y, x FROM v1),
- {descriptor_sql('g', 2).replace('m AS', 'm2 AS').replace('FROM m)', 'FROM m2)').replace(' c AS', ' c2 AS').replace('FROM c)', 'FROM c2)').replace('lsd AS', 'target AS')}
+@query("i8_node_descriptor_score", f"""WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2)}, own AS (SELECT * FROM described), g AS (SELECT gt AS label, y, x FROM v1),
+ {descriptor_sql('g', 2).replace('m AS', 'm2 AS').replace('FROM m)', 'FROM m2)').replace(' c AS', ' c2 AS').replace('FROM c)', 'FROM c2)').replace('described AS', 'target AS')}
  SELECT a.label AS id, round(sum({NODE_SCORE}), 4) AS score FROM own a JOIN target b ON a.y = b.y AND a.x = b.x GROUP BY 1""")
 def i8(spark, d):
     return A.node_descriptor_scores(SH.shape_descriptors(frags(spark, d), SIGMA2, dims=2), target_descriptors(spark, d), CH2).select("id", F.round("score", 4).alias("score"))
 
 
-OWN_TARGET = f"""{FRAG_VIEW}, {descriptor_sql('f', 2)}, own AS (SELECT * FROM lsd), g AS (SELECT gt AS label, y, x FROM v1),
- {descriptor_sql('g', 2).replace('m AS', 'm2 AS').replace('FROM m)', 'FROM m2)').replace(' c AS', ' c2 AS').replace('FROM c)', 'FROM c2)').replace('lsd AS', 'target AS')}"""
+OWN_TARGET = f"""{FRAG_VIEW}, {descriptor_sql('f', 2)}, own AS (SELECT * FROM described), g AS (SELECT gt AS label, y, x FROM v1),
+ {descriptor_sql('g', 2).replace('m AS', 'm2 AS').replace('FROM m)', 'FROM m2)').replace(' c AS', ' c2 AS').replace('FROM c)', 'FROM c2)').replace('described AS', 'target AS')}"""
 ALONE = f"alone AS (SELECT a.label AS id, sum({NODE_SCORE}) AS score FROM own a JOIN target b ON a.y = b.y AND a.x = b.x GROUP BY 1)"
 
 
 @query("i9_edge_descriptor_score", f"""WITH {W.GRAPH1}, {OWN_TARGET}, {ALONE}, pairs AS (SELECT u, v, row_number() OVER (ORDER BY u, v) AS pair FROM e1), p AS (SELECT pair AS label, y, x FROM pairs JOIN f ON f.label = pairs.u OR f.label = pairs.v),
- {descriptor_sql('p', 2).replace('m AS', 'm3 AS').replace('FROM m)', 'FROM m3)').replace(' c AS', ' c3 AS').replace('FROM c)', 'FROM c3)').replace('lsd AS', 'merged AS')},
+ {descriptor_sql('p', 2).replace('m AS', 'm3 AS').replace('FROM m)', 'FROM m3)').replace(' c AS', ' c3 AS').replace('FROM c)', 'FROM c3)').replace('described AS', 'merged AS')},
  joint AS (SELECT a.label AS pair, sum({NODE_SCORE}) AS score FROM merged a JOIN target b ON a.y = b.y AND a.x = b.x GROUP BY 1)
  SELECT pairs.u, pairs.v, round(joint.score - one.score - two.score, 4) AS score FROM pairs JOIN joint USING (pair) JOIN alone one ON one.id = pairs.u JOIN alone two ON two.id = pairs.v""")
 def i9(spark, d):
@@ -402,7 +402,7 @@ def i10(spark, d):
     return A.agglomerate_by_descriptors(v, W.plane_edges(spark, d), target_descriptors(spark, d), SIGMA2, dims=2)[0].select("a", "b", "c", F.round("score", 4).alias("score"), "round")
 
 
-@query("i11_after_merge", f"WITH {W.V1}, {W.NODES1}, {W.THIRDS}, g AS (SELECT segment AS label, y, x FROM v1 JOIN lut ON frag = fragment), {descriptor_sql('g', 2)} SELECT label, y, x, {CH2_SQL} FROM lsd")
+@query("i11_after_merge", f"WITH {W.V1}, {W.NODES1}, {W.THIRDS}, g AS (SELECT segment AS label, y, x FROM v1 JOIN lut ON frag = fragment), {descriptor_sql('g', 2)} SELECT label, y, x, {CH2_SQL} FROM described")
 def i11(spark, d):
     """Labels after merges, and their descriptors."""
     merged = G.relabel(frags(spark, d).select("z", "y", "x", "label"), W.thirds(W.plane_nodes(spark, d)), unmatched="keep")
@@ -627,7 +627,7 @@ def j11(spark, d):
     return found.select("batch", "place", "z", "y", "x", "label", *r6("raw"), "aff_1", "aff_2", *r6("aff_weight"), *r5("offset_y", "size"), "weight")
 
 
-@query("j12_autocontext", f"WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2)} SELECT f.y, f.x, round(raw, 4) AS raw, {CH2_SQL.replace('round(', 'round(lsd.')} FROM f JOIN lsd ON f.y = lsd.y AND f.x = lsd.x")
+@query("j12_autocontext", f"WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2)} SELECT f.y, f.x, round(raw, 4) AS raw, {CH2_SQL.replace('round(', 'round(described.')} FROM f JOIN described ON f.y = described.y AND f.x = described.x")
 def j12(spark, d):
     p = frags(spark, d)
     return SM.autocontext(p.select("z", "y", "x", F.round("raw", 4).alias("raw")), SH.shape_descriptors(p, SIGMA2, dims=2), CH2).select("y", "x", "raw", *r5(*CH2))

@@ -15,6 +15,9 @@ NAMES = {
     "op8_warc": "op8_warc",
     "op9_packing": "op9_packing",
     "op10_slots": "op10_slots",
+    "op11_merkle": "op11_merkle",
+    "op12_bpe": "op12_bpe",
+    "op13_negatives": "op13_negatives",
 }
 
 

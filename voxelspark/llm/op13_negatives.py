@@ -39,6 +39,8 @@ NEGATIVES = "nth long, positive int, negative_id long, negative_score long"
 #: What stored angles may be off by, in radians, and a score's bound, as a share of the norms' product and in absolute terms.
 ANGLE_OFF, SHARE_OFF, WHOLE_OFF = 2e-6, 1e-12, 1
 MOST_PAIRS = 1 << 16
+#: Stands for no score; all scores are larger.
+NONE = np.int64(-(1 << 62))
 
 
 def quantised(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", scale: float = 256.0) -> DataFrame:
@@ -69,7 +71,7 @@ def directions(sample: np.ndarray, count: int) -> np.ndarray:
     return np.array(picked).reshape(len(picked), sample.shape[1])
 
 
-def build_index(vectors: DataFrame, anchor, count: int = 24, sample: int = 2048) -> DataFrame:
+def build_index(vectors: DataFrame, anchor, count: int = 16, sample: int = 2048) -> DataFrame:
     """The rows of ``quantised`` as a settled table, with number, norm and angles to reference directions. anchor: Column, true for anchors."""
     some = vectors.select("vec_id", "q").orderBy(F.xxhash64("vec_id", "q")).limit(sample).collect()  # bounded by ``sample``
     by_size: dict[int, list] = {}
@@ -98,42 +100,60 @@ def build_index(vectors: DataFrame, anchor, count: int = 24, sample: int = 2048)
 
 def bounds(a_norm: np.ndarray, a_angles: np.ndarray, norm: np.ndarray, angles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lower, upper) whole numbers that hold the score of each anchor (row) with each row (column)."""
-    low, high = np.zeros((len(a_norm), len(norm)), np.float32), np.full((len(a_norm), len(norm)), np.pi, np.float32)
-    for k in range(a_angles.shape[1]):
+    there = np.flatnonzero(~np.isnan(a_angles).any(0) & ~np.isnan(angles).any(0)) if len(a_norm) and len(norm) else ()  # rows of one length have the same directions
+    shape = (len(a_norm), len(norm))
+    low, least, most = np.zeros(shape, np.float32), np.full(shape, np.pi, np.float32), np.full(shape, np.pi, np.float32)
+    now = np.empty(shape, np.float32)
+    for k in there:
         a, x = a_angles[:, k, None], angles[None, :, k]
-        np.fmax(low, np.abs(a - x), out=low)  # fmax and fmin pass over NaN
-        both = a + x
-        np.fmin(high, np.fmin(both, np.float32(2 * np.pi) - both), out=high)
+        np.abs(np.subtract(a, x, out=now), out=now)
+        np.maximum(low, now, out=low)
+        np.add(a, x, out=now)
+        np.minimum(least, now, out=least)
+        np.maximum(most, now, out=most)
+    high = np.minimum(least, np.float32(2 * np.pi) - most)
     size = a_norm[:, None] * norm[None, :]
     off = WHOLE_OFF + SHARE_OFF * size
-    least = np.cos(np.minimum(high.astype(float) + ANGLE_OFF, np.pi)) * size - off
-    most = np.cos(np.maximum(low.astype(float) - ANGLE_OFF, 0)) * size + off
-    return np.floor(least), np.ceil(most)
+    lower = np.cos(np.minimum(high.astype(float) + ANGLE_OFF, np.pi)) * size - off
+    upper = np.cos(np.maximum(low.astype(float) - ANGLE_OFF, 0)) * size + off
+    return np.floor(lower), np.ceil(upper)
 
 
-def kth_largest(values: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest of each row, minus infinity where there are fewer."""
-    if values.shape[1] < k:
-        return np.full(len(values), -np.inf)
-    return -np.partition(-values, k - 1, axis=1)[:, k - 1]
+def kth_largest(values: np.ndarray, k: int, none: float = -np.inf) -> np.ndarray:
+    """The k-th largest of each row, ``none`` (that also marks what does not count) where there are fewer."""
+    out = np.full(len(values), none, values.dtype)
+    enough = np.flatnonzero((values > none).sum(1) >= k)
+    if len(enough):
+        out[enough] = np.partition(values[enough], values.shape[1] - k, axis=1)[:, values.shape[1] - k]
+    return out
+
 
+def scores(a: np.ndarray, x: np.ndarray, wanted: np.ndarray, size: float) -> np.ndarray:
+    """Integer inner products where ``wanted``, NONE elsewhere. size: no score is larger.
 
-def scores(a: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Integer inner products of a[i] and x[j], some pairs at a time."""
-    out = np.empty(len(i), np.int64)
-    for at in range(0, len(i), MOST_PAIRS):
-        part = slice(at, at + MOST_PAIRS)
-        out[part] = np.einsum("ij,ij->i", a[i[part]], x[j[part]])
+    Few pairs are scored one by one. Many are a product of the rows that any anchor wants, in doubles while all sums are whole numbers that
+    those hold exactly.
+    """
+    out = np.full(wanted.shape, NONE)
+    if size >= 2.0**52 or wanted.mean() < 0.02:
+        i, j = np.nonzero(wanted)
+        for at in range(0, len(i), MOST_PAIRS):
+            p, r = i[at : at + MOST_PAIRS], j[at : at + MOST_PAIRS]
+            out[p, r] = np.einsum("ij,ij->i", a[p], x[r])
+    else:
+        rows = np.flatnonzero(wanted.any(0))
+        out[:, rows] = np.where(wanted[:, rows], (a.astype(float) @ x[rows].astype(float).T).astype(np.int64), NONE)
     return out
 
 
-def first_of(owner: np.ndarray, score: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Places of the first ``most`` of each owner: higher scores first, then smaller ids."""
-    order = np.lexsort((ids, -score, owner))
-    new = np.append(True, owner[order][1:] != owner[order][:-1])
-    start = np.flatnonzero(new)
-    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-    return order[rank < most]
+def first_of(score: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the first ``most`` scores of each row: higher ones first, then smaller ids."""
+    owner, at = np.nonzero((score > NONE) & (score >= kth_largest(score, most, NONE)[:, None]))
+    order = np.lexsort((ids[at], -score[owner, at], owner))
+    owner, at = owner[order], at[order]
+    start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
+    rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner))))
+    return owner[rank < most], at[rank < most]
 
 
 class Block:
@@ -153,7 +173,7 @@ def pairs_of(a: Block, x: Block):
     for n, (i, qa) in a.by_size.items():
         if n in x.by_size:
             j, qx = x.by_size[n]
-            step = max(1, (1 << 21) // max(1, len(j)))
+            step = max(1, (1 << 18) // max(1, len(j)))
             for at in range(0, len(i), step):
                 own = i[at : at + step]
                 yield own, qa[at : at + step], j, qx, *bounds(a.norm[own], a.angles[own], x.norm[j], x.angles[j])
@@ -164,10 +184,9 @@ def nearest_alike(rows: pa.Table, anchors: pa.Table, most: int) -> pa.Table:
     for i, qa, j, qx, lower, upper in pairs_of(a, x):
         fit = (a.label[i][:, None] == x.label[j][None]) & (a.nth[i][:, None] != x.nth[j][None])
         reach = kth_largest(np.where(fit, lower, -np.inf), most)
-        p, r = np.nonzero(fit & (upper >= reach[:, None]))
-        s = scores(qa, qx, p, r)
-        keep = first_of(p, s, x.ids[j[r]], most)
-        out.append((a.nth[i[p[keep]]], x.ids[j[r[keep]]], s[keep]))
+        s = scores(qa, qx, fit & (upper >= reach[:, None]), a.norm[i].max() * x.norm[j].max())
+        p, r = first_of(s, x.ids[j], most)
+        out.append((a.nth[i[p]], x.ids[j[r]], s[p, r]))
     cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
     return pa.table(cols, names=["nth", "positive_id", "positive_score"])
 
@@ -176,22 +195,22 @@ def hard_unlike(rows: pa.Table, anchors: pa.Table, most: int, low: int, high: in
     x, a, out = Block(rows), Block(anchors), []
     chosen = [np.asarray(p, np.int64) for p in a.table.column("positive_scores").to_pylist()]
     for i, qa, j, qx, lower, upper in pairs_of(a, x):
-        other = a.label[i][:, None] != x.label[j][None]
-        deep = max((len(chosen[k]) for k in i), default=0)
-        for turn in range(deep):  # at most ``positives``
+        other, windows = a.label[i][:, None] != x.label[j][None], []
+        wanted = np.zeros(other.shape, bool)
+        for turn in range(max((len(chosen[k]) for k in i), default=0)):  # at most ``positives``
             own = np.flatnonzero([len(chosen[k]) > turn for k in i])
             score = np.array([chosen[k][turn] for k in i[own]], np.int64)
-            from_, to = -((-low * score) // 100), high * score // 100  # whole numbers inside the window
+            from_, to = (-((-low * score) // 100))[:, None], (high * score // 100)[:, None]  # whole numbers inside the window
             lo, up = lower[own], upper[own]
-            overlap = other[own] & (up >= from_[:, None]) & (lo <= to[:, None])
-            sure = overlap & (lo >= from_[:, None]) & (up <= to[:, None])
+            sure = other[own] & (lo >= from_) & (up <= to)
             reach = kth_largest(np.where(sure, lo, -np.inf), most)
-            p, r = np.nonzero(overlap & (up >= reach[:, None]))
-            s = scores(qa[own], qx, p, r)
-            inside = (s >= from_[p]) & (s <= to[p])
-            p, r, s = p[inside], r[inside], s[inside]
-            keep = first_of(p, s, x.ids[j[r]], most)
-            out.append((a.nth[i[own[p[keep]]]], np.full(len(keep), turn), x.ids[j[r[keep]]], s[keep]))
+            wanted[own] |= other[own] & (up >= np.maximum(from_, reach[:, None])) & (lo <= to)
+            windows.append((own, from_, to))
+        s = scores(qa, qx, wanted, a.norm[i].max() * x.norm[j].max()) if windows else None
+        for turn, (own, from_, to) in enumerate(windows):
+            inside = np.where((s[own] >= from_) & (s[own] <= to), s[own], NONE)
+            p, r = first_of(inside, x.ids[j], most)
+            out.append((a.nth[i[own[p]]], np.full(len(p), turn), x.ids[j[r]], inside[p, r]))
     cols = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
     return pa.table([cols[0], cols[1].astype(np.int32), *cols[2:]], names=["nth", "positive", "negative_id", "negative_score"])
 
@@ -205,7 +224,7 @@ def in_blocks(rows: DataFrame, anchors: DataFrame, fn, schema: str, row_blocks:
     return left.groupBy("_r", "_a").cogroup(right.groupBy("_r", "_a")).applyInArrow(fn, schema)
 
 
-def hard_negatives(vectors: DataFrame, anchor, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, block_rows: int = 4096, block_anchors: int = 1024, count: int = 24, sample: int = 2048) -> DataFrame:
+def hard_negatives(vectors: DataFrame, anchor, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, block_rows: int = 4096, block_anchors: int = 1024, count: int = 16, sample: int = 2048) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for the rows of ``quantised`` that ``anchor`` (a Column) is true for.
 
     A negative's score lies between ``low`` and ``high`` per cent of the positive's. Rows and anchors meet in blocks of about

@@ -44,7 +44,7 @@ ENCODED = "doc_id long, n_tokens long, ids array<int>"
 LAST = 0x10000
 NEVER = 1 << 62
 #: Pieces encoded at once: some 20 candidates each are held.
-PIECES = 1 << 15
+PIECES = 1 << 13
 SPACE = re.compile(rb"[\x09-\x0D\x20]")
 #: Bytes that byte-level vocabularies write as the character of the same number; the others follow from 256 on in order.
 AS_IS = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
@@ -359,7 +359,7 @@ def prefix_tokenizer(path: str) -> PrefixTokenizer:
     return PrefixTokenizer(path)
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 16 << 20) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 6 << 20) -> DataFrame:
     """(doc_id, n_tokens, ids) of every whole text; texts are read about ``batch_bytes`` at a time, a longer one on its own in slices."""
 
     def run(batches):

@@ -8,8 +8,10 @@ folder made here.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,42 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: rows of long texts or arrays come in smaller batches than Spark's count of rows.
+BATCH_BYTES = 8 << 20
+#: Folders made in the ``lifetime`` around, if there is one in this thread.
+MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches to Python workers are bounded by bytes too, unless the session says how."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+class Cleaned:
+    """Shuffle files of the writes under way go when a write ends: the setting holds while any is under way, in whatever thread."""
+
+    lock, open, before = threading.Lock(), 0, "false"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self):
+        with Cleaned.lock:
+            if not Cleaned.open:
+                Cleaned.before = self.spark.conf.get(CLEAN, "false")
+                self.spark.conf.set(CLEAN, "true")
+            Cleaned.open += 1
+
+    def __exit__(self, *_):
+        with Cleaned.lock:
+            Cleaned.open -= 1
+            if not Cleaned.open:
+                self.spark.conf.set(CLEAN, Cleaned.before)
+
+
 class Scratch:
     """Parquet tables in the shared folder that one operator keeps between its jobs.
 
@@ -37,25 +75,20 @@ class Scratch:
     that a lazy result still reads stay until the ``lifetime`` around them ends, or as long as the shared folder.
     """
 
-    #: Folders of every object made so far, in order; ``lifetime`` ends those made inside it.
-    live: list[str] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-        Scratch.live.append(self.root)
+        self.n, self.lock = 0, threading.Lock()
+        bounded_batches(spark)
+        if (made := MADE.get()) is not None:
+            made.append(self.root)
 
     def settle(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(clean, "false")
-        self.spark.conf.set(clean, "true")  # nothing reads this job's shuffles again
-        try:
+        with self.lock:
+            self.n += 1
+            path = f"{self.root}/{self.n}"
+        with Cleaned(self.spark):  # nothing reads this job's shuffles again
             df.write.option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(clean, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._settled_at = path
         return out
@@ -72,12 +105,16 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def lifetime(spark: SparkSession):
-    """Scratch tables made inside are deleted at the end: what is needed of lazy results has to be written by then."""
-    first = len(Scratch.live)
+    """Scratch tables that this thread makes inside are deleted at the end: what is needed of lazy results has to be written by then.
+
+    Other threads' tables, also of threads that are started inside, are theirs to keep.
+    """
+    made: list[str] = []
+    token = MADE.set(made)
     try:
         yield
     finally:
-        made, Scratch.live[first:] = Scratch.live[first:], []
+        MADE.reset(token)
         for path in made:
             delete(spark, path)
 

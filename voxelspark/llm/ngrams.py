@@ -7,7 +7,9 @@ import numpy as np
 BITS = 20
 SIZE = 1 << BITS
 #: Characters of one block of texts.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Entries of a fit that are worked on at once.
+ENTRIES = 1 << 19
 
 
 def blocks(texts: list):
@@ -63,16 +65,22 @@ def fit_logistic(row: np.ndarray, feature: np.ndarray, scale: np.ndarray, target
     """
     rows, k = len(target), len(scale)
     weight = np.full(rows, 1.0 / max(rows, 1)) if weight is None else weight / weight.sum()
-    x = scale[feature] if value is None else scale[feature] * value
+    parts = [slice(at, at + ENTRIES) for at in range(0, len(row), ENTRIES)]
+    x = lambda part: scale[feature[part]] if value is None else scale[feature[part]] * value[part]
 
     def loss(p: np.ndarray):
-        z = row_sums(p[feature] * x, row, rows) + p[k]
-        value = float(weight @ (np.logaddexp(0, z) - target * z)) + l2 / 2 * float(p[:k] @ p[:k])
+        z, grad = np.full(rows, p[k]), l2 * p
+        for part in parts:
+            z += row_sums(p[feature[part]] * x(part), row[part], rows)
+        total = float(weight @ (np.logaddexp(0, z) - target * z)) + l2 / 2 * float(p[:k] @ p[:k])
         d = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - target)
-        return value, np.append(np.bincount(feature, d[row] * x, minlength=k) + l2 * p[:k], d.sum())
+        grad[k] = d.sum()
+        for part in parts:
+            grad[:k] += np.bincount(feature[part], d[row[part]] * x(part), minlength=k)
+        return total, grad
 
     p = np.zeros(k + 1)
-    value, grad = loss(p)
+    now, grad = loss(p)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
         q, alphas = grad.copy(), []
@@ -89,14 +97,14 @@ def fit_logistic(row: np.ndarray, feature: np.ndarray, scale: np.ndarray, target
         while True:
             new = p - step * q
             after, grad_after = loss(new)
-            if after <= value - 1e-4 * step * slope or step < 1e-8:
+            if after <= now - 1e-4 * step * slope or step < 1e-8:
                 break
             step /= 2
         s, y = new - p, grad_after - grad
         if float(s @ y) > 1e-12:
             pairs = [*pairs[1 - history :], (s, y)]
-        done = abs(value - after) < 1e-7 * max(1.0, abs(value))
-        p, value, grad = new, after, grad_after
+        done = abs(now - after) < 1e-7 * max(1.0, abs(now))
+        p, now, grad = new, after, grad_after
         if done:
             break
     return p[:k] * scale, float(p[k])

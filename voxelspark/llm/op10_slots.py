@@ -6,11 +6,12 @@ a stored slot-to-shard map says where each slot lies. The map is a versioned tab
 alike, and stores version n + 1. An edit moves few slots, the others' records stay where they are. Old versions stay readable.
 
 A text whose copies outweigh a shard's fair share (there can be at most as many such texts as shards) cannot stay together; its
-copies hash by doc_id over all slots instead. The list of such texts is part of each version, so the map table alone finds a
-record again. A text once on the list stays on it.
+copies hash by doc_id over all slots instead. Where rows of one such text and one doc_id (or none) still do, they are dealt by their
+row number, as nothing else tells them apart. Both lists are part of each version, so the map table alone finds a record again,
+but for those last. What is once on a list stays on it.
 
 What reaches the driver is a few numbers per slot. Places inside a shard come from counts per (slot, salt), with a salt for every
-``part_rows`` records of a slot, and a row number inside each: no window holds a whole shard or slot.
+``part_rows`` records of a slot, dealt by row number, and a place inside each: no window holds a whole shard or slot.
 
 Edge cases: null text counts as no bytes plus one; null doc_id is allowed; repeated rows are placed each; other columns are not
 read; an empty table gives no rows and leaves the map as it is but for its version.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from voxelspark.llm.common import text_bytes
 from voxelspark.plans.iterate import Scratch
 
-#: A row per slot (kind ``slot``: key is the slot) and per text that is dealt by doc_id (kind ``hot``: key is its hash).
+#: A row per slot (kind ``slot``: key is the slot), per text that is dealt by doc_id (kind ``hot``: key is its hash) and per text and doc_id
+#: whose rows are dealt by number (kind ``same``: key is the hash of both).
 MAP = "kind string, key long, shard int, version int"
 
 
@@ -51,34 +53,38 @@ def edited(sizes: list[int], shard_of: list[int], shards: int) -> list[int]:
         where[best[1]] = empty
 
 
-def read_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int], list[int]]:
-    """(version, shard of each slot, hashes of texts dealt by doc_id); the latest version if none is named, version 0 if there is none."""
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int], tuple[list[int], list[int]]]:
+    """(version, shard of each slot, (hashes dealt by doc_id, hashes dealt by row)); the latest version if none is named, version 0 if there is none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
-        return 0, [], []
+        return 0, [], ([], [])
     table = spark.read.schema(MAP).parquet(path)
     rows = (table.where(F.col("version") == version) if version else table.where(F.col("version") == (table.agg(F.max("version")).first()[0] or 0))).collect()  # a row per slot
     if not rows:
         raise ValueError(f"no version {version} at {path}")
-    return rows[0]["version"], [r["shard"] for r in sorted(rows, key=lambda r: r["key"]) if r["kind"] == "slot"], sorted(r["key"] for r in rows if r["kind"] == "hot")
+    told = lambda kind: sorted(r["key"] for r in rows if r["kind"] == kind)
+    return rows[0]["version"], [r["shard"] for r in sorted(rows, key=lambda r: r["key"]) if r["kind"] == "slot"], (told("hot"), told("same"))
 
 
-def write_map(spark: SparkSession, path: str, version: int, shard_of: list[int], hot: list[int]) -> None:
+def write_map(spark: SparkSession, path: str, version: int, shard_of: list[int], apart: tuple[list[int], list[int]]) -> None:
     """Stores a version; one that is there already is never overwritten."""
     dealt = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(shard_of)), "array<int>")).alias("k", "shard")).select(F.lit("slot").alias("kind"), F.col("k").cast("long").alias("key"), "shard")
-    texts = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(hot)), "array<long>")).alias("key")).select(F.lit("hot").alias("kind"), "key", F.lit(None).cast("int").alias("shard"))
-    dealt.unionByName(texts).coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
+    for kind, keys in zip(("hot", "same"), apart, strict=True):
+        dealt = dealt.unionByName(spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<long>")).alias("key")).select(F.lit(kind).alias("kind"), "key", F.lit(None).cast("int").alias("shard")))
+    dealt.coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, h: hash of the text) of every row."""
+    """(doc_id, size, text_crc32, h: hash of the text, row: its number) of every row. To be settled before it is read twice."""
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1
-    return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text_bytes(text_col)).alias("text_crc32"), F.xxhash64(F.col(text_col)).alias("h"))
+    return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text_bytes(text_col)).alias("text_crc32"), F.xxhash64(F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("row"))
 
 
-def slot_of(hot: list[int], slots: int):
+def slot_of(apart: tuple[list[int], list[int]], slots: int):
     """Column: a record's virtual slot."""
-    key = F.when(F.col("h").isin(hot), F.xxhash64("doc_id", "h")).otherwise(F.col("h")) if hot else F.col("h")
+    hot, same = apart
+    both = F.xxhash64("doc_id", "h")
+    key = F.when(F.col("h").isin(hot), F.when(both.isin(same), F.xxhash64("h", "row")).otherwise(both) if same else both).otherwise(F.col("h")) if hot else F.col("h")
     return F.pmod(key, F.lit(slots)).cast("int")
 
 
@@ -89,45 +95,50 @@ def rebalance(records: DataFrame, path: str, shards: int = 16, slots: int = 4096
     a shard that is new starts empty, slots of one that is gone are dealt to the others in turn.
     """
     spark = records.sparkSession
-    version, shard_of, hot = read_map(spark, path)
+    version, shard_of, apart = read_map(spark, path)
     if not version:
         version, shard_of = 1, [s % shards for s in range(slots)]
-        write_map(spark, path, 1, shard_of, hot)
+        write_map(spark, path, 1, shard_of, apart)
     shard_of, slots = [s if s < shards else k % shards for k, s in enumerate(shard_of)], len(shard_of)
 
-    def bytes_of(hot: list[int]) -> list[int]:
+    def bytes_of(apart) -> list[int]:
         out = [0] * slots
-        for r in records.groupBy(slot_of(hot, slots).alias("k")).agg(F.sum("size").alias("b")).collect():  # at most one row per slot
+        for r in records.groupBy(slot_of(apart, slots).alias("k")).agg(F.sum("size").alias("b")).collect():  # at most one row per slot
             out[r["k"]] = r["b"]
         return out
 
-    sizes = bytes_of(hot)
+    sizes = bytes_of(apart)
     fair = sum(sizes) / shards
-    heavy = [s for s, b in enumerate(sizes) if b > fair]  # fewer than shards
-    if heavy:
-        new = records.where(slot_of(hot, slots).isin(heavy) & ~F.col("h").isin(hot)).groupBy("h").agg(F.sum("size").alias("b")).where(F.col("b") > fair).collect()  # fewer than shards
+    for level, key in enumerate((F.col("h"), F.xxhash64("doc_id", "h"))):
+        heavy = [s for s, b in enumerate(sizes) if b > fair]  # fewer than shards
+        if not heavy:
+            break
+        some = records.where(slot_of(apart, slots).isin(heavy) & ~key.isin(apart[level]))
+        if level:
+            some = some.where(F.col("h").isin(apart[0]))
+        new = some.groupBy(key.alias("key")).agg(F.sum("size").alias("b")).where(F.col("b") > fair).collect()  # fewer than shards
         if new:
-            hot = sorted({*hot, *(r["h"] for r in new)})
-            sizes = bytes_of(hot)
-    write_map(spark, path, version + 1, edited(sizes, shard_of, shards), hot)
+            apart = tuple(sorted({*old, *(r["key"] for r in new)}) if k == level else old for k, old in enumerate(apart))
+            sizes = bytes_of(apart)
+    write_map(spark, path, version + 1, edited(sizes, shard_of, shards), apart)
     return version + 1
 
 
 def placed(records: DataFrame, path: str, version: int | None = None, part_rows: int = 200_000) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot, shard, slot) of ``records`` (of ``measured``) by a stored map; slot is the place in the shard."""
     spark = records.sparkSession
-    _, shard_of, hot = read_map(spark, path, version)
-    rows = records.withColumn("virtual_slot", slot_of(hot, len(shard_of)))
+    _, shard_of, apart = read_map(spark, path, version)
+    rows = records.withColumn("virtual_slot", slot_of(apart, len(shard_of)))
     salts = [1] * len(shard_of)
     for r in rows.groupBy("virtual_slot").count().collect():  # at most one row per slot
         salts[r["virtual_slot"]] += r["count"] // part_rows
     told = F.from_json(F.lit(json.dumps(list(zip(shard_of, salts, strict=True)))), "array<array<int>>")
     slot = spark.range(1).select(F.posexplode(told).alias("virtual_slot", "t")).select("virtual_slot", F.col("t")[0].alias("shard"), F.col("t")[1].alias("salts"))
-    rows = rows.join(F.broadcast(slot), "virtual_slot").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.col("salts")).cast("int"))  # a row per slot
+    rows = rows.join(F.broadcast(slot), "virtual_slot").withColumn("salt", F.pmod(F.xxhash64("row", F.lit("salt")), F.col("salts")).cast("int"))  # a row per slot
     per = rows.groupBy("shard", "virtual_slot", "salt").agg(F.count(F.lit(1)).alias("n"))  # at most a row per slot and part_rows records
     before = Window.partitionBy("shard").orderBy("virtual_slot", "salt").rowsBetween(Window.unboundedPreceding, -1)
     layout = per.select("virtual_slot", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("virtual_slot", "salt").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("virtual_slot", "salt").orderBy("doc_id", "text_crc32", "size", "row")
     numbered = rows.withColumn("at", F.row_number().over(within) - 1)
     return numbered.join(layout, ["virtual_slot", "salt"]).select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("base") + F.col("at")).alias("slot"))
 

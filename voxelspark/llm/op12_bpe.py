@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.llm.common import R
 from voxelspark.llm.op9_packing import default_tokenizer
+from voxelspark.plans.iterate import bounded_batches
 
 ENCODED = "doc_id long, n_tokens long, ids array<int>"
 #: Added to the code of a piece's last symbol where the file marks word ends.
@@ -362,6 +363,8 @@ def prefix_tokenizer(path: str) -> PrefixTokenizer:
 def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 6 << 20) -> DataFrame:
     """(doc_id, n_tokens, ids) of every whole text; texts are read about ``batch_bytes`` at a time, a longer one on its own in slices."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         tool = prefix_tokenizer(tokenizer)
         for b in batches:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm.common import table
+from voxelspark.plans.iterate import bounded_batches
 
 #: White space of the split pattern in runs so long that the pattern's look-ahead would overflow the matcher's stack.
 BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
@@ -91,6 +92,7 @@ def attribute_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
     """
     if rule not in ("first", "last", "middle", "split"):
         raise ValueError(f"unknown rule {rule}")
+    bounded_batches(docs.sparkSession)
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("body")]
     if sections_col:
         columns.append(F.transform(F.col(sections_col), lambda s: F.array(s["start"].cast("long"), s["end"].cast("long"))).alias("spans"))

@@ -12,8 +12,9 @@ document with a smaller doc_id; windows are judged on the input.
    apart join into maximal exact repeats.
 3. Repeats are joined back and cut out of the text.
 
-Nothing is paired: a passage with a million copies costs a million entries, spread over as many parts as it has words. Entries
-travel as packed arrays, one row per map batch and part, about six bytes a word. The number of parts follows
+Nothing is paired: a passage with a million copies costs a million entries, spread over as many parts as it has different windows;
+all windows of a text that is one word over and over are one, so their entries (14 bytes each) meet in one part. Entries travel as
+packed arrays, one row per map batch and part, about six bytes a word. There are ``SPREAD`` parts for each of
 ``spark.sql.shuffle.partitions``, so a part's size stays the same when that setting grows with the input. Positions are joined to
 texts by sort and merge at every size: their files compress so well that Spark would take them for small enough to broadcast.
 
@@ -33,6 +34,8 @@ from voxelspark.plans.iterate import Scratch
 
 #: A second multiplier, for the check part of a window's hash.
 CHECK = np.uint64(0xD6E8FEB86659FD93)
+#: Parts for each shuffle partition: a task holds one part at a time.
+SPREAD = 4
 PACKED = "part int, n int, payload binary"
 SPOTS = "doc_id long, mark long, spots binary"
 
@@ -221,7 +224,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if 2 * block - 1 > window:
         raise ValueError("a window must hold a whole reference block: 2 * block - 1 <= window")
     spark = docs.sparkSession
-    scratch, parts = Scratch(spark, "substrings"), partitions(spark)
+    scratch, parts = Scratch(spark, "substrings"), SPREAD * partitions(spark)
     rows = docs.select(F.struct("*").alias("row"))
     at = F.col("row")[id_col].cast("long")
     body = F.encode(F.col("row")[text_col], "UTF-8")

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from voxelspark.llm.common import text_bytes
 from voxelspark.plans.iterate import Scratch
+from voxelspark.plans.iterate import bounded_batches
 
 PACKET, BODY = 188, 184
 PAT_PID, PMT_PID, STREAM_PID = 0x0000, 0x1000, 0x0100
@@ -302,6 +303,7 @@ def write_streams(df: DataFrame, payload_col: str, media_col: str = "media") ->
     """``df`` with each payload stored as a transport stream in ``media_col``; the payload column goes."""
     rest = [c for c in df.columns if c not in (payload_col, media_col)]
     schema = df.select(*rest).schema
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -317,6 +319,7 @@ def read_streams(df: DataFrame, media_col: str = "media", into: str = "read") ->
     """``df`` with a struct ``into`` of what its streams hold."""
     rest = [c for c in df.columns if c != into]
     schema = df.select(*rest).schema
+    bounded_batches(df.sparkSession)
     kind = T.StructType.fromDDL(f"x struct<packets:long,programs:array<int>,streams:{STREAMS},discontinuities:long,errors:array<string>,payload:binary,stamps:{STAMPS}>")["x"].dataType
 
     def run(batches):

@@ -13,7 +13,8 @@ Groups form inside the tasks that read the documents: nothing is shuffled, and a
 A sequence's number is its task's number times 2**40 plus its place, so a retried task gives the same numbers.
 
 Edge cases: null or empty text is the end id alone; a text of any length is cut into whole windows first; repeated rows are
-packed each; a null id is packed like any other; other columns are not read; an empty table gives no rows.
+packed each; a null id is packed like any other; other columns are not read; an empty table gives no rows;
+a capacity that is not above ``slack`` is a ValueError.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.llm.common import text_bytes
 from voxelspark.llm.tokens import word_tokenizer
+from voxelspark.plans.iterate import bounded_batches
 
 OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -126,6 +128,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     ``slack``: ids that a group leaves free in each window on average, so that nearly equal windows hold the rest.
     """
+    if capacity <= slack or min(ways, piece, fine) < 1 or slack < 0:
+        raise ValueError("a window holds more than its slack, and ways, piece and fine are 1 at least")
+    bounded_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):

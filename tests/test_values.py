@@ -225,6 +225,138 @@ def test_blocks_own_edges(spark):
     assert len(parts) == e.count() and {(r.u, r.v) for r in parts} == set(whole)
 
 
+def plain_samples(lab, aff):
+    """[(u, v, affinity)] of each voxel to its predecessor along each axis."""
+    out = []
+    for at in np.ndindex(lab.shape):
+        for axis in range(3):
+            other = tuple(p - (k == axis) for k, p in enumerate(at))
+            if other[axis] >= 0 and lab[at] != lab[other] and lab[at] and lab[other]:
+                out.append((min(lab[at], lab[other]), max(lab[at], lab[other]), aff[(axis, *at)]))
+    return [(int(u), int(v), float(x)) for u, v, x in out]
+
+
+def plain_root(merges):
+    root = {}
+    top = lambda x: x if root.get(x, x) == x else top(root[x])
+    for u, v, _ in merges:
+        root[top(v)] = top(u)
+    return top
+
+
+def test_scores_of_several_blocks(spark):
+    """Every edge's score is the one at which its ends meet in its owner's read box, merged there lowest edge first."""
+    rng = np.random.default_rng(21)
+    lab = (np.arange(6)[:, None] // 2 * 6 + np.arange(12)[None, :] // 2 + 1)[None]
+    aff = rng.random((3, *lab.shape))
+    rows = [(z, y, x, int(lab[z, y, x]), *map(float, aff[:, z, y, x])) for z, y, x in np.ndindex(lab.shape)]
+    v = spark.createDataFrame(rows, "z int, y int, x int, label long, aff_z double, aff_y double, aff_x double")
+    e, n = G.build_rag(v, connectivity=1), L.centers(v)
+    block, context = (1, 3, 4), (0, 1, 2)
+    got = {(r.u, r.v): r.merge_score for r in A.blockwise_scores(v, e, n, block, context, 0.6).collect()}
+    seen = set()
+    for (a, b), score in got.items():
+        own = [int(np.mean(p) // k) for p, k in zip(np.nonzero(lab == a), block, strict=True)]
+        low, high = ([max(0, o * k - c) for o, k, c in zip(own, block, context, strict=True)], [o * k + k + c for o, k, c in zip(own, block, context, strict=True)])
+        box = tuple(slice(x, y) for x, y in zip(low, high, strict=True))
+        want, merges = None, slow_merges(plain_samples(lab[box], aff[(slice(None), *box)]), 0.6, A.MeanScore())
+        for k in range(1, len(merges) + 1):
+            top = plain_root(merges[:k])
+            if top(a) == top(b):
+                want = merges[k - 1][2]
+                break
+        assert (score is None) == (want is None) and (want is None or math.isclose(score, want)), (a, b)
+        seen.add(want is None)
+    assert seen == {True, False} and len(got) == e.count()
+
+
+def test_fragments_merged_up_to_epsilon(spark):
+    rng = np.random.default_rng(22)
+    lab = (np.arange(8)[:, None] // 2 * 6 + np.arange(12)[None, :] // 2 + 1)[None]
+    aff = rng.random((3, *lab.shape))
+    rows = [(z, y, x, int(lab[z, y, x]), *map(float, aff[:, z, y, x])) for z, y, x in np.ndindex(lab.shape)]
+    v = spark.createDataFrame(rows, "z int, y int, x int, fragment long, aff_z double, aff_y double, aff_x double")
+    got = {(r.z, r.y, r.x): r.fragment for r in FR.pre_agglomerate(v, v.select("z", "y", "x", "fragment"), 0.7).collect()}
+    merges = slow_merges(plain_samples(lab, aff), 0.7, A.QuantileScore(0.25))
+    top = plain_root(merges)
+    assert merges and {at: top(int(lab[at])) for at in got} == got
+
+
+def test_block_labels(spark):
+    rng = np.random.default_rng(23)
+    lab = rng.integers(0, 6, (2, 7, 9)) * 1000
+    got, table = FR.block_labels(volume(spark, lab, "fragment"), lab.shape, (1, 3, 4))
+    here = {(r.z, r.y, r.x): r.label for r in got.collect()}
+    back = {r.label: (r.block, r.fragment) for r in table.collect()}
+    for z, y, x in np.ndindex(lab.shape):
+        b = (z * 3 + y // 3) * 3 + x // 4
+        inside = sorted({int(k) for k in lab[z, y // 3 * 3 : y // 3 * 3 + 3, x // 4 * 4 : x // 4 * 4 + 4].ravel()} - {0})
+        want = inside.index(lab[z, y, x]) + 1 + b * 12 if lab[z, y, x] else 0
+        assert here[z, y, x] == want and (not want or back[want] == (b, lab[z, y, x]))
+
+
+def test_block_labels_of_a_large_volume(spark):
+    """Nine voxels of a volume of 10**15: labels are unique and no number overflows."""
+    at = [(0, 0, 0), (0, 0, 1), (99_999, 99_999, 99_999), (99_999, 99_999, 99_998), (50_000, 999, 1000), (50_000, 1000, 1000), (999, 999, 999), (1000, 1000, 1000), (12_345, 67_890, 54_321)]
+    v = spark.createDataFrame([(*p, 0.9, 0.9, 0.9) for p in at], "z int, y int, x int, aff_z double, aff_y double, aff_x double")
+    got, nodes = FR.extract_fragments(v, (100_000,) * 3, min_seed_distance=3, block=(1000, 1000, 1000))
+    label = {(r.z, r.y, r.x): r.label for r in got.collect()}
+    assert len(label) == 9 and all(0 < k <= 10**15 for k in label.values()) and nodes.count() == len(set(label.values()))
+    assert all((label[p] == label[q]) <= (tuple(c // 1000 for c in p) == tuple(c // 1000 for c in q)) for p, q in itertools.combinations(at, 2))
+    with pytest.raises(ValueError):
+        FR.block_labels(volume(spark, np.ones((1, 1, 1), np.int64), "fragment"), (1 << 31,) * 3, (1, 1, 1))
+
+
+def test_extracted_fragments_with_mask_and_epsilon(spark):
+    rng = np.random.default_rng(24)
+    aff = np.where(rng.random((2, 8, 10)) < 0.25, 0.1, rng.uniform(0.6, 1, (2, 8, 10)))
+    v = spark.createDataFrame([(z, y, x, *[float(aff[z, y, x])] * 3) for z, y, x in np.ndindex(aff.shape)], "z int, y int, x int, aff_z double, aff_y double, aff_x double")
+    inside = rng.random(aff.shape) < 0.9
+    mask = volume(spark, inside.astype(int), "masked", "int")
+    shown = np.where(inside, aff, 0.0)
+    base = {(r.z, r.y, r.x): r.label for r in FR.extract_fragments(v, aff.shape, mask=mask, in_xy=True, min_seed_distance=3)[0].collect()}
+    for z in (0, 1):
+        want = slow_watershed(slow_distance(shown[z][None] > 0.5)[0], 3)
+        parts = lambda m: sorted(sorted(p for p in m if m[p] == s) for s in set(m.values()))
+        assert parts({p[1:]: s for p, s in base.items() if p[0] == z and s}) == parts(want)
+    lab = np.zeros(aff.shape, np.int64)
+    for p, s in base.items():
+        lab[p] = s
+    top = plain_root(slow_merges(plain_samples(lab, np.stack([shown] * 3)), 0.35, A.QuantileScore(0.25)))
+    merged = {(r.z, r.y, r.x): r.label for r in FR.extract_fragments(v, aff.shape, mask=mask, epsilon=0.35, in_xy=True, min_seed_distance=3)[0].collect()}
+    assert merged == {p: top(s) for p, s in base.items()} and set(merged.values()) != set(base.values())
+
+
+def test_descriptor_merging_scores_touched_edges_alone(spark, monkeypatch):
+    """Two rows of four fragments each: same merges as when every edge is scored in every round, but fewer are."""
+    lab = np.repeat(np.repeat(np.arange(1, 13).reshape(2, 6), 4, axis=0), 3, axis=1)[None]
+    truth = np.where(lab <= 4, 1, np.where(lab <= 6, 2, np.where(lab <= 9, 3, 4)))
+    v = volume(spark, lab)
+    target = SH.shape_descriptors(volume(spark, truth), (1.0, 2.0, 2.0), dims=2)
+    edges = G.build_rag(v, connectivity=1)
+    asked, plain = [], A.edge_descriptor_scores
+    monkeypatch.setattr(A, "edge_descriptor_scores", lambda voxels, e, *how: asked.append(e.count()) or plain(voxels, e, *how))
+    history, lut = A.agglomerate_by_descriptors(v, edges, target, (1.0, 2.0, 2.0), dims=2, threshold=-1e-9)
+    got = sorted((r["round"], r.a, r.b, round(r.score, 6)) for r in history.collect())
+    now, want, open_, total = lab, [], {(r.u, r.v) for r in edges.collect()}, []
+    for k in itertools.count():
+        total.append(len(open_))
+        scores = {(r.u, r.v): r.score for r in plain(volume(spark, now), spark.createDataFrame(sorted(open_), "u long, v long"), target, (1.0, 2.0, 2.0), (1, 1, 1), 2).collect()}
+        best = {x: min((s, e) for e, s in scores.items() if x in e) for e in scores for x in e}
+        merges = [(e, s) for e, s in scores.items() if s < -1e-9 and all(best[x] == (s, e) for x in e)]
+        if not merges:
+            break
+        want += [(k, *e, round(s, 6)) for e, s in merges]
+        to = {b: a for (a, b), _ in merges}
+        now = np.vectorize(lambda x: to.get(x, x))(now)
+        open_ = {(min(a, b), max(a, b)) for a, b in ((to.get(a, a), to.get(b, b)) for a, b in open_) if a != b}
+        if not open_:
+            total.append(0)
+            break
+    assert got == sorted(want) and len({r[0] for r in got}) >= 2
+    assert asked[0] == total[0] and sum(asked[1:]) < sum(total[1 : len(asked)])
+
+
 def test_descriptor_merging_joins_halves(spark):
     halves = np.zeros((1, 6, 8), int)
     halves[0, 1:5, 1:4], halves[0, 1:5, 4:7] = 1, 2

@@ -354,13 +354,20 @@ def agglomerate_by_descriptors(voxels: DataFrame, edges: DataFrame, target: Data
 
     This score is not reducible: the outcome can differ from that of merging the lowest edge first. Rounds go on until no merge is
     left, as each takes a node away; RuntimeError if ``max_rounds`` are given and not enough.
+
+    An edge's score depends on the voxels of its two ends alone. So a round scores the edges that the last one's merges touched,
+    reading those ends' voxels; all others keep theirs. The volume is never written again: voxels get their segment when read.
     """
     from voxelspark.operators.rag import relabel
 
     scratch, history, lut, done = Scratch(voxels.sparkSession, "bydescriptor"), None, None, 0
-    now, open_ = voxels, edges.select("u", "v").distinct()
+    asked, kept = edges.select("u", "v").distinct(), None
     for k in count():
-        scored = scratch.settle(edge_descriptor_scores(now, open_, target, sigma, voxel_size, dims))
+        part = voxels if lut is None else relabel(voxels, lut, unmatched="keep")
+        if kept is not None:
+            part = part.join(asked.select(F.explode(F.array("u", "v")).alias("label")).distinct(), "label", "left_semi")
+        fresh = edge_descriptor_scores(part, asked, target, sigma, voxel_size, dims)
+        scored = scratch.settle(fresh if kept is None else kept.unionByName(fresh))
         key = F.struct("score", "u", "v")
         best = scored.select(F.col("u").alias("n"), key.alias("e")).unionByName(scored.select(F.col("v").alias("n"), key.alias("e"))).groupBy("n").agg(F.min("e").alias("e"))
         picked = best.where(F.col("e.score") < threshold).groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("e.u", "e.v", "e.score")
@@ -376,15 +383,18 @@ def agglomerate_by_descriptors(voxels: DataFrame, edges: DataFrame, target: Data
         step = merges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("u").alias("c"), "score", F.lit(k).alias("round"))
         history = step if history is None else history.unionByName(step)
         to = merges.select(F.col("v").alias("fragment"), F.col("u").alias("segment"))
-        now = scratch.settle(relabel(now, to, unmatched="keep"))
-        moved = open_
-        for end in ("u", "v"):
-            moved = moved.join(to.select(F.col("fragment").alias(end), F.col("segment").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-        open_ = scratch.settle(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         older = None if lut is None else lut.join(to.select(F.col("fragment").alias("segment"), F.col("segment").alias("_to")), "segment", "left").select("fragment", F.coalesce("_to", "segment").alias("segment"))
         lut = scratch.settle(to if older is None else older.unionByName(to))
         if max_merges is not None and done >= max_merges:
             break
+        touched = merges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("u").alias("to")), F.struct(F.col("v").alias("node"), F.col("u").alias("to")))).alias("t")).select("t.*")
+        moved = scored
+        for end in ("u", "v"):
+            moved = moved.join(touched.withColumnsRenamed({"node": end, "to": f"_{end}"}), end, "left")
+        moved = scratch.settle(moved)
+        kept = moved.where("_u is null and _v is null").select("u", "v", "score")
+        ends = moved.where("_u is not null or _v is not null").select(F.coalesce("_u", "u").alias("a"), F.coalesce("_v", "v").alias("b")).where("a <> b")
+        asked = scratch.settle(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     spark = voxels.sparkSession
     if history is None:
         return spark.createDataFrame([], "a long, b long, c long, score double, round int"), spark.createDataFrame([], "fragment long, segment long")

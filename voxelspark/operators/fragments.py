@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.operators.agglomerate import QuantileScore, agglomerate, edge_affinities
 from voxelspark.operators.blocks import nearest_along
-from voxelspark.operators.labels import block_unique, centers, filter_fragments, label_components, voxel_key
+from voxelspark.operators.labels import block_unique, centers, filter_fragments, label_components, renumbered, voxel_key
 from voxelspark.operators.rag import relabel
 from voxelspark.operators.voxels import FACES, filtered_line, gaussian, masked, neighbours, without_sections
 from voxelspark.plans.iterate import Scratch
@@ -130,7 +130,7 @@ def extract_fragments(voxels: DataFrame, shape: tuple[int, int, int], mask: Data
     """(voxels with ``label``, nodes): the whole stage. voxels: z, y, x, aff_z, aff_y, aff_x.
 
     The whole volume is one run and has no seams. With ``block``, fragments are split at block borders and numbered inside
-    their blocks, as a block-wise run would.
+    their blocks (``block_labels``), as a block-wise run would.
     """
     names = ("aff_z", "aff_y", "aff_x")
     if mask is not None:
@@ -148,15 +148,31 @@ def extract_fragments(voxels: DataFrame, shape: tuple[int, int, int], mask: Data
         found = pre_agglomerate(voxels, found, epsilon)
     if drop_sections:
         found = without_sections(found, "fragment", drop_sections)
-    label = F.col("fragment")
     if block is not None:
-        blocks = [-(-s // b) for s, b in zip(shape, block, strict=True)]
-        number = (F.floor(F.col("z") / block[0]) * blocks[1] + F.floor(F.col("y") / block[1])) * blocks[2] + F.floor(F.col("x") / block[2])
-        label = block_unique(label, number, shape[0] * shape[1] * shape[2] + 1)
-    out = scratch.settle(found.select(*POS, label.cast("long").alias("label")))
+        found, _ = block_labels(found, shape, block)
+    else:
+        found = found.select(*POS, F.col("fragment").cast("long").alias("label"))
+    out = scratch.settle(found)
     return out, centers(out, "label", offset, voxel_size)
 
 
+def block_labels(fragments: DataFrame, shape: tuple[int, int, int], block: tuple[int, int, int]) -> tuple[DataFrame, DataFrame]:
+    """(voxels with ``label``, (block, fragment, label): the way back) of fragments split at block borders.
+
+    A block's fragments are ranked inside it, from 1, and moved by the block's number times the voxels of a block. So labels are
+    unique in the whole volume, stay within the voxels of all blocks, and any block can be numbered on its own. Background stays 0.
+    ValueError where 63 bits do not hold the voxels of all blocks, or the keys of the volume's voxels.
+    """
+    blocks = [-(-s // b) for s, b in zip(shape, block, strict=True)]
+    per = block[0] * block[1] * block[2]
+    if max(blocks[0] * blocks[1] * blocks[2] * per, shape[0] * shape[1] * shape[2]) >= 1 << 63:
+        raise ValueError("63 bits do not hold a label for every voxel of all blocks")
+    of = [F.floor(F.col(a) / b).cast("long") for a, b in zip(POS, block, strict=True)]
+    number = (of[0] * blocks[1] + of[1]) * blocks[2] + of[2]
+    ranked, table = renumbered(fragments.select(*POS, F.col("fragment").cast("long").alias("label"), number.alias("_block")), "label", by=["_block"])
+    return ranked.select(*POS, block_unique(F.col("label"), F.col("_block"), per).alias("label")), table.select(F.col("_block").alias("block"), F.col("id").alias("fragment"), block_unique(F.col("number"), F.col("_block"), per).alias("label"))
+
+
 def stencil(voxels: DataFrame, value: str, kind: str, sd: float = 1.0, into: str = "filtered") -> DataFrame:
     """``sobel`` (gradient size in y and x), ``gaussian`` or ``median`` (3 x 3) of an in-plane image; absent neighbours are left out
     of a median and count as 0 elsewhere."""

@@ -208,6 +208,12 @@ def g7(spark, d):
     return nodes
 
 
+@query("g7_block_labels", f"WITH {W.V1} SELECT y, x, CASE WHEN gt = 0 THEN 0 ELSE dense_rank() OVER (PARTITION BY y // 7, x // 10, gt = 0 ORDER BY gt) + (y // 7 * 13 + x // 10) * 70 END AS label FROM v1")
+def g7_blocks(spark, d):
+    p = W.plane(spark, d).select("z", "y", "x", F.col("gt").alias("fragment"))
+    return FR.block_labels(p, (1, height(spark, d), W.WIDTH), (1, 7, 10))[0].select("y", "x", "label")
+
+
 @query("g8_label_components", f"WITH RECURSIVE {W.V1}, hi AS (SELECT y, x, y * 125 + x AS id FROM v1 WHERE raw > 300000), he AS (SELECT a.id AS u, b.id AS v FROM hi a JOIN hi b ON (a.y = b.y + 1 AND a.x = b.x) OR (a.y = b.y AND a.x = b.x + 1)), {W.roots_sql('SELECT u, v FROM he', 'SELECT id FROM hi')} SELECT y, x, root + 1 AS component FROM hi JOIN comp ON node = id")
 def g8(spark, d):
     p = W.plane(spark, d).select("z", "y", "x", (F.col("raw") > 300_000).cast("long").alias("hi"))

@@ -88,8 +88,8 @@ def a10(spark, d):
 
 @query("a11_has_edges", f"WITH {W.GRAPH1} SELECT count(*) > 0 AS has_edges FROM e1 WHERE u IN (SELECT id FROM nodes WHERE center_y < 20)")
 def a11(spark, d):
-    own = S.edges_of(W.plane_edges(spark, d), S.nodes_in(W.plane_nodes(spark, d), high=(None, 20, None)))
-    return own.agg((F.count(F.lit(1)) > 0).alias("has_edges"))
+    found = S.has_edges(S.nodes_in(W.plane_nodes(spark, d), high=(None, 20, None)), W.plane_edges(spark, d))
+    return spark.range(1).select(F.lit(found).alias("has_edges"))
 
 
 @query("a13_owned_edges", f"WITH {W.GRAPH1} SELECT u, v, round(merge_score, 6) AS merge_score FROM e1 WHERE u IN (SELECT id FROM nodes WHERE center_y >= 5 AND center_y < 50 AND center_x >= 10)")

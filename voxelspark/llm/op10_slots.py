@@ -53,23 +53,23 @@ def edited(sizes: list[int], shard_of: list[int], shards: int) -> list[int]:
         where[best[1]] = empty
 
 
-def read_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int], tuple[list[int], list[int]]]:
-    """(version, shard of each slot, (hashes dealt by doc_id, hashes dealt by row)); the latest version if none is named, version 0 if there is none."""
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int], list[tuple[str, int]]]:
+    """(version, shard of each slot, (kind, hash) of what is dealt apart); the latest version if none is named, version 0 if there is none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
-        return 0, [], ([], [])
+        return 0, [], []
     table = spark.read.schema(MAP).parquet(path)
     rows = (table.where(F.col("version") == version) if version else table.where(F.col("version") == (table.agg(F.max("version")).first()[0] or 0))).collect()  # a row per slot
     if not rows:
         raise ValueError(f"no version {version} at {path}")
-    told = lambda kind: sorted(r["key"] for r in rows if r["kind"] == kind)
-    return rows[0]["version"], [r["shard"] for r in sorted(rows, key=lambda r: r["key"]) if r["kind"] == "slot"], (told("hot"), told("same"))
+    return rows[0]["version"], [r["shard"] for r in sorted(rows, key=lambda r: r["key"]) if r["kind"] == "slot"], sorted((r["kind"], r["key"]) for r in rows if r["kind"] != "slot")
 
 
-def write_map(spark: SparkSession, path: str, version: int, shard_of: list[int], apart: tuple[list[int], list[int]]) -> None:
+def write_map(spark: SparkSession, path: str, version: int, shard_of: list[int], apart: list[tuple[str, int]]) -> None:
     """Stores a version; one that is there already is never overwritten."""
     dealt = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(shard_of)), "array<int>")).alias("k", "shard")).select(F.lit("slot").alias("kind"), F.col("k").cast("long").alias("key"), "shard")
-    for kind, keys in zip(("hot", "same"), apart, strict=True):
+    for kind in ("hot", "same"):
+        keys = hashes(apart, kind)
         dealt = dealt.unionByName(spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<long>")).alias("key")).select(F.lit(kind).alias("kind"), "key", F.lit(None).cast("int").alias("shard")))
     dealt.coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
 
@@ -80,9 +80,13 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text_bytes(text_col)).alias("text_crc32"), F.xxhash64(F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("row"))
 
 
-def slot_of(apart: tuple[list[int], list[int]], slots: int):
+def hashes(apart: list[tuple[str, int]], kind: str) -> list[int]:
+    return [k for of, k in apart if of == kind]
+
+
+def slot_of(apart: list[tuple[str, int]], slots: int):
     """Column: a record's virtual slot."""
-    hot, same = apart
+    hot, same = hashes(apart, "hot"), hashes(apart, "same")
     both = F.xxhash64("doc_id", "h")
     key = F.when(F.col("h").isin(hot), F.when(both.isin(same), F.xxhash64("h", "row")).otherwise(both) if same else both).otherwise(F.col("h")) if hot else F.col("h")
     return F.pmod(key, F.lit(slots)).cast("int")
@@ -109,16 +113,16 @@ def rebalance(records: DataFrame, path: str, shards: int = 16, slots: int = 4096
 
     sizes = bytes_of(apart)
     fair = sum(sizes) / shards
-    for level, key in enumerate((F.col("h"), F.xxhash64("doc_id", "h"))):
+    for kind, key in (("hot", F.col("h")), ("same", F.xxhash64("doc_id", "h"))):
         heavy = [s for s, b in enumerate(sizes) if b > fair]  # fewer than shards
         if not heavy:
             break
-        some = records.where(slot_of(apart, slots).isin(heavy) & ~key.isin(apart[level]))
-        if level:
-            some = some.where(F.col("h").isin(apart[0]))
+        some = records.where(slot_of(apart, slots).isin(heavy) & ~key.isin(hashes(apart, kind)))
+        if kind == "same":
+            some = some.where(F.col("h").isin(hashes(apart, "hot")))
         new = some.groupBy(key.alias("key")).agg(F.sum("size").alias("b")).where(F.col("b") > fair).collect()  # fewer than shards
         if new:
-            apart = tuple(sorted({*old, *(r["key"] for r in new)}) if k == level else old for k, old in enumerate(apart))
+            apart = sorted({*apart, *((kind, r["key"]) for r in new)})
             sizes = bytes_of(apart)
     write_map(spark, path, version + 1, edited(sizes, shard_of, shards), apart)
     return version + 1

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxelspark.functions import roi as R
 from voxelspark.operators import agglomerate as A
+from voxelspark.operators import batch as BN
 from voxelspark.operators import evaluate as EV
 from voxelspark.operators import fragments as FR
 from voxelspark.operators import labels as L
@@ -645,11 +647,48 @@ def j12(spark, d):
 def b14(spark, d):
     """A user function per block and its context: each voxel minus its block's mean."""
 
-    def fn(pdf):
-        pdf["centred"] = (pdf["raw"] - pdf["raw"].mean()).round(2)
-        return pdf[["z", "y", "x", "owned", "centred"]]
+    def fn(read, _):
+        t = read["raw"]
+        raw = t.column("raw").to_numpy().astype(float)
+        return t.append_column("centred", pa.array((raw - raw.mean()).round(2)))
 
-    return B.map_blocks(W.plane(spark, d).select("z", "y", "x", "raw"), fn, "centred double", (1, 60, 60), (0, 4, 4)).select("y", "x", "centred")
+    voxels = W.plane(spark, d).select("z", "y", "x", "raw")
+    return B.map_blocks({"raw": B.BlockInput(voxels, (0, 4, 4))}, fn, "centred double", (1, 60, 60)).select("y", "x", "centred")
+
+
+def halo_sql(view: str, columns: str, size: int, context: int, block: int = 60) -> str:
+    """Voxels of ``size`` world units with the blocks whose context holds them."""
+    per = lambda a: f"unnest(range(CAST(floor(({a} * {size} - {context}) / {block}.0) AS BIGINT), ({a} * {size} + {context}) // {block} + 1)) AS block_{a}"
+    return f"(SELECT y, x, {columns}, block_y, {per('x')} FROM (SELECT y, x, {columns}, {per('y')} FROM {view}))"
+
+
+@query("b14_two_sources", f"""WITH {W.V1}, coarse AS (SELECT y // 10 AS y, x // 10 AS x, gt FROM v1 WHERE y % 10 = 0 AND x % 10 = 0), r AS (SELECT block_y, block_x, max(raw) AS top FROM {halo_sql("v1", "raw", 1, 4)} GROUP BY 1, 2),
+ g AS (SELECT block_y, block_x, count(*) FILTER (WHERE gt > 0) AS objects, count(*) AS places FROM {halo_sql("coarse", "gt", 10, 20)} GROUP BY 1, 2)
+ SELECT y, x, CAST(floor(raw / (2 * top) * 255 + 1e-7) AS INT) AS bright, coalesce(objects, 0) AS objects, coalesce(places, 0) AS places FROM v1 JOIN r ON y // 60 = r.block_y AND x // 60 = r.block_x LEFT JOIN g ON r.block_y = g.block_y AND r.block_x = g.block_x""")
+def b14_two(spark, d):
+    """Raw values and ten times coarser objects, each with its own context; brightness comes as bytes."""
+
+    def fn(read, _):
+        raw, objects = read["raw"], read["objects"].column("gt").to_numpy()
+        bright = raw.column("raw").to_numpy().astype(float)
+        t = raw.append_column("bright", pa.array(bright / (2 * bright.max()) + 1e-7 / 255))
+        for name, n in (("objects", int((objects > 0).sum())), ("places", len(objects))):
+            t = t.append_column(name, pa.array([n] * len(t), pa.int64()))
+        return t
+
+    p = W.plane(spark, d)
+    inputs = {"raw": B.BlockInput(p.select("z", "y", "x", "raw"), (0, 4, 4)), "objects": B.BlockInput(V.downsampled(p.select("z", "y", "x", "gt"), (1, 10, 10)), (0, 20, 20), (1, 10, 10))}
+    return B.map_blocks(inputs, fn, "bright double, objects long, places long", (1, 60, 60), as_bytes=["bright"]).select("y", "x", "bright", "objects", "places")
+
+
+@query("k3_batch_nodes", f"""WITH {W.V1}, {FRAG_VIEW}, {descriptor_sql('f', 2, probe='a.y >= 3 AND a.y < 40 AND a.x >= 20 AND a.x < 90')}, m2 AS (SELECT min(raw) AS low, max(raw) AS high FROM f WHERE y >= -3 AND y < 46 AND x >= 14 AND x < 96)
+ SELECT described.y, described.x, described.label, round((raw - low) / (high - low), 5) AS raw, {CH2_SQL.replace('round(', 'round(described.')} FROM described JOIN f ON f.y = described.y AND f.x = described.x, m2""")
+def k3(spark, d):
+    """A batch of one box through nodes: the descriptors ask for their context, the volumes are read in the grown box alone."""
+    box = R.Roi((0, 3, 20), (1, 37, 70))
+    normalised = BN.Each(lambda df: V.minmax(df.withColumn("_all", F.lit(0)), "raw", ("_all",), "raw").drop("_all"), "raw", "raw", reach=(0, 6, 6))
+    batch = BN.batch({"raw": frags(spark, d).select("z", "y", "x", "raw"), "labels": frags(spark, d).select("z", "y", "x", "label")}, [normalised, BN.AddDescriptors("labels", "descriptors", SIGMA2, dims=2)], {"raw": box, "labels": box, "descriptors": box})
+    return batch["descriptors"].join(batch["raw"], ["z", "y", "x"]).select("y", "x", "label", *r5("raw", *CH2))
 
 
 BY_BLOCK = f"WITH {W.V1} SELECT CAST(y // 20 AS INT) AS block_id, count(*) AS voxels, count(DISTINCT frag) AS labels FROM v1 GROUP BY 1"

@@ -300,7 +300,7 @@ def c7(spark, d):
 
 @query("c9_points_in_boxes", f"WITH {W.SITES} SELECT y // 16 AS block, count(*) AS n FROM sites WHERE x >= 8 AND x < 104 GROUP BY 1")
 def c9(spark, d):
-    s = W.sites(spark, d).where("x >= 8 and x < 104")
+    s = V.crop(W.sites(spark, d), R.Roi((0, 0, 8), (1, W.height(spark, d, "events", "event_id"), 96)))
     return s.groupBy(F.floor(F.col("y") / 16).cast("int").alias("block")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -55,7 +55,8 @@ def map_blocks(inputs: Mapping[str, BlockInput], fn: Callable[[dict[str, pa.Tabl
         read = {}
         for k, name in enumerate(names):
             part = t.filter(pc.equal(t.column("_input"), k)).select([f"_{k}", "owned"]).combine_chunks()
-            read[name] = pa.Table.from_struct_array(part.column(f"_{k}")).append_column("owned", part.column("owned"))
+            voxels = part.column(f"_{k}")
+            read[name] = pa.table({f.name: pc.struct_field(voxels, f.name) for f in voxels.type} | {"owned": part.column("owned")})
         if not any(pc.any(r.column("owned")).as_py() for r in read.values()):
             return arrow.empty_table()
         found = fn(read, box).select(arrow.names)

@@ -14,6 +14,7 @@ from voxelspark.operators import labels as L
 from voxelspark.operators import rag as G
 from voxelspark.operators import samples as SM
 from voxelspark.operators import shape as SH
+from voxelspark.operators import voxels as V
 from voxelspark.plans import iterate
 
 
@@ -48,7 +49,48 @@ def test_lower_envelope():
     f[3] = np.inf
     at = np.arange(25)
     want = (f[:, None, :] + (at[:, None] - at[None, :]) ** 2).min(axis=2)
-    assert (BL.lower_envelope(f) == want).all()
+    line, place = np.nonzero(np.isfinite(f))
+    asked = np.indices(f.shape).reshape(2, -1)
+    shuffled = rng.permutation(len(line))
+    best, found = BL.lower_envelope(line[shuffled], place[shuffled], f[line, place].astype(int)[shuffled], *asked)
+    assert (found.reshape(f.shape) == np.isfinite(want)).all() and (best == np.where(found, want.ravel(), 0)).all()
+
+
+def test_long_lines_of_few_voxels(spark):
+    """Voxels 10**9 apart: exact distances, in memory that follows the voxels."""
+    rng = np.random.default_rng(21)
+    at = np.unique(rng.integers(-(10**9), 10**9, 100))
+    hole = rng.random(len(at)) < 0.3
+    rows = [(0, y, int(x), not h) for y, (a, h) in ((0, (at, hole)), (3, (at[:40] + 7, hole[:40]))) for x, h in zip(a, h, strict=True)]
+    got = {(r.y, r.x): r.distance for r in FR.distance_transform(spark.createDataFrame(rows, "z int, y int, x int, masked boolean"), axes=("x",)).collect()}
+    for y in (0, 3):
+        holes = [x for _, b, x, m in rows if b == y and not m]
+        assert all(got[b, x] == min(abs(x - h) for h in holes) for _, b, x, _ in rows if b == y)
+
+
+@pytest.mark.parametrize("block", [(32, 128, 128), (2, 3, 4)])
+def test_maxima_and_smoothing_with_absent_voxels(spark, monkeypatch, block):
+    monkeypatch.setattr(BL, "BLOCK", block)
+    monkeypatch.setattr(BL.in_blocks, "__defaults__", (block,))
+    rng = np.random.default_rng(22)
+    rows = [(z, y, x, None if rng.random() < 0.1 else int(rng.integers(0, 50))) for z, y, x in np.ndindex(4, 7, 9) if rng.random() < 0.4]
+    rows = [(z, y - 3, x - 3, v) for z, y, x, v in rows]
+    v = spark.createDataFrame([*rows, (None, 0, 0, 99)], "z int, y int, x int, v long")
+    for size, axes in ((4, ("y", "x")), (3, ("z", "y", "x")), (1, ("x",)), (30, ("z", "x"))):
+        low, high = [[k if a in axes else 0 for a in "zyx"] for k in (size // 2, (size - 1) // 2)]
+        near = lambda p, q: all(a - b <= o <= a + c for a, b, c, o in zip(p, low, high, q, strict=True))  # noqa: B023, E731
+        want = {r[:3]: max((o[3] for o in rows if o[3] is not None and near(r, o[:3])), default=None) for r in [(*r[:3],) for r in rows]}
+        got = FR.max_filter(v, "v", size, axes).collect()
+        assert {(r.z, r.y, r.x): r.highest for r in got} == want and len(got) == len(rows)
+    line = dict(V.gaussian(0.8))
+    want = {r[:3]: sum(line.get(o[1] - r[1], 0) * line.get(o[2] - r[2], 0) * (o[3] or 0) for o in rows if o[0] == r[0]) for r in rows}
+    got = {(r.z, r.y, r.x): r.filtered for r in FR.stencil(v, "v", "gaussian", 0.8).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    # pairs of values are compared from the first on
+    both = v.where("v is not null").withColumn("p", F.struct("v", (-F.col("x")).alias("k")))
+    got = {(r.z, r.y, r.x): tuple(r.highest) for r in FR.max_filter(both, "p", 3, ("x",)).collect()}
+    known = [r for r in rows if r[3] is not None]
+    assert got == {r[:3]: max((o[3], -o[2]) for o in known if o[:2] == r[:2] and abs(o[2] - r[2]) <= 1) for r in known}
 
 
 def slow_watershed(d, size):

@@ -1,4 +1,4 @@
-"""What voxels around each voxel say, block by block: neighbour pairs, weighted moments of objects, distances along lines.
+"""What voxels around each voxel say, block by block: neighbour pairs, weighted moments of objects, maxima, smoothing, distances.
 
 A volume is shuffled once: each voxel goes to its block and to the blocks whose context holds it. Inside a block, which bounds a
 group, arrays do the work; a voxel without a position takes no part.
@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,18 +117,20 @@ def moments_of_offsets(mask: np.ndarray, low: np.ndarray, probe: np.ndarray, ker
     return out
 
 
+def weighted_along(x: np.ndarray, axis: int, line: Sequence[float]) -> np.ndarray:
+    """Sums along ``axis`` of x times the weight of its offset; ``line``: the weights of -r .. r."""
+    out, r = np.zeros_like(x), len(line) // 2
+    for d, w in zip(range(-r, r + 1), line, strict=True):
+        if w and abs(d) < x.shape[axis]:
+            to, of = [slice(None)] * 3, [slice(None)] * 3
+            to[axis], of[axis] = slice(max(0, -d), x.shape[axis] - max(0, d)), slice(max(0, d), x.shape[axis] + min(0, d))
+            out[tuple(to)] += w * x[tuple(of)]
+    return out
+
+
 def moments_of_lines(mask: np.ndarray, low: np.ndarray, probe: np.ndarray, kernel: Kernel, terms) -> np.ndarray:
     """An axis at a time: weights that multiply are applied along x, then y, then z; powers of the offset go with the weights."""
 
-    def along(x: np.ndarray, axis: int, power: int) -> np.ndarray:
-        out, line, r = np.zeros_like(x), kernel.lines[axis], int(kernel.reach[axis])
-        for d in range(-r, r + 1):
-            if f := line[d + r] * float(d) ** power:
-                to, of = [slice(None)] * 3, [slice(None)] * 3
-                to[axis], of[axis] = slice(max(0, -d), x.shape[axis] - max(0, d)), slice(max(0, d), x.shape[axis] + min(0, d))
-                out[tuple(to)] += f * x[tuple(of)]
-        return out
-
     done: dict[tuple[int, ...], np.ndarray] = {}
 
     def of(powers: tuple[int, ...]) -> np.ndarray:
@@ -135,7 +138,9 @@ def moments_of_lines(mask: np.ndarray, low: np.ndarray, probe: np.ndarray, kerne
         if not powers:
             return mask.astype(float)
         if powers not in done:
-            done[powers] = along(of(powers[1:]), 3 - len(powers), powers[0])
+            axis = 3 - len(powers)
+            line, r = kernel.lines[axis], int(kernel.reach[axis])
+            done[powers] = weighted_along(of(powers[1:]), axis, [w * float(d) ** powers[0] for d, w in zip(range(-r, r + 1), line, strict=True)])
         return done[powers]
 
     at = tuple(probe - low[:, None])
@@ -185,36 +190,130 @@ def moments_in_blocks(source: DataFrame, probe: DataFrame | None, kernel: Kernel
     return in_blocks(rows, kernel.reach).applyInArrow(run, schema)
 
 
-def lower_envelope(f: np.ndarray) -> np.ndarray:
-    """min over q of (p - q)**2 + f[line, q] for every place p of every line, in steps that grow with the line's length: only the
-    parabolas of the lower envelope are kept (Felzenszwalb and Huttenlocher 2012), for all lines at once."""
-    lines, n = f.shape
-    v, start, top = np.zeros((lines, n), np.int64), np.full((lines, n + 1), np.inf), np.full(lines, -1)
-    for q in range(n):
-        rows = np.flatnonzero(np.isfinite(f[:, q]))
-        begins = np.full(len(rows), -np.inf)
-        left = np.arange(len(rows))  # those whose last parabola may be hidden by this one
-        while len(left := left[top[rows[left]] >= 0]):
-            r = rows[left]
-            last = v[r, top[r]]
-            s = (f[r, q] + q * q - f[r, last] - last * last) / (2.0 * (q - last))
-            hidden = s <= start[r, top[r]]
-            begins[left] = np.where(hidden, -np.inf, s)
-            top[r[hidden]] -= 1
+def ranks(values: pa.ChunkedArray) -> np.ndarray:
+    """The place of each value in their order (structs by their fields), -1 for null. NaN is the largest."""
+    known = values.is_valid().to_numpy()
+    columns = {f.name: pc.struct_field(values, f.name) for f in values.type} if pa.types.is_struct(values.type) else {"v": values}
+    order = pc.sort_indices(pa.table(columns), sort_keys=[(c, "ascending") for c in columns]).to_numpy()
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    out[~known] = -1
+    return out
+
+
+def running_max(x: np.ndarray, axis: int, before: int, after: int) -> np.ndarray:
+    """Maxima of x[i - before .. i + after] along ``axis`` in three steps a place, whatever the window: the maxima from the start and
+    to the end of runs as long as the window (van Herk 1992). Numbers of -1 stand for nothing."""
+    x, size = np.moveaxis(x, axis, -1), before + after + 1
+    n = x.shape[-1]
+    long = -(-(n + size) // size) * size
+    runs = np.full((*x.shape[:-1], long), -1, x.dtype)
+    runs[..., before : before + n] = x
+    runs = runs.reshape(*x.shape[:-1], -1, size)
+    ahead = np.maximum.accumulate(runs, axis=-1).reshape(*x.shape[:-1], long)
+    back = np.maximum.accumulate(runs[..., ::-1], axis=-1)[..., ::-1].reshape(*x.shape[:-1], long)
+    return np.moveaxis(np.maximum(back[..., :n], ahead[..., size - 1 : size - 1 + n]), -1, axis)
+
+
+def maxima_in_blocks(df: DataFrame, value: str, size: int, axes: Sequence[str], into: str) -> DataFrame:
+    """``df`` with the largest ``value`` in a box of ``size`` voxels along each of ``axes``, over the voxels that are there; an even
+    box reaches one further back than ahead. Null values count as absent, NaN as the largest."""
+    before, after = size // 2, (size - 1) // 2
+    schema = T.StructType([*df.schema.fields, T.StructField(into, df.schema[value].dataType)])
+    names = df.columns
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        at, own = places(t), np.flatnonzero(t.column("owned").to_numpy())
+        at -= at.min(axis=1)[:, None]
+        rank = ranks(t.column(value))
+        grid = np.full(tuple(at.max(axis=1) + 1), -1, np.int64)
+        np.maximum.at(grid, tuple(at), rank)
+        for a in axes:
+            grid = running_max(grid, AXES.index(a), before, after)
+        row = np.empty(len(rank) + 1, np.int64)
+        row[rank] = np.arange(len(rank))
+        best = grid[tuple(at[:, own])]
+        top = t.column(value).take(pa.array(row[best], mask=best < 0))
+        kept = pa.array(own)
+        return pa.table([*(t.column(c).take(kept) for c in names), top], [*names, into])
+
+    reach = [before if a in axes else 0 for a in AXES]
+    return in_blocks(df, reach).applyInArrow(run, schema)
+
+
+def sums_in_blocks(df: DataFrame, value: str, kernel: Kernel, into: str) -> DataFrame:
+    """(z, y, x, into): the sum of ``value`` times the weight of its offset over the voxels around each voxel, an axis at a time, for a
+    kernel of lines. Voxels that are absent or null count as 0; those at one position add up."""
+    kind = {f.name: f.dataType for f in df.schema}
+    schema = T.StructType([*(T.StructField(a, kind[a]) for a in POS), T.StructField(into, T.DoubleType())])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        at, own = places(t), np.flatnonzero(t.column("owned").to_numpy())
+        low = at.min(axis=1)
+        grid = np.zeros(tuple(at.max(axis=1) + 1 - low))
+        np.add.at(grid, tuple(at - low[:, None]), t.column("_v").fill_null(0.0).to_numpy())
+        for axis in range(3):
+            grid = weighted_along(grid, axis, kernel.lines[axis])
+        kept = pa.array(own)
+        return pa.table([*(t.column(a).take(kept) for a in POS), pa.array(grid[tuple(at[:, own] - low[:, None])])], schema.names)
+
+    return in_blocks(df.select(*POS, F.col(value).cast("double").alias("_v")), kernel.reach).applyInArrow(run, schema)
+
+
+def lower_envelope(line: np.ndarray, place: np.ndarray, f: np.ndarray, at_line: np.ndarray, at_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least (p - q)**2 + f over the given places q of the same line, whether there is one) for every asked (line, place p).
+
+    Only the parabolas of the lower envelope are kept (Felzenszwalb and Huttenlocher 2012), for all lines at once. Memory follows what
+    is given and asked, not how far places lie apart; all is in whole numbers, so that no digit is lost.
+    """
+    best, found = np.zeros(len(at_line), np.int64), np.zeros(len(at_line), bool)
+    if not len(line) or not len(at_line):
+        return best, found
+    order = np.lexsort((f, place, line))
+    line, place, f = line[order], place[order], f[order]
+    one = np.append(True, (line[1:] != line[:-1]) | (place[1:] != place[:-1]))  # of several at a place the least
+    line, place, f = line[one], place[one], f[one]
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    count = np.diff(np.append(first, len(line)))
+    longest = np.argsort(-count, kind="stable")
+    first, count = first[longest], count[longest]
+    v, start, top = np.zeros(len(line), np.int64), np.zeros(len(line), np.int64), np.full(len(first), -1)
+    least = np.iinfo(np.int64).min
+    for k in range(int(count[0])):
+        rows = np.arange(np.searchsorted(-count, -k))  # the lines that have a k-th place
+        new, begins = first[rows] + k, np.full(len(rows), least)
+        left = rows  # those whose last parabola may be hidden by this one
+        while len(left := left[top[left] >= 0]):
+            at = first[left] + top[left]
+            q, o = new[left], v[at]
+            # the first whole place from which the new parabola is no worse
+            s = -((f[o] - f[q] - (place[q] - place[o]) * (place[q] + place[o])) // (2 * (place[q] - place[o])))
+            hidden = s <= start[at]
+            begins[left] = np.where(hidden, least, s)
+            top[left[hidden]] -= 1
             left = left[hidden]
         top[rows] += 1
-        v[rows, top[rows]], start[rows, top[rows]] = q, begins
-    out, at = np.full(f.shape, np.inf), np.arange(n)
-    for k in range(lines):
-        if top[k] >= 0:
-            q = v[k, np.searchsorted(start[k, 1 : top[k] + 1], at)]
-            out[k] = (at - q) ** 2 + f[k, q]
-    return out
+        v[first[rows] + top[rows]], start[first[rows] + top[rows]] = new, begins
+    used = spans(first, top + 1)
+    used = used[np.argsort(line[used], kind="stable")]
+    # parabolas and what is asked meet in the order of (line, place)
+    low = min(place.min(), at_place.min())
+    wide = int(max(place.max(), at_place.max()) - low) + 2
+    ids = np.unique(np.concatenate([line, at_line]), return_inverse=True)[1]
+    number = ids[: len(line)][used]
+    begin = number * wide + np.clip(start[used], low, low + wide - 1) - low
+    k = np.searchsorted(begin, ids[len(line) :] * wide + at_place - low, "right") - 1
+    found = (k >= 0) & (number[k] == ids[len(line) :])
+    q = v[used[k]]
+    best[found] = ((at_place - place[q]) ** 2 + f[q])[found]
+    return best, found
 
 
 def nearest_along(df: DataFrame, axis: str, value: str) -> DataFrame:
     """``df`` (z, y, x, ...) with ``value`` (a squared distance, null for none) replaced by its least sum with the squared step along
-    ``axis``. Lines are taken in bundles; a bundle's size follows the line's length alone."""
+    ``axis``. Lines are taken in bundles; a bundle's size follows the voxels in it, not how far its lines reach."""
     across = [a for a in AXES if a != axis]
     names = df.columns
     bundle = [F.floor(F.col(a) / n).alias(f"_{a}") for a, n in zip(across, BUNDLE, strict=True)]
@@ -224,13 +323,10 @@ def nearest_along(df: DataFrame, axis: str, value: str) -> DataFrame:
         at = {a: t.column(a).to_numpy().astype(np.int64) for a in AXES}
         low = {a: x.min() for a, x in at.items()}
         wide = int(at[across[1]].max() - low[across[1]]) + 1
-        line = (at[across[0]] - low[across[0]]) * wide + at[across[1]] - low[across[1]]
-        line, place = np.unique(line, return_inverse=True)[1], at[axis] - low[axis]
-        f = np.full((int(line.max()) + 1, int(place.max()) + 1), np.inf)
-        given = t.column(value).cast(pa.float64()).fill_null(np.inf).to_numpy()
-        np.minimum.at(f, (line, place), given)
-        best = lower_envelope(f)[line, place]
-        new = pa.array(np.where(np.isfinite(best), best, 0).astype(np.int64), mask=~np.isfinite(best))
-        return t.set_column(names.index(value), value, new)
+        line, place = (at[across[0]] - low[across[0]]) * wide + at[across[1]] - low[across[1]], at[axis] - low[axis]
+        given = np.flatnonzero(t.column(value).is_valid().to_numpy())
+        f = t.column(value).cast(pa.int64()).fill_null(0).to_numpy()
+        best, found = lower_envelope(line[given], place[given], f[given], line, place)
+        return t.set_column(names.index(value), value, pa.array(best, mask=~found))
 
     return df.groupBy(*bundle).applyInArrow(run, df.schema)

@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.operators.agglomerate import QuantileScore, agglomerate, edge_affinities
-from voxelspark.operators.blocks import nearest_along
+from voxelspark.operators.blocks import Kernel, maxima_in_blocks, nearest_along, sums_in_blocks
 from voxelspark.operators.labels import block_unique, centers, filter_fragments, label_components, renumbered, voxel_key
 from voxelspark.operators.rag import relabel
-from voxelspark.operators.voxels import FACES, filtered_line, gaussian, masked, neighbours, without_sections
+from voxelspark.operators.voxels import FACES, gaussian, masked, neighbours, without_sections
 from voxelspark.plans.iterate import Scratch
 from voxelspark.sources.schema import AXES, POS
 
@@ -42,13 +42,14 @@ def distance_transform(voxels: DataFrame, mask: str = "masked", axes=AXES, into:
 
 
 def max_filter(voxels: DataFrame, value: str, size: int, axes=AXES, into: str = "highest") -> DataFrame:
-    """Maximum in a box of ``size`` voxels per axis; an even box reaches one further back than ahead. Voxels must be dense: the
-    box is taken axis by axis, so one that is absent hides what lies behind it."""
-    out = voxels.withColumn(into, F.col(value))
-    for axis in axes:
-        line = Window.partitionBy(*(a for a in AXES if a != axis)).orderBy(axis).rangeBetween(-(size // 2), (size - 1) // 2)
-        out = out.withColumn(into, F.max(into).over(line))
-    return out
+    """Maximum in a box of ``size`` voxels per axis over the voxels that are there; an even box reaches one further back than ahead.
+    One shuffle by block for all axes. A voxel without a position takes no part."""
+    return maxima_in_blocks(voxels, value, size, axes, into)
+
+
+def smoothed(voxels: DataFrame, value: str, sd: float, axes=AXES, into: str = "filtered") -> DataFrame:
+    """(z, y, x, into): ``value`` smoothed by a Gaussian along ``axes``; absent voxels count as 0. One shuffle by block."""
+    return sums_in_blocks(voxels, value, Kernel([gaussian(sd if a in axes else 0) for a in AXES]), into)
 
 
 def seeds(distances: DataFrame, shape: tuple[int, int, int], value: str = "distance", min_seed_distance: int = 10, axes=AXES, masked_only: bool = False) -> DataFrame:
@@ -112,9 +113,8 @@ def fragments_from_affinities(voxels: DataFrame, shape: tuple[int, int, int], ch
 
 def fragments_from_descriptors(voxels: DataFrame, shape: tuple[int, int, int], offsets=("offset_z", "offset_y", "offset_x"), sd: float = 1.0, min_seed_distance: int = 10, axes=AXES) -> DataFrame:
     """(z, y, x, distance, fragment): the squared offsets, smoothed and turned upside down, stand for the distance."""
-    now = voxels.select(*POS, sum((F.col(c) ** 2 for c in offsets), F.lit(0.0)).alias("_v"))
-    for axis in axes:
-        now = filtered_line(now, axis, "_v", gaussian(sd), "_v")
+    squared = voxels.select(*POS, sum((F.col(c) ** 2 for c in offsets), F.lit(0.0)).alias("_v"))
+    now = Scratch(voxels.sparkSession, "smoothed").settle(smoothed(squared, "_v", sd, axes, "_v"))
     top = now.agg(F.max("_v")).first()[0] or 0.0
     return watershed(now.select(*POS, F.round(F.lit(top) - F.col("_v"), 12).alias("distance")), shape, min_seed_distance=min_seed_distance, axes=axes, masked_only=False)
 
@@ -177,10 +177,7 @@ def stencil(voxels: DataFrame, value: str, kind: str, sd: float = 1.0, into: str
     """``sobel`` (gradient size in y and x), ``gaussian`` or ``median`` (3 x 3) of an in-plane image; absent neighbours are left out
     of a median and count as 0 elsewhere."""
     if kind == "gaussian":
-        out = voxels.select(*POS, F.col(value).alias(into))
-        for axis in ("y", "x"):
-            out = filtered_line(out, axis, into, gaussian(sd), into)
-        return out
+        return smoothed(voxels, value, sd, ("y", "x"), into)
     around = tuple((0, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1))
     near = neighbours(voxels.select(*POS, value), around, value)
     if kind == "median":

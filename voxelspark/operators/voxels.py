@@ -175,11 +175,3 @@ def kernel_join(probe: DataFrame, source: DataFrame, kernel: Sequence[tuple], ke
     wide = probe.withColumn("_k", F.explode(weights_column(kernel))).select(*probe.columns, "_k.*").withColumns({k: F.col(a) + F.col(f"d{a}") for a, k in zip(AXES, key, strict=True)})
     other = source.select(*keys, *(F.col(a).alias(k) for a, k in zip(AXES, key, strict=True)), *(F.col(c).alias(f"source_{c}") for c in source.columns if c not in (*POS, *keys)))
     return wide.join(other, [*keys, *key]).drop(*key)
-
-
-def filtered_line(df: DataFrame, axis: str, value: str, kernel: Sequence[tuple[int, float]], into: str) -> DataFrame:
-    """Sum of value times weight along one axis; voxels that aren't there count as 0."""
-    step = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in kernel)))
-    spread = df.select(*POS, value, step.alias("_k")).select(*((F.col(a) - F.col("_k.d") if a == axis else F.col(a)).alias(a) for a in AXES), (F.col(value) * F.col("_k.w")).alias("_v"))
-    total = spread.groupBy(*POS).agg(F.sum("_v").alias(into))
-    return df.select(*POS).join(total, POS)

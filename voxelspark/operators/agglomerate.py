@@ -7,7 +7,7 @@ the edges that now run between the same nodes, and the outcome equals that of me
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import count
 
@@ -231,51 +231,78 @@ def _by_rounds(scratch: Scratch, edges: DataFrame, threshold: float, how, max_ro
 def merge_tree(history: DataFrame) -> DataFrame:
     """(node, parent, score, level): every merge is a node, numbered after the largest leaf in the order of its round.
 
-    level: 1 + the larger of its children's, leaves 0. Levels are found bottom up, a join for each round.
+    level: 1 + the larger of its children's, leaves 0. Jobs grow with the logarithm of the highest level, not with the rounds.
     """
     scratch = Scratch(history.sparkSession, "tree")
     top = history.agg(F.max(F.greatest("a", "b"))).first()[0]
-    rounds = sorted(r["round"] for r in history.select("round").distinct().collect())  # a row per round
     ranked = dense_rank_of(history.select(F.struct("round", "score", "a", "b").alias("k")), "k", "_n")
     merges = scratch.settle(ranked.select("k.*", (F.col("_n") + F.lit(top or 0)).alias("node")))
     # the last merge of a name before this round made the tree node that now stands under that name
     before = Window.partitionBy("name").orderBy("round")
     names = merges.select(F.col("a").alias("name"), "round", "node").unionByName(merges.select(F.col("b").alias("name"), "round", "node"))
     under = names.withColumn("child", F.coalesce(F.lag("node").over(before), "name"))
-    links = scratch.settle(under.select("child", F.col("node").alias("parent")).join(merges.select(F.col("node").alias("parent"), "score", "round"), "parent"))
-    levels = links.select(F.col("child").alias("node")).join(merges.select("node"), "node", "left_anti").distinct().withColumn("level", F.lit(0))
-    for k in rounds:
-        up = links.where(F.col("round") == k).join(levels.select(F.col("node").alias("child"), "level"), "child").groupBy("parent").agg((F.max("level") + 1).alias("level"))
-        levels = scratch.settle(levels.unionByName(up.select(F.col("parent").alias("node"), "level")))
-    parents = links.select(F.col("child").alias("node"), "parent")
-    return levels.join(parents, "node", "left").join(merges.select("node", "score"), "node", "left").select("node", "parent", "score", "level")
+    links = scratch.settle(under.select(F.col("child").alias("node"), F.col("node").alias("parent")))
+    leaves = links.select("node").join(merges.select("node"), "node", "left_anti").distinct()
+    every = leaves.unionByName(merges.select("node")).withColumn("level", F.lit(0))
+    # the farthest node below, of those less than 1, 2, 4, ... steps away
+    steps, levels = 1, scratch.settle(every)
+    for jump in jumps(links, scratch):
+        far = jump.join(levels, "node").groupBy(F.col("up").alias("node")).agg((F.max("level") + steps).alias("_l"))
+        levels = scratch.settle(levels.join(far, "node", "left").select("node", F.greatest("level", F.coalesce("_l", "level")).cast("int").alias("level")))
+        steps *= 2
+    return levels.join(links, "node", "left").join(merges.select("node", "score"), "node", "left").select("node", "parent", "score", "level")
+
+
+def jumps(tree: DataFrame, scratch: Scratch) -> Iterator[DataFrame]:
+    """(node, up) for nodes that have an ancestor 1, then 2, 4, ... steps above; of a tree with ``node`` and ``parent``."""
+    now = scratch.settle(tree.where("parent is not null").select("node", F.col("parent").alias("up")))
+    while not now.isEmpty():
+        yield now
+        now = scratch.settle(now.join(now.select(F.col("node").alias("up"), F.col("up").alias("_u")), "up").select("node", F.col("_u").alias("up")))
 
 
 def ancestors(tree: DataFrame) -> DataFrame:
     """(node, ancestor) for every node and all above it, itself included, by pointer doubling."""
     scratch = Scratch(tree.sparkSession, "ancestors")
-    up = tree.where("parent is not null").select("node", F.col("parent").alias("ancestor"))
-    have = scratch.settle(up)
-    n = have.count()
-    while True:
-        far = have.join(have.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_a")), "ancestor").select("node", F.col("_a").alias("ancestor"))
-        have = scratch.settle(have.unionByName(far).distinct())
-        if (m := have.count()) == n:
-            break
-        n = m
-    return have.unionByName(tree.select("node", F.col("node").alias("ancestor")))
+    have = tree.select("node", F.col("node").alias("ancestor"))  # all less than 1, 2, 4, ... steps above
+    for jump in jumps(tree, scratch):
+        far = have.join(jump.select(F.col("node").alias("ancestor"), "up"), "ancestor").select("node", F.col("up").alias("ancestor"))
+        have = scratch.settle(have.unionByName(far))
+    return have
 
 
 def find_merges(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     """(u, v, merge_score): the score at which u and v first were one node, null if never: the lowest common ancestor's.
 
-    u and v are leaves; an id that never merged may be the number of a merge, which it is not.
+    u and v are leaves; an id that never merged may be the number of a merge, which it is not. Pointers of 1, 2, 4, ... steps are a
+    row a node each; both ends are brought to one depth, then climb as long as they differ. Tables of nodes and pairs are joined as
+    often as the depth has binary digits; nobody's list of ancestors is written.
     """
-    leaves = tree.where("level = 0").select("node")
-    up = ancestors(tree).join(leaves, "node", "left_semi").join(tree.select(F.col("node").alias("ancestor"), "score", "level"), "ancestor")
-    left = pairs.select("u", "v").distinct().join(up.select(F.col("node").alias("u"), "ancestor", "score", "level"), "u")
-    both = left.join(up.select(F.col("node").alias("v"), "ancestor"), ["v", "ancestor"])
-    least = both.groupBy("u", "v").agg(F.min_by("score", "level").alias("merge_score"))
+    scratch = Scratch(pairs.sparkSession, "lowest")
+    tree = scratch.settle(tree.select("node", "parent", "score", "level"))
+    leaves, step = tree.where("level = 0").select("node"), []
+    depth = scratch.settle(tree.select("node", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    for jump in jumps(tree, scratch):  # ancestors up to 1, 2, 4, ... steps above
+        step.append(jump)
+        above = jump.join(depth.select(F.col("node").alias("up"), F.col("depth").alias("_d")), "up").select("node", "_d")
+        depth = scratch.settle(depth.join(above, "node", "left").select("node", (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")))
+    asked = pairs.select("u", "v").where("u <> v").distinct()
+    for end in ("u", "v"):
+        leaf = depth.join(leaves, "node", "left_semi")
+        asked = asked.join(leaf.select(F.col("node").alias(end), F.col("depth").alias(f"d{end}")), end)
+    deep = F.col("du") >= F.col("dv")
+    now = asked.select("u", "v", F.when(deep, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(deep, F.col("v")).otherwise(F.col("u")).alias("b"), F.abs(F.col("du") - F.col("dv")).alias("apart"))
+    now = scratch.settle(now)
+    for k, jump in enumerate(step):
+        moved = now.join(jump.select(F.col("node").alias("a"), "up"), "a", "left").where(F.col("apart").bitwiseAND(F.lit(1 << k)) != 0)
+        now = scratch.settle(now.where(F.col("apart").bitwiseAND(F.lit(1 << k)) == 0).unionByName(moved.withColumn("a", F.col("up")).select(*now.columns)))
+    for jump in reversed(step):
+        both = now.join(jump.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a", "left").join(jump.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b", "left")
+        climb = F.coalesce(F.col("ua") != F.col("ub"), F.lit(False))
+        now = scratch.settle(both.select("u", "v", F.when(climb, F.col("ua")).otherwise(F.col("a")).alias("a"), F.when(climb, F.col("ub")).otherwise(F.col("b")).alias("b")))
+    up = tree.where("parent is not null").select("node", "parent")
+    meet = now.join(up.toDF("a", "pa"), "a").join(up.toDF("b", "pb"), "b").where("pa = pb")
+    least = meet.select("u", "v", F.col("pa").alias("node")).join(tree.select("node", F.col("score").alias("merge_score")), "node").select("u", "v", "merge_score")
     return pairs.select("u", "v").join(least, ["u", "v"], "left")
 
 

@@ -512,3 +512,52 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         iterate.shared_folder(Session)
+
+
+def test_chains_of_merges(spark, tmp_path, monkeypatch):
+    """A chain of 60 merges: levels, ancestors and common ancestors in a few dozen jobs, a row a node for each doubling."""
+    n = 60
+    history = spark.createDataFrame([(1, k + 2, 1, (k + 1) / 1000, k) for k in range(n)], "a long, b long, c long, score double, round int")
+    settled, write = [], iterate.Scratch.settle
+
+    def counted(self, df):
+        settled.append(write(self, df))
+        return settled[-1]
+
+    monkeypatch.setattr(iterate.Scratch, "settle", counted)
+    tree = A.merge_tree(history)
+    rows = {r.node: r for r in tree.collect()}
+    assert len(rows) == 2 * n + 1 and max(r.level for r in rows.values()) == n and len(settled) < 30
+    assert all(rows[n + 2 + k].level == k + 1 and math.isclose(rows[n + 2 + k].score, (k + 1) / 1000) for k in range(n))
+    settled.clear()
+    pairs = [(u, v) for u in (1, 2, 30, 61) for v in (1, 3, 7, 30, 60, 61, 62, 9999)]
+    got = {(r.u, r.v): r.merge_score for r in A.find_merges(spark.createDataFrame(pairs, "u long, v long"), tree).collect()}
+    want = {(u, v): (max(u, v) - 1) / 1000 if u != v and v <= n + 1 else None for u, v in pairs}
+    assert got.keys() == want.keys() and all(got[p] == want[p] or math.isclose(got[p], want[p]) for p in pairs)
+    assert len(settled) < 60 and sum(df.count() for df in settled) < 4 * (2 * n + 1) * 10
+    few = A.merge_tree(history.where("round < 20"))
+    up, above = {r.node: r.parent for r in few.collect()}, {}
+    for r in A.ancestors(few).collect():
+        above.setdefault(r.node, []).append(r.ancestor)
+    line = lambda x: [x, *line(up[x])] if up[x] else [x]
+    assert {k: sorted(v) for k, v in above.items()} == {k: sorted(line(k)) for k in up}
+
+
+@pytest.mark.parametrize("fan", [2, 3, 8])
+def test_sweep_over_many_thresholds(spark, fan):
+    """Components at 20 thresholds, cut by cut, against a plain search; nodes without edges, ends that are no nodes, ties at a cut."""
+    rng = np.random.default_rng(31)
+    edges = [(int(a), int(b), round(float(s), 2)) for a, b, s in zip(rng.integers(1, 40, 60), rng.integers(1, 40, 60), rng.random(60), strict=True)]
+    cuts = [round(0.05 * k, 2) for k in range(20)]
+    nodes, frame = spark.createDataFrame([(k,) for k in range(3, 50)], "id long"), spark.createDataFrame([*edges, (1, 3, None)], "u long, v long, merge_score double")
+    got = {(float(r.threshold), r.fragment): r.segment for r in G.segment_sweep(nodes, frame, cuts, fan=fan).collect()}
+    want = {}
+    for t in cuts:
+        root = {k: k for k in range(1, 50)}
+        for a, b, s in edges:
+            if s <= t and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+        want |= {(t, k): root[k] for k in range(3, 50)}
+    assert got == want
+    assert G.segment_sweep(nodes, frame, []).isEmpty()

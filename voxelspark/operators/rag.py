@@ -112,24 +112,64 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 60, whole: int = WHOLE)
     raise RuntimeError(f"the forest did not settle in {max_rounds} rounds")
 
 
-def segment_sweep(nodes: DataFrame, edges: DataFrame, thresholds: Sequence[float], forest: DataFrame | None = None) -> DataFrame:
-    """lut(threshold, fragment, segment) for every threshold at once: components of the forest keyed by threshold and node."""
-    count = len(thresholds)
+def segment_sweep(nodes: DataFrame, edges: DataFrame, thresholds: Sequence[float], forest: DataFrame | None = None, fan: int = 8) -> DataFrame:
+    """lut(threshold, fragment, segment) for every threshold; one that is given twice counts once.
+
+    The range of thresholds is split ``fan`` ways, round by round. A round finds components at the thresholds between the parts, all of
+    them at once; above such a threshold its components stand for their nodes, and below it no higher edge matters. So an edge is in
+    one part of a round, rounds grow with the logarithm of the thresholds, and no round has more than ``fan`` - 1 times the edges.
+    """
+    cuts = sorted({float(t) for t in thresholds})
+    count, fan = len(cuts), max(2, fan)
     forest = spanning_forest(edges) if forest is None else forest
     # ids may be any 64-bit number: they are numbered in their order, and (number, threshold) is one key
     scratch = Scratch(edges.sparkSession, "sweep")
     every = nodes.select(F.col("id").alias("fragment")).distinct()
+    if not cuts:
+        return every.where("false").select(F.lit(None).cast("decimal(6,4)").alias("threshold"), "fragment", F.col("fragment").alias("segment"))
     ends = forest.select(F.explode(F.array("u", "v")).alias("fragment"))
     number = scratch.settle(dense_rank_of(every.unionByName(ends).distinct(), "fragment", "n"))
     for end in ("u", "v"):
         forest = forest.join(number.select(F.col("fragment").alias(end), F.col("n").alias(f"n{end}")), end)
-    at = F.posexplode(F.array(*(F.lit(float(t)) for t in thresholds)))
-    keyed = forest.select("nu", "nv", "merge_score", at.alias("k", "t")).where("merge_score <= t")
-    found = connected_components(keyed.select((F.col("nu") * count + F.col("k")).alias("a"), (F.col("nv") * count + F.col("k")).alias("b")), whole=WHOLE)
-    asked = every.join(number, "fragment").select("fragment", "n", at.alias("k", "t")).withColumn("node", F.col("n") * count + F.col("k"))
-    least = asked.join(found, "node", "left").withColumn("n", F.expr(f"coalesce(component div {count}, n)"))
-    named = least.select("t", "fragment", "n").join(number.select("n", F.col("fragment").alias("segment")), "n")
-    return named.select(F.col("t").cast("decimal(6,4)").alias("threshold"), "fragment", "segment")
+    listed = F.array(*(F.lit(t) for t in cuts))
+    first = F.size(F.filter(listed, lambda t: t < F.col("merge_score")))  # the lowest threshold that keeps the edge
+    now = forest.select(F.col("nu").alias("a"), F.col("nv").alias("b"), first.alias("j")).where(F.col("j") < count)
+    asked = every.join(number, "fragment").select("fragment", "n", F.lit(0).alias("part"))
+    parts, found_at = [(0, count)], []
+    at = lambda values, k: F.element_at(F.array(*values), k + 1)
+    while parts:
+        mids = [[low + k for k in range(high - low)] if high - low < fan else [low + (high - low) * k // fan for k in range(1, fan)] for low, high in parts]
+        inner = [[low, *(m + 1 for m in ms)] for (low, _), ms in zip(parts, mids, strict=True)]
+        outer = [[*ms, high] for (_, high), ms in zip(parts, mids, strict=True)]
+        after = [(low, high) for lows, highs in zip(inner, outer, strict=True) for low, high in zip(lows, highs, strict=True) if low < high]
+        place = {low: k for k, (low, _) in enumerate(after)}
+        # by threshold: those of this round that keep its edges; the nearest one below, within its part; the part that it goes to
+        used, below, open_ = [[] for _ in cuts], [-1] * count, [False] * count
+        for (low, high), ms in zip(parts, mids, strict=True):
+            for j in range(low, high):
+                used[j], below[j], open_[j] = [m for m in ms if m >= j], max((m for m in ms if m < j), default=-1), j not in ms
+        keep = at([F.array(*map(F.lit, u)) if u else F.array().cast("array<int>") for u in used], F.col("j"))
+        keyed = now.select("a", "b", F.explode(keep).alias("k"))
+        found = scratch.settle(connected_components(keyed.select((F.col("a") * count + F.col("k")).alias("a"), (F.col("b") * count + F.col("k")).alias("b")), whole=WHOLE))
+        named = found.select("node", F.expr(f"component div {count}").alias("_c"))
+        each = asked.select("fragment", "n", F.explode(at([F.array(*map(F.lit, m)) for m in mids], F.col("part"))).alias("k")).withColumn("node", F.col("n") * count + F.col("k"))
+        answer = scratch.settle(each.join(named, "node", "left").select("k", "fragment", F.coalesce("_c", "n").alias("n")))
+        found_at.append(answer)
+        if not after:
+            break
+        part = lambda lows, k: at([F.lit(place.get(low, -1)) for low in lows], k)  # noqa: B023, E731
+        low_end = asked.select("fragment", "n", part([low for low, _ in parts], F.col("part")).alias("part"))
+        asked = low_end.unionByName(answer.select("fragment", "n", part(range(1, count + 1), F.col("k")).alias("part"))).where("part >= 0")
+        now = now.withColumn("_m", at([F.lit(m) for m in below], F.col("j"))).where(at([F.lit(o) for o in open_], F.col("j")))
+        for end in ("a", "b"):
+            to = named.select("node", F.col("_c").alias("_to"))
+            now = now.join(to, F.when(F.col("_m") >= 0, F.col(end) * count + F.col("_m")) == to["node"], "left").withColumn(end, F.coalesce("_to", end)).drop("node", "_to")
+        now, asked, parts = scratch.settle(now.where("a <> b").select("a", "b", "j")), scratch.settle(asked), after
+    least = found_at[0]
+    for more in found_at[1:]:
+        least = least.unionByName(more)
+    back = least.join(number.select("n", F.col("fragment").alias("segment")), "n")
+    return back.select(at([F.lit(t) for t in cuts], F.col("k")).cast("decimal(6,4)").alias("threshold"), "fragment", "segment")
 
 
 def contract(nodes: DataFrame, edges: DataFrame, lut: DataFrame) -> tuple[DataFrame, DataFrame]:

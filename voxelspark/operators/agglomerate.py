@@ -281,11 +281,12 @@ def find_merges(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     scratch = Scratch(pairs.sparkSession, "lowest")
     tree = scratch.settle(tree.select("node", "parent", "score", "level"))
     leaves, step = tree.where("level = 0").select("node"), []
-    depth = scratch.settle(tree.select("node", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    for jump in jumps(tree, scratch):  # ancestors up to 1, 2, 4, ... steps above
-        step.append(jump)
-        above = jump.join(depth.select(F.col("node").alias("up"), F.col("depth").alias("_d")), "up").select("node", "_d")
-        depth = scratch.settle(depth.join(above, "node", "left").select("node", (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")))
+    # ancestors up to 1, 2, 4, ... steps above, and the one that many steps above
+    depth = scratch.settle(tree.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    while not depth.where("up is not null").isEmpty():
+        step.append(depth.where("up is not null").select("node", "up"))
+        above = depth.toDF("up", "_u", "_d")
+        depth = scratch.settle(depth.join(above, "up", "left").select("node", F.col("_u").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")))
     asked = pairs.select("u", "v").where("u <> v").distinct()
     for end in ("u", "v"):
         leaf = depth.join(leaves, "node", "left_semi")
@@ -294,12 +295,15 @@ def find_merges(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     now = asked.select("u", "v", F.when(deep, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(deep, F.col("v")).otherwise(F.col("u")).alias("b"), F.abs(F.col("du") - F.col("dv")).alias("apart"))
     now = scratch.settle(now)
     for k, jump in enumerate(step):
-        moved = now.join(jump.select(F.col("node").alias("a"), "up"), "a", "left").where(F.col("apart").bitwiseAND(F.lit(1 << k)) != 0)
-        now = scratch.settle(now.where(F.col("apart").bitwiseAND(F.lit(1 << k)) == 0).unionByName(moved.withColumn("a", F.col("up")).select(*now.columns)))
-    for jump in reversed(step):
-        both = now.join(jump.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a", "left").join(jump.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b", "left")
+        now = now.join(jump.toDF("a", "up"), "a", "left").withColumn("a", F.when(F.col("apart").bitwiseAND(F.lit(1 << k)) != 0, F.col("up")).otherwise(F.col("a"))).drop("up")
+        if k % 4 == 3:
+            now = scratch.settle(now)
+    for k, jump in enumerate(reversed(step)):
+        both = now.join(jump.toDF("a", "ua"), "a", "left").join(jump.toDF("b", "ub"), "b", "left")
         climb = F.coalesce(F.col("ua") != F.col("ub"), F.lit(False))
-        now = scratch.settle(both.select("u", "v", F.when(climb, F.col("ua")).otherwise(F.col("a")).alias("a"), F.when(climb, F.col("ub")).otherwise(F.col("b")).alias("b")))
+        now = both.select("u", "v", F.when(climb, F.col("ua")).otherwise(F.col("a")).alias("a"), F.when(climb, F.col("ub")).otherwise(F.col("b")).alias("b"))
+        if k % 2:
+            now = scratch.settle(now)
     up = tree.where("parent is not null").select("node", "parent")
     meet = now.join(up.toDF("a", "pa"), "a").join(up.toDF("b", "pb"), "b").where("pa = pb")
     least = meet.select("u", "v", F.col("pa").alias("node")).join(tree.select("node", F.col("score").alias("merge_score")), "node").select("u", "v", "merge_score")

@@ -150,10 +150,12 @@ def segment_sweep(nodes: DataFrame, edges: DataFrame, thresholds: Sequence[float
                 used[j], below[j], open_[j] = [m for m in ms if m >= j], max((m for m in ms if m < j), default=-1), j not in ms
         keep = at([F.array(*map(F.lit, u)) if u else F.array().cast("array<int>") for u in used], F.col("j"))
         keyed = now.select("a", "b", F.explode(keep).alias("k"))
-        found = scratch.settle(connected_components(keyed.select((F.col("a") * count + F.col("k")).alias("a"), (F.col("b") * count + F.col("k")).alias("b")), whole=WHOLE))
+        found = connected_components(keyed.select((F.col("a") * count + F.col("k")).alias("a"), (F.col("b") * count + F.col("k")).alias("b")), whole=WHOLE)
         named = found.select("node", F.expr(f"component div {count}").alias("_c"))
         each = asked.select("fragment", "n", F.explode(at([F.array(*map(F.lit, m)) for m in mids], F.col("part"))).alias("k")).withColumn("node", F.col("n") * count + F.col("k"))
-        answer = scratch.settle(each.join(named, "node", "left").select("k", "fragment", F.coalesce("_c", "n").alias("n")))
+        answer = each.join(named, "node", "left").select("k", "fragment", F.coalesce("_c", "n").alias("n"))
+        if after:
+            answer = scratch.settle(answer)
         found_at.append(answer)
         if not after:
             break

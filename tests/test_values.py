@@ -216,14 +216,38 @@ def test_merging_in_one_pass_by_rounds_and_greedily(spark, how):
     rows = lambda h: sorted((r.a, r.b, r.c, round(r.score, 9), r.round) for r in h.collect())
     pairs = lambda t: {(r.fragment, r.segment) for r in t.collect()}
     history, lut = A.agglomerate(df, 0.6, how)
-    joined, joined_lut = A.agglomerate(df, 0.6, how, whole=1)
-    assert rows(history) == rows(joined) and pairs(lut) == pairs(joined_lut) and rows(history)
+    for whole in (1, 30) if how == SCORES[0] else (30,):
+        joined, joined_lut = A.agglomerate(df, 0.6, how, whole=whole)
+        assert rows(history) == rows(joined) and pairs(lut) == pairs(joined_lut) and rows(history)
     want = slow_merges(samples, 0.6, how)
     assert sorted(round(s, 9) for _, _, s in want) == sorted(r[3] for r in rows(history))
     few, _ = A.agglomerate(df, 0.6, how, max_merges=4)
     assert [r[3] for r in sorted(rows(few), key=lambda r: r[3])] == sorted(round(s, 9) for _, _, s in want)[:4]
 
 
+@pytest.mark.parametrize("how", SCORES[:2], ids=str)
+def test_merging_of_equal_scores(spark, how):
+    """Edges of one score merge alike, whatever the groups: the largest pair of fragments that went into an edge decides."""
+    rng = np.random.default_rng(5)
+    samples = [(min(a, b), max(a, b), x / 4) for (a, b), x in zip(rng.integers(1, 30, (150, 2)).tolist(), rng.integers(1, 4, 150).tolist(), strict=True) if a != b]
+    df = spark.createDataFrame(samples, "u long, v long, aff double")
+    found = [sorted((r.a, r.b, r.score, r.round) for r in A.agglomerate(df, 0.6, how, whole=w)[0].collect()) for w in (1000, 60, 30)]
+    assert found[0] == found[1] == found[2] and len({r[2] for r in found[0]}) < len(found[0])
+
+
+def test_merging_along_a_chain(spark):
+    """Scores ascend, so one pair at a time is each other's best: rounds follow the number of groups, not that of merges."""
+    n = 3000
+    df = spark.range(n).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"), (1 - (F.col("id") + 1) / (2 * n)).alias("aff"))
+    spark.sparkContext.setJobGroup("chain", "chain")
+    history, lut = A.agglomerate(df, 0.6, whole=600)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 150
+    assert sorted((r.a, r.b, r.round) for r in history.collect()) == [(0, k + 1, k) for k in range(n)]
+    assert {(r.fragment, r.segment) for r in lut.collect()} == {(k, 0) for k in range(n + 1)}
+
+
 def first_met(history, pairs):
     """The score at which each pair is one node, replaying merges by score."""
     root, out = {}, {}

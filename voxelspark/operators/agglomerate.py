@@ -1,14 +1,17 @@
-"""Edge scores from affinities, and hierarchical merging in rounds of mutual best edges.
+"""Edge scores from affinities, and hierarchical merging that settles groups of nodes on their own.
 
-Mean and quantile of pooled samples are reducible: pooling two edges never gives less than the smaller score, so two nodes that
-are each other's best edge are merged by the greedy order too, whatever happens elsewhere. A round merges all such pairs, pools
-the edges that now run between the same nodes, and the outcome equals that of merging the lowest edge first.
+Mean and quantile of pooled samples are reducible: pooling two edges never gives less than the smaller score. Edges of one score
+are told apart by the largest pair of fragments that went into them, which pooling never lowers either. So two nodes that are each
+other's best edge are merged by the greedy order too, whatever happens elsewhere: a group of nodes that sees all their edges can
+merge such pairs to the end, with edges to other groups as lower bounds, and the outcome is that of merging the lowest edge first.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from itertools import count
 
 import numpy as np
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from voxelspark.operators.voxels import FACES, neighbours
 from voxelspark.functions.roi import halo_blocks
 from voxelspark.operators.labels import dense_rank_of
-from voxelspark.plans.iterate import Scratch, connected_components
+from voxelspark.plans.iterate import Scratch
 from voxelspark.sources.schema import POS
 
 BINS = 256
@@ -39,18 +42,15 @@ class MeanScore:
     def score(self) -> Column:
         return 1 - F.col("state.total") / F.col("state.n")
 
-    # the same for a bounded list of edges, as arrays
-    def load(self, state: pa.Array) -> np.ndarray:
-        return np.stack([pc.struct_field(state, "total").to_numpy(), pc.struct_field(state, "n").to_numpy().astype(float)], axis=1)
+    # the same for an edge at a time, inside a group of nodes
+    def load(self, state: pa.Array) -> list:
+        return list(zip(pc.struct_field(state, "total").to_pylist(), pc.struct_field(state, "n").to_pylist(), strict=True))
 
-    def pooled(self, state: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
-        """States of ``n`` edges, the k-th old edge going into to[k], or nowhere if that is negative."""
-        out = np.zeros((n, 2))
-        np.add.at(out, to[to >= 0], state[to >= 0])
-        return out
+    def add(self, a, b):
+        return a[0] + b[0], a[1] + b[1]
 
-    def scores(self, state: np.ndarray) -> np.ndarray:
-        return 1 - state[:, 0] / state[:, 1]
+    def value(self, state) -> float:
+        return 1 - state[0] / state[1]
 
 
 @dataclass(frozen=True)
@@ -79,28 +79,20 @@ class QuantileScore:
         found = F.aggregate(entries, start, lambda s, e: F.struct((s["seen"] + e["value"]).alias("seen"), F.when((s["bin"] < 0) & (s["seen"] + e["value"] >= need), e["key"]).otherwise(s["bin"]).alias("bin")))
         return 1 - found["bin"] / F.lit(float(BINS - 1))
 
-    # the same for a bounded list of edges: rows (edge, bin, n), sorted
-    def load(self, state: pa.Array) -> np.ndarray:
-        size = np.diff(state.offsets.to_numpy())
-        rows = np.stack([np.repeat(np.arange(len(state)), size), state.keys.to_numpy().astype(np.int64), state.items.to_numpy().astype(np.int64)], axis=1)
-        return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-
-    def pooled(self, state: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
-        edge = to[state[:, 0]]
-        key = edge[edge >= 0] * BINS + state[edge >= 0, 1]
-        own, where = np.unique(key, return_inverse=True)
-        total = np.zeros(len(own), np.int64)
-        np.add.at(total, where, state[edge >= 0, 2])
-        return np.stack([own // BINS, own % BINS, total], axis=1)
-
-    def scores(self, state: np.ndarray) -> np.ndarray:
-        first = np.flatnonzero(np.append(True, state[1:, 0] != state[:-1, 0])) if len(state) else np.zeros(0, np.int64)
-        seen = np.cumsum(state[:, 2])
-        before = np.append(0, seen)[first]
-        total = np.append(seen[first[1:] - 1], seen[-1:]) - before
-        enough = seen - np.repeat(before, np.diff(np.append(first, len(state)))) >= np.repeat(total * self.q, np.diff(np.append(first, len(state))))
-        at = np.flatnonzero(enough)
-        return 1 - state[at[np.searchsorted(at, first)], 1] / float(BINS - 1)
+    # the same for an edge at a time, inside a group of nodes
+    def load(self, state: pa.Array) -> list:
+        return [dict(x) for x in state.to_pylist()]
+
+    def add(self, a, b):
+        return {k: a.get(k, 0) + b.get(k, 0) for k in a.keys() | b.keys()}
+
+    def value(self, state) -> float:
+        need, seen = sum(state.values()) * self.q, 0
+        for k in sorted(state):
+            seen += state[k]
+            if seen >= need:
+                break
+        return 1 - k / float(BINS - 1)
 
 
 #: Names of the published score table.
@@ -123,109 +115,158 @@ def edge_scores(samples: DataFrame, how=None) -> DataFrame:
     return how.pool(samples).select("u", "v", how.score().alias("merge_score"))
 
 
-def local_rounds(u: np.ndarray, v: np.ndarray, state, how, threshold: float):
-    """(merges as rows of u, v, score and round; (nodes, their segments)) of a bounded list of pooled edges, in the rounds of ``agglomerate``."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    u, v, segment, merges = at[: len(u)], at[len(u) :], np.arange(len(nodes)), []
-    while len(u):
-        score = how.scores(state)
-        place = np.empty(len(u), np.int64)
-        place[np.lexsort((v, u, score))] = np.arange(len(u))
-        best = np.full(len(nodes), len(u))
-        np.minimum.at(best, u, place)
-        np.minimum.at(best, v, place)
-        k = np.flatnonzero((best[u] == place) & (best[v] == place) & (score < threshold))
-        if not len(k):
-            break
-        merges.append((nodes[u[k]], nodes[v[k]], score[k]))
-        to = np.arange(len(nodes))
-        to[v[k]] = u[k]
-        segment = to[segment]
-        a, b = np.minimum(to[u], to[v]), np.maximum(to[u], to[v])
-        key = a * len(nodes) + b
-        own, where = np.unique(key[a != b], return_inverse=True)
-        goes = np.full(len(u), -1)
-        goes[a != b] = where
-        state, u, v = how.pooled(state, goes, len(own)), own // len(nodes), own % len(nodes)
-    merged = np.isin(nodes, np.concatenate([np.zeros(0, np.int64), *(x for m in merges for x in m[:2])]))
-    return merges, (nodes[merged], nodes[segment][merged])
-
-
-def agglomerate(samples: DataFrame, threshold: float, how=None, max_rounds: int = 500, max_merges: int | None = None, whole: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def settle_group(edges: list[list], heights: dict, inside: set, how, threshold: float) -> tuple[list, list]:
+    """(merges: (a, b, score, round), moved: (node, its segment, height)) of what the nodes ``inside`` can merge by themselves.
+
+    edges: [u, v, state, score, tie] of all edges that touch a node inside. Edges come by score. One that leaves the group holds its
+    end, as that end's best is elsewhere; so does one whose other end is held. All others merge.
+    """
+    near, at, name, heap, merges = defaultdict(dict), {}, {}, [], []
+    for k, (u, v, _, score, tie) in enumerate(edges):
+        near[u][v] = near[v][u] = k
+        if score < threshold:
+            heap.append((score, tie, k))
+    heapify(heap)
+    held, height, gone = near.keys() - inside, dict(heights), set()
+    while heap:
+        score, _, k = heappop(heap)
+        if k in gone:
+            continue
+        a, b = edges[k][:2]
+        if a in held or b in held:
+            held |= {a, b}
+            continue
+        a, b = (a, b) if len(near[a]) >= len(near[b]) else (b, a)  # the one with fewer edges moves
+        one, other = sorted((name.get(a, a), name.get(b, b)))
+        merges.append((one, other, score, max(height[a], height[b])))
+        at[b], name[a], height[a] = a, one, max(height[a], height[b]) + 1
+        del near[a][b], near[b][a]
+        for c, old in near.pop(b).items():
+            del near[c][b]
+            if (also := near[a].get(c)) is None:
+                edges[old][:2] = a, c
+                near[a][c] = near[c][a] = old
+                continue
+            gone |= {old, also}
+            state, tie = how.add(edges[also][2], edges[old][2]), max(edges[also][4], edges[old][4])
+            near[a][c] = near[c][a] = len(edges)
+            edges.append([a, c, state, how.value(state), tie])
+            if edges[-1][3] < threshold:
+                heappush(heap, (edges[-1][3], tie, len(edges) - 1))
+    moved = []
+    for n in {*at, *name}:
+        top = n
+        while top in at:
+            top = at[top]
+        moved.append((n, name[top], height[top]))
+    return merges, moved
+
+
+def _settled_groups(edges: DataFrame, threshold: float, how, groups: int, whole: int) -> DataFrame:
+    """(a, b, score, round) of merges and (a: node, b: its segment, height) of nodes that moved, from groups of nodes by ranges of ids.
+
+    Ids are near each other where blocks number their fragments. A node with more than ``whole`` edges is in no group.
+    """
+    ends = edges.select(F.explode(F.array("u", "v")).alias("n"), "*")
+    if groups > 1:
+        hubs = ends.groupBy("n").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > whole).select("n")
+        ends = ends.join(hubs, "n", "left_anti").repartitionByRange(groups, "n")
+    else:
+        ends = ends.coalesce(1)
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        n, u, v, score = (t.column(c).to_pylist() for c in ("n", "u", "v", "score"))
+        inside, tie = set(n), list(zip(*(pc.struct_field(t.column("tie").combine_chunks(), c).to_pylist() for c in ("u", "v")), strict=True))
+        states = how.load(t.column("state").combine_chunks())
+        once = [k for k in range(len(n)) if n[k] == u[k] or u[k] not in inside]
+        heights = dict(zip(u, t.column("hu").to_pylist(), strict=True)) | dict(zip(v, t.column("hv").to_pylist(), strict=True))
+        merges, moved = settle_group([[u[k], v[k], states[k], score[k], tie[k]] for k in once], heights, inside, how, threshold)
+        rows = [(*m, None) for m in merges] + [(a, b, None, None, h) for a, b, h in moved]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], ["a", "b", "score", "round", "height"])
+
+    return ends.mapInArrow(run, "a long, b long, score double, round int, height int")
+
+
+def _contracted(edges: DataFrame, moved: DataFrame, how) -> DataFrame:
+    """Edges between the segments that nodes ``moved`` to (node, segment, height), pooled and scored again."""
+    for end in ("u", "v"):
+        edges = edges.join(moved.select(F.col("node").alias(end), F.col("segment").alias("_to"), F.col("height").alias("_h")), end, "left")
+        edges = edges.withColumns({end: F.coalesce("_to", end), f"h{end}": F.coalesce("_h", f"h{end}")}).drop("_to", "_h")
+    low, high = (pick(F.struct("u", F.col("hu").alias("h")), F.struct(F.col("v").alias("u"), F.col("hv").alias("h"))) for pick in (F.least, F.greatest))
+    edges = edges.where("u <> v").select(low.alias("_a"), high.alias("_b"), "state", "tie").select(F.col("_a.u").alias("u"), F.col("_b.u").alias("v"), F.col("_a.h").alias("hu"), F.col("_b.h").alias("hv"), "state", "tie")
+    other = edges.groupBy("u", "v").agg(*(F.max(c).alias(c) for c in ("tie", "hu", "hv")))
+    return how.again(edges.select("u", "v", "state")).join(other, ["u", "v"]).withColumn("score", how.score())
+
+
+def agglomerate(samples: DataFrame, threshold: float, how=None, max_rounds: int = 500, max_merges: int | None = None, whole: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(history (a, b, c, score, round), lut (fragment, segment)): merges below ``threshold``; c is the smaller of a and b.
 
-    The lut has the fragments that merged. No merge leaves a connected component of edges below the threshold, as pooling never
-    gives less than the smaller score. So components of up to ``whole`` edges are merged to the end in one pass, many of them in a
-    group of about ``whole`` edges; larger ones go by rounds of joins. Both give the same merges in the same rounds. Scores without
-    array methods (``load``, ``pooled``, ``scores``) go by joins alone.
+    round: the merge's height in the tree of merges, 0 where both are fragments. The lut has the fragments that merged.
+
+    A round settles groups of nodes with about ``whole`` edges each, a task a group; then pairs that are each other's best across
+    groups merge by joins, so hubs and borders move on too. Edges are pooled after either. It ends when no such pair is left, or
+    when all edges were in one group. However large groups are, merges, scores and rounds are the same. Scores without methods for
+    an edge at a time (``load``, ``add``, ``value``) go by joins alone.
 
     max_merges: the first so many merges in the order of score, which is that of merging the lowest edge first.
     """
     how, spark = how or MeanScore(), samples.sparkSession
     scratch = Scratch(spark, "agglomerate")
-    edges = scratch.settle(how.pool(samples).withColumn("score", how.score()))
-    inside = connected_components(edges.where(F.col("score") < threshold), "u", "v", whole=whole)
-    for end in ("u", "v"):
-        edges = edges.join(inside.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end)
-    edges = scratch.settle(edges.where("cu = cv").select("u", "v", "state", "score", F.col("cu").alias("component")))
-    sizes = scratch.settle(edges.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
-    few = F.col("n") <= (whole if hasattr(how, "pooled") else 0)
-    total = sizes.where(few).agg(F.sum("n")).first()[0]
-    history, lut = spark.createDataFrame([], "a long, b long, c long, score double, round int"), spark.createDataFrame([], "fragment long, segment long")
-    if total:
-        groups = -(-total // whole)
-
-        def run(t: pa.Table) -> pa.Table:
-            t = t.combine_chunks()
-            merges, (node, segment) = local_rounds(t.column("u").to_numpy(), t.column("v").to_numpy(), how.load(t.column("state").combine_chunks()), how, threshold)
-            n = [len(m[0]) for m in merges]
-            columns = [np.concatenate([*(m[k] for m in merges), own]) for k, own in enumerate((node, segment, np.zeros(len(node))))]
-            rounds = np.concatenate([np.repeat(np.arange(len(n)), n).astype(np.int64), np.full(len(node), -1)])
-            return pa.table({"a": columns[0], "b": columns[1], "score": columns[2].astype(float), "round": rounds.astype(np.int32)})
-
-        small = edges.join(sizes.where(few).select("component"), "component", "left_semi").select("u", "v", "state", "component")
-        done = scratch.settle(small.groupBy(F.pmod(F.xxhash64("component"), F.lit(groups))).applyInArrow(run, "a long, b long, score double, round int"))
-        history = done.where("round >= 0").select("a", "b", F.col("a").alias("c"), "score", "round")
-        lut = done.where("round < 0").select(F.col("a").alias("fragment"), F.col("b").alias("segment"))
-    if not sizes.where(~few).isEmpty():
-        large = edges.join(sizes.where(~few).select("component"), "component", "left_semi").select("u", "v", "state", "score")
-        more, other = _by_rounds(scratch, scratch.settle(large), threshold, how, max_rounds)
-        history, lut = history.unionByName(more), lut.unionByName(other)
-    if max_merges is not None:
-        history = scratch.settle(history.orderBy("score", "round", "a", "b").limit(max_merges))
-        lut = connected_components(history, whole=whole).toDF("fragment", "segment")
-    return history, lut
-
-
-def _by_rounds(scratch: Scratch, edges: DataFrame, threshold: float, how, max_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(history, lut) of pooled edges with their score, a few jobs a round."""
-    history, lut = None, None
+    pooled = how.pool(samples).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), "state").withColumn("score", how.score())
+    edges = scratch.settle(pooled.withColumns({"tie": F.struct("u", "v"), "hu": F.lit(0), "hv": F.lit(0)}))
+    steps, lut = [], None
     for k in range(max_rounds):
-        key = F.struct("score", "u", "v")
-        best = edges.select(F.col("u").alias("n"), key.alias("e")).unionByName(edges.select(F.col("v").alias("n"), key.alias("e"))).groupBy("n").agg(F.min("e").alias("e"))
+        if hasattr(how, "value"):
+            groups = max(1, -(-edges.count() // max(1, whole)))
+            done = scratch.settle(_settled_groups(edges, threshold, how, groups, whole))
+            steps.append(done.where("height is null").select("a", "b", "score", "round"))
+            moved = done.where("height is not null").select(F.col("a").alias("node"), F.col("b").alias("segment"), "height")
+            if groups == 1:
+                lut = moved.select(F.col("node").alias("fragment"), "segment") if not k else None
+                break
+            after = scratch.settle(_contracted(edges, moved, how))
+            scratch.drop(edges)
+            edges = after
+        key = F.struct("score", "tie", "u", "v", F.greatest("hu", "hv").alias("h"))
+        best = edges.select(F.explode(F.array("u", "v")).alias("n"), key.alias("e")).groupBy("n").agg(F.min("e").alias("e"))
         # an edge that is the best of both its ends is the minimum of two nodes
-        merges = scratch.settle(best.where(F.col("e.score") < threshold).groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("e.u", "e.v", "e.score"))
+        mutual = best.where(F.col("e.score") < threshold).groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+        merges = scratch.settle(mutual.select(F.col("e.u").alias("a"), F.col("e.v").alias("b"), "e.score", F.col("e.h").alias("round")))
         if merges.isEmpty():
             break
-        step = merges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("u").alias("c"), "score", F.lit(k).alias("round"))
-        history = step if history is None else scratch.settle(history.unionByName(step))
-        to = merges.select(F.col("v").alias("_n"), F.col("u").alias("_to"))
-        moved = edges.select("u", "v", "state")
-        for end in ("u", "v"):
-            moved = moved.join(to.withColumnRenamed("_n", end), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-        moved = moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "state")
-        after = scratch.settle(how.again(moved).withColumn("score", how.score()))
-        fresh = to.select(F.col("_n").alias("fragment"), F.col("_to").alias("segment"))
-        if lut is None:
-            lut = fresh
-        else:
-            older = lut.join(to.withColumnRenamed("_n", "segment"), "segment", "left").select("fragment", F.coalesce("_to", "segment").alias("segment"))
-            lut = scratch.settle(older.unionByName(fresh))
+        steps.append(merges)
+        moved = merges.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("segment"), (F.col("round") + 1).alias("height"))
+        after = scratch.settle(_contracted(edges, moved, how))
         scratch.drop(edges)
         edges = after
     else:
         raise RuntimeError(f"merging did not settle in {max_rounds} rounds")
-    return history, lut.unionByName(lut.select(F.col("segment").alias("fragment"), "segment").distinct())
+    history = steps[0] if steps else spark.createDataFrame([], "a long, b long, score double, round int")
+    for step in steps[1:]:
+        history = history.unionByName(step)
+    if max_merges is not None:
+        history, lut = scratch.settle(history.orderBy("score", "round", "a", "b").limit(max_merges)), None
+    history = history.select("a", "b", F.col("a").alias("c"), "score", "round")
+    return history, _segments(history, scratch) if lut is None else lut
+
+
+def _segments(history: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fragment, segment): a name goes into a smaller one once, so the last name comes by doubling pointers."""
+    now = scratch.settle(history.select(F.col("b").alias("fragment"), F.col("a").alias("segment")))
+    while True:
+        further = now.toDF("segment", "_to")
+        after = scratch.settle(now.join(further, "segment", "left").select("fragment", F.coalesce("_to", "segment").alias("segment"), F.col("_to").isNotNull().alias("_far")))
+        ended = after.where("_far").isEmpty()
+        scratch.drop(now)
+        now = after.drop("_far")
+        now._settled_at = after._settled_at
+        if ended:
+            return now.unionByName(now.select(F.col("segment").alias("fragment"), "segment").distinct())
 
 
 def merge_tree(history: DataFrame) -> DataFrame:

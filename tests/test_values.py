@@ -235,6 +235,25 @@ def test_merging_of_equal_scores(spark, how):
     assert found[0] == found[1] == found[2] and len({r[2] for r in found[0]}) < len(found[0])
 
 
+class PlainMean:
+    """A score of a user's own, without methods for an edge at a time."""
+
+    pool, again, score = A.MeanScore.pool, A.MeanScore.again, A.MeanScore.score
+
+
+def test_merging_by_joins_alone_and_of_nothing(spark):
+    rng = np.random.default_rng(6)
+    samples = [(min(a, b), max(a, b), float(x)) for (a, b), x in zip(rng.integers(1, 9, (30, 2)).tolist(), rng.random(30), strict=True) if a != b]
+    df = spark.createDataFrame(samples, "u long, v long, aff double")
+    found = [A.agglomerate(df, 0.55, how) for how in (A.MeanScore(), PlainMean())]
+    one, two = (sorted((r.a, r.b, round(r.score, 9), r.round) for r in h.collect()) for h, _ in found)
+    assert one == two and one and {tuple(r) for r in found[0][1].collect()} == {tuple(r) for r in found[1][1].collect()}
+    for frame, threshold in ((df.limit(0), 0.5), (df, 0.0)):
+        for whole in (0, 100):
+            history, lut = A.agglomerate(frame, threshold, whole=whole)
+            assert history.isEmpty() and lut.isEmpty() and history.columns == ["a", "b", "c", "score", "round"] and lut.columns == ["fragment", "segment"]
+
+
 def test_merging_along_a_chain(spark):
     """Scores ascend, so one pair at a time is each other's best: rounds follow the number of groups, not that of merges."""
     n = 3000

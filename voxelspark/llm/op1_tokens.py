@@ -15,7 +15,7 @@ count. One pass over the texts; nothing is shuffled, and no row per token is eve
 
 Edge cases: null or empty text has one empty section without tokens; spans beyond the text are clipped; a null list of sections
 gives no rows, a section with a null end counts nothing and has none; a text may be of any length and be one long word, line or
-run of white space; repeated rows are counted each; columns other than those named are not read; an empty table gives no rows.
+run of white space; repeated rows are counted each, and sections with the same span each count the same; columns other than those named are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

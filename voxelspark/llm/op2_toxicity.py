@@ -8,7 +8,8 @@ same rows at every run), and keeps the ``features`` n-grams whose ratio is the m
 sample's partitions; the fit itself runs in one task over that bounded sample. Scoring is one pass over all rows, no shuffle.
 
 Edge cases: null and empty text score as a text without n-grams (the bias); labels that are null are left out; if a class has
-no labelled row, every score is that of the other (0 with no labels at all); repeated rows are scored each.
+no labelled row, every score is that of the other (0 with no labels at all); repeated rows are scored each, alike. Ties: of
+n-grams as certain as each other the smaller bucket is kept; of an id's labels the larger counts.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The fit sees at most ``per_language`` rows of each language (expected count; row
 one task over that bounded sample. Scoring is one pass over all whole texts without a shuffle.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0.0; rows without a language are not learnt from; with
-no language to learn all rows are ``und``, with one all texts with a letter have it; repeated rows are scored each.
+no language to learn all rows are ``und``, with one all texts with a letter have it; repeated rows are scored each, alike. Ties: of
+languages as far as each other the first in the order of names is taken, and the row is ambiguous.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ that what is sent to the tasks stays bounded. The latent space is one for all bl
    either side, must cover ``overlap`` of the item, and that with the item's answer (its last sentence) ``answer_overlap`` of it.
 
 Edge cases: null or empty texts and texts without vocabulary words leak nothing; items without words match nothing; repeated
-rows are searched each; an empty benchmark or document table gives no leaks; extra columns stay in ``row``.
+rows are searched each; an empty benchmark or document table gives no leaks; extra columns stay in ``row``. Ties: all accepted items
+are listed; of an item's passages with the largest share the first is given.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ and their time stamps (presentation and decoding), places and random access flag
 
 Each row is one stream, written and read inside a task; nothing is shuffled. Edge cases: a null or empty column reads as a
 stream without packets; bytes that do not parse give ``errors`` and what else was read, never an exception; repeated rows are
-written each; a column that is there already under the name of the new one is replaced.
+written each, equal payloads as equal streams; a column that is there already under the name of the new one is replaced.
 """
 
 from __future__ import annotations

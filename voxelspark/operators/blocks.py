@@ -20,6 +20,8 @@ from voxelspark.sources.schema import AXES, POS
 
 #: Sides of a block; lines of one bundle along the two axes across it.
 BLOCK, BUNDLE = (32, 128, 128), (8, 64)
+#: Sides of a block whose voxels leave it many times over.
+SMALL = (8, 64, 64)
 #: Pairs, or kernel places, that one step looks at.
 STEP = 1 << 21
 
@@ -72,6 +74,46 @@ def pairs_in_blocks(df: DataFrame, offsets: Sequence[tuple[int, int, int]], valu
     return in_blocks(df.select(*POS, value), reach).applyInArrow(run, schema)
 
 
+def kernel_pairs(probe: DataFrame, source: DataFrame, kernel: Sequence[tuple], keys: Sequence[str], block: Sequence[int] = SMALL) -> DataFrame:
+    """(keys, the other columns of ``probe``, dz, dy, dx, w, source_<c> for those of ``source``): each voxel of ``probe`` with the ones of
+    ``source`` at the kernel's offsets that have the same keys; a null key meets nothing."""
+    reach = [max(abs(o[k]) for o in kernel) for k in range(3)]
+    mine, other = [c for c in probe.columns if c not in keys], [c for c in source.columns if c not in (*POS, *keys)]
+    kind, kind2 = {f.name: f.dataType for f in probe.schema}, {f.name: f.dataType for f in source.schema}
+    steps = [T.StructField(f"d{a}", T.IntegerType()) for a in AXES] + [T.StructField("w", T.DoubleType())]
+    schema = T.StructType([*(T.StructField(c, kind[c]) for c in (*keys, *mine)), *steps, *(T.StructField(f"source_{c}", kind2[c]) for c in other)])
+
+    def run(p: pa.Table, s: pa.Table) -> pa.Table:
+        p, s = p.combine_chunks(), s.combine_chunks().rename_columns([c.removeprefix("source_") for c in s.column_names])
+        n, owner = p.num_rows, np.concatenate([np.zeros(p.num_rows, np.int64), np.zeros(s.num_rows, np.int64)])
+        known = np.ones(len(owner), bool)
+        for c in keys:
+            both = pa.chunked_array([*p.column(c).chunks, *s.column(c).cast(p.schema.field(c).type).chunks])
+            known &= both.is_valid().to_numpy()
+            codes = both.combine_chunks().dictionary_encode().indices.fill_null(0).to_numpy().astype(np.int64)
+            owner = np.unique(owner * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
+        at = np.concatenate([places(p), places(s)], axis=1)
+        low = at.min(axis=1) - reach
+        size = at.max(axis=1) + reach + 1 - low
+        key = ((owner * size[0] + at[0] - low[0]) * size[1] + at[1] - low[1]) * size[2] + at[2] - low[2]
+        own, theirs = np.flatnonzero(known[:n]), n + np.flatnonzero(known[n:])
+        order = theirs[np.argsort(key[theirs], kind="stable")]
+        placed, i, j, of = key[order], [], [], []
+        for k, o in enumerate(kernel):
+            want = key[own] + (o[0] * size[1] + o[1]) * size[2] + o[2]
+            first = np.searchsorted(placed, want)
+            count = np.searchsorted(placed, want, "right") - first
+            i.append(np.repeat(own, count)), j.append(order[spans(first, count)] - n), of.append(np.full(len(i[-1]), k))
+        i, j, of = (pa.array(np.concatenate(x)) for x in (i, j, of))
+        table = [pa.array([o[k] for o in kernel], pa.int32()).take(of) for k in range(3)] + [pa.array([float(o[3]) for o in kernel]).take(of)]
+        return pa.table([*(p.column(c).take(i) for c in (*keys, *mine)), *table, *(s.column(c).take(j) for c in other)], schema.names)
+
+    cells = [F.floor(F.col(a) / b).cast("int").alias(f"block_{a}") for a, b in zip(AXES, block, strict=True)]
+    names = [f"source_{a}" for a in AXES]  # both may be the same table, whose columns a cogroup tells apart by name
+    there = halo_blocks(source.select(*(F.col(c).alias(f"source_{c}") for c in source.columns)).dropna(subset=names), tuple(block), tuple(reach), names)
+    return probe.dropna(subset=list(AXES)).groupBy(*cells).cogroup(there.groupBy(*(f"block_{a}" for a in names))).applyInArrow(run, schema)
+
+
 class Kernel:
     """Weights by offset: a line of weights per axis that multiply, or a ball of equal ones. Offsets beyond ``reach`` weigh 0."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.functions.roi import Roi
-from voxelspark.operators.blocks import pairs_in_blocks
+from voxelspark.operators.blocks import kernel_pairs, pairs_in_blocks
 from voxelspark.plans.iterate import Scratch
 from voxelspark.sources.schema import AXES, POS
 
@@ -165,13 +165,7 @@ def ball(radius: tuple[float, float, float]) -> list[tuple[int, int, int, float]
     return [(dz, dy, dx, 1.0) for dz in range(-r[0], r[0] + 1) for dy in range(-r[1], r[1] + 1) for dx in range(-r[2], r[2] + 1) if inside((dz, dy, dx))]
 
 
-def weights_column(kernel: Sequence[tuple]) -> Column:
-    return F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(AXES, k[:3], strict=True)), F.lit(float(k[3])).alias("w")) for k in kernel))
-
-
 def kernel_join(probe: DataFrame, source: DataFrame, kernel: Sequence[tuple], keys: Sequence[str] = ("label",)) -> DataFrame:
-    """Rows of ``probe`` with each ``source`` voxel of the same ``keys`` inside the kernel: dz, dy, dx (source - probe) and w."""
-    key = [f"_n{a}" for a in AXES]
-    wide = probe.withColumn("_k", F.explode(weights_column(kernel))).select(*probe.columns, "_k.*").withColumns({k: F.col(a) + F.col(f"d{a}") for a, k in zip(AXES, key, strict=True)})
-    other = source.select(*keys, *(F.col(a).alias(k) for a, k in zip(AXES, key, strict=True)), *(F.col(c).alias(f"source_{c}") for c in source.columns if c not in (*POS, *keys)))
-    return wide.join(other, [*keys, *key]).drop(*key)
+    """Rows of ``probe`` with each ``source`` voxel of the same ``keys`` inside the kernel: dz, dy, dx (source - probe) and w. Block by
+    block: both volumes are shuffled once, and only pairs leave a block."""
+    return kernel_pairs(probe, source, kernel, keys)

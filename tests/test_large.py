@@ -17,3 +17,15 @@ def test_kernel_join_sends_no_volume_to_the_driver(spark, rows):
     want = sorted((q.y - p.y, q.x - p.x, p.label, p.raw, q.raw) for p in held for q in held if p.label == q.label and abs(q.y - p.y) + abs(q.x - p.x) <= 1)
     assert sorted((r.dy, r.dx, r.label, r.raw, r.source_raw) for r in found.collect()) == want
     assert found.columns == ["label", "z", "y", "x", "raw", "dz", "dy", "dx", "w", "source_raw"]
+
+
+def test_moments_of_many_small_objects_at_once():
+    rng = np.random.default_rng(5)
+    place = rng.integers(0, 12, (3, 300))
+    number = np.sort(rng.integers(0, 90, 300))
+    kernel, terms = BL.Kernel([gaussian(1.0)] * 3), [(), (0,), (1, 2)]
+    first, count = np.searchsorted(number, number), np.searchsorted(number, number, "right") - np.searchsorted(number, number)
+    found = BL.moments_of_near(place, place, first, count, kernel, terms)
+    for k in range(90):
+        own = place[:, number == k]
+        assert np.allclose(found[:, number == k], BL.moments_of_pairs(own, own, kernel, terms))

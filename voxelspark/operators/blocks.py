@@ -22,8 +22,8 @@ from voxelspark.sources.schema import AXES, POS
 BLOCK, BUNDLE = (32, 128, 128), (8, 64)
 #: Sides of a block whose voxels leave it many times over.
 SMALL = (8, 64, 64)
-#: Pairs, or kernel places, that one step looks at.
-STEP = 1 << 21
+#: Pairs that one step looks at.
+PAIRS = 1 << 19
 
 
 def in_blocks(df: DataFrame, context: Sequence[int], block: Sequence[int] = BLOCK):
@@ -132,20 +132,37 @@ class Kernel:
         self.offsets, self.weights = used - self.reach, self.grid[tuple(used.T)]
 
 
-def moments_of_pairs(all_: np.ndarray, probe: np.ndarray, kernel: Kernel, terms) -> np.ndarray:
-    """Every voxel of an object with every other one."""
-    out, step = np.zeros((len(terms), probe.shape[1])), max(1, STEP // all_.shape[1])
-    for a in range(0, probe.shape[1], step):
-        d = all_[:, None, :] - probe[:, a : a + step, None]
-        near = (np.abs(d) <= kernel.reach[:, None, None]).all(axis=0)
-        p, s = np.nonzero(near)
-        d = d[:, p, s]
-        w = kernel.grid[tuple(d + kernel.reach[:, None])]
+def moments_of_near(place: np.ndarray, probe: np.ndarray, first: np.ndarray, count: np.ndarray, kernel: Kernel, terms) -> np.ndarray:
+    """Each voxel of ``probe`` with ``count`` ones of ``place`` from ``first`` on, those of its object that may be near; all objects at
+    once, a bounded number of pairs at a time."""
+    out, upto, weights, a = np.zeros((len(terms), probe.shape[1])), np.cumsum(count), kernel.grid.ravel(), 0
+    while a < probe.shape[1]:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+        p, s = np.repeat(np.arange(b - a), count[a:b]), spans(first[a:b], count[a:b])
+        d, cell = [], 0
+        for axis in range(3):
+            d.append(place[axis][s] - probe[axis, a:b][p])
+            near = np.abs(d[axis]) <= kernel.reach[axis]
+            if not near.all():
+                p, s, d = p[near], s[near], [x[near] for x in d]
+        for axis in range(3):
+            cell = cell * kernel.grid.shape[axis] + d[axis] + kernel.reach[axis]
+        w = weights[cell]
         for k, axes in enumerate(terms):
-            out[k, a : a + step] = np.bincount(p, w * np.prod(d[list(axes)], axis=0) if axes else w, near.shape[0])
+            x = w
+            for axis in axes:
+                x = x * d[axis]
+            out[k, a:b] = np.bincount(p, x, b - a)
+        a = b
     return out
 
 
+def moments_of_pairs(all_: np.ndarray, probe: np.ndarray, kernel: Kernel, terms) -> np.ndarray:
+    """Every voxel of an object with every other one."""
+    n = probe.shape[1]
+    return moments_of_near(all_, probe, np.zeros(n, np.int64), np.full(n, all_.shape[1]), kernel, terms)
+
+
 def moments_of_offsets(mask: np.ndarray, low: np.ndarray, probe: np.ndarray, kernel: Kernel, terms) -> np.ndarray:
     """An offset of the kernel at a time; ``mask``: the object's box and the kernel's reach around it."""
     out, flat = np.zeros((len(terms), probe.shape[1])), mask.ravel()
@@ -193,7 +210,8 @@ def moments_in_blocks(source: DataFrame, probe: DataFrame | None, kernel: Kernel
     """(label, z, y, x, a column per term) of every voxel of ``source`` (of ``probe``, a part of it, if given): the weighted sum over
     the voxels of the same label around it of the product of offsets along the term's axes.
 
-    An object in a block is summed in the way that takes the fewest steps: by pairs, by the kernel's offsets, or axis by axis.
+    An object in a block is summed in the way that takes the fewest steps: by pairs of voxels that are near along one axis (all such
+    objects of a block at once, as there may be as many as voxels), by the kernel's offsets, or axis by axis.
     """
     kinds = {f.name: f.dataType for f in source.schema}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in ("label", *POS)] + [T.StructField(c, T.DoubleType()) for c in terms])
@@ -204,28 +222,37 @@ def moments_in_blocks(source: DataFrame, probe: DataFrame | None, kernel: Kernel
         t = t.combine_chunks()
         at, label = places(t), t.column("label").to_numpy()
         asked = np.flatnonzero(t.column("owned").to_numpy() & t.column("asked").fill_null(False).to_numpy())
-        order = np.argsort(label, kind="stable")
-        cut = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))
+        # objects one after the other, each along the axis on which the kernel leaves out most
+        reach, low = kernel.reach, at.min(axis=1)
+        span = at.max(axis=1) - low + 1
+        axis = int(np.argmax(span / (2 * reach + 1)))
+        order = np.lexsort((at[axis], label))
+        place, first = at[:, order], np.flatnonzero(np.append(True, np.diff(label[order]) != 0))
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        key = number * (span[axis] + reach[axis]) + place[axis] - low[axis]
         owner = np.zeros(len(label), bool)
         owner[asked] = True
-        out = np.zeros((len(axes), len(label)))
-        for own in np.split(order, cut[1:]):
-            mine = own[owner[own]]
-            if not len(mine):
-                continue
-            every, probe = at[:, own], at[:, mine]
-            low = every.min(axis=1) - kernel.reach
-            size = every.max(axis=1) + kernel.reach + 1 - low
-            cells = int(np.prod(size))
-            pairs, offsets = len(own) * len(mine), len(kernel.weights) * len(mine) + cells
-            lines = cells * 6 * int((2 * kernel.reach + 1).sum()) if not kernel.ball else None
-            if pairs <= min(offsets, lines or offsets):
-                out[:, mine] = moments_of_pairs(every, probe, kernel, axes)
-                continue
-            mask = np.zeros(tuple(size), bool)
-            mask[tuple(every - low[:, None])] = True
-            way = moments_of_lines if lines is not None and lines < offsets else moments_of_offsets
-            out[:, mine] = way(mask, low, probe, kernel, axes)
+        mine = np.flatnonzero(owner[order])
+        begin = np.searchsorted(key, key[mine] - reach[axis])
+        count = np.searchsorted(key, key[mine] + reach[axis], "right") - begin
+        # the steps that each way takes, by object
+        own = np.bincount(number[mine], minlength=len(first))
+        pairs = np.bincount(number[mine], count, len(first))
+        cells = (np.maximum.reduceat(place, first, axis=1) - np.minimum.reduceat(place, first, axis=1) + 1 + 2 * reach[:, None]).astype(float).prod(axis=0)
+        offsets = len(kernel.weights) * own + cells
+        lines = np.full(len(first), np.inf) if kernel.ball else cells * 6 * int((2 * reach + 1).sum())
+        paired = pairs <= np.minimum(offsets, lines)
+        out, which = np.zeros((len(axes), len(label))), paired[number[mine]]
+        out[:, order[mine[which]]] = moments_of_near(place, place[:, mine[which]], begin[which], count[which], kernel, axes)
+        last = np.append(first[1:], len(order))
+        for k in np.flatnonzero(~paired & (own > 0)).tolist():
+            every = place[:, first[k] : last[k]]
+            asks = first[k] + np.flatnonzero(owner[order[first[k] : last[k]]])
+            corner = every.min(axis=1) - reach
+            mask = np.zeros(tuple(every.max(axis=1) + reach + 1 - corner), bool)
+            mask[tuple(every - corner[:, None])] = True
+            way = moments_of_lines if lines[k] < offsets[k] else moments_of_offsets
+            out[:, order[asks]] = way(mask, corner, place[:, asks], kernel, axes)
         kept = pa.array(asked)
         return pa.table([*(t.column(c).take(kept) for c in ("label", *POS)), *(pa.array(x[asked]) for x in out)], schema.names)
 

@@ -29,3 +29,15 @@ def test_moments_of_many_small_objects_at_once():
     for k in range(90):
         own = place[:, number == k]
         assert np.allclose(found[:, number == k], BL.moments_of_pairs(own, own, kernel, terms))
+
+
+def test_distance_along_long_lines_piece_by_piece(spark):
+    rng = np.random.default_rng(3)
+    # long gaps without a value, lines without any, and places far apart
+    at = {(0, int(y), int(x)): (int(f) if k else None) for y, x, f, k in zip(rng.integers(-40, 90, 600), rng.integers(0, 70, 600), rng.integers(0, 400, 600), rng.random(600) < 0.25, strict=True)}
+    at |= {(9, y, 3): None for y in range(0, 60, 7)} | {(9, 5000, 3): 2, (9, 1, 4): None}
+    df = spark.createDataFrame([(*p, f) for p, f in at.items()], "z int, y int, x int, d2 long")
+    for length in (4, 16, 1024):
+        found = {(r.z, r.y, r.x): r.d2 for r in BL.nearest_along(df, "y", "d2", length).collect()}
+        want = {(z, y, x): min(((y - q) ** 2 + f for (c, q, e), f in at.items() if (c, e) == (z, x) and f is not None), default=None) for z, y, x in at}
+        assert found == want

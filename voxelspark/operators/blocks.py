@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxelspark.functions.roi import halo_blocks
 from voxelspark.sources.schema import AXES, POS
@@ -24,6 +25,8 @@ BLOCK, BUNDLE = (32, 128, 128), (8, 64)
 SMALL = (8, 64, 64)
 #: Pairs that one step looks at.
 PAIRS = 1 << 19
+#: Places of a line that one task holds.
+LENGTH = 1024
 
 
 def in_blocks(df: DataFrame, context: Sequence[int], block: Sequence[int] = BLOCK):
@@ -331,15 +334,11 @@ def sums_in_blocks(df: DataFrame, value: str, kernel: Kernel, into: str) -> Data
     return in_blocks(df.select(*POS, F.col(value).cast("double").alias("_v")), kernel.reach).applyInArrow(run, schema)
 
 
-def lower_envelope(line: np.ndarray, place: np.ndarray, f: np.ndarray, at_line: np.ndarray, at_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(least (p - q)**2 + f over the given places q of the same line, whether there is one) for every asked (line, place p).
-
-    Only the parabolas of the lower envelope are kept (Felzenszwalb and Huttenlocher 2012), for all lines at once. Memory follows what
-    is given and asked, not how far places lie apart; all is in whole numbers, so that no digit is lost.
-    """
-    best, found = np.zeros(len(at_line), np.int64), np.zeros(len(at_line), bool)
-    if not len(line) or not len(at_line):
-        return best, found
+def envelope(line: np.ndarray, place: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, f, start) of the parabolas (p - place)**2 + f that are least somewhere on their line, in the order of (line, start);
+    each is so from ``start`` to the next one's. Felzenszwalb and Huttenlocher (2012), for all lines at once, in whole numbers."""
+    if not len(line):
+        return line, place, f, np.zeros(0, np.int64)
     order = np.lexsort((f, place, line))
     line, place, f = line[order], place[order], f[order]
     one = np.append(True, (line[1:] != line[:-1]) | (place[1:] != place[:-1]))  # of several at a place the least
@@ -367,35 +366,100 @@ def lower_envelope(line: np.ndarray, place: np.ndarray, f: np.ndarray, at_line:
         v[first[rows] + top[rows]], start[first[rows] + top[rows]] = new, begins
     used = spans(first, top + 1)
     used = used[np.argsort(line[used], kind="stable")]
+    return line[used], place[v[used]], f[v[used]], start[used]
+
+
+def on_envelope(line: np.ndarray, start: np.ndarray, at_line: np.ndarray, at_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which parabola of an envelope is least at every asked (line, place), whether there is one)."""
     # parabolas and what is asked meet in the order of (line, place)
-    low = min(place.min(), at_place.min())
-    wide = int(max(place.max(), at_place.max()) - low) + 2
+    low = at_place.min()
+    wide = int(at_place.max() - low) + 2
     ids = np.unique(np.concatenate([line, at_line]), return_inverse=True)[1]
-    number = ids[: len(line)][used]
-    begin = number * wide + np.clip(start[used], low, low + wide - 1) - low
-    k = np.searchsorted(begin, ids[len(line) :] * wide + at_place - low, "right") - 1
-    found = (k >= 0) & (number[k] == ids[len(line) :])
-    q = v[used[k]]
-    best[found] = ((at_place - place[q]) ** 2 + f[q])[found]
+    number, asked = ids[: len(line)], ids[len(line) :]
+    begin = number * wide + np.clip(start, low, low + wide - 1) - low
+    k = np.searchsorted(begin, asked * wide + at_place - low, "right") - 1
+    return k, (k >= 0) & (number[k] == asked)
+
+
+def lower_envelope(line: np.ndarray, place: np.ndarray, f: np.ndarray, at_line: np.ndarray, at_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least (p - q)**2 + f over the given places q of the same line, whether there is one) for every asked (line, place p).
+
+    Memory follows what is given and asked, not how far places lie apart.
+    """
+    best, found = np.zeros(len(at_line), np.int64), np.zeros(len(at_line), bool)
+    if not len(line) or not len(at_line):
+        return best, found
+    line, place, f, start = envelope(line, place, f)
+    k, found = on_envelope(line, start, at_line, at_place)
+    best[found] = ((at_place - place[k]) ** 2 + f[k])[found]
     return best, found
 
 
-def nearest_along(df: DataFrame, axis: str, value: str) -> DataFrame:
+def nearest_along(df: DataFrame, axis: str, value: str, length: int = LENGTH) -> DataFrame:
     """``df`` (z, y, x, ...) with ``value`` (a squared distance, null for none) replaced by its least sum with the squared step along
-    ``axis``. Lines are taken in bundles; a bundle's size follows the voxels in it, not how far its lines reach."""
+    ``axis``. A task holds a bundle of lines over ``length`` places, however long the lines are.
+
+    A piece of a line tells which of its parabolas are least somewhere beyond its ends, few as a rule. Those of one line show which of
+    them are least within which other piece, and go there: of all that could matter at a place, one from elsewhere is among them.
+    """
     across = [a for a in AXES if a != axis]
-    names = df.columns
+    names, kind = df.columns, {f.name: f.dataType for f in df.schema}
     bundle = [F.floor(F.col(a) / n).alias(f"_{a}") for a, n in zip(across, BUNDLE, strict=True)]
+    piece = F.floor(F.col(axis) / length).cast("long").alias("_piece")
+    sides = T.StructType([*(T.StructField(a, kind[a]) for a in across), *(T.StructField(c, T.LongType()) for c in ("_piece", "_from", "_to", "_at", "_f"))])
+    sent = T.StructType([*(T.StructField(a, kind[a]) for a in across), *(T.StructField(c, T.LongType()) for c in ("_piece", "_at", "_f"))])
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().select(names)
-        at = {a: t.column(a).to_numpy().astype(np.int64) for a in AXES}
-        low = {a: x.min() for a, x in at.items()}
-        wide = int(at[across[1]].max() - low[across[1]]) + 1
-        line, place = (at[across[0]] - low[across[0]]) * wide + at[across[1]] - low[across[1]], at[axis] - low[axis]
+    def line_of(t: pa.Table) -> np.ndarray:
+        """A number for the line of each row."""
+        one, two = (t.column(a).to_numpy().astype(np.int64) for a in across)
+        return (one - one.min()) * int(two.max() - two.min() + 1) + two - two.min()
+
+    def ends(t: pa.Table) -> pa.Table:
+        """How far each line goes in a piece, and its parabolas that are least somewhere before or after the piece."""
+        t = t.combine_chunks()
+        line, place = line_of(t), t.column(axis).to_numpy().astype(np.int64)
+        order = np.lexsort((place, line))
+        first = np.flatnonzero(np.append(True, np.diff(line[order]) != 0))
+        last, number = np.append(first[1:], len(order)) - 1, int(place[0] // length)
+        given = np.flatnonzero(t.column(value).is_valid().to_numpy())
+        on, at, f, start = envelope(line[given], place[given], t.column(value).take(pa.array(given)).cast(pa.int64()).to_numpy())
+        final = np.append(on[1:] != on[:-1], True)[: len(on)]
+        out = (start < number * length) | final | (np.append(start[1:], 0)[: len(on)] > (number + 1) * length)
+        lone, both = len(first), int(out.sum())
+        rows = pa.array(order[np.concatenate([first, first[np.searchsorted(line[order[first]], on[out])]])])
+        part = lambda x, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(x, pa.int64()), pa.nulls(after, pa.int64())])
+        sides_ = [part(place[order[first]], 0, both), part(place[order[last]], 0, both), part(at[out], lone, 0), part(f[out], lone, 0)]
+        return pa.table([*(t.column(a).take(rows) for a in across), pa.array(np.full(lone + both, number)), *sides_], sides.names)
+
+    def share(t: pa.Table) -> pa.Table:
+        """What each piece of a line gets from the line's others."""
+        t = t.combine_chunks()
+        line, number = line_of(t), t.column("_piece").to_numpy()
+        whole, known = (np.flatnonzero(t.column(c).is_valid().to_numpy()) for c in ("_from", "_at"))
+        low, high, at, f = (t.column(c).fill_null(0).to_numpy() for c in ("_from", "_to", "_at", "_f"))
+        on, at, f, start = envelope(line[known], at[known], f[known])
+        if not len(on):
+            return sent_empty
+        k, found = on_envelope(on, start, np.tile(line[whole], 2), np.concatenate([low[whole], high[whole]]))
+        n = len(whole)
+        count = np.where(found[:n], k[n:] - k[:n] + 1, 0)
+        to, which = np.repeat(whole, count), spans(k[:n], count)
+        other = at[which] // length != number[to]
+        to, which = to[other], which[other]
+        rows = pa.array(to)
+        return pa.table([*(t.column(a).take(rows) for a in across), pa.array(number[to]), pa.array(at[which]), pa.array(f[which])], sent.names)
+
+    def run(t: pa.Table, more: pa.Table) -> pa.Table:
+        t, more = t.combine_chunks().select(names), more.combine_chunks()
+        line = line_of(pa.concat_tables([t.select(across), more.select(across)]))
+        place, n = t.column(axis).to_numpy().astype(np.int64), t.num_rows
         given = np.flatnonzero(t.column(value).is_valid().to_numpy())
-        f = t.column(value).cast(pa.int64()).fill_null(0).to_numpy()
-        best, found = lower_envelope(line[given], place[given], f[given], line, place)
+        f = t.column(value).take(pa.array(given)).cast(pa.int64()).to_numpy()
+        at, g = more.column("_at").to_numpy(), more.column("_f").to_numpy()
+        best, found = lower_envelope(np.append(line[given], line[n:]), np.append(place[given], at), np.append(f, g), line[:n], place)
         return t.set_column(names.index(value), value, pa.array(best, mask=~found))
 
-    return df.groupBy(*bundle).applyInArrow(run, df.schema)
+    sent_empty = to_arrow_schema(sent).empty_table()
+    held = df.groupBy(*bundle, piece)
+    beyond = held.applyInArrow(ends, sides).groupBy(*bundle).applyInArrow(share, sent)
+    return held.cogroup(beyond.groupBy(*bundle, F.col("_piece"))).applyInArrow(run, df.schema)

@@ -41,3 +41,11 @@ def test_distance_along_long_lines_piece_by_piece(spark):
         found = {(r.z, r.y, r.x): r.d2 for r in BL.nearest_along(df, "y", "d2", length).collect()}
         want = {(z, y, x): min(((y - q) ** 2 + f for (c, q, e), f in at.items() if (c, e) == (z, x) and f is not None), default=None) for z, y, x in at}
         assert found == want
+
+
+def test_tables_that_compress_well_are_not_broadcast_as_small(spark, tmp_path):
+    from voxelspark.plans.iterate import Scratch
+
+    ids = Scratch(spark, "packed").settle(spark.range(3_000_000).select("id", (F.col("id") * 2).alias("to"), F.lit(0).alias("z")))
+    plan = spark.range(100_000_000).join(ids, "id")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan

@@ -34,6 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Bytes of an Arrow batch that goes to a Python worker: rows of long texts or arrays come in smaller batches than Spark's count of rows.
 BATCH_BYTES = 8 << 20
+#: How many times its file's bytes a table may take: tables of ids and positions compress that well, and Spark takes a file's bytes for
+#: the table's where it decides whether to send the table to the driver and to every task.
+UNPACKED = 32
 #: Folders made in the ``lifetime`` around, if there is one in this thread.
 MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -46,6 +49,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def measured_joins(spark: SparkSession) -> None:
+    """Only tables that are small as rows, not as files, are broadcast, unless the session says how; joins that are left open by that
+    are decided by what was shuffled."""
+    key = "spark.sql.sources.fileCompressionFactor"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(UNPACKED))
+
+
 class Cleaned:
     """Shuffle files of the writes under way go when a write ends: the setting holds while any is under way, in whatever thread."""
 
@@ -80,6 +91,7 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n, self.lock = 0, threading.Lock()
         bounded_batches(spark)
+        measured_joins(spark)
         if (made := MADE.get()) is not None:
             made.append(self.root)
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from voxelspark.operators.agglomerate import edge_affinities
 from voxelspark.operators.rag import nodes_of
 from voxelspark.operators.voxels import line_before
+from voxelspark.plans.iterate import measured_joins
 
 WIDTH = 125
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    measured_joins(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

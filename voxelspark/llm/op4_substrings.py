@@ -36,6 +36,8 @@ from voxelspark.plans.iterate import Scratch
 CHECK = np.uint64(0xD6E8FEB86659FD93)
 #: Parts for each shuffle partition: a task holds one part at a time.
 SPREAD = 4
+#: Parts that found positions are dealt to by document: rows between parts then grow with the parts, not with their square.
+RECEIVERS = 64
 PACKED = "part int, n int, payload binary"
 SPOTS = "doc_id long, mark long, spots binary"
 
@@ -97,6 +99,10 @@ def unpack_all(t: pa.Table, kinds: list):
     return np.concatenate(ids), np.concatenate(marks), np.concatenate(doc), np.concatenate(word), [np.concatenate(v) for v in zip(*values, strict=True)]
 
 
+def receivers(parts: int) -> int:
+    return min(parts, RECEIVERS)
+
+
 def deal_out(ids, marks, doc, word, parts: int) -> pa.Table:
     """Found word positions, packed again and dealt by document."""
     part = (mixed(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)[doc]
@@ -233,7 +239,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flat = keyed.select(at.alias("doc_id"), mark.alias("mark"), body.alias("body"))
 
     def found(packed: DataFrame, part) -> DataFrame:
-        dealt = packed.groupBy("part").applyInArrow(lambda t: part(t, parts), PACKED)
+        to = receivers(parts)
+        dealt = packed.groupBy("part").applyInArrow(lambda t: part(t, to), PACKED)
         return scratch.settle(dealt.groupBy("part").applyInArrow(gather, SPOTS))
 
     anchors = found(flat.mapInArrow(map_anchors(parts, block), PACKED), part_anchors)

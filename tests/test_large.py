@@ -8,9 +8,10 @@ from voxelspark.operators import voxels as V
 from voxelspark.operators.voxels import gaussian
 
 
-def test_kernel_join_sends_no_volume_to_the_driver(spark, rows):
+def test_kernel_join_sends_no_volume_to_the_driver(spark, tmp_path):
     v = spark.createDataFrame([(1, 0, 0, 0, 5), (1, 0, 0, 0, 6), (1, 0, 1, 0, 7), (2, 0, 0, 1, 8), (None, 0, 1, 1, 9), (1, 0, None, 0, 3), (1, 0, 200, 70, 4), (1, 0, 201, 70, 2)], "label long, z int, y int, x int, raw int")
-    kernel = V.ball((0, 1, 1))
+    v.write.parquet(str(tmp_path / "v"))
+    v, kernel = spark.read.parquet(str(tmp_path / "v")), V.ball((0, 1, 1))
     found = V.kernel_join(v, v, kernel)
     assert "Broadcast" not in found._jdf.queryExecution().toString()
     held = [r for r in v.collect() if r.label is not None and r.y is not None]

@@ -50,3 +50,49 @@ def test_tables_that_compress_well_are_not_broadcast_as_small(spark, tmp_path):
     ids = Scratch(spark, "packed").settle(spark.range(3_000_000).select("id", (F.col("id") * 2).alias("to"), F.lit(0).alias("z")))
     plan = spark.range(100_000_000).join(ids, "id")._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_edge_scores_copy_no_voxel_for_an_edge(spark, monkeypatch):
+    """Scores of edges by sums that add up, in small blocks and big ones, are those of descriptors of the merged labels; voxels at one
+    place, without a target, and ends that are apart or unknown."""
+    from voxelspark.operators import agglomerate as A
+    from voxelspark.operators import shape as SH
+
+    rng = np.random.default_rng(8)
+    lab = rng.integers(1, 4, (2, 4, 5)).repeat(4, axis=1).repeat(5, axis=2) + 10 * np.arange(2)[:, None, None]
+    lab[:, 2:5, 3:9], lab[0, 9:, :8] = rng.integers(0, 4, (2, 3, 6)), 20
+    places = [(int(z), int(y), int(x)) for z, y, x in np.argwhere(lab)]
+    v = spark.createDataFrame([(*p, int(lab[p])) for p in places] + [(0, 0, 1, 21), (0, 500, 0, 22), (1, 500, 0, 23)], "z int, y int, x int, label long")
+    u = spark.createDataFrame([(*p, p[1] // 7 + 1) for p in places if p[2] % 4] + [(0, 500, 0, 1)], "z int, y int, x int, label long")
+    labels = sorted({r.label for r in v.select("label").collect()})
+    edges = spark.createDataFrame([(a, b) for a in labels for b in labels if a < b] + [(1, 99)], "u long, v long")
+    plain, called = SH.shape_descriptors, []
+    for dims in (2, 3):
+        sigma, target, channels = (1.0, 1.5, 1.0), SH.shape_descriptors(u, (1.0, 1.0, 1.0), dims=dims), SH.channel_names(dims)
+        score = lambda df: {r.id: r.score for r in A.node_descriptor_scores(plain(df, sigma, (1, 1, 2), dims=dims), target, channels).collect()}  # noqa: B023, E731
+        alone, want = score(v), {}
+        for a, b in [(1, 2), (11, 20), (2, 12), (1, 21), (3, 22), (20, 22)]:
+            want[a, b] = score(v.where(F.col("label").isin(a, b)).withColumn("label", F.lit(1).cast("long")))[1] - alone[a] - alone[b]
+        monkeypatch.setattr(SH, "shape_descriptors", lambda *a, **k: called.append(1) or plain(*a, **k))
+        for block in ((32, 128, 128), (1, 5, 4)):
+            monkeypatch.setattr(SH, "BLOCK", block)
+            got = {(r.u, r.v): r.score for r in A.edge_descriptor_scores(v, edges, target, sigma, (1, 1, 2), dims).collect()}
+            assert all(abs(got[e] - s) < 1e-9 for e, s in want.items()) and got[20, 22] == 0
+            assert set(got) == {(a, b) for a in alone for b in alone if a < b} and 23 not in alone
+        monkeypatch.setattr(SH, "shape_descriptors", plain)
+    assert not called
+
+
+def test_moments_around_places_of_other_objects():
+    """Near pairs, lines and offsets agree, also where a probe is outside the object."""
+    rng = np.random.default_rng(6)
+    at = np.stack([g.ravel() for g in np.meshgrid(np.arange(3), np.arange(60), np.arange(60), indexing="ij")])
+    label = (at[1] // 30) * 2 + (at[2] > 5)
+    probe, other = rng.integers(-4, 66, (3, 500)), rng.integers(0, 5, 500)  # no voxel is of object 4
+    for kernel in (BL.Kernel([gaussian(0.5), gaussian(2.0), gaussian(1.5)]), BL.Kernel(ball=V.ball((1, 2, 2)))):
+        terms = [(), (1,), (0, 2)]
+        found = BL.moments_of_objects(at, label, probe, other, kernel, terms)
+        for k in range(5):
+            own, asked = at[:, label == k], probe[:, other == k]
+            n = asked.shape[1]
+            assert np.allclose(found[:, other == k], BL.moments_of_near(own, asked, np.zeros(n, np.int64), np.full(n, own.shape[1]), kernel, terms))

@@ -405,20 +405,27 @@ def node_descriptor_scores(own: DataFrame, target: DataFrame, channels: Sequence
     return own.join(other, POS).groupBy(F.col(label).alias("id")).agg(F.sum(square).alias("score"))
 
 
-def edge_descriptor_scores(voxels: DataFrame, edges: DataFrame, target: DataFrame, sigma, voxel_size=(1, 1, 1), dims: int = 3) -> DataFrame:
-    """(u, v, score): s(u + v) - s(u) - s(v), negative where the merged object is nearer to the target descriptors."""
-    from voxelspark.operators.shape import channel_names, shape_descriptors
-
-    scratch, channels = Scratch(voxels.sparkSession, "descriptor"), channel_names(dims)
-    alone = node_descriptor_scores(shape_descriptors(voxels, sigma, voxel_size, dims=dims), target, channels)
-    pairs = scratch.settle(dense_rank_of(edges.select(F.struct("u", "v").alias("k")).distinct(), "k", "pair").select("k.u", "k.v", "pair"))
-    ends = pairs.select("pair", F.explode(F.array("u", "v")).alias("label"))
-    merged = voxels.where("label <> 0").join(ends, "label").select(*POS, F.col("pair").alias("label"))
-    both = node_descriptor_scores(shape_descriptors(merged, sigma, voxel_size, dims=dims), target, channels)
-    out = pairs.join(both.select(F.col("id").alias("pair"), F.col("score").alias("_b")), "pair")
+def with_target(voxels: DataFrame, target: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """``voxels`` with the target's channels as _t<channel>, null where it has no row; the target has a row a position."""
+    return voxels.join(target.select(*POS, *(F.col(c).alias(f"_t{c}") for c in channels)), POS, "left")
+
+
+def edge_descriptor_scores(voxels: DataFrame, edges: DataFrame, target: DataFrame | None, sigma, voxel_size=(1, 1, 1), dims: int = 3) -> DataFrame:
+    """(u, v, score): s(u + v) - s(u) - s(v), negative where the merged object is nearer to the target descriptors; of edges whose ends
+    both have voxels with a target. Only voxels of one end near the other one count: all others' descriptors stay, and so do scores
+    of ends that are nowhere near each other, which are 0. target: None where ``voxels`` hold its channels already (``with_target``)."""
+    from voxelspark.operators.shape import changes_by_joining, channel_names
+
+    channels = [f"_t{c}" for c in channel_names(dims)]
+    if target is not None:
+        voxels = Scratch(voxels.sparkSession, "descriptor").settle(with_target(voxels, target, channel_names(dims)))
+    known = voxels.where("label <> 0").dropna(subset=channels).select("label").distinct()
+    asked = edges.select("u", "v").where("u <> v").distinct()
     for end in ("u", "v"):
-        out = out.join(alone.select(F.col("id").alias(end), F.col("score").alias(f"_{end}")), end)
-    return out.select("u", "v", (F.col("_b") - F.col("_u") - F.col("_v")).alias("score"))
+        asked = asked.join(known.withColumnRenamed("label", end), end, "left_semi")
+    asked = Scratch(voxels.sparkSession, "descriptor").settle(asked.select("u", "v"))
+    change = changes_by_joining(voxels, asked, channels, sigma, voxel_size, dims).groupBy("u", "v").agg(F.sum("change").alias("_c"))
+    return asked.join(change, ["u", "v"], "left").select("u", "v", F.coalesce("_c", F.lit(0.0)).alias("score"))
 
 
 def agglomerate_by_descriptors(voxels: DataFrame, edges: DataFrame, target: DataFrame, sigma, voxel_size=(1, 1, 1), dims: int = 3, threshold: float = 0.0, max_merges: int | None = None, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -428,18 +435,24 @@ def agglomerate_by_descriptors(voxels: DataFrame, edges: DataFrame, target: Data
     left, as each takes a node away; RuntimeError if ``max_rounds`` are given and not enough.
 
     An edge's score depends on the voxels of its two ends alone. So a round scores the edges that the last one's merges touched,
-    reading those ends' voxels; all others keep theirs. The volume is never written again: voxels get their segment when read.
+    reading those ends' voxels; all others keep theirs. The target is joined to the voxels once; they get their segment when read.
     """
     from voxelspark.operators.rag import relabel
+    from voxelspark.operators.shape import channel_names
 
     scratch, history, lut, done = Scratch(voxels.sparkSession, "bydescriptor"), None, None, 0
-    asked, kept = edges.select("u", "v").distinct(), None
+    asked, kept = scratch.settle(edges.select("u", "v").distinct()), None
+    if set(channel_names(dims)) <= set(target.columns):  # joined once, for all rounds
+        voxels, target = scratch.settle(with_target(voxels.where("label <> 0"), target, channel_names(dims))), None
     for k in count():
         part = voxels if lut is None else relabel(voxels, lut, unmatched="keep")
         if kept is not None:
             part = part.join(asked.select(F.explode(F.array("u", "v")).alias("label")).distinct(), "label", "left_semi")
+        part = part if kept is None else scratch.settle(part)
         fresh = edge_descriptor_scores(part, asked, target, sigma, voxel_size, dims)
         scored = scratch.settle(fresh if kept is None else kept.unionByName(fresh))
+        if kept is not None:
+            scratch.drop(part)
         key = F.struct("score", "u", "v")
         best = scored.select(F.col("u").alias("n"), key.alias("e")).unionByName(scored.select(F.col("v").alias("n"), key.alias("e"))).groupBy("n").agg(F.min("e").alias("e"))
         picked = best.where(F.col("e.score") < threshold).groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("e.u", "e.v", "e.score")

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelspark.functions.roi import Roi
-from voxelspark.operators.blocks import Kernel, moments_in_blocks
+from voxelspark.functions.roi import Roi, halo_blocks
+from voxelspark.operators.blocks import BLOCK, PAIRS, Kernel, moments_in_blocks, moments_of_objects, places, spans
 from voxelspark.operators.voxels import ball, clip01, component_channels, crop, downsampled, gaussian, repeated
 from voxelspark.sources.schema import AXES, POS
 
@@ -82,6 +84,72 @@ def shape_descriptors(voxels: DataFrame, sigma: Sequence[float], voxel_size: Seq
     return m.select(*POS, "label", *(clip01(chans[k]).alias(names[k]) for k in keep))
 
 
+def channels_of(moments: np.ndarray, sigma: Sequence[float], voxel_size: Sequence[float], dims: int) -> np.ndarray:
+    """Channels, in the order of ``channel_names``, of Gaussian moments in the order n, m by axis, s by pair of axes."""
+    axes = range(3 - dims, 3)
+    n, mean = moments[0], {a: moments[1 + i] / moments[0] * voxel_size[a] for i, a in enumerate(axes)}
+    pairs = [(a, b) for i, a in enumerate(axes) for b in list(axes)[i:]]
+    cov = {(a, b): moments[1 + dims + k] / n * (voxel_size[a] * voxel_size[b]) - mean[a] * mean[b] for k, (a, b) in enumerate(pairs)}
+    var = {a: np.maximum(cov[a, a], LEAST_VARIANCE) for a in axes}
+    chans = [mean[a] / sigma[a] * 0.5 + 0.5 for a in axes] + [var[a] / sigma[a] ** 2 for a in axes]
+    chans += [cov[a, b] / np.sqrt(var[a] * var[b]) * 0.5 + 0.5 for a, b in pairs if a != b] + [n]
+    return np.clip(np.stack(chans), 0.0, 1.0)
+
+
+def changes_by_joining(voxels: DataFrame, edges: DataFrame, target: Sequence[str], sigma: Sequence[float], voxel_size: Sequence[float] = (1, 1, 1), dims: int = 3) -> DataFrame:
+    """(u, v, change): how the squared difference between descriptors and the columns ``target`` of ``voxels`` changes, summed over
+    the voxels of labels u and v, where both become one label; a part for each block that holds voxels of both. A voxel without a
+    target changes nothing, but counts as a neighbour.
+
+    Weighted sums of two labels add up, so no voxel is copied for an edge: a block gets its voxels once, sums each label around the
+    voxels of those it may join, and returns a number an edge.
+    """
+    axes = range(3 - dims, 3)
+    terms = [(), *((a,) for a in axes), *((a, b) for i, a in enumerate(axes) for b in list(axes)[i:])]
+    kernel = Kernel([gaussian(s / v if k in axes else 0.0) for k, (s, v) in enumerate(zip(sigma, voxel_size, strict=True))])
+    blocks = [f"block_{a}" for a in POS]
+
+    def run(t: pa.Table, e: pa.Table) -> pa.Table:
+        if not t.num_rows or not e.num_rows:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "change": pa.array([], pa.float64())})
+        at, u, v = places(t), e.column("u").to_numpy(), e.column("v").to_numpy()
+        names, label = np.unique(t.column("label").to_numpy(), return_inverse=True)
+        wanted = np.stack([t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in target])
+        asked = np.flatnonzero(t.column("owned").to_numpy() & ~np.isnan(wanted).any(axis=0))
+        asked = asked[np.argsort(label[asked], kind="stable")]
+        first, last = (np.searchsorted(label[asked], np.arange(len(names)), side) for side in ("left", "right"))
+        one, two, change = np.searchsorted(names, u), np.searchsorted(names, v), np.zeros(len(u))
+        used = np.zeros(len(names), bool)
+        used[one], used[two] = True, True
+        own = np.flatnonzero(used[label[asked]])
+        alone = np.ones((len(terms), len(asked)))
+        alone[:, own] = moments_of_objects(at, label, at[:, asked[own]], label[asked[own]], kernel, terms)
+        apart = np.zeros(len(asked))
+        apart[own] = ((channels_of(alone[:, own], sigma, voxel_size, dims) - wanted[:, asked[own]]) ** 2).sum(axis=0)
+        # voxels of one end with the sums of the other, object by object, a bounded number at a time
+        mine, other, edge = np.concatenate([one, two]), np.concatenate([two, one]), np.tile(np.arange(len(u)), 2)
+        order = np.argsort(other, kind="stable")
+        mine, other, edge = mine[order], other[order], edge[order]
+        upto, a = np.cumsum(last[mine] - first[mine]), 0
+        while a < len(mine):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+            size = last[mine[a:b]] - first[mine[a:b]]
+            k, of, to = spans(first[mine[a:b]], size), np.repeat(other[a:b], size), np.repeat(edge[a:b], size)
+            more = moments_of_objects(at, label, at[:, asked[k]], of, kernel, terms)
+            near = more[0] > 0
+            k, to = k[near], to[near]
+            joint = ((channels_of(alone[:, k] + more[:, near], sigma, voxel_size, dims) - wanted[:, asked[k]]) ** 2).sum(axis=0)
+            change += np.bincount(to, joint - apart[k], len(u))
+            a = b
+        return pa.table({"u": u, "v": v, "change": change})
+
+    there = F.col("z").isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull() & (F.col("label") != 0)
+    halo = halo_blocks(voxels.where(there).select("label", *POS, *target), BLOCK, tuple(int(r) for r in kernel.reach))
+    names = halo.select("label", *blocks).distinct()
+    here = edges.join(names.withColumnRenamed("label", "u"), "u").join(names.withColumnRenamed("label", "v"), ["v", *blocks]).select("u", "v", *(F.col(b).alias(f"of_{b}") for b in blocks))
+    return halo.groupBy(*blocks).cogroup(here.groupBy(*(f"of_{b}" for b in blocks))).applyInArrow(run, "u long, v long, change double")
+
+
 def upsampled_descriptors(coarse: DataFrame, roi: Roi, factor: tuple[int, int, int], channel: str) -> DataFrame:
     return repeated(coarse, roi, factor, channel)
 

@@ -33,6 +33,9 @@ def affinities_from_labels(voxels: DataFrame, offsets: Sequence[tuple[int, int,
     hits = pairs.groupBy(*POS).agg(*(F.max((F.col("channel") == k).cast("int")).alias(f"aff_{k}") for k in range(len(offsets))))
     return voxels.select(*POS).join(hits, POS, "left").select(*POS, *(F.coalesce(f"aff_{k}", F.lit(0)).alias(f"aff_{k}") for k in range(len(offsets))))
 
+#: Samples along y and x of a layer in which they are worked on.
+ACROSS = 64
+
 
 def random_crops(voxels: DataFrame, count: int, shape: tuple[int, int, int], mask: str, min_masked: float, seed: int = 0, candidates: int = 8) -> DataFrame:
     """(crop, lo_z, lo_y, lo_x, share): ``count`` boxes whose mask share reaches ``min_masked``.
@@ -57,7 +60,6 @@ def _extent(voxels: DataFrame):
     ends = voxels.agg(*(F.struct(F.min(a), F.max(a)).alias(a) for a in AXES)).first()
     return [ends[a] if ends[a][0] is not None else (0, -1) for a in AXES]
 
-
 def _best_share(voxels: DataFrame, shape: tuple[int, int, int], mask: str) -> float:
     """Largest mask share of any box in the volume: masked voxels are summed along an axis after the other."""
     now = voxels.where(F.col(mask).cast("boolean")).select(*POS, F.lit(1).cast("long").alias("n"))
@@ -173,7 +175,7 @@ def training_samples(voxels: DataFrame, sigma, shape: tuple[int, int, int], coun
     weights of the last one, ``batch`` samples stacked at a time.
 
     voxels: z, y, x, label, raw and, if named, an ``unlabelled`` column (1 = labelled) that masks the descriptors' weight. Samples lie
-    behind one another along z while they are worked on, farther apart than any kernel reaches. augment=False leaves them as they are.
+    in layers of ACROSS x ACROSS while they are worked on, farther apart than any kernel reaches: so a block holds many of them. augment=False leaves them as they are.
     """
     scratch = Scratch(voxels.sparkSession, "training")
     whole = minmax(voxels.withColumn("_all", F.lit(0)), "raw", ("_all",), "raw").drop("_all")
@@ -182,15 +184,18 @@ def training_samples(voxels: DataFrame, sigma, shape: tuple[int, int, int], coun
     if augment:
         one = intensity_jitter(mirror_transpose(one, shape, seed, "sample"), "raw", seed, "sample", noise=noise)
     number = scratch.settle(stacked(one.select("sample").distinct(), batch))
-    gap = shape[0] + 2 * int(3 * max(sigma) + 1) + boundary_steps + 1
-    apart = number.select("sample", "batch", "place", ((F.col("batch") * batch + F.col("place")) * gap).cast("int").alias("_z"))
-    now = scratch.settle(one.join(apart, "sample").withColumn("z", F.col("z") + F.col("_z")))
+    gap = [s + 2 * int(3 * max(sigma) + 1) + boundary_steps + 1 for s in shape]
+    n = F.col("batch") * batch + F.col("place")
+    cell = [F.floor(n / (ACROSS * ACROSS)), F.floor(n / ACROSS) % ACROSS, n % ACROSS]
+    moved = ["_z", "_y", "_x"]
+    apart = number.select("sample", "batch", "place", *((c * g).cast("int").alias(m) for c, g, m in zip(cell, gap, moved, strict=True)))
+    now = scratch.settle(one.join(apart, "sample").withColumns({a: F.col(a) + F.col(m) for a, m in zip(AXES, moved, strict=True)}))
     grown = scratch.settle(grow_boundary(now.select(*POS, "label"), steps=boundary_steps, only_xy=dims == 2))
     known = None if unlabelled is None else now.select(*POS, F.col(unlabelled).cast("boolean").alias("masked"))
     target = descriptor_target(grown, sigma, unlabelled=known, dims=dims)
     affinity = balance_weights(affinities_from_labels(grown), "aff_2").withColumnRenamed("weight", "aff_weight")
-    out = now.select("batch", "place", "sample", "_z", *POS, "raw").join(target, POS).join(affinity, POS)
-    return out.withColumn("z", (F.col("z") - F.col("_z")).cast("int")).drop("_z")
+    out = now.select("batch", "place", "sample", *moved, *POS, "raw").join(target, POS).join(affinity, POS)
+    return out.withColumns({a: (F.col(a) - F.col(m)).cast("int") for a, m in zip(AXES, moved, strict=True)}).drop(*moved)
 
 
 def autocontext(raw: DataFrame, first_pass: DataFrame, channels: Sequence[str]) -> DataFrame:

@@ -96,3 +96,30 @@ def test_moments_around_places_of_other_objects():
             own, asked = at[:, label == k], probe[:, other == k]
             n = asked.shape[1]
             assert np.allclose(found[:, other == k], BL.moments_of_near(own, asked, np.zeros(n, np.int64), np.full(n, own.shape[1]), kernel, terms))
+
+
+def test_samples_share_blocks_while_they_are_worked_on(spark, monkeypatch):
+    from voxelspark.operators import samples as SM
+
+    seen, plain = [], SM.grow_boundary
+    monkeypatch.setattr(SM, "grow_boundary", lambda v, **how: seen.append(v) or plain(v, **how))
+    v = spark.range(40 * 20).select(F.lit(0).alias("z"), F.expr("cast(id div 20 as int) y"), F.expr("cast(id % 20 as int) x"), F.expr("id div 7 + 1 as label"), F.col("id").cast("double").alias("raw"))
+    got = SM.training_samples(v, (1, 1, 1), (1, 4, 4), 40, 4, dims=2, seed=1).select("sample", "z", "y", "x").collect()
+    assert len(got) == 40 * 16 and {(r.z, r.y, r.x) for r in got} == {(0, y, x) for y in range(4) for x in range(4)}
+    assert seen[0].select(F.expr("z div 32"), F.expr("y div 128"), F.expr("x div 128")).distinct().count() <= 8  # 20 before
+
+
+def test_marked_edges_are_made_once(spark):
+    from voxelspark.operators import agglomerate as A
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 4)], "u long, v long").mapInArrow(count, "u long, v long")
+    history = spark.createDataFrame([(1, 2, 1, 0.1, 0), (1, 3, 1, 0.2, 1)], "a long, b long, c long, score double, round int")
+    got = {(r.u, r.v): (r.merge_score, r.agglomerated) for r in A.mark_edges(edges, A.merge_tree(history)).collect()}
+    assert got == {(1, 2): (0.1, True), (2, 3): (0.2, True), (1, 4): (None, True)} and made.value == 3

@@ -321,6 +321,7 @@ def find_merges(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     """
     scratch = Scratch(pairs.sparkSession, "lowest")
     tree = scratch.settle(tree.select("node", "parent", "score", "level"))
+    pairs = scratch.settle(pairs.select("u", "v"))
     leaves, step = tree.where("level = 0").select("node"), []
     # ancestors up to 1, 2, 4, ... steps above, and the one that many steps above
     depth = scratch.settle(tree.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
@@ -353,7 +354,8 @@ def find_merges(pairs: DataFrame, tree: DataFrame) -> DataFrame:
 
 def mark_edges(edges: DataFrame, tree: DataFrame) -> DataFrame:
     """Edges with merge_score by find_merges, and agglomerated."""
-    return edges.drop("merge_score", "agglomerated").join(find_merges(edges, tree).distinct(), ["u", "v"], "left").withColumn("agglomerated", F.lit(True))
+    edges = Scratch(edges.sparkSession, "marked").settle(edges.drop("merge_score", "agglomerated"))  # they are read three times
+    return edges.join(find_merges(edges, tree).distinct(), ["u", "v"], "left").withColumn("agglomerated", F.lit(True))
 
 
 def _merged_in_blocks(voxels: DataFrame, block, context, threshold: float, label: str, how) -> tuple[DataFrame, DataFrame]:
@@ -449,7 +451,8 @@ def agglomerate_by_descriptors(voxels: DataFrame, edges: DataFrame, target: Data
         if kept is not None:
             part = part.join(asked.select(F.explode(F.array("u", "v")).alias("label")).distinct(), "label", "left_semi")
         part = part if kept is None else scratch.settle(part)
-        fresh = edge_descriptor_scores(part, asked, target, sigma, voxel_size, dims)
+        # ties are ties, whatever the order of sums: they go by u and v
+        fresh = edge_descriptor_scores(part, asked, target, sigma, voxel_size, dims).withColumn("score", F.round("score", 9))
         scored = scratch.settle(fresh if kept is None else kept.unionByName(fresh))
         if kept is not None:
             scratch.drop(part)

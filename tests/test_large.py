@@ -123,3 +123,48 @@ def test_marked_edges_are_made_once(spark):
     history = spark.createDataFrame([(1, 2, 1, 0.1, 0), (1, 3, 1, 0.2, 1)], "a long, b long, c long, score double, round int")
     got = {(r.u, r.v): (r.merge_score, r.agglomerated) for r in A.mark_edges(edges, A.merge_tree(history)).collect()}
     assert got == {(1, 2): (0.1, True), (2, 3): (0.2, True), (1, 4): (None, True)} and made.value == 3
+
+
+def test_region_graph_in_tasks_that_follow_the_voxels(spark, monkeypatch):
+    from voxelspark.operators import rag as G
+
+    rng = np.random.default_rng(4)
+    lab = rng.integers(0, 5, (3, 9, 8))
+    v = spark.createDataFrame([(*map(int, p), int(lab[tuple(p)])) for p in np.argwhere(lab >= 0)] + [(0, None, 0, 2), (1, 300, 0, 7), (1, 301, 0, 6)], "z int, y int, x int, label long")
+    at = {tuple(map(int, p)): int(lab[tuple(p)]) for p in np.argwhere(lab)} | {(1, 300, 0): 7, (1, 301, 0): 6}
+    want = {}
+    for p, a in at.items():
+        for o in V.HALF_2:
+            if (b := at.get(tuple(i + d for i, d in zip(p, o, strict=True)), a)) != a:
+                want[min(a, b), max(a, b)] = want.get((min(a, b), max(a, b)), 0) + 1
+    for rows, block in ((1_000_000, (32, 128, 128)), (10, (2, 3, 4))):
+        monkeypatch.setattr(BL, "ROWS", rows)
+        monkeypatch.setattr(BL, "BLOCK", block)
+        edges = G.build_rag(v)
+        assert {(r.u, r.v): r.n for r in edges.collect()} == want
+        assert ("REPARTITION_BY_NUM" in edges._jdf.queryExecution().toString()) == (rows == 10)
+
+
+def test_voxel_components_meet_at_block_sides_alone(spark, monkeypatch):
+    from voxelspark.operators import labels as L
+
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 3, (4, 13, 11))
+    a[:, :, 3], a[1, 6] = 1, 2
+    v = spark.createDataFrame([(*map(int, p), int(a[tuple(p)]), float(p[2])) for p in np.argwhere(a >= 0)] + [(0, None, 0, 1, 0.5)], "z int, y int, x int, value long, more double")
+    links, plain = [], L.connected_components
+    monkeypatch.setattr(L, "connected_components", lambda e, **how: links.append(e.count()) or plain(e, **how))
+    for full in (False, True):
+        offsets = [o for o in np.ndindex(3, 3, 3) if 0 < (s := sum(abs(c - 1) for c in o)) and (full or s == 1)]
+        root = {tuple(map(int, p)): (int(p[0]) * 13 + int(p[1])) * 11 + int(p[2]) + 1 for p in np.argwhere(a)}
+        again = True
+        while again:
+            near = {p: min(root[q] for o in [(1, 1, 1), *offsets] if (q := tuple(c + d - 1 for c, d in zip(p, o, strict=True))) in root and a[q] == a[p]) for p in root}
+            again, root = near != root, near
+        for block in ((32, 128, 128), (2, 4, 5)):
+            monkeypatch.setattr(BL, "BLOCK", block)
+            got = L.label_components(v, "value", a.shape, full)
+            assert got.columns == ["z", "y", "x", "value", "more", "component"]
+            assert {(r.z, r.y, r.x): r.component for r in got.where("y is not null").collect()} == root
+            assert [r.component for r in got.where("y is null").collect()] == [None]
+    assert links[0] == links[2] == 0 < links[1] < len(root)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxelspark.functions.roi import halo_blocks
+from voxelspark.plans.iterate import local_components
 from voxelspark.sources.schema import AXES, POS
 
 #: Sides of a block; lines of one bundle along the two axes across it.
@@ -25,14 +26,23 @@ BLOCK, BUNDLE = (32, 128, 128), (8, 64)
 SMALL = (8, 64, 64)
 #: Pairs that one step looks at.
 PAIRS = 1 << 19
+#: Rows of a large table that one task holds.
+ROWS = 1_000_000
 #: Places of a line that one task holds.
 LENGTH = 1024
 
 
-def in_blocks(df: DataFrame, context: Sequence[int], block: Sequence[int] = BLOCK):
-    """``df`` grouped by block, each with its context; ``owned`` tells the block's own voxels."""
-    there = F.col("z").isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull()
-    return halo_blocks(df.where(there), tuple(block), tuple(context)).groupBy("block_z", "block_y", "block_x")
+def in_blocks(df: DataFrame, context: Sequence[int], block: Sequence[int] = BLOCK, parts: int | None = None):
+    """``df`` grouped by block, each with its context; ``owned`` tells the block's own voxels. parts: tasks, if not left to Spark."""
+    there, of = F.col("z").isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull(), ("block_z", "block_y", "block_x")
+    halo = halo_blocks(df.where(there), tuple(block), tuple(context))
+    return (halo if parts is None else halo.repartition(parts, *of)).groupBy(*of)
+
+
+def parts_for(df: DataFrame, rows: int) -> int | None:
+    """Tasks that hold about ``ROWS`` rows each, None where Spark's own number does: it follows settings, not rows."""
+    parts = -(-rows // ROWS)
+    return parts if parts > df.sparkSession.sparkContext.defaultParallelism else None
 
 
 def places(t: pa.Table) -> np.ndarray:
@@ -77,6 +87,72 @@ def pairs_in_blocks(df: DataFrame, offsets: Sequence[tuple[int, int, int]], valu
     return in_blocks(df.select(*POS, value), reach).applyInArrow(run, schema)
 
 
+def _found_in_block(at: np.ndarray, offsets: Sequence[tuple[int, int, int]], asked: np.ndarray):
+    """For each offset (i, j): the rows ``asked`` and those at the offset from them."""
+    reach = np.array([max(abs(o[k]) for o in offsets) for k in range(3)])
+    low = at.min(axis=1) - reach
+    size = at.max(axis=1) + reach + 1 - low
+    key = ((at[0] - low[0]) * size[1] + at[1] - low[1]) * size[2] + at[2] - low[2]
+    order = np.argsort(key, kind="stable")
+    placed = key[order]
+    for dz, dy, dx in offsets:
+        want = key[asked] + (dz * size[1] + dy) * size[2] + dx
+        first = np.searchsorted(placed, want)
+        count = np.searchsorted(placed, want, "right") - first
+        yield np.repeat(asked, count), order[spans(first, count)]
+
+
+def pair_counts_in_blocks(df: DataFrame, offsets: Sequence[tuple[int, int, int]], label: str, parts: int | None = None) -> DataFrame:
+    """(u, v, n): u < v at an offset from each other, and how often, by block. Pairs are counted before they leave a block."""
+    reach, kind = [max(abs(o[k]) for o in offsets) for k in range(3)], df.schema[label].dataType
+    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind), T.StructField("n", T.LongType())])
+
+    def run(t: pa.Table) -> pa.Table:
+        names, code = np.unique(t.column(label).to_numpy(), return_inverse=True)
+        found = [np.empty(0, np.int64)]
+        for i, j in _found_in_block(places(t), offsets, np.flatnonzero(t.column("owned").to_numpy())):
+            a, b = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
+            found.append((a * len(names) + b)[a < b])
+        pair, count = np.unique(np.concatenate(found), return_counts=True)
+        u, v = np.divmod(pair, max(1, len(names)))
+        return pa.table({"u": names[u], "v": names[v], "n": count})
+
+    return in_blocks(df.select(*POS, label).dropna(subset=[label]), reach, BLOCK, parts).applyInArrow(run, schema)
+
+
+def components_in_blocks(df: DataFrame, offsets: Sequence[tuple[int, int, int]], key: str, value: str | None) -> DataFrame:
+    """``df`` with _root, the smallest ``key`` of a voxel's component inside its block (of equal ``value``, if named), and _border, whether
+    it lies at the block's side. And rows that hold nothing else but _root of a voxel and _other, the key of one beside it in another block."""
+    names, reach = df.columns, [max(abs(o[k]) for o in offsets) for k in range(3)]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), T.StructField("_root", T.LongType()), T.StructField("_border", T.BooleanType()), T.StructField("_other", T.LongType())])
+    sides = np.array(BLOCK)[:, None]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        at, owned, node = places(t), t.column("owned").to_numpy(), t.column(key).to_numpy()
+        own, i, j = np.flatnonzero(owned), [], []
+        for a, b in _found_in_block(at, offsets, own):
+            if value is not None:
+                alike = pc.equal(t.column(value).take(pa.array(a)), t.column(value).take(pa.array(b))).fill_null(False).to_numpy()
+                a, b = a[alike], b[alike]
+            i.append(a), j.append(b)
+        i, j = np.concatenate(i), np.concatenate(j)
+        inside, root = owned[j], node[own].copy()
+        found, least = local_components(node[i[inside]], node[j[inside]])
+        if len(found):
+            place = np.minimum(np.searchsorted(found, root), len(found) - 1)
+            root = np.where(found[place] == root, least[place], root)
+        of = np.zeros(len(node), np.int64)
+        of[own] = root
+        seam = pa.table({"_root": of[i[~inside]], "_other": node[j[~inside]]})
+        from_side = at[:, own] % sides
+        border = ((from_side < np.array(reach)[:, None]) | (from_side >= sides - np.array(reach)[:, None])).any(axis=0)
+        kept = pa.table([*(t.column(c).take(pa.array(own)) for c in names), pa.array(root), pa.array(border)], [*names, "_root", "_border"])
+        return pa.concat_tables([kept, seam], promote_options="default").select([*names, "_root", "_border", "_other"])
+
+    return in_blocks(df, reach, BLOCK).applyInArrow(run, schema)
+
+
 def kernel_pairs(probe: DataFrame, source: DataFrame, kernel: Sequence[tuple], keys: Sequence[str], block: Sequence[int] = SMALL) -> DataFrame:
     """(keys, the other columns of ``probe``, dz, dy, dx, w, source_<c> for those of ``source``): each voxel of ``probe`` with the ones of
     ``source`` at the kernel's offsets that have the same keys; a null key meets nothing."""

@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelspark.operators.blocks import components_in_blocks
 from voxelspark.operators.voxels import FACES, HALF_2, neighbours
 from voxelspark.plans.iterate import Scratch, connected_components
 from voxelspark.sources.schema import AXES, POS
@@ -109,17 +110,21 @@ def voxel_key(shape: tuple[int, int, int]):
 def label_components(voxels: DataFrame, value: str, shape: tuple[int, int, int], full: bool = False, into: str = "component", one_value: bool = False, axes: Sequence[str] = AXES) -> DataFrame:
     """Connected voxels of equal non-zero ``value`` share ``into``: the smallest voxel key of them plus 1.
 
-    full: edges and corners connect too; otherwise faces only. one_value: any two non-zero voxels connect. axes: those along which
+    Blocks find their own components; only those across their sides meet. full: edges and corners connect too; otherwise faces only. one_value: any two non-zero voxels connect. axes: those along which
     voxels connect; without z every section is on its own.
     """
     kept = voxels.where(F.col(value) != 0)
     offsets = tuple(HALF_2) + ((-1, -1, -1), (-1, -1, 1), (-1, 1, -1), (-1, 1, 1)) if full else FACES
     offsets = tuple(o for o in offsets if all(a in axes for a, d in zip(AXES, o, strict=True) if d))
-    keyed = kept.withColumn("_key", voxel_key(shape)).select(*POS, F.struct("_key", value).alias("_v"))
-    alike = lambda v, o: pc.equal(pc.struct_field(v, value), pc.struct_field(o, value))
-    pairs = neighbours(keyed, offsets, "_v", "_o", None if one_value else alike)
-    found = connected_components(pairs.select(F.col("_v._key").alias("a"), F.col("_o._key").alias("b")), whole=500_000)
-    return kept.withColumn("_key", voxel_key(shape)).join(found.withColumnRenamed("node", "_key"), "_key", "left").withColumn(into, F.coalesce("component", "_key") + 1).select(*kept.columns, into)
+    scratch = Scratch(voxels.sparkSession, "voxels")
+    found = scratch.settle(components_in_blocks(kept.withColumn("_key", voxel_key(shape)), offsets, "_key", None if one_value else value))
+    # components of blocks join across their sides: a link for each pair of voxels there, so few voxels meet
+    border = found.where("_border").select(F.col("_key").alias("_other"), F.col("_root").alias("b")).distinct()
+    links = found.where("_other is not null").select(F.col("_root").alias("a"), "_other").join(border, "_other").select("a", "b")
+    whole = connected_components(links, whole=500_000).withColumnRenamed("node", "_root")
+    joined = found.where("_other is null").join(whole, "_root", "left").withColumn(into, F.coalesce("component", "_root") + 1).select(*kept.columns, into)
+    nowhere = kept.where(" or ".join(f"{a} is null" for a in POS))
+    return joined.unionByName(nowhere.withColumn(into, F.lit(None).cast("long")))
 
 
 def grow_boundary(voxels: DataFrame, label: str = "label", steps: int = 1, only_xy: bool = False) -> DataFrame:

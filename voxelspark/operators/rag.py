@@ -6,15 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelspark.functions.roi import Roi
+from voxelspark.operators.blocks import pair_counts_in_blocks, parts_for
 from voxelspark.operators.labels import centers, dense_rank_of, with_entry
-from voxelspark.operators.voxels import FACES, HALF_2, crop, neighbours
+from voxelspark.operators.voxels import FACES, HALF_2, crop
 from voxelspark.plans.iterate import Scratch, connected_components
-from voxelspark.sources.schema import AXES
+from voxelspark.sources.schema import AXES, POS
 
 #: Edges that one group may hold: a graph of no more is done in one pass.
 WHOLE = 500_000
@@ -26,10 +26,14 @@ def ordered(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def build_rag(voxels: DataFrame, label: str = "label", connectivity: int = 2, include_background: bool = False) -> DataFrame:
-    """(u, v, n): labels that touch, u < v, and in how many voxel pairs. connectivity 1: faces; 2: faces and edges."""
-    kept = voxels if include_background else voxels.where(F.col(label) != 0)
-    pairs = neighbours(kept, FACES if connectivity == 1 else HALF_2, label, keep=pc.not_equal)
-    return ordered(pairs, label, "other").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+    """(u, v, n): labels that touch, u < v, and in how many voxel pairs. connectivity 1: faces; 2: faces and edges.
+
+    Tasks follow the voxels, about a million each, so a task's memory stays the same at every size.
+    """
+    kept = Scratch(voxels.sparkSession, "rag").settle((voxels if include_background else voxels.where(F.col(label) != 0)).select(*POS, label))
+    parts = parts_for(kept, kept.count())
+    pairs = pair_counts_in_blocks(kept, FACES if connectivity == 1 else HALF_2, label, parts)
+    return (pairs if parts is None else pairs.repartition(4 * parts, "u", "v")).groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
 def edge_centers(edges: DataFrame, nodes: DataFrame) -> DataFrame:

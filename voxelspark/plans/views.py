@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelspark.operators.agglomerate import edge_affinities
+from voxelspark.operators.blocks import parts_for
 from voxelspark.operators.rag import nodes_of
 from voxelspark.operators.voxels import line_before
 from voxelspark.plans.iterate import measured_joins
@@ -55,9 +56,11 @@ def plane_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block(spark: SparkSession, d: str) -> DataFrame:
-    """Sparse 3-D volume of lineitems."""
-    k = F.col("l_orderkey")
-    return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("z"), k).agg(F.min("l_suppkey").alias("label"), F.sum("l_extendedprice").alias("raw")).select(
+    """Sparse 3-D volume of lineitems; a large table is summed in tasks of about as many rows each, whatever the settings."""
+    k, lines = F.col("l_orderkey"), table(spark, d, "lineitem")
+    if (parts := parts_for(lines, lines.count())) is not None:
+        lines = lines.repartition(parts, "l_linenumber", "l_orderkey")
+    return lines.groupBy(F.col("l_linenumber").alias("z"), k).agg(F.min("l_suppkey").alias("label"), F.sum("l_extendedprice").alias("raw")).select(
         "z", F.floor(k / WIDTH).cast("int").alias("y"), (k % WIDTH).cast("int").alias("x"), F.col("label").cast("long").alias("label"), "raw"
     )
 

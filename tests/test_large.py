@@ -1,6 +1,7 @@
 """What large tables must not do: be broadcast by their file's size, meet in one task, cost a step of Python an object."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxelspark.operators import blocks as BL
@@ -83,8 +84,10 @@ def test_edge_scores_copy_no_voxel_for_an_edge(spark, monkeypatch):
     assert not called
 
 
-def test_moments_around_places_of_other_objects():
-    """Near pairs, lines and offsets agree, also where a probe is outside the object."""
+@pytest.mark.parametrize("cost", [0, 1e9])
+def test_moments_around_places_of_other_objects(monkeypatch, cost):
+    """Near pairs, lines, offsets and all objects at once agree, also where a probe is outside the object."""
+    monkeypatch.setattr(BL, "MOMENT_NS", cost)
     rng = np.random.default_rng(6)
     at = np.stack([g.ravel() for g in np.meshgrid(np.arange(3), np.arange(60), np.arange(60), indexing="ij")])
     label = (at[1] // 30) * 2 + (at[2] > 5)

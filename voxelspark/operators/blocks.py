@@ -26,6 +26,8 @@ BLOCK, BUNDLE = (32, 128, 128), (8, 64)
 SMALL = (8, 64, 64)
 #: Pairs that one step looks at.
 PAIRS = 1 << 19
+#: Nanoseconds that a place and an offset of the kernel take where all objects are summed at once.
+MOMENT_NS = 8
 #: Rows of a large table that one task holds.
 ROWS = 1_000_000
 #: Places of a line that one task holds.
@@ -338,6 +340,23 @@ def moments_in_blocks(source: DataFrame, probe: DataFrame | None, kernel: Kernel
     return in_blocks(rows, kernel.reach).applyInArrow(run, schema)
 
 
+def _grid_of(at: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray | None:
+    """The row at each place of a box, -1 for none; None where a place has several rows."""
+    grid, cell = np.full(tuple(size), -1, np.int32), tuple(at - low[:, None])
+    grid[cell] = np.arange(at.shape[1])
+    return grid if (grid[cell] == np.arange(at.shape[1])).all() else None
+
+
+def moments_of_shifts(grid: np.ndarray, label: np.ndarray, low: np.ndarray, probe: np.ndarray, other: np.ndarray, kernel: Kernel, terms) -> np.ndarray:
+    """All objects at once, a bounded number of probes at a time: of each, the places at the kernel's offsets that are of its object count."""
+    code, step = np.where(grid >= 0, label[grid], -1).ravel().astype(np.int32), max(1, (PAIRS >> 2) // len(kernel.weights))
+    strides, other = np.array([grid.shape[1] * grid.shape[2], grid.shape[2], 1]), other.astype(np.int32)
+    at, offset = strides @ (probe - low[:, None]), kernel.offsets @ strides
+    weigh = np.stack([kernel.weights * kernel.offsets[:, list(axes)].prod(axis=1) for axes in terms], axis=1)
+    parts = [(code[at[a : a + step, None] + offset] == other[a : a + step, None]).astype(float) @ weigh for a in range(0, len(at), step)]
+    return np.concatenate(parts).T
+
+
 def moments_of_objects(at: np.ndarray, label: np.ndarray, probe: np.ndarray, other: np.ndarray, kernel: Kernel, terms) -> np.ndarray:
     """By term, the weighted sums around each place of ``probe`` over the voxels ``at`` whose ``label`` is ``other``, which need not be the
     probe's own; labels are numbers from 0. An object is summed by near pairs, offsets or lines, whichever is expected to be fastest."""
@@ -356,6 +375,9 @@ def moments_of_objects(at: np.ndarray, label: np.ndarray, probe: np.ndarray, oth
     first, last = np.searchsorted(sorted_, objects), np.searchsorted(sorted_, objects, "right")
     number = np.searchsorted(objects, other)
     pairs, asks = np.bincount(number, count), np.bincount(number)
+    if len(objects) > 1 and len(kernel.weights) * MOMENT_NS < 500_000 * len(objects) / len(other) and np.prod((span + 2 * reach).astype(float)) <= 8 * PAIRS:
+        if (at_most_once := _grid_of(at, low - reach, span + 2 * reach)) is not None:
+            return moments_of_shifts(at_most_once, label, low - reach, probe, other, kernel, terms)
     there = last > first
     cells = np.zeros(len(objects))
     if there.any():

@@ -213,3 +213,21 @@ def test_pipeline_by_hand(spark):
             assert offset == end
             end += length
         assert end <= 2048
+
+
+def test_only_kept_ngrams_reach_the_driver(spark, monkeypatch):
+    """Counts of all buckets stay with the tasks: what is collected follows ``features``, not the texts."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    docs, labels, sizes = table(spark, DATA, "documents"), table(spark, DATA, "labels"), []
+    before = DataFrame.collect
+
+    def collect(self):
+        rows = before(self)
+        sizes.append(sum(len(x) if isinstance(x, (bytes, bytearray)) else 8 for r in rows for x in r))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", collect)
+    model = T2.fit_toxicity(docs, labels, features=25)
+    assert len(model.bucket) == 25
+    assert sizes and max(sizes) < 2_000

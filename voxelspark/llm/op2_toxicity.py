@@ -4,8 +4,8 @@ Features are the presence of hashed character n-grams in the whole text. Their l
 them, and a logistic fit on the scaled features gives the weights; a score is the logistic of their sum.
 
 The fit sees labelled rows only, at most ``max_rows`` of them (expected count; rows are chosen by a hash of doc_id, so the
-same rows at every run), and keeps the ``features`` n-grams whose ratio is the most certain. Counts are summed over the
-sample's partitions; the fit itself runs in one task over that bounded sample. Scoring is one pass over all rows, no shuffle.
+same rows at every run), and keeps the ``features`` n-grams whose ratio is the most certain. Counts are summed
+over the sample's partitions, a slice of the buckets at a time, and only n-grams that are kept reach the driver; the fit itself runs in one task over that bounded sample. Scoring is one pass over all rows, no shuffle.
 
 Edge cases: null and empty text score as a text without n-grams (the bias); labels that are null are left out; if a class has
 no labelled row, every score is that of the other (0 with no labels at all); repeated rows are scored each, alike. Ties: of
@@ -24,6 +24,8 @@ from voxelspark.llm.ngrams import SIZE, fit_logistic, present, row_sums
 from voxelspark.plans.iterate import Scratch
 
 ORDERS = (4, 5, 6)
+#: Buckets whose counts one group adds up.
+SLICE = 1 << 14
 
 
 class ToxicityModel:
@@ -70,40 +72,46 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, trainable: Column | None =
     picked = marked.where((F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 30)) < int(rate * (1 << 30))))
     sample = scratch.settle(docs.select(F.col(id_col), F.col(text_col).alias("body")).join(F.broadcast(picked), id_col).select("body", "y").repartition(8))
 
+    n = np.zeros(2)
+    for r in sample.groupBy("y").count().collect():  # one row a class
+        n[r["y"]] = r["count"]
+    if not n.all():  # no row of one class among the documents that were picked
+        scratch.drop(sample)
+        return constant(n[1])
+
     def count(batches):
         total = np.zeros((2, SIZE), np.int32)
-        rows = np.zeros(2, np.int64)
         for b in batches:
             y = b.column("y").to_numpy()
-            rows += np.bincount(y, minlength=2)
             for at in range(0, len(y), 500):
                 for first, _, text, bucket in present(b.column("body").slice(at, 500).to_pylist(), orders):
                     for c in (0, 1):
                         total[c] += np.bincount(bucket[y[at + first + text] == c], minlength=SIZE).astype(np.int32)
-        seen = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (rows, seen, total[0, seen], total[1, seen])], ["rows", "seen", "no", "yes"])
-
-    n, total = np.zeros(2), np.zeros((2, SIZE))
-    for r in sample.mapInArrow(count, "rows binary, seen binary, no binary, yes binary").collect():  # at most 8 rows of at most 2 * SIZE counts
-        n += np.frombuffer(r["rows"], np.int64)
-        seen = np.frombuffer(r["seen"], np.int64)
-        total[0, seen] += np.frombuffer(r["no"], np.int32)
-        total[1, seen] += np.frombuffer(r["yes"], np.int32)
-    if not n.all():  # no row of one class among the documents that were picked
-        scratch.drop(sample)
-        return constant(n[1])
-    yes, no = (total[1] + alpha) / (n[1] + 2 * alpha), (total[0] + alpha) / (n[0] + 2 * alpha)
-    ratio = np.log(yes / no)
-    sure = np.abs(ratio) / np.sqrt(1 / (total[1] + alpha) + 1 / (total[0] + alpha))
-    sure[total.sum(axis=0) < 2] = 0
-    bucket = np.sort(np.argsort(-sure, kind="stable")[:features])
-    bucket = bucket[sure[bucket] > 0]
-    scale, place = ratio[bucket], np.full(SIZE, -1, np.int32)
-    place[bucket] = np.arange(len(bucket))
-    sent = spark.sparkContext.broadcast((place, scale))
+        for k, at in enumerate(range(0, SIZE, SLICE)):
+            no, yes = total[:, at : at + SLICE]
+            if no.any() or yes.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (no, yes))], ["slice", "no", "yes"])
+
+    def weigh(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        no, yes = (sum(np.frombuffer(x.as_buffer(), np.int32).astype(np.float64) for x in t.column(c)) for c in ("no", "yes"))
+        ratio = np.log(((yes + alpha) / (n[1] + 2 * alpha)) / ((no + alpha) / (n[0] + 2 * alpha)))
+        sure = np.abs(ratio) / np.sqrt(1 / (yes + alpha) + 1 / (no + alpha))
+        sure[yes + no < 2] = 0
+        best = np.argsort(-sure, kind="stable")[:features]
+        best = best[sure[best] > 0]
+        return pa.table({"bucket": pa.array(key[0].as_py() * SLICE + best, pa.int32()), "ratio": ratio[best], "sure": sure[best]})
+
+    # counts are added slice by slice of the buckets; only what is kept comes to the driver
+    weighed = sample.mapInArrow(count, "slice int, no binary, yes binary").groupBy("slice").applyInArrow(weigh, "bucket int, ratio double, sure double")
+    kept = scratch.settle(weighed.orderBy(F.col("sure").desc(), "bucket").limit(features))
+    chosen = sorted((r["bucket"], r["ratio"]) for r in kept.collect())  # at most ``features`` rows
+    bucket, scale = np.array([b for b, _ in chosen], np.int64), np.array([x for _, x in chosen], np.float64)
+    sent = spark.sparkContext.broadcast((bucket, scale))
 
     def fit(batches):
-        place, scale = sent.value
+        bucket, scale = sent.value
+        place = np.full(SIZE, -1, np.int32)
+        place[bucket] = np.arange(len(bucket))
         chosen, rows, feats, ys, n = place >= 0, [], [], [], 0
         for b in batches:
             y = b.column("y").to_numpy()
@@ -118,7 +126,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, trainable: Column | None =
             yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float64).tobytes()], pa.binary()), pa.array([bias])], ["w", "bias"])
 
     found = sample.coalesce(1).mapInArrow(fit, "w binary, bias double").first()
-    scratch.drop(sample)
+    sent.destroy()
+    scratch.drop(sample, kept)
     return ToxicityModel(bucket, np.frombuffer(found["w"], np.float64), found["bias"], orders)
 
 

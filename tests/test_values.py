@@ -604,3 +604,28 @@ def test_sweep_over_many_thresholds(spark, fan):
         want |= {(t, k): root[k] for k in range(3, 50)}
     assert got == want
     assert G.segment_sweep(nodes, frame, []).isEmpty()
+
+
+def test_an_edge_of_a_group_is_loaded_once():
+    import pyarrow as pa
+
+    from voxelspark.operators import agglomerate as A
+
+    asked = []
+
+    class Counted(A.QuantileScore):
+        def load(self, state):
+            asked.append(len(state))
+            return super().load(state)
+
+    n = 6_000  # a chain whose last edge leaves the group: 0 - 1 - ... - n
+    pairs = [(k, k + 1, end) for k in range(n) for end in (k, k + 1) if end < n]
+    u, v, end = ([p[i] for p in pairs] for i in range(3))
+    state = pa.array([[(k % 7, 1), (9, k + 1)] for k in u], pa.map_(pa.int32(), pa.int64()))
+    tie = pa.StructArray.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    score = pa.array([k / n for k in u])
+    t = pa.table({"n": end, "u": u, "v": v, "state": state, "tie": tie, "hu": pa.array([k % 5 for k in u], pa.int32()), "hv": pa.array([k % 5 for k in v], pa.int32()), "score": score})
+    edges, heights, inside = A.edges_of_group(t, Counted(0.25))
+    assert sum(asked) == n and max(asked) <= A.LOADED
+    assert sorted(edges) == [[k, k + 1, {k % 7: 1, 9: k + 1}, k / n, (k, k + 1)] for k in range(n)]
+    assert heights == {k: k % 5 for k in range(n + 1)} and inside == set(range(n))

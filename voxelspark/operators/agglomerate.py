@@ -27,6 +27,8 @@ from voxelspark.plans.iterate import Scratch
 from voxelspark.sources.schema import POS
 
 BINS = 256
+#: Edges of a group that are turned into Python objects at once.
+LOADED = 4096
 
 
 @dataclass(frozen=True)
@@ -115,6 +117,26 @@ def edge_scores(samples: DataFrame, how=None) -> DataFrame:
     return how.pool(samples).select("u", "v", how.score().alias("merge_score"))
 
 
+def edges_of_group(t: pa.Table, how) -> tuple[list[list], dict, set]:
+    """([u, v, state, score, tie] of every edge, height by node, the nodes inside) of a group's rows, one for each end ``n`` inside.
+
+    An edge with both ends inside has two rows; only one becomes Python objects, LOADED rows at a time, as these take many times
+    the bytes of the columns.
+    """
+    n, u = t.column("n").to_numpy(), t.column("u").to_numpy()
+    inside = np.unique(n)
+    t = t.filter(pa.array((n == u) | ~np.isin(u, inside)))
+    edges, heights = [], {}
+    for at in range(0, len(t), LOADED):
+        part = t.slice(at, LOADED)
+        column = {c: part.column(c).to_pylist() for c in ("u", "v", "score", "hu", "hv")}
+        tie, states = part.column("tie").combine_chunks(), how.load(part.column("state").combine_chunks())
+        ties = zip(*(pc.struct_field(tie, c).to_pylist() for c in ("u", "v")), strict=True)
+        edges += map(list, zip(column["u"], column["v"], states, column["score"], ties, strict=True))
+        heights |= dict(zip(column["u"], column["hu"], strict=True)) | dict(zip(column["v"], column["hv"], strict=True))
+    return edges, heights, set(inside.tolist())
+
+
 def settle_group(edges: list[list], heights: dict, inside: set, how, threshold: float) -> tuple[list, list]:
     """(merges: (a, b, score, round), moved: (node, its segment, height)) of what the nodes ``inside`` can merge by themselves.
 
@@ -149,6 +171,7 @@ def settle_group(edges: list[list], heights: dict, inside: set, how, threshold:
                 continue
             gone |= {old, also}
             state, tie = how.add(edges[also][2], edges[old][2]), max(edges[also][4], edges[old][4])
+            edges[also][2] = edges[old][2] = None
             near[a][c] = near[c][a] = len(edges)
             edges.append([a, c, state, how.value(state), tie])
             if edges[-1][3] < threshold:
@@ -178,13 +201,9 @@ def _settled_groups(edges: DataFrame, threshold: float, how, groups: int, whole:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        t = pa.Table.from_batches(held).combine_chunks()
-        n, u, v, score = (t.column(c).to_pylist() for c in ("n", "u", "v", "score"))
-        inside, tie = set(n), list(zip(*(pc.struct_field(t.column("tie").combine_chunks(), c).to_pylist() for c in ("u", "v")), strict=True))
-        states = how.load(t.column("state").combine_chunks())
-        once = [k for k in range(len(n)) if n[k] == u[k] or u[k] not in inside]
-        heights = dict(zip(u, t.column("hu").to_pylist(), strict=True)) | dict(zip(v, t.column("hv").to_pylist(), strict=True))
-        merges, moved = settle_group([[u[k], v[k], states[k], score[k], tie[k]] for k in once], heights, inside, how, threshold)
+        edges, heights, inside = edges_of_group(pa.Table.from_batches(held), how)
+        held.clear()
+        merges, moved = settle_group(edges, heights, inside, how, threshold)
         rows = [(*m, None) for m in merges] + [(a, b, None, None, h) for a, b, h in moved]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], ["a", "b", "score", "round", "height"])
